@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import line_dedup
+from paperloom.llm import language_id, line_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,8 +33,19 @@ from k left join f using (key) group by k.doc_id
 """
 
 
+def _held_out(modulus: int, rest: int):
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(modulus)) == rest
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    trees = language_id.train(docs, ~_held_out(4, 2))
+    told = language_id.identify(docs.select("doc_id", "text"), trees)
+    return told.select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict:
-    return {"op1_line_dedup": op1_line_dedup}
+    return {"op1_line_dedup": op1_line_dedup, "op10_language_id": op10_language_id}
 
 
 def oracle_sql() -> dict[str, str]:
