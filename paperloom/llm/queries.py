@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import language_id, line_dedup
+from paperloom.llm import language_id, line_dedup, simhash_index
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,8 +44,18 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = simhash_index.near_duplicate_groups(docs)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict:
-    return {"op1_line_dedup": op1_line_dedup, "op10_language_id": op10_language_id}
+    return {
+        "op1_line_dedup": op1_line_dedup,
+        "op8_simhash_dedup": op8_simhash_dedup,
+        "op10_language_id": op10_language_id,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
