@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,3 +36,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def default_cores() -> str:
     return os.environ.get("BENCH_CPUS", "8")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give Python workers this package, once per application, wherever they run."""
+    app = spark.sparkContext.applicationId
+    if app not in _SHIPPED:
+        _SHIPPED.add(app)
+        here = os.path.dirname(os.path.abspath(__file__))
+        out = tempfile.mkdtemp()  # the driver serves the file from here
+        atexit.register(shutil.rmtree, out, True)
+        made = shutil.make_archive(f"{out}/paperloom", "zip", os.path.dirname(here), os.path.basename(here))
+        spark.sparkContext.addPyFile(made)
