@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from paperloom.session import ship
+
 SLICE_BYTES = 1 << 20
 
 
@@ -52,14 +54,11 @@ def with_columns(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.Re
             columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
             yield pa.RecordBatch.from_arrays([*columns, *fn(batch)], [*names, *added])
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, T.StructType([*kept, *fields]))
 
 
-def rows_out(df: DataFrame, schema: str | T.StructType, fn: Callable[[pa.RecordBatch], dict]) -> DataFrame:
-    """``df`` mapped batch by batch to dictionaries of equally long arrays."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_pydict(fn(batch))
-
-    return df.mapInArrow(run, schema)
+def mapped(df: DataFrame, schema: str | T.StructType, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """``df`` mapped partition by partition."""
+    ship(df.sparkSession)
+    return df.mapInArrow(fn, schema)

@@ -241,7 +241,7 @@ def links(values: DataFrame, bucket: int = BUCKET) -> DataFrame:
     met = dealt.join(large, "key", "left").select("key", "fp", chunk.alias("chunk"), F.explode(other).alias("other"))
     met = met.select((F.col("key") * (1 << 24) + pair).alias("key"), "fp")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return met.repartition(tasks, "key").sortWithinPartitions("key").mapInArrow(_bucket_links, "a long, b long")
+    return arrow.mapped(met.repartition(tasks, "key").sortWithinPartitions("key"), "a long, b long", _bucket_links)
 
 
 def near_duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
