@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chat_format, decontamination, language_id, line_dedup, simhash_index
+from paperloom.llm import chat_format, decontamination, language_id, line_dedup, packing, simhash_index
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +84,10 @@ from w left join h using (doc_id) left join it using (doc_id)
 """
 
 
+def op6_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     probe = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -116,6 +120,7 @@ def queries() -> dict:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op5_decontamination": op5_decontamination,
+        "op6_pack_tokens": op6_pack_tokens,
         "op7_chat_format": op7_chat_format,
         "op8_simhash_dedup": op8_simhash_dedup,
         "op10_language_id": op10_language_id,
