@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chat_format, decontamination, language_id, line_dedup, packing, simhash_index
+from paperloom.llm import chat_format, decontamination, language_id, line_dedup, packing, quality_ranking, simhash_index
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,14 @@ def _held_out(modulus: int, rest: int):
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(modulus)) == rest
 
 
+def op9_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    ranking = quality_ranking.train(docs, labels, ~_held_out(5, 0))
+    scored = quality_ranking.score(docs.select("doc_id", "text"), ranking)
+    good = (F.col("score") >= quality_ranking.CUT).cast("int")
+    return scored.select("doc_id", _held_out(5, 0).alias("held_out"), "score", good.alias("predicted"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     trees = language_id.train(docs, ~_held_out(4, 2))
@@ -123,6 +131,7 @@ def queries() -> dict:
         "op6_pack_tokens": op6_pack_tokens,
         "op7_chat_format": op7_chat_format,
         "op8_simhash_dedup": op8_simhash_dedup,
+        "op9_quality_ranking": op9_quality_ranking,
         "op10_language_id": op10_language_id,
     }
 
