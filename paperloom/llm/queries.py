@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chat_format, decontamination, language_id, line_dedup, packing, quality_ranking, simhash_index
+from paperloom.llm import chat_format, decontamination, language_id, line_dedup, mixing, packing, quality_ranking, simhash_index
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    return mixing.sample(docs).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontamination.find_hits(docs, _table(spark, sf_dir, "benchmark"))
@@ -127,6 +132,7 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_mix_sources": op2_mix_sources,
         "op5_decontamination": op5_decontamination,
         "op6_pack_tokens": op6_pack_tokens,
         "op7_chat_format": op7_chat_format,
