@@ -1,19 +1,75 @@
-"""The training-data pipeline over ``documents``."""
+"""The training-data pipeline over ``documents``.
+
+Each stage gets what its predecessor kept, written as Parquet and read again,
+and returns the columns of ``documents``; the last returns packed token rows.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from paperloom.llm import decontamination, language_id, mixing, packing, scratch, simhash_index
 
-#: SQL for the rows of run(); language models and hashes are outside SQL.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Documents whose best language is less likely than this are rejected.
+LEAST_SCORE = 0.5
+#: Documents of which benchmark passages cover more than this part go.
+MOST_HIT = 0.0
+
+#: Language models and near-duplicate hashes are outside SQL.
 ORACLE_SQL = None
 
-STAGES: list = []
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents in a known language; ``und`` and undecided ones go."""
+    told = language_id.identify(docs, language_id.train(docs))
+    sure = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
+    return told.filter(sure).select(*COLUMNS)
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order, each written and read again."""
-    from paperloom.llm import scratch
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of every near-duplicate group.
+
+    Documents without an id are kept, one per fingerprint, where no document of
+    their group has one.
+    """
+    groups = simhash_index.near_duplicate_groups(docs)
+    kept = groups.filter("component_id = doc_id").select(F.col("doc_id").alias("_kept"))
+    first = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
+    alone = groups.filter("doc_id is null and component_id is null").select(F.col("fp").alias("_fp"))
+    nameless = simhash_index.fingerprints(docs.filter("doc_id is null")).dropDuplicates(["fp"])
+    rest = nameless.join(alone, nameless["fp"] == alone["_fp"], "left_semi")
+    return first.select(*COLUMNS).unionByName(rest.select(*COLUMNS))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents without a benchmark passage."""
+    found = decontamination.find_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.filter(F.coalesce(F.size("hit_words"), F.lit(0)) <= MOST_HIT * F.col("n_words")).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sample documents so that tokens follow the target shares."""
+    return mixing.sample(docs).select(*COLUMNS)
+
+
+def pack_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in packed rows."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("packing", pack_tokens),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order, each but the last written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = scratch.written(stage(spark, docs, sf_dir), name)
