@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chat_format, decontamination, language_id, line_dedup, mixing, packing, prefix_forest, quality_ranking, simhash_index
+from paperloom.llm import chat_format, decontamination, language_id, line_dedup, mixing, packing, prefix_forest, quality_ranking, simhash_index, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,11 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sample(docs).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_forest.nearest(_table(spark, sf_dir, "embeddings"), F.pmod("vec_id", F.lit(100)) == 0)
 
@@ -137,6 +142,7 @@ def queries() -> dict:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op2_mix_sources": op2_mix_sources,
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_prefix_forest": op4_prefix_forest,
         "op5_decontamination": op5_decontamination,
         "op6_pack_tokens": op6_pack_tokens,
