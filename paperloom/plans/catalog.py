@@ -1,17 +1,271 @@
-"""Registry of the engine's queries."""
+"""Registry of the engine's queries: operators applied to the driver's tables."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from paperloom.functions import text
+from paperloom.operators import changes, documents, governance, graph, relational, retrieval
+from paperloom.plans import oracles
+from paperloom.session import table
+from paperloom.sources.tables import AS_OF, entries
+from paperloom.streaming import events as streams
+
+QUERY = "the thhentha estion worthless"
+TERM = "estion"
+CENTER = "area0/21.md"
+
+E = Callable[[DataFrame], DataFrame]
+
+
+def _on_entries(fn: E) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: fn(entries(spark, sf_dir))
+
+
+def _sources(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path, own = F.concat(F.lit("raw/"), F.col("doc_id").cast("string")), F.sha2(F.coalesce("text", F.lit("")), 256)
+    sources = docs.select(path.alias("path"), own.alias("hash"))
+    outputs = F.when(F.col("doc_id") % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("entry.md")))
+    state = docs.filter("doc_id % 3 <> 0").select(
+        path.alias("path"),
+        F.when(F.col("doc_id") % 5 == 0, F.lit("old")).otherwise(own).alias("source_hash"),
+        outputs.alias("outputs"),
+        F.when(F.col("doc_id") % 4 == 0, F.lit("v1")).when(F.col("doc_id") % 4 == 1, F.lit("v2")).alias("instruction_hash"),
+    )
+    return sources, state
+
+
+def _manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    path = F.concat(F.lit("wiki/"), F.col("doc_id").cast("string")).alias("path")
+    local = changes.manifest(docs.filter("doc_id % 4 <> 0").select(path, F.col("text").alias("content")))
+    other = F.when(F.col("doc_id") % 6 == 0, F.concat("text", F.lit("x"))).otherwise(F.col("text"))
+    return local, changes.manifest(docs.filter("doc_id % 5 <> 0").select(path, other.alias("content")))
+
+
+def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("user_id").alias("job"), F.col("event_id").alias("seq"), "ts", F.col("event_type").alias("status"))
+
+
+def _tools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("tool"), F.col("value").alias("latency"), (F.col("event_id") % 10 == 0).alias("failed"))
+
+
+def _locks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("path"), F.col("event_type").alias("holder"), F.col("ts").alias("taken"), F.lit(300).alias("ttl"))
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("page", "text"))
+    return lines.select("doc", (F.col("page") + 1).cast("long").alias("page"), "text")
+
+
+def _versions(e: DataFrame) -> DataFrame:
+    return e.select("path", F.explode(F.sequence(F.lit(0), "version")).alias("version")).withColumn("hash", F.sha2(F.concat_ws("@", "path", F.col("version").cast("string")), 256))
+
+
+def _graph(fn: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = entries(spark, sf_dir)
+        return fn(e, graph.edges(e))
+
+    return query
+
+
+def _references(fn: Callable[[DataFrame, DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        e = entries(spark, sf_dir)
+        return fn(e, graph.reference_edges(e))
+
+    return query
+
+
+def _embedding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").filter(F.col("embedding").isNotNull())
+    first = rows.orderBy("vec_id").first()
+    return retrieval.embedding_topk(rows, list(first["embedding"])) if first else rows.select("vec_id", F.lit(0.0).alias("score"))
+
+
+def _parsed(e: DataFrame) -> DataFrame:
+    return documents.parse_entries(documents.to_markdown(e)).select("path", "title", "domain", "level", "quality_score", "version", F.array_join("tags", ",").alias("tags"), "created", "body")
+
+
+def _upserted(e: DataFrame) -> DataFrame:
+    own = retrieval.vectors(e)
+    changed = own.filter(F.endswith("path", F.lit("7.md"))).withColumn("weight", F.lit(0.0))
+    return retrieval.upserted(own, changed).groupBy("path").agg(F.count("*").alias("buckets"), F.round(F.sum("weight"), 3).alias("weight"))
+
+
+def _tool_table(e: DataFrame) -> DataFrame:
+    listed = ["search_knowledge:find entries:index", "suggest_links:links for an entry:index", "lint_wiki:search for faults:knowledge", "sync_push:send objects:platform", "search_keywords:literal search:extract"]
+    rows = [tuple(x.split(":")) for x in listed]
+    return e.sparkSession.createDataFrame(rows, "name string, description string, category string")
+
+
+def _near_query(e: DataFrame) -> DataFrame:
+    return retrieval.without_duplicates(retrieval.keyword_search(e, QUERY, 20), e)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return retrieval.hybrid_search(entries(spark, sf_dir), QUERY, 10)
+
+
+def _listing(e: DataFrame) -> DataFrame:
+    return e.select("path", "title", "domain", F.array_join("tags", ",").alias("tags"), "level")
+
+
+def _state_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sources, state = _sources(spark, sf_dir)
+    todo = changes.sources_to_compile(sources, state).select("path")
+    new = sources.join(todo, "path", "left_semi").select("path", F.col("hash").alias("source_hash"))
+    return changes.merged(state.select("path", "source_hash"), new)
+
+
+def _queries() -> dict:
+    search = lambda e: retrieval.keyword_search(e, QUERY, 10)
+    return {
+        # scans and projections
+        "scan_fulltext_docs": _on_entries(lambda e: retrieval.searchable(e).select("path", "title", "domain", F.array_join("tags", " ").alias("tags"), F.length("body").cast("long").alias("chars"))),
+        "scan_graph_nodes": _on_entries(lambda e: graph.nodes(e).select("path", "title", "domain", F.array_join("tags", ",").alias("tags"), "level")),
+        "scan_embedding_docs": _on_entries(lambda e: retrieval.searchable(e).select("path", F.sha2(F.concat_ws(" ", "title", "body"), 256).alias("text_hash"))),
+        "wiki_entry_listing": _on_entries(_listing),
+        "entries_by_domain": _on_entries(lambda e: e.groupBy(text.domain_of_path(F.col("path")).alias("domain")).agg(F.count("*").alias("n"), F.round(F.avg("quality_score"), 6).alias("quality"))),
+        "scan_quality_entries": _on_entries(lambda e: e.select("path", "quality_score", "status", "publish_status", F.size("tags").cast("long").alias("n_tags"))),
+        "wiki_index_rows": _on_entries(documents.index_page),
+        "discover_domains": _on_entries(lambda e: e.select("domain").distinct()),
+        "log_tail": lambda s, d: changes.log_tail(_jobs(s, d), 20).select("job", "seq", "status"),
+        "entry_point_lookup": _on_entries(lambda e: e.filter((F.col("domain") == "area0") & (F.col("path") == CENTER)).select("path", "title", "version")),
+        "domain_listing": _on_entries(lambda e: e.groupBy("domain").agg(F.count("*").alias("n"), F.min("path").alias("first"))),
+        "reflow_text": _on_entries(lambda e: e.select("path", F.sha2(text.reflowed(F.col("body")), 256).alias("reflowed"))),
+        "front_matter_split": _on_entries(lambda e: documents.to_markdown(e).select("path", *documents.front_matter(F.col("content"))).select("path", F.length("yaml").cast("long").alias("yaml_chars"), F.sha2("body", 256).alias("body_hash"))),
+        "parse_light_meta": _on_entries(lambda e: documents.light_meta(documents.to_markdown(e))),
+        "parse_entries": _on_entries(_parsed),
+        "searchable_entries": _on_entries(lambda e: retrieval.searchable(e).select("path", "quality_score")),
+        "minimal_quality": _on_entries(lambda e: retrieval.minimal_quality(e).select("path")),
+        "page_range_select": _on_entries(lambda e: e.select("path", F.explode(documents.page_numbers(F.col("page"), 10)).alias("page"))),
+        "path_safety": _on_entries(lambda e: e.select("path", documents.safe(F.concat(F.when(F.col("doc_id") % 10 == 0, "../").when(F.col("doc_id") % 10 == 1, "/").otherwise(""), "path")).alias("ok"))),
+        "canonical_paths": _on_entries(lambda e: e.select("path", text.safe_path(F.col("domain"), F.col("title")).alias("canonical"))),
+        "markdown_structure": _on_entries(documents.structure),
+        "page_facts": lambda s, d: documents.page_facts(table(s, d, "pages")),
+        "probe_quality": lambda s, d: documents.page_facts(table(s, d, "pages")).join(table(s, d, "pages").select("page_id", F.octet_length("html").alias("size")), "page_id").select("page_id", documents.probe_quality(F.col("text_chars"), F.col("size")).alias("method")),
+        "line_diff": _on_entries(lambda e: e.select("path", F.sha2(documents.line_diff(F.col("body"), F.replace("body", F.lit("the"), F.lit("THE"))), 256).alias("diff"))),
+        "patch_search_replace": _on_entries(lambda e: documents.patched(e, "the ", "THE ").select("path", "version", F.sha2("body", 256).alias("body_hash"))),
+        "wiki_tree": _on_entries(documents.tree),
+        "highlight_hits": _on_entries(lambda e: e.filter(F.contains(F.lower("body"), F.lit(TERM))).select("path", F.sha2(text.highlighted(F.col("body"), TERM), 256).alias("marked"), F.regexp_count("body", F.lit(f"(?i){TERM}")).cast("long").alias("n"))),
+        "search_snippets": _on_entries(lambda e: e.filter(F.contains(F.lower("body"), F.lit(TERM))).select("path", F.sha2(text.snippet(F.col("body"), TERM), 256).alias("snippet"))),
+        # graph
+        "edges_related": _on_entries(graph.related_edges),
+        "edges_contradiction": _on_entries(graph.contradiction_edges),
+        "edges_wikilink": _on_entries(graph.wikilink_edges),
+        "edges_tag_cooccurrence": _on_entries(graph.tag_edges),
+        "graph_edges": _graph(lambda e, g: g.groupBy("src", "dst", "kind").agg(F.count("*").alias("n"))),
+        "graph_stats": _graph(graph.stats),
+        "suggest_links": _on_entries(lambda e: graph.suggest_links(e, CENTER)),
+        "suggest_links_by_tags": _on_entries(lambda e: graph.suggest_by_tags(e, ["src3", "g4", "h2"], 10)),
+        "find_orphans": _on_entries(graph.orphans),
+        "backlinks": _on_entries(lambda e: graph.backlinks(e, CENTER)),
+        "reference_in_degree": _references(lambda e, g: graph.in_degree(g)),
+        "load_bearing_entries": _references(lambda e, g: graph.load_bearing(g, 2)),
+        "neighbors_nhop": _references(lambda e, g: graph.neighbors(g, CENTER, 3)),
+        "concept_map_edges": _references(lambda e, g: graph.concept_map(g, CENTER, 2)),
+        "confidence_propagation": _on_entries(graph.propagate_confidence),
+        "propagation_summary": _on_entries(lambda e: graph.propagation_summary(graph.propagate_confidence(e))),
+        "cognitive_diversity": _graph(graph.diversity),
+        "diversity_warnings": _graph(graph.diversity_warnings),
+        "communities": _graph(graph.communities),
+        "aggregation_candidates": _graph(lambda e, g: graph.aggregation_candidates(e, graph.communities(e, g))),
+        # governance
+        "quality_issues": _on_entries(governance.issues),
+        "quality_issues_filtered": _on_entries(lambda e: governance.list_issues(e, "warn").select("path", "severity", "message")),
+        "list_quality_issues": _on_entries(governance.list_issues),
+        "quality_snapshot": _on_entries(lambda e: governance.list_issues(e, limit=20).select("path", "severity", "message")),
+        "fix_suggestions": _on_entries(lambda e: governance.fix_suggestions(governance.list_issues(e))),
+        "broken_links": _on_entries(governance.broken_links),
+        "referenced_paths": _on_entries(governance.referenced),
+        "quality_orphans": _on_entries(governance.quality_orphans),
+        "avg_quality_score": _on_entries(governance.average_quality),
+        "distinct_domains": _on_entries(lambda e: e.agg(F.countDistinct("domain").alias("domains"))),
+        "entries_per_domain": _on_entries(lambda e: e.groupBy(F.split_part("path", F.lit("/"), F.lit(1)).alias("folder")).agg(F.count("*").alias("n"))),
+        "contradiction_pairs": _on_entries(governance.contradiction_pairs),
+        "contradiction_pairs_enriched": _on_entries(governance.contradiction_pairs_titled),
+        "contradictions_explicit": _on_entries(lambda e: governance.contradiction_pairs(e, resolved=False)),
+        "contradiction_pair_count": _on_entries(lambda e: governance.contradiction_pairs(e, resolved=False).agg(F.count("*").alias("pairs"))),
+        "contradiction_issues": _on_entries(governance.contradiction_issues),
+        "publish_gate": _on_entries(governance.publish_gate),
+        "gate_summary": _on_entries(lambda e: governance.gate_summary(governance.publish_gate(e))),
+        "stale_entries": _on_entries(lambda e: governance.stale(e, AS_OF)),
+        "drift_pairs": _on_entries(lambda e: governance.drift_pairs(e, "h", 5)),
+        "near_duplicate_pairs": _on_entries(governance.near_duplicates),
+        "missing_concept_hints": _on_entries(governance.missing_concepts),
+        "lint_summary": _on_entries(lambda e: governance.lint_summary(e, AS_OF)),
+        "health_report": _on_entries(governance.health_report),
+        # retrieval
+        "bm25_keyword_search": _on_entries(search),
+        "keyword_search_domain": _on_entries(lambda e: retrieval.keyword_search(e, QUERY, 10, "area3")),
+        "search_gate_semi_join": _on_entries(lambda e: retrieval.gated(search(e), e, 5)),
+        "search_domain_facets": _on_entries(lambda e: retrieval.facets(retrieval.keyword_search(e, QUERY, 50), e)),
+        "tfidf_document_frequency": _on_entries(lambda e: retrieval.document_frequency(retrieval.vector_terms(e))),
+        "tfidf_term_frequency": _on_entries(lambda e: retrieval.vector_terms(e).select("path", "term", "tf")),
+        "tfidf_idf": _on_entries(lambda e: retrieval.idf(e, retrieval.vector_terms(e)).select("term", F.round("idf", 6).alias("idf"), "bucket")),
+        "tfidf_vectors": _on_entries(lambda e: retrieval.vectors(e).select("path", "bucket", F.round("weight", 6).alias("weight"))),
+        "vector_upsert": _on_entries(_upserted),
+        "semantic_search": _on_entries(lambda e: retrieval.semantic_search(e, QUERY, 10)),
+        "embedding_topk": _embedding_query,
+        "rrf_fusion": _on_entries(lambda e: retrieval.fuse(retrieval.keyword_search(e, QUERY, 20), retrieval.semantic_search(e, QUERY, 20))),
+        "hybrid_search": flagship,
+        "search_dedup": _on_entries(_near_query),
+        "wiki_first_search": _on_entries(lambda e: retrieval.wiki_first_search(e, "doc 21", 10)),
+        "fallback_scan_search": _on_entries(lambda e: retrieval.scan_search(e, QUERY, 10)),
+        "keyword_hits_with_page": lambda s, d: retrieval.keyword_hits_with_page(_pages(s, d), TERM),
+        "api_catalog_search": _on_entries(lambda e: retrieval.catalog_search(_tool_table(e), "search")),
+        "agent_context": _references(lambda e, g: retrieval.agent_context(e, g, CENTER, QUERY)),
+        # changes
+        "sources_needing_compile": lambda s, d: changes.sources_to_compile(*_sources(s, d)),
+        "stale_by_instruction": lambda s, d: changes.stale_by_instruction(_sources(s, d)[1], "v2"),
+        "source_state_upsert": _state_after,
+        "sync_manifest": lambda s, d: _manifests(s, d)[0],
+        "sync_root_hash": lambda s, d: changes.root_hash(_manifests(s, d)[0]),
+        "merkle_root": lambda s, d: changes.merkle_root(_manifests(s, d)[0]),
+        "sync_conflicts": lambda s, d: changes.conflicts(*_manifests(s, d)),
+        "sync_push_plan": lambda s, d: changes.push_plan(*_manifests(s, d)),
+        "sync_pull_plan": lambda s, d: changes.pull_plan(*_manifests(s, d)),
+        "sync_status": lambda s, d: changes.sync_status(*_manifests(s, d)),
+        "job_current_state": lambda s, d: changes.job_state(_jobs(s, d)),
+        "job_stage_durations": lambda s, d: changes.stage_durations(_jobs(s, d)),
+        "job_history_last10": lambda s, d: changes.history(_jobs(s, d)),
+        "status_changes": lambda s, d: changes.status_changes(_jobs(s, d)),
+        "latest_versions": _on_entries(lambda e: changes.latest_versions(_versions(e))),
+        "active_locks": lambda s, d: changes.active_locks(_locks(s, d), F.lit("2024-01-15").cast("timestamp")),
+        "tool_latency_stats": lambda s, d: changes.call_stats(_tools(s, d)),
+        "compile_plan_tasks": lambda s, d: changes.compile_plan(entries(s, d), changes.sources_to_compile(*_sources(s, d))),
+        "rebuild_stats": _on_entries(changes.rebuild_stats),
+        # events and star schema
+        "events_tumbling": lambda s, d: streams.tumbling(table(s, d, "events")),
+        "events_sliding": lambda s, d: streams.sliding(table(s, d, "events")),
+        "events_sessions": lambda s, d: streams.sessions(table(s, d, "events")),
+        "pricing_summary": relational.pricing_summary,
+        "revenue_by_nation": relational.revenue_by_nation,
+        "customers_without_orders": relational.customers_without_orders,
+        "segment_rollup": relational.segment_rollup,
+        "part_cube": relational.part_cube,
+        "top_orders_per_customer": relational.top_orders_per_customer,
+        "running_order_total": relational.running_order_total,
+        "brand_sets": relational.brand_sets,
+        "status_pivot": relational.status_pivot,
+        "last_order_before_event": relational.last_order_before_event,
+        "distinct_parts": relational.distinct_parts,
+    }
 
 
 def queries() -> dict:
-    return {}
+    return _queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
+
+
