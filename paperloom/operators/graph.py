@@ -179,21 +179,22 @@ def communities(entries: DataFrame, links: DataFrame, rounds: int = 50, least_fr
 
     All nodes take, in each round, the label most frequent among themselves and
     their neighbours (parallel edges count; ties go to the lowest label), until
-    nothing changes. ``least_frequent`` turns the choice round.
+    a state comes back (nothing changes, or labels swing between states).
+    ``least_frequent`` turns the choice round.
     """
     both = links.select("src", "dst").unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     both = settled(both.groupBy("src", "dst").agg(F.count("*").alias("n")), "community-edges")
     labels = settled(entries.select("path", F.col("path").alias("label")), "labels")
+    seen: set[int] = set()
     for at in range(rounds):
         votes = both.join(labels.select(F.col("path").alias("dst"), "label"), "dst").select(F.col("src").alias("path"), "label", "n")
         votes = votes.unionByName(labels.select("path", "label", F.lit(1).cast("long").alias("n"))).groupBy("path", "label").agg(F.sum("n").alias("n"))
         key = F.struct(F.col("n") if least_frequent else -F.col("n"), "label")
-        now = votes.groupBy("path").agg(F.min_by("label", key).alias("label"))
-        now = settled(now, f"labels-{at}")
-        changed = now.join(labels.withColumnRenamed("label", "before"), "path").filter("label <> before").limit(1).count()
-        labels = now
-        if not changed:
+        labels = settled(votes.groupBy("path").agg(F.min_by("label", key).alias("label")), f"labels-{at}")
+        state = labels.agg(F.sum(F.xxhash64("path", "label").cast("decimal(38,0)"))).first()[0]
+        if state in seen:
             break
+        seen.add(state)
     sized = labels.groupBy("label").agg(F.count("*").alias("size"), F.min("path").alias("community")).filter("size >= 2")
     return labels.join(sized, "label").select("path", "community", "size")
 

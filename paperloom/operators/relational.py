@@ -63,7 +63,7 @@ def brand_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def status_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count("*")).na.fill(0)
+    return table(spark, sf_dir, "orders").groupBy("o_orderpriority").pivot("o_orderstatus", ["F", "O", "P"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def last_order_before_event(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -166,7 +166,7 @@ def without_duplicates(hits: DataFrame, entries: DataFrame, least: float = DUPLI
     """Ranked hits without those nearly equal to a better one (hits are a bounded list)."""
     ship(hits.sparkSession)
     said = entries.select("path", F.concat_ws(" ", "title", F.substring("body", 1, 500)).alias("said"))
-    rows = F.broadcast(hits).join(said, "path")
+    rows = F.broadcast(hits).join(said, "path").withColumn("_all", F.lit(1))
     schema = T.StructType([f for f in hits.schema.fields])
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -189,7 +189,7 @@ def without_duplicates(hits: DataFrame, entries: DataFrame, least: float = DUPLI
                 kept.append(i)
         return pdf.iloc[kept][[f.name for f in schema.fields]]
 
-    return rows.groupBy(F.lit(1)).applyInPandas(keep, schema)
+    return rows.groupBy("_all").applyInPandas(keep, schema)
 
 
 def hybrid_search(entries: DataFrame, query: str, top: int = 10, domain: str | None = None) -> DataFrame:

@@ -206,7 +206,7 @@ def _queries() -> dict:
         # retrieval
         "bm25_keyword_search": _on_entries(search),
         "keyword_search_domain": _on_entries(lambda e: retrieval.keyword_search(e, QUERY, 10, "area3")),
-        "search_gate_semi_join": _on_entries(lambda e: retrieval.gated(search(e), e, 5)),
+        "search_gate_semi_join": _on_entries(lambda e: retrieval.gated(retrieval.keyword_search(e, QUERY, 100), e, 5)),
         "search_domain_facets": _on_entries(lambda e: retrieval.facets(retrieval.keyword_search(e, QUERY, 50), e)),
         "tfidf_document_frequency": _on_entries(lambda e: retrieval.document_frequency(retrieval.vector_terms(e))),
         "tfidf_term_frequency": _on_entries(lambda e: retrieval.vector_terms(e).select("path", "term", "tf")),
