@@ -36,8 +36,8 @@ from paperloom.llm import arrow
 UNKNOWN = "und"
 ORDER = 3
 #: Bounds of the sample that the trees are learned from.
-ROWS_PER_LANG = 1500
-CHARS_PER_ROW = 50_000
+ROWS_PER_LANG = 800
+CHARS_PER_ROW = 20_000
 MAX_LANGS = 64
 #: Strings seen less often in a language are no part of its tree.
 MIN_COUNT = 2
@@ -90,33 +90,35 @@ class ContextTrees:
         return cost
 
 
+def _counted(texts: list[bytes], lut: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per length up to ``order + 1``, the strings of symbols seen often enough, and how often."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    symbol = lut[np.frombuffer(b"".join(texts), np.uint8)].astype(np.uint16)
+    since = np.arange(len(symbol), dtype=np.int32) - np.repeat(np.cumsum(sizes) - sizes, sizes).astype(np.int32)
+    out, key = [], symbol.astype(np.uint64)
+    for k in range(1, order + 2):
+        if k > 1:
+            key = (key[:-1] << np.uint64(8)) | symbol[k - 1 :].astype(np.uint64)
+        found, times = np.unique(key[since[k - 1 :] >= k - 1], return_counts=True)
+        some = times >= (MIN_COUNT if k > 1 else 1)
+        out.append((found[some], times[some]))
+    return out
+
+
 def learn(samples: dict[str, list[bytes]], order: int = ORDER) -> ContextTrees:
     """Context trees from sample texts of each language."""
     langs, fold = sorted(samples), _fold()
     seen = np.zeros(256, bool)
-    folded = {}
     for lang in langs:
-        texts = [t for t in samples[lang] if t]
-        raw = fold[np.frombuffer(b"".join(texts), np.uint8)]
-        ends = np.cumsum([len(t) for t in texts]) if texts else np.zeros(0, int)
-        since = np.arange(len(raw)) - np.repeat(np.concatenate([[0], ends[:-1]]), np.diff(np.concatenate([[0], ends]))) if texts else np.zeros(0, int)
-        folded[lang] = (raw, since)
-        seen[raw] = True
+        for text in samples[lang]:
+            seen[fold[np.frombuffer(text, np.uint8)]] = True
     number = np.zeros(256, np.int64)
     number[np.flatnonzero(seen)] = np.arange(1, seen.sum() + 1)
     lut = number[fold].astype(np.int32)
-    counts: list[list[tuple[np.ndarray, np.ndarray]]] = []
-    for k in range(1, order + 2):
-        each = []
-        for lang in langs:
-            raw, since = folded[lang]
-            symbol, key = number[raw], np.zeros(max(0, len(raw) - k + 1), np.uint64)
-            for j in range(k):
-                key = (key << np.uint64(8)) | symbol[j : len(raw) - k + 1 + j].astype(np.uint64)
-            found, times = np.unique(key[since[k - 1 :] >= k - 1] if len(key) else key, return_counts=True)
-            some = times >= (MIN_COUNT if k > 1 else 1)
-            each.append((found[some], times[some]))
-        counts.append(each)
+    counts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(order + 1)]
+    for lang in langs:
+        for k, found in enumerate(_counted(samples[lang], lut, order)):
+            counts[k].append(found)
     keys = [np.unique(np.concatenate([f for f, _ in each])) if each else np.zeros(0, np.uint64) for each in counts]
     steps, codes, escapes = [], [], []
     nl = len(langs)
