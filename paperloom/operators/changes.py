@@ -128,6 +128,12 @@ def call_stats(events: DataFrame) -> DataFrame:
     return events.groupBy("tool").agg(F.count("*").alias("calls"), F.count_if("failed").alias("errors"), F.round(F.avg("latency"), 4).alias("avg_latency"))
 
 
+def latency_histogram(events: DataFrame, bounds: list[float]) -> DataFrame:
+    """Calls of each operation by upper bound of latency (cumulative, as scraped metrics are)."""
+    counts = [F.count_if(F.col("latency") <= b).alias(f"le_{i}") for i, b in enumerate(bounds)]
+    return events.groupBy("tool").agg(*counts, F.count("*").alias("le_inf"))
+
+
 # --- plans ----------------------------------------------------------------------
 
 

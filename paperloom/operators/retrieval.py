@@ -198,6 +198,34 @@ def hybrid_search(entries: DataFrame, query: str, top: int = 10, domain: str | N
     return gated(fuse(*legs).limit(top), entries, top)
 
 
+def search_mode(name: str) -> str:
+    """The mode a name stands for; hybrid where it is none."""
+    plain = name.lower().replace("-", "_")
+    if plain in ("keyword", "fulltext"):
+        return "keyword"
+    if plain in ("semantic", "vector"):
+        return "semantic"
+    return "wiki_first" if plain in ("wiki", "wiki_first", "wikifirst") else "hybrid"
+
+
+def search(entries: DataFrame, query: str, mode: str = "hybrid", top: int = 10, domain: str | None = None) -> DataFrame:
+    """Searchable hits ``(path, score)`` by any mode."""
+    mode = search_mode(mode)
+    if mode == "hybrid":
+        return hybrid_search(entries, query, top, domain)
+    if mode == "keyword":
+        hits = keyword_search(entries, query, top, domain)
+    else:
+        hits = semantic_search(entries, query, top) if mode == "semantic" else wiki_first_search(entries, query, top).select("path", "score")
+    return gated(hits, entries, top)
+
+
+def search_meta(entries: DataFrame, hits: DataFrame, mode: str) -> DataFrame:
+    """One row: mode, number of hits, and whether there was anything to search."""
+    counted = hits.agg(F.count("*").alias("hits"))
+    return searchable(entries).agg((F.count("*") == 0).alias("index_empty")).crossJoin(counted).select(F.lit(search_mode(mode)).alias("mode"), "hits", "index_empty")  # one row each
+
+
 def wiki_first_search(entries: DataFrame, query: str, top: int = 10) -> DataFrame:
     """Title hits before body hits; the best reason of each entry counts."""
     q = query.lower()

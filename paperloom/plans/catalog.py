@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import text
-from paperloom.operators import changes, documents, governance, graph, relational, retrieval
+from paperloom.operators import bases, changes, documents, governance, graph, relational, retrieval
 from paperloom.plans import oracles
 from paperloom.session import table
 from paperloom.sources.tables import AS_OF, entries
@@ -218,6 +218,8 @@ def _queries() -> dict:
         "rrf_fusion": _on_entries(lambda e: retrieval.fuse(retrieval.keyword_search(e, QUERY, 20), retrieval.semantic_search(e, QUERY, 20))),
         "hybrid_search": flagship,
         "search_dedup": _on_entries(_near_query),
+        "search_meta": _on_entries(lambda e: retrieval.search_meta(e, retrieval.search(e, QUERY, "keyword"), "fulltext")),
+        "recompile_candidates": lambda s, d: bases.recompile_candidates(entries(s, d).withColumn("source", F.concat(F.lit("raw/"), F.col("doc_id").cast("string"))).withColumn("source_hash", F.when(F.col("doc_id") % 3 == 0, F.lit("old"))), _sources(s, d)[0]),
         "wiki_first_search": _on_entries(lambda e: retrieval.wiki_first_search(e, "doc 21", 10)),
         "fallback_scan_search": _on_entries(lambda e: retrieval.scan_search(e, QUERY, 10)),
         "keyword_hits_with_page": lambda s, d: retrieval.keyword_hits_with_page(_pages(s, d), TERM),
@@ -241,6 +243,7 @@ def _queries() -> dict:
         "latest_versions": _on_entries(lambda e: changes.latest_versions(_versions(e))),
         "active_locks": lambda s, d: changes.active_locks(_locks(s, d), F.lit("2024-01-15").cast("timestamp")),
         "tool_latency_stats": lambda s, d: changes.call_stats(_tools(s, d)),
+        "latency_histogram": lambda s, d: changes.latency_histogram(_tools(s, d), [10.0, 50.0, 100.0]),
         "compile_plan_tasks": lambda s, d: changes.compile_plan(entries(s, d), changes.sources_to_compile(*_sources(s, d))),
         "rebuild_stats": _on_entries(changes.rebuild_stats),
         # events and star schema

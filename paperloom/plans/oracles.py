@@ -256,6 +256,9 @@ SQL: dict[str, str] = {
       select vec_id, round(list_cosine_similarity(embedding::double[], v), 6) as score from embeddings, q order by score desc, vec_id limit 10""",
     "rrf_fusion": f"{_fused(20)} select * from rrf",
     "hybrid_search": f"{_fused(20)}, top as (select * from rrf order by score desc, path limit 10) select * from top where path in (select path from entries where {_SEARCHABLE})",
+    "search_meta": f"""{_FIELDS}, top as (select * from bm order by score desc, path limit 10) select 'keyword' as mode,
+      (select count(*) from top where path in (select path from entries where {_SEARCHABLE})) as hits, (select count(*) from entries where {_SEARCHABLE}) = 0 as index_empty""",
+    "recompile_candidates": f"{E} select path, case when status = 'needs_recompile' then 'asked for' else 'source changed' end as reason, version + 1 as version from entries",
     "wiki_first_search": f"""{E} select path, title, cast(case when lower(title) = 'doc 21' then 1.0 when contains(lower(title), 'doc 21') then 0.95 else 0.75 end as double) as score from entries
       where contains(lower(title), 'doc 21') or contains(lower(body), 'doc 21') order by score desc, path limit 10""",
     "fallback_scan_search": f"""{E}, qt as (select * from (values {TERMS}) q(term)), c as (select path, body, count(*) as n from entries, qt where contains(lower(body), term) group by path, body)
@@ -286,6 +289,8 @@ SQL: dict[str, str] = {
     "active_locks": """select cast(user_id as varchar) as path, event_type as holder, ts as taken from events where ts + interval 300 second > timestamp '2024-01-15'
       qualify row_number() over (partition by user_id order by ts desc, event_type desc) = 1""",
     "tool_latency_stats": "select event_type as tool, count(*) as calls, count(*) filter (event_id % 10 = 0) as errors, round(avg(value), 4) as avg_latency from events group by 1",
+    "latency_histogram": """select event_type as tool, count(*) filter (value <= 10) as le_0, count(*) filter (value <= 50) as le_1, count(*) filter (value <= 100) as le_2,
+      count(*) as le_inf from events group by 1""",
     "compile_plan_tasks": f"""{_SOURCES}, en as ({E} select * from entries)
       select 'create_l1' as task, path as target from todo where reason is not null union all select distinct 'domain_map_l3', domain from en
       union all select 'recompile_entry', path from en where status = 'needs_recompile'""",

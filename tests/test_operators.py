@@ -5,8 +5,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.functions import scores, text
-from paperloom.operators import changes, documents, governance, graph, retrieval
+from paperloom.functions import rules, scores, text
+from paperloom.operators import bases, changes, documents, extraction, governance, graph, retrieval
 from paperloom.sources import markdown
 from paperloom.streaming import events as streams
 
@@ -211,3 +211,68 @@ def test_incremental_compile_sees_each_file_once(spark, tmp_path):
         q = streams.incremental_compile(spark, str(tmp_path / "in"), "doc_id long, text string", str(tmp_path / "state"), lambda df, _: seen.append(df.count()))
         q.awaitTermination()
     assert sum(seen) == 4
+
+
+def test_search_modes(spark):
+    e = kb(spark, entry("d/a.md", body="alpha beta"), entry("d/b.md", body="gamma", published="draft"))
+    assert [retrieval.search_mode(m) for m in ("fulltext", "vector", "wiki-first", "wiki", "other")] == ["keyword", "semantic", "wiki_first", "wiki_first", "hybrid"]
+    for mode in ("keyword", "semantic", "wiki", "hybrid"):
+        assert values(retrieval.search(e, "alpha", mode), "path") == [("d/a.md",)]
+
+
+def test_saves_proposals_and_locks(spark):
+    now = F.lit("2024-05-01").cast("timestamp")
+    e = kb(spark, entry("d/a.md", body="old text"), entry("d/b.md"))
+    new = kb(spark, entry("d/a.md", body="new text", status="pending"), entry("../x.md"), entry("d/c.md"))
+    after = {r.path: r for r in bases.saved(e, new, now).collect()}
+    assert set(after) == {"d/a.md", "d/b.md", "d/c.md"} and after["d/a.md"].version == 2 and after["d/a.md"].status == "compiled" and after["d/c.md"].version == 0
+    none = spark.createDataFrame([], "id string, path string, find string, put string, created timestamp, status string")
+    offered = bases.submitted(none, spark.createDataFrame([("d/a.md", "old", "fresh", DAY)], "path string, find string, put string, created timestamp"))
+    key = offered.first().id
+    entries, proposals = bases.applied(e, offered, key)
+    assert {r.path: (r.body, r.version) for r in entries.collect()}["d/a.md"] == ("fresh text", 2) and bases.listed(proposals, "pending").count() == 0
+    again, _ = bases.applied(entries, proposals, key)
+    assert {r.path: r.version for r in again.collect()}["d/a.md"] == 2
+    locks = spark.createDataFrame([], "path string, holder string, taken timestamp, ttl int")
+    locks = bases.acquired(locks, "d/a.md", "x", "2024-01-01 00:00:00")
+    assert bases.acquired(locks, "d/a.md", "y", "2024-01-01 00:01:00").first().holder == "x"
+    assert bases.acquired(locks, "d/a.md", "y", "2024-01-01 00:06:00").first().holder == "y"
+    assert bases.released(locks, "d/a.md", "x").count() == 0
+
+
+def test_config_and_export(spark, tmp_path):
+    config = bases.set_config(spark.createDataFrame([("auto_publish", "true")], "key string, value string"), "min_quality_score", "x")
+    assert bases.gate_config(config) == {"least": 0.7, "block_on_error": True, "auto_publish": True}
+    assert bases.set_config(config, "auto_publish", None).count() == 1
+    e = kb(spark, entry("d/a.md"))
+    bases.export({"wiki": e}, str(tmp_path / "kb"))
+    assert bases.imported(spark, str(tmp_path / "kb"), ("wiki",))["wiki"].count() == 1
+    with pytest.raises(Exception, match="already exists"):
+        bases.export({"wiki": e}, str(tmp_path / "kb"))
+    assert "d/a.md" in bases.compile_prompt(kb(spark, entry("d/a.md", ["t"])), ["t"], "text")
+
+
+def test_extraction(spark):
+    pdf = b"%PDF-1.4\n1 0 obj<< /Type /Page >>\nstream\nBT (Hello \\(you\\)) Tj (there) Tj ET\nendstream"
+    files = spark.createDataFrame([("a.pdf", bytearray(pdf)), ("b.txt", bytearray(b"one\ftwo")), ("c.bin", bytearray(b"\xff\xfe"))], "path string, content binary")
+    got = {r.path: r for r in extraction.extract(files).collect()}
+    assert got["a.pdf"].pages == ["Hello (you) there"] and got["b.txt"].pages == ["one", "two"] and got["c.bin"].error
+    assert values(extraction.selected_pages(extraction.extract(files), "2"), "path", "text") == [("b.txt", "two")]
+    assert {r.p: r.n for r in files.select(F.col("path").alias("p"), extraction.n_pages(F.col("content")).alias("n")).collect()}["a.pdf"] == 1
+    row = spark.range(1).select(extraction.mixed_pages(F.array(F.lit("short"), F.lit("y" * 200)), F.array(F.lit("better"), F.lit("z"))).alias("m"), extraction.escalation(F.lit(10), F.lit(0.9)).alias("o")).first()
+    assert row.m == ["better", "y" * 200] and row.o == "ocr"
+
+
+def test_rules(spark):
+    u, none = F.lit("u1"), F.array().cast("array<string>")
+    row = spark.range(1).select(
+        rules.flag_on(F.lit("boolean"), F.lit(1), none, u).alias("a"),
+        rules.flag_on(F.lit("percentage"), F.lit(100), none, u).alias("b"),
+        rules.flag_on(F.lit("targeted"), F.lit(0), F.array(F.lit("u1")), u).alias("c"),
+        rules.flag_on(F.lit("what"), F.lit(1), none, u).alias("d"),
+        rules.camel(F.lit("search_wiki_now")).alias("e"),
+        rules.megabytes(F.lit(3 << 20)).alias("f"),
+        rules.backoff(F.lit(3), 1.0, 5.0).alias("g"),
+        rules.tier(F.lit("x"), ["a"], ["x"]).alias("h"),
+    ).first()
+    assert tuple(row) == (True, True, True, False, "searchWikiNow", 3.0, pytest.approx(5.5), "code_only")
