@@ -45,8 +45,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         state = _state(now)
         if state == before or not state[0]:
             break
-        before = state
-        now = scratch.written(_small_star(_large_star(now)), f"stars-{at}")
+        before, old = state, now
+        now = scratch.written(_small_star(_large_star(old)), f"stars-{at}")
+        scratch.discard(old)
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()

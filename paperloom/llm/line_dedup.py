@@ -116,6 +116,12 @@ class LineRuns:
         self.spark.sql(f"drop table {run}")
         scratch.remove(self.spark, path)
 
+    def close(self) -> None:
+        """Delete the runs."""
+        for run in self._runs():
+            self._drop(run)
+        self.levels = [[]]
+
     def frequent(self) -> DataFrame:
         """The keys ``(h1, h2)`` held by at least ``min_docs`` documents."""
         runs = self._runs()
@@ -164,4 +170,5 @@ def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_
     for b in range(batches):
         runs.add(docs.filter(part == b))
     frequent = scratch.written(runs.frequent(), "frequent-lines")
+    runs.close()
     return drop_lines(docs, frequent, min_chars)

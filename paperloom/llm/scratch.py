@@ -3,7 +3,9 @@
 Loops and reused results are cut by writing Parquet below
 ``spark.checkpoint.dir``: a lost executor then costs a re-read, not a
 recomputation from the source. The folder is taken from the session; only
-where it is unset (tests, a laptop) a temporary one is chosen.
+where it is unset (tests, a laptop) a temporary one is chosen. Tables that a
+returned (lazy) result still reads stay in ``<folder>/paperloom`` until the
+owner of the session removes that folder.
 """
 
 from __future__ import annotations
@@ -35,7 +37,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table of ``written`` that no later result reads."""
+    remove(df.sparkSession, df.scratch_path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
