@@ -8,9 +8,10 @@ Not all suffixes are sorted. Every window has an anchor, the first of its
 equal places, so only suffixes at anchors matter, about one in 35, and of these
 only those whose gram occurs more than once:
 
-1. Anchor hashes, sorted in runs, are exchanged by hash range; those that occur
-   twice come back as positions by document. A hash that a run holds several
-   times is sent once.
+1. Anchor hashes, sorted in runs, are exchanged by hash range (as 32 bits besides
+   the range: a chance match only lets an anchor on to 2); those that occur twice
+   come back as positions by document. A hash that a run holds several times is
+   sent once.
 2. Documents meet their positions, and the suffixes there (with the bytes before
    them, as far as a window reaches) become sorted runs: a string is its gram's
    hash, the bytes from the anchor on, then the bytes before it backwards. Equal
@@ -38,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -50,7 +52,10 @@ WIDTH = 8 + SPAN + LEFT
 #: Text that a task turns into one set of sorted runs, and the part of a text anchored at a time.
 RUN_BYTES = 16 << 20
 CHUNK = 4 << 20
+SLICE = 1 << 18
 PARTS_PER_PARTITION = 4
+#: Stands for a null id, before all others.
+NO_ID = -(1 << 63)
 _B = np.uint64(0x9E3779B97F4A7C15)
 _M = np.uint64(0xD6E8FEB86659FD93)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -114,10 +119,11 @@ def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 def _packed(*columns: np.ndarray) -> bytes:
     """Arrays of any type in one string."""
     head = np.array([len(columns), *[c.nbytes for c in columns]], np.int64).tobytes()
-    return head + b"".join(c.tobytes() for c in columns)
+    return zstandard.compress(head + b"".join(c.tobytes() for c in columns), 1)
 
 
 def _unpacked(blob: bytes, *kinds: str) -> list[np.ndarray]:
+    blob = zstandard.decompress(blob)
     sizes, at, out = np.frombuffer(blob, np.int64, len(kinds), 8), 8 + 8 * len(kinds), []
     for size, kind in zip(sizes.tolist(), kinds, strict=True):
         out.append(np.frombuffer(blob, kind, size // np.dtype(kind).itemsize, at))
@@ -147,7 +153,7 @@ def _by_part(parts: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 # --- 1: grams that occur twice ----------------------------------------------
 
-_ANCHOR = ("<u8", "?", "<i8", "<i8", "<i4")
+_ANCHOR = ("<u4", "?", "<i8", "<i4", "<i4")
 
 
 def _anchor_runs(parts: int):
@@ -161,7 +167,7 @@ def _anchor_runs(parts: int):
         again = np.concatenate([~first[1:], [False]]) | ~first  # occurs more than once here
         rows = []
         for p, a, b in _by_part(_range_of(h[first], parts)):
-            cols = (h[first], again[first], order[first], body[first], place[first])
+            cols = ((h[first] & _LOW).astype("<u4"), again[first], order[first], body[first], place[first])
             rows.append((p, False, _packed(*(c[a:b] for c in cols))))
         order, body, place = order[again], body[again], place[again]
         for a in range(0, len(place), 4096):
@@ -172,7 +178,7 @@ def _anchor_runs(parts: int):
         held, size = [], 0
         for batch in batches:
             order, body = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            for first, _, raw, off in arrow.slices(batch.column(2)):
+            for first, _, raw, off in arrow.slices(batch.column(2), SLICE):
                 doc, place, _, _, h = anchors(raw, off)
                 held.append((h, order[first + doc], body[first + doc], place.astype(np.int32)))
                 size += len(raw)
@@ -192,7 +198,7 @@ def _positions(order: np.ndarray, body: np.ndarray, place: np.ndarray) -> pa.Rec
 def _repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, blobs, done in _ranges(batches):
         for blob in done:
-            yield _positions(*_unpacked(blob, "<i8", "<i8", "<i4"))
+            yield _positions(*_unpacked(blob, "<i8", "<i4", "<i4"))
         if blobs:
             h, again, order, body, place = (np.concatenate(x) for x in zip(*(_unpacked(b, *_ANCHOR) for b in blobs), strict=True))
             at = np.lexsort((place, body, order, h))
@@ -221,7 +227,7 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes
 
 # --- 2: front-coded sorted suffix runs ---------------------------------------
 
-_RUN = ("u1", "u1", "<i8", "<i8", "<i4", "u1", "u1", "u1")
+_RUN = ("u1", "u1", "<i8", "<i4", "<i4", "u1", "u1", "u1")
 
 
 def suffix_strings(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -277,7 +283,7 @@ def _suffix_runs(parts: int):
         for batch in batches:
             order, body = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
             wanted = batch.column(3)
-            for first, after, raw, off in arrow.slices(batch.column(2)):
+            for first, after, raw, off in arrow.slices(batch.column(2), SLICE):
                 doc, place, lo, hi, h = anchors(raw, off)
                 some = wanted.slice(first, after - first)
                 of = np.repeat(np.arange(after - first), np.diff(some.offsets.to_numpy()))
@@ -443,7 +449,7 @@ def merged_groups(blobs: list[bytes]) -> tuple[np.ndarray, ...] | None:
     return matrix[by], group[by], order[by], body[by], place[by], low[by], high[by]
 
 
-_SPANS = "_order long, _body long, _start int, _end int"
+_SPANS = "_order long, _body int, _start int, _end int"
 
 
 def _spans(order: np.ndarray, body: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
@@ -453,7 +459,7 @@ def _spans(order: np.ndarray, body: np.ndarray, start: np.ndarray, end: np.ndarr
 def _repeated_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, blobs, done in _ranges(batches):
         for blob in done:
-            yield _spans(*_unpacked(blob, "<i8", "<i8", "<i4", "<i4"))
+            yield _spans(*_unpacked(blob, "<i8", "<i4", "<i4", "<i4"))
         got = merged_groups(blobs) if blobs else None
         if got is None:
             continue
@@ -511,25 +517,25 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     parts = PARTS_PER_PARTITION * partitions
     text = F.coalesce("text", F.lit(""))
     keyed = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_order"),
-        F.xxhash64(text).alias("_body"),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_order"),
+        F.hash(text).alias("_body"),
         text.alias("text"),
     )
-    runs = arrow.mapped(keyed.select("_order", "_body", "text"), _BLOBS, _anchor_runs(parts))
+    runs = arrow.mapped(keyed, _BLOBS, _anchor_runs(parts))
     dealt = runs.repartition(partitions, "part").sortWithinPartitions("part")
-    places = arrow.mapped(dealt, "_order long, _body long, _place int", _repeated_anchors)
+    places = arrow.mapped(dealt, "_order long, _body int, _place int", _repeated_anchors)
     places = places.groupBy("_order", "_body").agg(F.collect_set("_place").alias("_places"))
-    same_text = [F.col("_body"), F.xxhash64(F.lit(1), "text").alias("_more"), F.octet_length("text").alias("_n")]
-    hashed = keyed.select("_order", *same_text)
-    firsts = hashed.groupBy("_body", "_more", "_n").agg(F.min("_order").alias("_first"), F.max("_order").alias("_last")).filter("_first < _last")
-    copies = hashed.join(firsts, ["_body", "_more", "_n"]).filter("_order > _first").select("_order", "_body", F.lit(True).alias("_copy")).distinct()
+    hashed = keyed.select("_order", "_body", F.xxhash64("text").alias("_h"), F.xxhash64(F.lit(1), "text").alias("_more"))
+    firsts = hashed.groupBy("_h", "_more").agg(F.min("_order").alias("_first"), F.max("_order").alias("_last")).filter("_first < _last")
+    copies = hashed.join(firsts, ["_h", "_more"]).filter("_order > _first").select("_order", "_body", F.lit(True).alias("_copy")).distinct()
     places = places.join(copies, ["_order", "_body"], "left_anti")
-    met = keyed.select("_order", "_body", "text").join(places, ["_order", "_body"])
+    met = keyed.join(places, ["_order", "_body"])
     coded = arrow.mapped(met.select("_order", "_body", "text", "_places"), _BLOBS, _suffix_runs(parts))
     dealt = coded.repartition(partitions, "part").sortWithinPartitions("part")
     spans = arrow.mapped(dealt, _SPANS, _repeated_spans)
     spans = spans.groupBy("_order", "_body").agg(F.collect_set(F.struct(F.col("_start").alias("start"), F.col("_end").alias("end"))).alias("_spans"))
     facts = spans.join(copies, ["_order", "_body"], "full")
-    found = keyed.join(facts, ["_order", "_body"], "left").select("doc_id", "text", "_spans", F.coalesce("_copy", F.lit(False)).alias("_copy"))
+    found = keyed.join(facts, ["_order", "_body"], "left")
+    doc_id = F.when(F.col("_order") != NO_ID, F.col("_order")).alias("doc_id")
+    found = found.select(doc_id, "text", "_spans", F.coalesce("_copy", F.lit(False)).alias("_copy"))
     return arrow.mapped(found, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", _finish)
