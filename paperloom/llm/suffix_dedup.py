@@ -53,6 +53,9 @@ WIDTH = 8 + SPAN + LEFT
 RUN_BYTES = 16 << 20
 CHUNK = 4 << 20
 SLICE = 1 << 18
+#: Suffix strings sorted at a time, and members of groups compared at a time.
+STRING_BYTES = 8 << 20
+MEMBERS = 4000
 PARTS_PER_PARTITION = 4
 #: Stands for a null id, before all others.
 NO_ID = -(1 << 63)
@@ -293,7 +296,7 @@ def _suffix_runs(parts: int):
                 strings, right, left = suffix_strings(raw, off[doc], off[doc + 1], off[doc] + place, h)
                 held.append((strings, right, left, order[first + doc], body[first + doc], place, (place - hi).astype(np.uint8), (place - lo).astype(np.uint8)))
                 size += strings.nbytes
-                if size >= RUN_BYTES:
+                if size >= min(RUN_BYTES, STRING_BYTES):
                     yield flush(held)
                     held, size = [], 0
         if held:
@@ -468,7 +471,7 @@ def _repeated_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         edges = np.flatnonzero(np.concatenate([[True], np.diff(group[by]) > 0, [True]]))
         at = 0
         while at < len(edges) - 1:
-            to = max(at + 1, int(np.searchsorted(edges, edges[at] + 20_000)) - 1)
+            to = max(at + 1, int(np.searchsorted(edges, edges[at] + MEMBERS)) - 1)
             some = by[edges[at] : edges[to]]
             found = repeated_windows(strings[some], group[some], low[some], high[some])
             ends = np.diff(np.pad(found.astype(np.int8), ((0, 0), (1, 1))), axis=1)
