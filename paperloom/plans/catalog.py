@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text
 from paperloom.operators import bases, changes, documents, governance, graph, relational, retrieval
+from paperloom.operators.index import Index
 from paperloom.plans import oracles
 from paperloom.session import table
 from paperloom.sources.tables import AS_OF, entries
@@ -205,6 +206,8 @@ def _queries() -> dict:
         "health_report": _on_entries(governance.health_report),
         # retrieval
         "bm25_keyword_search": _on_entries(search),
+        "indexed_keyword_search": _on_entries(lambda e: Index.of(e).keyword(QUERY, 10)),
+        "indexed_hybrid_search": _on_entries(lambda e: Index.of(e).hybrid(QUERY, 10)),
         "keyword_search_domain": _on_entries(lambda e: retrieval.keyword_search(e, QUERY, 10, "area3")),
         "search_gate_semi_join": _on_entries(lambda e: retrieval.gated(retrieval.keyword_search(e, QUERY, 100), e, 5)),
         "search_domain_facets": _on_entries(lambda e: retrieval.facets(retrieval.keyword_search(e, QUERY, 50), e)),

@@ -243,6 +243,8 @@ SQL: dict[str, str] = {
     "health_report": f"""{_ISSUES} select count(*) as entries, count(distinct domain) as domains, cast(sum(strlen(body)) as bigint) as body_bytes,
       round(coalesce(avg(quality_score) filter (quality_score > 0), 0.0), 6) as avg_quality, (select count(*) from qo) as orphans, (select count(*) from br) as broken, (select count(*) from cp) as contradictions from entries""",
     "bm25_keyword_search": f"{_FIELDS} select * from bm order by score desc, path limit 10",
+    "indexed_keyword_search": f"{_FIELDS} select * from bm order by score desc, path limit 10",
+    "indexed_hybrid_search": f"{_fused(20)} select * from rrf order by score desc, path limit 10",
     "keyword_search_domain": f"{_FIELDS} select bm.* from bm join entries using (path) where domain = 'area3' order by score desc, path limit 10",
     "search_gate_semi_join": f"{_FIELDS}, top as (select * from bm order by score desc, path limit 100) select * from top where path in (select path from entries where {_SEARCHABLE}) order by score desc, path limit 5",
     "search_domain_facets": f"{_FIELDS}, top as (select * from bm order by score desc, path limit 50) select domain, count(*) as n from top join entries using (path) group by domain",

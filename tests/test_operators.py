@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import rules, scores, text
 from paperloom.operators import bases, changes, documents, extraction, governance, graph, retrieval
+from paperloom.operators.index import Index
 from paperloom.sources import markdown
 from paperloom.streaming import events as streams
 
@@ -276,3 +277,14 @@ def test_rules(spark):
         rules.tier(F.lit("x"), ["a"], ["x"]).alias("h"),
     ).first()
     assert tuple(row) == (True, True, True, False, "searchWikiNow", 3.0, pytest.approx(5.5), "code_only")
+
+
+def test_index_written_read_and_upserted(spark, tmp_path):
+    e = kb(spark, entry("d/a.md", body="alpha beta"), entry("d/b.md", body="gamma delta"), entry("d/c.md", body="alpha alpha"))
+    built = Index.of(e).write(str(tmp_path / "one"))
+    want = [(r.path, r.score) for r in retrieval.keyword_search(e, "alpha", 5).collect()]
+    assert [(r.path, r.score) for r in built.keyword("alpha", 5).collect()] == want
+    after = built.upserted(kb(spark, entry("d/b.md", body="alpha only"), entry("d/c.md", body="nothing here")))
+    assert {r.path for r in after.keyword("alpha", 5).collect()} == {"d/a.md", "d/b.md"}
+    assert {r.path for r in after.semantic("alpha only", 3).collect()} >= {"d/a.md", "d/b.md"}
+    assert after.fields.select("path").distinct().count() == 3
