@@ -108,7 +108,8 @@ def anchors(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
             continue
         new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])]))
         last = np.append(new[1:], len(start)) - 1
-        out.append((doc[new], place[new] + at, start[new] + at, start[last] + at, h[place[new]]))
+        spread = _mixed(h[place[new]] + _B)  # chosen hashes are small ones; ranges need even ones
+        out.append((doc[new], place[new] + at, start[new] + at, start[last] + at, spread))
     if not out:
         none = np.zeros(0, np.int64)
         return none, none, none, none, none.view(np.uint64)
