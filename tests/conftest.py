@@ -19,6 +19,7 @@ def spark(tmp_path_factory):
         **{
             "spark.sql.shuffle.partitions": "4",
             "spark.ui.enabled": "false",
+            "spark.sql.codegen.wholeStage": "false",  # tiny tables: compiling code would take most of the time
             "spark.driver.memory": "4g",
             "spark.sql.warehouse.dir": f"file://{shared}/warehouse",
             "spark.checkpoint.dir": f"file://{shared}/checkpoints",
