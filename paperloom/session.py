@@ -34,6 +34,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where the input has fewer pieces than cores.
+
+    A table of one file and one row group would else be worked on by one task;
+    larger inputs have more pieces than cores and are left as they are, unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def default_cores() -> str:
     return os.environ.get("BENCH_CPUS", "8")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.session import table
+from paperloom.session import spread, table
 
 AS_OF = "2025-01-01 00:00:00"
 
@@ -22,7 +22,7 @@ def path_of(doc_id: Column) -> Column:
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per entry: identity, tags, links, state, dates, body."""
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source").join(labels, "doc_id", "left")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).join(labels, "doc_id", "left")
     i = F.col("doc_id")
     none = F.array().cast("array<string>")
     created = F.timestamp_add("DAY", (i % 400).cast("int"), F.lit("2024-01-01").cast("timestamp"))
