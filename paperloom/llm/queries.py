@@ -6,14 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.llm import chat_format, decontamination, language_id, line_dedup, mixing, packing, prefix_forest, quality_ranking, simhash_index, suffix_dedup
+from paperloom.session import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return spread(_table(spark, sf_dir, "documents").select(*columns))
+
+
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir, "doc_id", "text")
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
@@ -38,7 +43,7 @@ def _held_out(modulus: int, rest: int):
 
 
 def op9_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    docs, labels = _documents(spark, sf_dir, "doc_id", "text"), _table(spark, sf_dir, "labels")
     ranking = quality_ranking.train(docs, labels, ~_held_out(5, 0))
     scored = quality_ranking.score(docs.select("doc_id", "text"), ranking)
     good = (F.col("score") >= quality_ranking.CUT).cast("int")
@@ -46,19 +51,19 @@ def op9_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
+    docs = _documents(spark, sf_dir, "doc_id", "text", "lang")
     trees = language_id.train(docs, ~_held_out(4, 2))
     told = language_id.identify(docs.select("doc_id", "text"), trees)
     return told.select("doc_id", _held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    docs = _documents(spark, sf_dir, "doc_id", "source", "lang", "text")
     return mixing.sample(docs).select("doc_id", "source", "lang", "topic", "n_tokens", "weight", "probability")
 
 
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir, "doc_id", "text")
     return suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
@@ -67,7 +72,7 @@ def op4_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir, "doc_id", "text")
     found = decontamination.find_hits(docs, _table(spark, sf_dir, "benchmark"))
     n_hit = F.coalesce(F.size("hit_words"), F.lit(0)).cast("long")
     items = F.coalesce("items", F.array().cast("array<string>"))
@@ -107,7 +112,7 @@ from w left join h using (doc_id) left join it using (doc_id)
 
 
 def op6_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return packing.pack(_documents(spark, sf_dir, "doc_id", "text"))
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -133,7 +138,7 @@ from c group by conv_id
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = _documents(spark, sf_dir, "doc_id", "text")
     found = simhash_index.near_duplicate_groups(docs)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
