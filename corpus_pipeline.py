@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontamination, language_id, mixing, packing, scratch, simhash_index
+from paperloom.llm import decontamination, jaccard_groups, language_id, mixing, packing, scratch
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents whose best language is less likely than this are rejected.
@@ -31,14 +31,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the document with the smallest id of every near-duplicate group.
 
-    Documents without an id are kept, one per fingerprint, where no document of
+    Groups join documents whose 5-word shingles have a Jaccard similarity of 0.8
+    or more. Documents without an id are kept, one per fingerprint, where no document of
     their group has one.
     """
-    groups = simhash_index.near_duplicate_groups(docs)
+    groups = jaccard_groups.near_duplicate_groups(docs)
     kept = groups.filter("component_id = doc_id").select(F.col("doc_id").alias("_kept"))
     first = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
     alone = groups.filter("doc_id is null and component_id is null").select(F.col("fp").alias("_fp"))
-    nameless = simhash_index.fingerprints(docs.filter("doc_id is null")).dropDuplicates(["fp"])
+    nameless = jaccard_groups.keyed(docs.filter("doc_id is null")).dropDuplicates(["fp"])
     rest = nameless.join(alone, nameless["fp"] == alone["_fp"], "left_semi")
     return first.select(*COLUMNS).unionByName(rest.select(*COLUMNS))
 

@@ -1,0 +1,211 @@
+"""Near-duplicate groups by the Jaccard similarity of word shingles.
+
+Two documents are linked where their sets of ``SHINGLE``-word shingles have a
+Jaccard similarity of at least ``LEAST``, which is checked on the whole sets.
+Candidates are found by MinHash: of ``BANDS`` bands of ``ROWS`` minima each, a
+linked pair agrees in one band but for a probability of ``(1 - LEAST ** ROWS)
+** BANDS``, 4.6e-7 at the threshold itself and less above it.
+
+Only distinct sets take part; copies are one value. Of a bucket (a band's value)
+each member is first checked against the bucket's smallest, so a large group of
+near copies gives a number of pairs linear in its size. Buckets that are then
+not of one component are checked pair by pair, in chunks of ``CHUNK`` members
+of which every two meet in a task of their own, so no link is missed and no
+task is given an unbounded bucket.
+
+Defined cases: null and blank text has the empty set, one group; a text of
+fewer words than a shingle is one shingle; rows with the same or with null
+``doc_id`` are separate documents, and a group of null ids only has a null
+``component_id``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from paperloom.llm import arrow, scratch
+from paperloom.llm.components import components
+
+SHINGLE = 5
+LEAST = 0.8
+SEED = 42
+ROWS = 6
+BANDS = 48
+CHUNK = 500
+#: Shingles that minima are taken of at a time, and columns of a product.
+SLAB = 2048
+
+_RNG = np.random.default_rng(SEED)
+_TIMES = _RNG.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_PLUS = _RNG.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64)
+_SET = [T.StructField("fp", T.LongType()), T.StructField("grams", T.BinaryType())]
+_KEYS = [T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+
+
+def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of a text."""
+    words = text.lower().split()  # on bytes: A-Z, and the blanks [\x20\x09-\x0D]
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    if len(words) <= shingle:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    first, last = (ends - sizes)[: len(words) - shingle + 1], ends[shingle - 1 :]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(first)))
+
+
+def _fp(grams: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(grams.tobytes(), SEED)
+
+
+def band_keys(grams: np.ndarray) -> np.ndarray:
+    """One key per band; none for the empty set."""
+    if not len(grams):
+        return np.zeros(0, np.uint64)
+    least = np.full(ROWS * BANDS, np.iinfo(np.uint64).max)
+    for at in range(0, len(grams), SLAB):
+        least = np.minimum(least, ((grams[at : at + SLAB, None] * _TIMES + _PLUS) >> np.uint64(32)).min(0))
+    return np.array([xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, ROWS))], np.uint64)
+
+
+def _each(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for first, after, raw, off in arrow.slices(batch.column(batch.schema.get_field_index("text"))):
+        for i in range(after - first):
+            yield shingles(raw[off[i] : off[i + 1]].tobytes())
+
+
+def _longs(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``fp``, a hash of the set of shingles, and ``keys``, those of its bands."""
+
+    def columns(batch: pa.RecordBatch) -> list[pa.Array]:
+        fps, keys = [], []
+        for grams in _each(batch):
+            fps.append(_fp(grams))
+            keys.append(band_keys(grams))
+        ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
+        flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+        return [_longs(fps), pa.ListArray.from_arrays(ends, flat.view(np.int64))]
+
+    return arrow.with_columns(docs, _KEYS, columns)
+
+
+def _sets(texts: DataFrame) -> DataFrame:
+    """``fp`` and ``grams`` (the set's bytes) of every text."""
+
+    def columns(batch: pa.RecordBatch) -> list[pa.Array]:
+        grams = list(_each(batch))
+        return [_longs([_fp(g) for g in grams]), pa.array([g.tobytes() for g in grams], pa.binary())]
+
+    return arrow.with_columns(texts, _SET, columns).select("fp", "grams")
+
+
+def _is_near(shared: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:
+    return shared >= LEAST * (one + other - shared) - 1e-9
+
+
+def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of rows ``a, b, x, y`` (two sets and their bytes) that are near."""
+    for batch in batches:
+        x, y = batch.column(2), batch.column(3)
+        keep = np.zeros(batch.num_rows, bool)
+        for i in range(batch.num_rows):
+            g, h = np.frombuffer(x[i].as_py(), np.uint64), np.frombuffer(y[i].as_py(), np.uint64)
+            if min(len(g), len(h)) >= LEAST * max(len(g), len(h)) - 1e-9:
+                keep[i] = _is_near(len(np.intersect1d(g, h, assume_unique=True)), len(g), len(h))
+        yield batch.select([0, 1]).filter(pa.array(keep))
+
+
+def spanning_links(fps: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Pairs whose components are those of all near pairs of the given sets."""
+    n, sizes = len(sets), np.array([len(s) for s in sets], float)
+    of = np.repeat(np.arange(n), sizes.astype(int))
+    found, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    column = np.cumsum(times > 1) - 1  # a shingle of one set is in no intersection
+    some = times[place] > 1
+    of, place = of[some], column[place[some]]
+    order = np.argsort(place, kind="stable")
+    of, place = of[order], place[order]
+    shared = np.zeros((n, n))
+    for at in range(0, int((times > 1).sum()), SLAB):
+        low, high = np.searchsorted(place, [at, at + SLAB])
+        part = np.zeros((n, SLAB), np.float32)
+        part[of[low:high], place[low:high] - at] = 1
+        shared += part @ part.T
+    near, left, out = _is_near(shared, sizes[:, None], sizes), np.ones(n, bool), []
+    for i in range(n):
+        if left[i]:
+            left[i], edge = False, np.array([i])
+            while len(edge):
+                edge = np.flatnonzero(near[edge].any(0) & left)
+                left[edge] = False
+                out += [(fps[i], fps[j]) for j in edge]
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within buckets of rows ``key, part, fp, grams``; rows come sorted by bucket."""
+
+    def links(rows: dict[int, bytes]) -> pa.RecordBatch:
+        found = spanning_links(np.array(list(rows), np.int64), [np.frombuffer(g, np.uint64) for g in rows.values()])
+        return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    at, rows = None, {}
+    for batch in batches:
+        for key, part, fp, grams in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if (key, part) != at:
+                if len(rows) > 1:
+                    yield links(rows)
+                at, rows = (key, part), {}
+            rows[fp] = grams
+    if len(rows) > 1:
+        yield links(rows)
+
+
+def _links(values: DataFrame, docs: DataFrame, chunk: int) -> DataFrame:
+    """Links ``(a, b)`` whose components are those of all near pairs of the distinct ``fp``."""
+    spark = values.sparkSession
+    dealt = values.select("fp", "th", F.explode("keys").alias("key"))
+    shared = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("rep")).filter("n > 1")
+    members = scratch.written(dealt.join(scratch.written(shared, "jaccard-buckets"), "key"), "jaccard-members")
+    own = docs.withColumn("th", F.xxhash64("text")).join(members.select("th").distinct(), "th", "left_semi")
+    sets = scratch.written(_sets(own.select("text").distinct()).dropDuplicates(["fp"]), "jaccard-sets")
+    side = lambda fp, to: sets.select(F.col("fp").alias(fp), F.col("grams").alias(to))
+    pairs = members.filter("fp <> rep").select(F.col("rep").alias("a"), F.col("fp").alias("b")).distinct()
+    met = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
+    near = scratch.written(arrow.mapped(met, "a long, b long", _checked), "jaccard-stars")
+    of = components(near)
+    now = members.filter("n > 2").join(of, members["fp"] == of["node"], "left").select("key", "fp", "n", F.coalesce("component", "fp").alias("part"))
+    mixed = now.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
+    parts = F.ceil(F.col("n") / chunk).cast("int")
+    rest = members.join(mixed, "key", "left_semi").select("key", "fp", F.pmod(F.xxhash64("fp"), parts).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
+    rest = rest.select("key", (F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other")).alias("part"), "fp")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    full = rest.join(sets, "fp").select("key", "part", "fp", "grams").repartition(tasks, "key", "part").sortWithinPartitions("key", "part")
+    return near.unionByName(arrow.mapped(full, "a long, b long", _bucket_links))
+
+
+def near_duplicate_groups(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """One row per document: ``doc_id``, ``fp`` and ``component_id``, its group's smallest id."""
+    docs = docs.select("doc_id", "text")
+    told = scratch.written(keyed(docs.withColumn("th", F.xxhash64("text"))).select("doc_id", "th", "fp", "keys"), "jaccard")
+    first = told.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("th").alias("th"), F.first("keys").alias("keys"))
+    first = scratch.written(first, "jaccard-values")
+    of = components(_links(first, docs, chunk))
+    grouped = first.join(of, first["fp"] == of["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("part"))
+    smallest = grouped.groupBy("part").agg(F.min("first").alias("component_id"))
+    owner = scratch.written(grouped.join(smallest, "part").select(F.col("fp").alias("_fp"), "component_id"), "jaccard-groups")
+    return told.join(owner, told["fp"] == owner["_fp"]).select("doc_id", "fp", "component_id")

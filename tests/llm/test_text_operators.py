@@ -321,3 +321,40 @@ def test_sample_keeps_rows_and_repeats(docs, none):
     one, two = (sorted(map(str, mixing.sample(docs, keep=0.5).select("doc_id", "text").collect())) for _ in range(2))
     assert one == two and 0 < len(one) < len(rows())
     assert mixing.sample(none).count() == 0
+
+
+# --- near duplicates by Jaccard similarity -------------------------------------------
+
+
+@pytest.mark.parametrize("chunk", [7, 500])
+def test_pipeline_drops_near_copies_of_80_percent(spark, monkeypatch, chunk):
+    import corpus_pipeline
+    from paperloom.llm import jaccard_groups
+
+    monkeypatch.setattr(jaccard_groups.near_duplicate_groups, "__defaults__", (chunk,))
+    rng = np.random.default_rng(9)
+    word = lambda: "w%x" % rng.integers(1 << 30)
+    texts = []
+    for edits in (1, 2, 3, 4, 5, 6, 7, 8, 9, 12):
+        base = [word() for _ in range(200)]
+        texts.append(base)
+        for _ in range(3):
+            near = list(base)
+            for at in rng.choice(200, edits, replace=False):
+                near[at] = word()
+            texts.append(near)
+    chain = [word() for _ in range(200)]
+    for _ in range(25):  # each near the one before it, the last far from the first
+        texts.append(list(chain))
+        for at in rng.choice(200, 4, replace=False):
+            chain[at] = word()
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    part = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = part[i], part[j]
+                part = [min(a, b) if p in (a, b) else p for p in part]
+    docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    assert kept == set(part) and len(kept) < len(texts) / 2
