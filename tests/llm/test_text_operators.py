@@ -305,6 +305,31 @@ def test_raked_margins_meet_their_targets():
     assert (p * table["tokens"]).sum() == pytest.approx(0.4 * table["tokens"].sum()) and p.max() <= 1
 
 
+def test_bounded_margins_meet_their_targets_with_a_hot_source(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    names = [(f"s{i}", f"l{j}", f"t{k}") for i in range(6) for j in range(4) for k in range(3)]
+    table = pd.DataFrame([(*n, float(rng.integers(50, 1000)) * (20 if n[0] == "s0" else 1) * (0.01 if n[1] == "l3" else 1)) for n in names], columns=["_source", "_lang", "_topic", "tokens"])
+    wanted = {m: mixing.target_shares(table.groupby(f"_{m}")["tokens"].sum().to_dict(), mixing.FLATTEN[m], None) for m in mixing.MARGINS}
+    table["weight"] = mixing.bounded(table, wanted, 0.7)
+    table["probability"] = np.minimum(1, 0.7 * table["weight"])
+    whole, got = table["tokens"].sum(), mixing.shares(table, wanted)
+    assert (table["tokens"] * table["probability"]).sum() == pytest.approx(0.7 * whole, rel=1e-6) and (table["probability"] == 1).any()
+    for m in mixing.MARGINS:
+        have = table.groupby(f"_{m}")["tokens"].sum()
+        own = got[got["margin"] == m].set_index("value")
+        short = 0.7 * whole * own["wanted"] > have  # such values are taken whole, the others keep their proportions
+        assert np.allclose(own["reached"][short] * 0.7 * whole, have[short], rtol=1e-4)
+        scale = (own["reached"] / own["wanted"])[~short]
+        assert scale.max() == pytest.approx(scale.min(), rel=1e-4) and (short.any() or scale.max() == pytest.approx(1, rel=1e-4))
+    assert (0.7 * whole * got["wanted"] > 0).all() and got["value"].eq("l3").any()
+    frame = spark.createDataFrame(table[["_source", "_lang", "_topic", "tokens"]])
+    joined = mixing._rake_joined(frame, {m: spark.createDataFrame(list(wanted[m].items()), f"_{m} string, _share double") for m in mixing.MARGINS}, 0.7, mixing.ROUNDS, 1e-4)
+    many = {(r._source, r._lang, r._topic): r.probability for r in joined.collect()}
+    assert [many[n] for n in names] == pytest.approx(table["probability"].tolist(), rel=1e-3, abs=1e-3)
+
+
 def test_joined_raking_gives_what_the_driver_gives(docs):
     told = mixing.described(docs)
     key = lambda r: (r._source, r._lang, r._topic)
