@@ -140,6 +140,49 @@ def drift_pairs(entries: DataFrame, tag_prefix: str = "", days: int = DRIFT_DAYS
     return met.select("a", "b", "tag", F.round("cosine", 4).alias("similarity")).filter(F.col("similarity") < most)
 
 
+def all_drift_pairs(entries: DataFrame, days: int = DRIFT_DAYS, most: float = DRIFT_COSINE, block: int = 1000) -> DataFrame:
+    """``drift_pairs`` over every tag, hot ones included.
+
+    The entries of a tag are dealt to chunks of about ``block``, and every two
+    chunks meet in one matrix product, so no task gets a whole hot tag. A pair
+    is told by the smallest tag it shares only.
+    """
+    spark = entries.sparkSession
+    ship(spark)
+    packed = retrieval.vectors(entries).groupBy("path").agg(F.collect_list(F.struct("bucket", "weight")).alias("v"))
+    tags = F.array_distinct(F.filter("tags", lambda t: t.isNotNull()))
+    tagged = entries.select("path", F.unix_micros("created").alias("at"), tags.alias("tags")).withColumn("tag", F.explode("tags"))
+    chunks = tagged.groupBy("tag").agg(F.ceil(F.count("*") / block).cast("int").alias("n"), F.count("*").alias("_of")).filter("_of > 1").drop("_of")
+    met = tagged.join(chunks, "tag").withColumn("own", F.pmod(F.xxhash64("path"), F.col("n")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    met = met.join(packed, "path", "left").select("path", "at", "tags", "tag", "own", "i", "j", "v")
+
+    def apart(pdf: pd.DataFrame) -> pd.DataFrame:
+        dense = np.zeros((len(pdf), scores.DIM))
+        for row, v in enumerate(pdf["v"]):
+            for e in v if v is not None else ():
+                dense[row, e["bucket"]] = e["weight"]
+        in_i, in_j = np.flatnonzero(pdf["own"] == pdf["i"]), np.flatnonzero(pdf["own"] == pdf["j"])
+        at, path, tag = pdf["at"].to_numpy(float), pdf["path"].to_numpy(), pdf["tag"].iloc[0]
+        value = dense[in_i] @ dense[in_j].T
+        far = (value < most + 1e-3) & (np.abs(at[in_i][:, None] - at[in_j]) >= days * 86_400e6)  # false for null
+        lesser = [{t for t in own if t < tag} for own in pdf["tags"]]
+        have_i, have_j = {}, {}
+        for have, rows in ((have_i, in_i), (have_j, in_j)):
+            for k, row in enumerate(rows):
+                for t in lesser[row]:
+                    have.setdefault(t, []).append(k)
+        for t in have_i.keys() & have_j.keys():
+            far[np.ix_(have_i[t], have_j[t])] = False
+        x, y = np.nonzero(far)
+        a, b = path[in_i[x]], path[in_j[y]]
+        once = (a < b) if (pdf["i"] == pdf["j"]).all() else a != b
+        return pd.DataFrame({"a": np.where(a < b, a, b)[once], "b": np.where(a < b, b, a)[once], "tag": tag, "similarity": value[x, y][once]})
+
+    found = met.groupBy("tag", "i", "j").applyInPandas(apart, "a string, b string, tag string, similarity double")
+    return found.select("a", "b", "tag", F.round("similarity", 4).alias("similarity")).filter(F.col("similarity") < most)
+
+
 def near_duplicates(entries: DataFrame, least: float = NEAR_COSINE, block: int = 4000) -> DataFrame:
     """Pairs of entries whose vectors have a cosine of at least ``least``, exactly.
 

@@ -200,6 +200,7 @@ def _queries() -> dict:
         "gate_summary": _on_entries(lambda e: governance.gate_summary(governance.publish_gate(e))),
         "stale_entries": _on_entries(lambda e: governance.stale(e, AS_OF)),
         "drift_pairs": _on_entries(lambda e: governance.drift_pairs(e, "h", 5)),
+        "drift_pairs_all": _on_entries(governance.all_drift_pairs),
         "near_duplicate_pairs": _on_entries(governance.near_duplicates),
         "missing_concept_hints": _on_entries(governance.missing_concepts),
         "lint_summary": _on_entries(lambda e: governance.lint_summary(e, AS_OF)),

@@ -234,6 +234,10 @@ SQL: dict[str, str] = {
       pr as (select x.path as a, y.path as b, min(tag) as tag from tt x join tt y using (tag) where starts_with(tag, 'h') and x.path < y.path and abs(date_diff('day', x.created, y.created)) >= 5 group by 1, 2),
       dd as (select a, b, tag, coalesce((select sum(u.weight * v.weight) from vec u join vec v using (bucket) where u.path = a and v.path = b), 0.0) as s from pr)
       select a, b, tag, round(s, 4) as similarity from dd where round(s, 4) < 0.6""",
+    "drift_pairs_all": f"""{_vectors(E)}, tt as (select path, created, unnest(list_distinct(tags)) as tag from entries),
+      pr as (select x.path as a, y.path as b, min(tag) as tag from tt x join tt y using (tag) where x.path < y.path and abs(date_diff('day', x.created, y.created)) >= 90 group by 1, 2),
+      dd as (select a, b, tag, coalesce((select sum(u.weight * v.weight) from vec u join vec v using (bucket) where u.path = a and v.path = b), 0.0) as s from pr)
+      select a, b, tag, round(s, 4) as similarity from dd where round(s, 4) < 0.6""",
     "near_duplicate_pairs": f"""{_vectors(E)}, dd as (select u.path as a, v.path as b, round(sum(u.weight * v.weight), 4) as similarity from vec u join vec v on u.bucket = v.bucket and u.path < v.path group by 1, 2)
       select * from dd where similarity >= 0.92""",
     "missing_concept_hints": f"""{E}, t as (select lower(trim(unnest(tags))) as tag from entries)

@@ -288,3 +288,12 @@ def test_index_written_read_and_upserted(spark, tmp_path):
     assert {r.path for r in after.keyword("alpha", 5).collect()} == {"d/a.md", "d/b.md"}
     assert {r.path for r in after.semantic("alpha only", 3).collect()} >= {"d/a.md", "d/b.md"}
     assert after.fields.select("path").distinct().count() == 3
+
+
+@pytest.mark.parametrize("block", [2, 1000])
+def test_drift_takes_every_tag_and_only_old_pairs(spark, block):
+    day = lambda n: F.timestamp_add("DAY", F.lit(n), F.lit("2024-01-01").cast("timestamp"))
+    rows = [(f"p{i}", f"w{i} x{i} y{i}", ["z", "hot"] if i % 2 else ["hot"], 89 * (i % 3 == 1) + 200 * (i % 3 == 2)) for i in range(9)]
+    table = spark.createDataFrame(rows, "path string, title string, tags array<string>, n int").withColumns({"created": F.timestamp_add("DAY", F.col("n"), day(0)), "body": F.lit(""), "domain": F.lit("d")})
+    got = sorted((r.a, r.b, r.tag) for r in governance.all_drift_pairs(table, most=1.1, block=block).collect())
+    assert got == sorted((x[0], y[0], "hot") for x in rows for y in rows if x[0] < y[0] and abs(x[3] - y[3]) >= 90)
