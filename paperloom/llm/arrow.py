@@ -32,6 +32,21 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def check_integer(df: DataFrame, column: str) -> None:
+    """Raise where an id is not of an integer type (no cast would keep every value apart)."""
+    kind = df.schema[column].dataType
+    if not isinstance(kind, T.IntegralType):
+        raise TypeError(f"{column} must be of an integer type, not {kind.simpleString()}")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows ``(first, after, bytes, offsets)`` of about ``most`` bytes."""
     raw, off = utf8(column)

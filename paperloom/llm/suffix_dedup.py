@@ -10,8 +10,8 @@ only those whose gram occurs more than once:
 
 1. Anchor hashes, sorted in runs, are exchanged by hash range (as 32 bits besides
    the range: a chance match only lets an anchor on to 2); those that occur twice
-   come back as positions by document. A hash that a run holds several times is
-   sent once.
+   come back as positions by document. Of a hash that a run holds several times
+   one is sent with the count, the others follow and are streamed.
 2. Documents meet their positions, and the suffixes there (with the bytes before
    them, as far as a window reaches) become sorted runs: a string is its gram's
    hash, the bytes from the anchor on, then the bytes before it backwards. Equal
@@ -21,15 +21,26 @@ only those whose gram occurs more than once:
 3. Each range is merged by a loser tree that knows how much of each run's next
    string agrees with the last one put out: strings that agree further are
    smaller without a look, and bytes known to be equal are not compared again.
-   Merged neighbours that share their gram are a group; in it, windows are told
-   apart by a 64-bit hash, and all but the earliest of equal ones are removed.
+   The common prefixes that the merge yields decide: suffixes between which no
+   common prefix falls below ``n`` bytes share their first ``n`` bytes. A window
+   with ``b`` bytes before its anchor repeats where an earlier member of the same
+   class of ``SPAN - b`` bytes also shares ``b`` bytes backwards, which a second
+   sort of those bytes decides alike. No hash has a say in it.
 4. Removed stretches meet the documents again (the same shuffle as in 2).
 
+A gram that occurs more than ``HOT`` times would be one group in one task. Its
+suffixes are sent in pieces, each for the windows with so many bytes before the
+anchor, under a hash of the bytes that all windows of the piece hold (84 and
+more of 100), so only members of like surroundings meet. Merged strings are
+decided in blocks that end between groups, with about 300 bytes a member.
+
 Documents that equal an earlier one skip 2 and 3: all their windows repeat.
 
-Defined cases: null text is empty; rows that repeat id and text are one
-document and share its result; rows that repeat an id with other text are put
-in order by a hash of the text; a null id comes first. Other columns pass by.
+Defined cases: ``doc_id`` is of an integer type (any other raises); null text
+is empty; rows that repeat id and text are one document and share its result;
+rows that repeat an id with other text are put in order by a hash of the text
+(rows are told apart by id and 96 bits of it); a null id comes first, in one
+order with the smallest long. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -55,8 +66,11 @@ CHUNK = 4 << 20
 SLICE = 1 << 18
 #: Suffix strings sorted at a time, and members of groups compared at a time.
 STRING_BYTES = 8 << 20
-MEMBERS = 4000
+MEMBERS = 16_000
 PARTS_PER_PARTITION = 4
+#: Occurrences above which a gram's suffixes are sent in pieces, of so many windows each.
+HOT = 50_000
+PIECE = 17
 #: Stands for a null id, before all others.
 NO_ID = -(1 << 63)
 _B = np.uint64(0x9E3779B97F4A7C15)
@@ -69,6 +83,11 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _powers() -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.cumprod(np.full(SPAN + LEFT, _B, np.uint64))
+
+
 def _gram_hashes(raw: np.ndarray) -> np.ndarray:
     h, k, power = raw.astype(np.uint64) + np.uint64(1), 1, _B
     while k < GRAM:
@@ -157,34 +176,46 @@ def _by_part(parts: np.ndarray) -> Iterator[tuple[int, int, int]]:
 
 # --- 1: grams that occur twice ----------------------------------------------
 
-_ANCHOR = ("<u4", "?", "<i8", "<i4", "<i4")
+_KEY = ("<i8", "<i8", "<i4", "<i4")  # id, text hash, more of it, place
+_PLACE = "_order long, _body long, _more int, _place long"
+
+
+def _in_order(*key: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sort columns for ``lexsort`` by documents and places in them."""
+    return key[::-1]
+
+
+def _distinct(*columns: np.ndarray) -> np.ndarray:
+    """The first of each set of equal rows (rows of one document may come twice), sorted by the columns."""
+    at = np.lexsort(_in_order(*columns))
+    new = np.zeros(len(at), bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[at][1:] != c[at][:-1]
+    return at[new]
 
 
 def _anchor_runs(parts: int):
     def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        h, order, body, place = (np.concatenate(x) for x in zip(*held, strict=True))
-        at = np.lexsort((place, body, order, h))
-        h, order, body, place = h[at], order[at], body[at], place[at]
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (order[1:] != order[:-1]) | (body[1:] != body[:-1]) | (place[1:] != place[:-1])])
-        h, order, body, place = h[new], order[new], body[new], place[new]
+        columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+        at = _distinct(*columns)
+        h, *key = (c[at] for c in columns)
         first = np.concatenate([[True], h[1:] != h[:-1]])
-        again = np.concatenate([~first[1:], [False]]) | ~first  # occurs more than once here
-        rows = []
-        for p, a, b in _by_part(_range_of(h[first], parts)):
-            cols = ((h[first] & _LOW).astype("<u4"), again[first], order[first], body[first], place[first])
-            rows.append((p, False, _packed(*(c[a:b] for c in cols))))
-        order, body, place = order[again], body[again], place[again]
-        for a in range(0, len(place), 4096):
-            rows.append((int(h[a] % np.uint64(parts)), True, _packed(order[a : a + 4096], body[a : a + 4096], place[a : a + 4096])))
+        times = np.diff(np.append(np.flatnonzero(first), len(h))).astype("<u4")
+        part, low, rows = _range_of(h, parts), (h & _LOW).astype("<u4"), []
+        for done, some, extra in ((False, first, [times]), (True, ~first, [])):
+            cols = [low[some], *extra, *(k[some] for k in key)]
+            for p, a, b in _by_part(part[some]):
+                rows.append((p, done, _packed(*(c[a:b] for c in cols))))
         return _rows(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            order, body = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            for first, _, raw, off in arrow.slices(batch.column(2), SLICE):
+            order, body, more = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            for first, _, raw, off in arrow.slices(batch.column(3), SLICE):
                 doc, place, _, _, h = anchors(raw, off)
-                held.append((h, order[first + doc], body[first + doc], place.astype(np.int32)))
+                held.append((h, order[first + doc], body[first + doc], more[first + doc], place.astype(np.int32)))
                 size += len(raw)
                 if size >= RUN_BYTES:
                     yield flush(held)
@@ -195,24 +226,45 @@ def _anchor_runs(parts: int):
     return run
 
 
-def _positions(order: np.ndarray, body: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(order), pa.array(body), pa.array(place)], ["_order", "_body", "_place"])
+def _positions(hot: np.ndarray, order: np.ndarray, body: np.ndarray, more: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    asked = place.astype(np.int64) * 2 + hot
+    return pa.RecordBatch.from_arrays([pa.array(order), pa.array(body), pa.array(more), pa.array(asked)], ["_order", "_body", "_more", "_place"])
 
 
-def _repeated_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, blobs, done in _ranges(batches):
-        for blob in done:
-            yield _positions(*_unpacked(blob, "<i8", "<i4", "<i4"))
-        if blobs:
-            h, again, order, body, place = (np.concatenate(x) for x in zip(*(_unpacked(b, *_ANCHOR) for b in blobs), strict=True))
-            at = np.lexsort((place, body, order, h))
-            h, again, order, body, place = h[at], again[at], order[at], body[at], place[at]
-            first = np.concatenate([[True], h[1:] != h[:-1]])
-            group = np.cumsum(first) - 1
-            other = np.concatenate([[False], (h[1:] == h[:-1]) & ((order[1:] != order[:-1]) | (body[1:] != body[:-1]) | (place[1:] != place[:-1]))])
-            more = np.bincount(group, other | again) > 0
-            tell = more[group] & ~again  # the others were told by their own run
-            yield _positions(order[tell], body[tell], place[tell])
+def _repeated_anchors(limit: int):
+    """Places of grams that occur twice, doubled, and one more where the gram is hot."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, hot = None, [], np.zeros(0, np.uint32)
+
+        def settled() -> Iterator[pa.RecordBatch]:
+            nonlocal hot
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            by = np.argsort(columns[1], kind="stable")[::-1]  # of equal rows of two runs the larger count
+            times, *columns = (c[by] for c in (columns.pop(1), *columns))
+            at = _distinct(*columns)
+            (h, *key), times = (c[at] for c in columns), times[at]
+            found, of = np.unique(h, return_inverse=True)
+            total = np.bincount(of, times)
+            hot = found[total > limit]
+            tell = total[of] > 1
+            yield _positions(total[of][tell] > limit, *(k[tell] for k in key))
+            held.clear()
+
+        for batch in batches:
+            for part, rest, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (part != now or rest) and held:
+                    yield from settled()
+                now = part
+                if rest:  # a range's first ones come before its others
+                    h, *key = _unpacked(blob, "<u4", *_KEY)
+                    yield _positions(np.isin(h, hot), *key)
+                else:
+                    held.append(_unpacked(blob, "<u4", "<u4", *_KEY))
+        if held:
+            yield from settled()
+
+    return run
 
 
 def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], list[bytes]]]:
@@ -231,7 +283,7 @@ def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes
 
 # --- 2: front-coded sorted suffix runs ---------------------------------------
 
-_RUN = ("u1", "u1", "<i8", "<i4", "<i4", "u1", "u1", "u1")
+_RUN = ("u1", "u1", *_KEY, "u1", "u1")
 
 
 def suffix_strings(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, at: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -255,21 +307,42 @@ def shared_prefixes(strings: np.ndarray) -> np.ndarray:
     return out
 
 
+def pieces(strings: np.ndarray, low: np.ndarray, high: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Rows to send for each suffix, the leading bytes and the windows each is for.
+
+    A suffix of a hot gram is sent once per piece of its windows, under a hash of
+    the bytes that all windows of the piece hold.
+    """
+    cold = np.flatnonzero(~hot)
+    of, lead, lows, highs = [cold], [strings[cold, :8]], [low[cold]], [high[cold]]
+    with np.errstate(over="ignore"):
+        for a in range(0, LEFT + 1, PIECE) if hot.any() else ():
+            b = min(a + PIECE - 1, LEFT)
+            some = np.flatnonzero(hot & (low <= b) & (high >= a))
+            core = np.concatenate([strings[some, 8 : 8 + SPAN - b], strings[some, 8 + SPAN : 8 + SPAN + a]], 1)
+            h = _mixed(((core.astype(np.uint64) + np.uint64(1)) * _powers()[: core.shape[1]]).sum(1, dtype=np.uint64) + np.uint64(a) * _M)
+            of.append(some)
+            lead.append(h.astype(">u8").view(np.uint8).reshape(-1, 8))
+            lows.append(np.maximum(low[some], a))
+            highs.append(np.minimum(high[some], b))
+    return np.concatenate(of), np.concatenate(lead), np.concatenate(lows).astype(np.uint8), np.concatenate(highs).astype(np.uint8)
+
+
 def _suffix_runs(parts: int):
     def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        strings, right, left, order, body, place, low, high = (np.concatenate(x) for x in zip(*held, strict=True))
-        at = np.lexsort((place, body, order))
+        strings, right, left, order, body, more, place, low, high = (np.concatenate(x) for x in zip(*held, strict=True))
+        at = _distinct(order, body, more, place, low)
         at = at[np.argsort(np.ascontiguousarray(strings[at]).view(f"S{WIDTH}").reshape(-1), kind="stable")]
-        strings, right, left, order, body, place, low, high = (x[at] for x in (strings, right, left, order, body, place, low, high))
+        strings, right, left, order, body, more, place, low, high = (x[at] for x in (strings, right, left, order, body, more, place, low, high))
         shared = shared_prefixes(strings)
         same = np.zeros(len(strings), bool)
         same[1:] = (shared[1:] == WIDTH) & (right[1:] == right[:-1]) & (left[1:] == left[:-1])
         rows = []
-        o, b, s, e = order[same], body[same], place[same] - high[same], place[same] - low[same] + SPAN
-        for a in range(0, len(o), 4096):
-            rows.append((int((int(s[a]) + a) % parts), True, _packed(o[a : a + 4096], b[a : a + 4096], s[a : a + 4096].astype(np.int32), e[a : a + 4096].astype(np.int32))))
+        spans = (order[same], body[same], more[same], (place[same] - high[same]).astype(np.int32), (place[same] - low[same] + SPAN).astype(np.int32))
+        for a in range(0, len(spans[0]), 4096):
+            rows.append((int((int(spans[3][a]) + a) % parts), True, _packed(*(x[a : a + 4096] for x in spans))))
         keep = ~same
-        strings, right, left, order, body, place, low, high = (x[keep] for x in (strings, right, left, order, body, place, low, high))
+        strings, right, left, order, body, more, place, low, high = (x[keep] for x in (strings, right, left, order, body, more, place, low, high))
         h = strings[:, :8].copy().view(">u8").reshape(-1).astype(np.uint64)
         shared, length = shared_prefixes(strings), 8 + SPAN + left.astype(np.int64)
         for p, a, b in _by_part(_range_of(h, parts)):
@@ -278,28 +351,36 @@ def _suffix_runs(parts: int):
             lcp[1:] = np.minimum(lcp[1:], length[a : b - 1])
             mask = (np.arange(WIDTH) >= lcp[:, None]) & (np.arange(WIDTH) < length[a:b, None])
             rest = strings[a:b][mask]
-            cols = (lcp.astype(np.uint8), left[a:b], order[a:b], body[a:b], place[a:b].astype(np.int32), low[a:b], high[a:b], right[a:b])
+            cols = (lcp.astype(np.uint8), left[a:b], order[a:b], body[a:b], more[a:b], place[a:b].astype(np.int32), low[a:b], high[a:b])
             rows.append((p, False, _packed(*cols, rest)))
         return _rows(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            order, body = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(2))
-            wanted = batch.column(3)
-            for first, after, raw, off in arrow.slices(batch.column(2), SLICE):
+            order, body, more = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+            wanted = batch.column(4)
+            for first, after, raw, off in arrow.slices(batch.column(3), SLICE):
                 doc, place, lo, hi, h = anchors(raw, off)
                 some = wanted.slice(first, after - first)
                 of = np.repeat(np.arange(after - first), np.diff(some.offsets.to_numpy()))
                 asked = (of << 40) | some.flatten().to_numpy().astype(np.int64)
-                keep = np.isin((doc << 40) | place, asked)
-                doc, place, lo, hi, h = doc[keep], place[keep], lo[keep], hi[keep], h[keep]
-                strings, right, left = suffix_strings(raw, off[doc], off[doc + 1], off[doc] + place, h)
-                held.append((strings, right, left, order[first + doc], body[first + doc], place, (place - hi).astype(np.uint8), (place - lo).astype(np.uint8)))
-                size += strings.nbytes
-                if size >= min(RUN_BYTES, STRING_BYTES):
-                    yield flush(held)
-                    held, size = [], 0
+                own = (doc << 40) | (place << 1)
+                hot = np.isin(own | 1, asked)
+                keep = hot | np.isin(own, asked)
+                doc, place, lo, hi, h, hot = (x[keep] for x in (doc, place, lo, hi, h, hot))
+                for a in range(0, len(doc), 4096):
+                    d, p = doc[a : a + 4096], place[a : a + 4096]
+                    strings, right, left = suffix_strings(raw, off[d], off[d + 1], off[d] + p, h[a : a + 4096])
+                    of, lead, low, high = pieces(strings, p - hi[a : a + 4096], p - lo[a : a + 4096], hot[a : a + 4096])
+                    strings = strings[of]
+                    strings[:, :8] = lead
+                    d, p = first + d[of], p[of]
+                    held.append((strings, right[of], left[of], order[d], body[d], more[d], p, low, high))
+                    size += strings.nbytes
+                    if size >= STRING_BYTES:
+                        yield flush(held)
+                        held, size = [], 0
         if held:
             yield flush(held)
 
@@ -396,89 +477,109 @@ class LoserTree:
             self.winner = won
 
 
-def _powers() -> np.ndarray:
-    with np.errstate(over="ignore"):
-        return np.cumprod(np.full(SPAN + LEFT, _B, np.uint64))
+class _Rests:
+    """The rests of a run's strings, cut from one buffer as they are read."""
+
+    def __init__(self, data: bytes, ends: list[int]):
+        self.data, self.ends = data, ends
+
+    def __len__(self) -> int:
+        return len(self.ends)
+
+    def __getitem__(self, i: int) -> bytes:
+        return self.data[self.ends[i - 1] if i else 0 : self.ends[i]]
 
 
-def repeated_windows(strings: np.ndarray, group: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Which windows (columns: bytes before the anchor) have an equal one further up in the group.
+def _classes(order: np.ndarray, shared: np.ndarray, length: int) -> np.ndarray:
+    """A number per row, equal where sorted rows share ``length`` bytes."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(shared < length)
+    return out
+
+
+def repeated_windows(strings: np.ndarray, shared: np.ndarray, rank: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Which windows (columns: bytes before the anchor) have an equal one at an earlier row.
 
-    Rows come in document order.
+    Rows come in merged order; ``shared`` is the common prefix with the row
+    before, ``rank`` the place of each in document order.
     """
-    context = np.concatenate([strings[:, : 8 + SPAN - 1 : -1], strings[:, 8 : 8 + SPAN]], 1)
-    with np.errstate(over="ignore"):
-        sums = np.zeros((len(strings), LEFT + SPAN + 1), np.uint64)
-        np.cumsum((context.astype(np.uint64) + np.uint64(1)) * _powers(), axis=1, out=sums[:, 1:])
-        before = np.arange(LEFT + 1)
-        h = sums[:, LEFT + SPAN - before] - sums[:, LEFT - before]
-        key = _mixed(h + (group[:, None] * (LEFT + 1) + before).astype(np.uint64) * _M)
-    valid = (before >= low[:, None]) & (before <= high[:, None])
-    found = np.zeros(valid.shape, bool)
-    flat = np.flatnonzero(valid)
-    order = np.argsort(key.reshape(-1)[flat], kind="stable")
-    sorted_key = key.reshape(-1)[flat][order]
-    found.reshape(-1)[flat[order[1:]]] = sorted_key[1:] == sorted_key[:-1]
+    n = len(strings)
+    before = np.empty(n, np.int64)
+    before[rank] = np.arange(n)  # row by rank
+    left = np.ascontiguousarray(strings[:, 8 + SPAN :])
+    back = np.argsort(left.view(f"S{LEFT}").reshape(-1), kind="stable")
+    left_shared = shared_prefixes(left[back])
+    if n:
+        left_shared[0] = -1
+    right, own = shared - 8, np.arange(n)
+    found = np.zeros((n, LEFT + 1), bool)
+    for b in range(LEFT + 1):
+        rows = before[(low[before] <= b) & (high[before] >= b)]
+        if len(rows) < 2:
+            continue
+        key = _classes(own, right, SPAN - b)[rows] * (n + 1) + _classes(back, left_shared, b)[rows]
+        again = np.ones(len(rows), bool)
+        again[np.unique(key, return_index=True)[1]] = False
+        found[rows[again], b] = True
     return found
 
 
-def merged_groups(blobs: list[bytes]) -> tuple[np.ndarray, ...] | None:
-    """The members of groups of one range, in document order."""
+def merged_blocks(blobs: list[bytes], most: int | None = None) -> Iterator[tuple[np.ndarray, ...]]:
+    """Members of groups of one range in merged order, in blocks of whole groups.
+
+    Strings, prefix shared with the one before, key columns, and windows.
+    """
     runs, meta = [], []
     for blob in blobs:
-        lcp, left, order, body, place, low, high, right, rest = _unpacked(blob, *_RUN, "u1")
-        length = 8 + SPAN + left.astype(np.int64) - lcp
-        ends = np.cumsum(length)
-        data = rest.tobytes()
-        runs.append(FrontCoded(lcp.tolist(), [data[a:b] for a, b in zip((ends - length).tolist(), ends.tolist(), strict=True)]))
-        meta.append((order, body, place, low, high))
-    shared, run, at, strings = [], [], [], []
-    for lcp, r, i, s in LoserTree(runs):
-        shared.append(lcp)
-        run.append(r)
-        at.append(i)
-        strings.append(s)
-    same = np.array(shared) >= 8
-    same[:1] = False
-    member = same | np.append(same[1:], False)
-    if not member.any():
-        return None
-    group = np.cumsum(~same)[member]
-    padded = b"".join(strings[i].ljust(WIDTH, b"\0") for i in np.flatnonzero(member).tolist())
-    matrix = np.frombuffer(padded, np.uint8).reshape(-1, WIDTH)
+        lcp, left, *cols, rest = _unpacked(blob, *_RUN, "u1")
+        ends = np.cumsum(8 + SPAN + left.astype(np.int64) - lcp)
+        runs.append(FrontCoded(lcp.tolist(), _Rests(rest.tobytes(), ends.tolist())))
+        meta.append(cols)
     base = np.cumsum([0, *[len(m[0]) for m in meta]])
-    index = base[np.array(run)[member]] + np.array(at)[member]
-    order, body, place, low, high = (np.concatenate([m[k] for m in meta])[index] for k in range(5))
-    by = np.lexsort((place, body, order))
-    return matrix[by], group[by], order[by], body[by], place[by], low[by], high[by]
+    columns = [np.concatenate(c) for c in zip(*meta, strict=True)]
+    text, shared, index, last = bytearray(), [], [], None
+    for lcp, r, i, s in LoserTree(runs):
+        if lcp >= 8 + GRAM:
+            if last is not None:
+                text += last[1].ljust(WIDTH, b"\0")
+                shared.append(last[0])
+                index.append(last[2])
+                last = None
+            text += s.ljust(WIDTH, b"\0")
+            shared.append(lcp)
+            index.append(base[r] + i)
+            continue
+        if len(index) >= (most or MEMBERS):
+            yield np.frombuffer(bytes(text), np.uint8).reshape(-1, WIDTH), np.array(shared), *(c[index] for c in columns)
+            text, shared, index = bytearray(), [], []
+        last = (lcp, s, base[r] + i)
+    if index:
+        yield np.frombuffer(bytes(text), np.uint8).reshape(-1, WIDTH), np.array(shared), *(c[index] for c in columns)
 
 
-_SPANS = "_order long, _body int, _start int, _end int"
+_SPANS = "_order long, _body long, _more int, _start int, _end int"
 
 
-def _spans(order: np.ndarray, body: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(order), pa.array(body), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32))], ["_order", "_body", "_start", "_end"])
+def _spans(order: np.ndarray, body: np.ndarray, more: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    cols = (order, body, more, start.astype(np.int32), end.astype(np.int32))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["_order", "_body", "_more", "_start", "_end"])
 
 
 def _repeated_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, blobs, done in _ranges(batches):
         for blob in done:
-            yield _spans(*_unpacked(blob, "<i8", "<i4", "<i4", "<i4"))
-        got = merged_groups(blobs) if blobs else None
-        if got is None:
-            continue
-        strings, group, order, body, place, low, high = got
-        by = np.argsort(group, kind="stable")  # whole groups at a time, a bounded number of rows
-        edges = np.flatnonzero(np.concatenate([[True], np.diff(group[by]) > 0, [True]]))
-        at = 0
-        while at < len(edges) - 1:
-            to = max(at + 1, int(np.searchsorted(edges, edges[at] + MEMBERS)) - 1)
-            some = by[edges[at] : edges[to]]
-            found = repeated_windows(strings[some], group[some], low[some], high[some])
-            ends = np.diff(np.pad(found.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-            (row, first), (_, after) = np.nonzero(ends == 1), np.nonzero(ends == -1)
-            yield _spans(order[some][row], body[some][row], place[some][row] - (after - 1), place[some][row] - first + SPAN)
-            at = to
+            yield _spans(*_unpacked(blob, *_KEY, "<i4"))
+        for columns in merged_blocks(blobs) if blobs else ():
+            some = np.sort(_distinct(*columns[2:7]))  # equal rows are equal strings, so no prefix changes
+            strings, shared, *key, low, high = (c[some] for c in columns)
+            rank = np.empty(len(strings), np.int64)
+            rank[np.lexsort(_in_order(*key))] = np.arange(len(strings))
+            found = repeated_windows(strings, shared, rank, low, high)
+            for at in range(0, len(found), MEMBERS):
+                ends = np.diff(np.pad(found[at : at + MEMBERS].astype(np.int8), ((0, 0), (1, 1))), axis=1)
+                (row, first), (_, after) = np.nonzero(ends == 1), np.nonzero(ends == -1)
+                *doc, place = (k[at + row] for k in key)
+                yield _spans(*doc, place - (after - 1), place - first + SPAN)
 
 
 # --- 4: the operator ----------------------------------------------------------
@@ -514,32 +615,28 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """Per document ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256`` and the bytes ``kept``."""
-    spark = docs.sparkSession
+    arrow.check_integer(docs, "doc_id")
+    spark, key = docs.sparkSession, ["_order", "_body", "_more"]
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     parts = PARTS_PER_PARTITION * partitions
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_order"),
-        F.hash(text).alias("_body"),
-        text.alias("text"),
-    )
-    runs = arrow.mapped(keyed, _BLOBS, _anchor_runs(parts))
-    dealt = runs.repartition(partitions, "part").sortWithinPartitions("part")
-    places = arrow.mapped(dealt, "_order long, _body int, _place int", _repeated_anchors)
-    places = places.groupBy("_order", "_body").agg(F.collect_set("_place").alias("_places"))
-    hashed = keyed.select("_order", "_body", F.xxhash64("text").alias("_h"), F.xxhash64(F.lit(1), "text").alias("_more"))
-    firsts = hashed.groupBy("_h", "_more").agg(F.min("_order").alias("_first"), F.max("_order").alias("_last")).filter("_first < _last")
-    copies = hashed.join(firsts, ["_h", "_more"]).filter("_order > _first").select("_order", "_body", F.lit(True).alias("_copy")).distinct()
-    places = places.join(copies, ["_order", "_body"], "left_anti")
-    met = keyed.join(places, ["_order", "_body"])
-    coded = arrow.mapped(met.select("_order", "_body", "text", "_places"), _BLOBS, _suffix_runs(parts))
+    text, doc_id = F.coalesce(docs["text"], F.lit("")), docs["doc_id"].cast("long")
+    order = F.coalesce(doc_id, F.lit(NO_ID))
+    keyed = docs.select(doc_id.alias("doc_id"), order.alias("_order"), F.xxhash64(text).alias("_body"), F.hash(text).alias("_more"), text.alias("text"))
+    runs = arrow.mapped(keyed.select(*key, "text"), _BLOBS, _anchor_runs(parts))
+    dealt = runs.repartition(partitions, "part").sortWithinPartitions("part", "done")
+    places = arrow.mapped(dealt, _PLACE, _repeated_anchors(hot))
+    places = places.groupBy(*key).agg(F.collect_set("_place").alias("_places"))
+    long = keyed.filter(F.octet_length("text") >= SPAN).select(*key).distinct()
+    earliest = long.groupBy("_body", "_more").agg(F.min("_order").alias("_order"))
+    copies = long.join(earliest, key, "left_anti").withColumn("_copy", F.lit(True))  # dealt by the whole key: copies spread
+    places = places.join(copies, key, "left_anti")
+    met = keyed.join(places, key)
+    coded = arrow.mapped(met.select(*key, "text", "_places"), _BLOBS, _suffix_runs(parts))
     dealt = coded.repartition(partitions, "part").sortWithinPartitions("part")
     spans = arrow.mapped(dealt, _SPANS, _repeated_spans)
-    spans = spans.groupBy("_order", "_body").agg(F.collect_set(F.struct(F.col("_start").alias("start"), F.col("_end").alias("end"))).alias("_spans"))
-    facts = spans.join(copies, ["_order", "_body"], "full")
-    found = keyed.join(facts, ["_order", "_body"], "left")
-    doc_id = F.when(F.col("_order") != NO_ID, F.col("_order")).alias("doc_id")
-    found = found.select(doc_id, "text", "_spans", F.coalesce("_copy", F.lit(False)).alias("_copy"))
+    spans = spans.groupBy(*key).agg(F.collect_set(F.struct(F.col("_start").alias("start"), F.col("_end").alias("end"))).alias("_spans"))
+    facts = spans.join(copies, key, "full")
+    found = keyed.join(facts, key, "left").select("doc_id", "text", "_spans", F.coalesce("_copy", F.lit(False)).alias("_copy"))
     return arrow.mapped(found, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary", _finish)

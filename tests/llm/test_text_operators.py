@@ -83,9 +83,9 @@ def test_line_key_keeps_accents_apart(spark):
 # --- repeated bytes -----------------------------------------------------------
 
 
-def repeats_brute(table):
+def repeats_brute(table, rank=None):
     seen, out = set(), {}
-    order = sorted({(r[0] if r[0] is not None else -(10**9), r[1] or "") for r in table})
+    order = sorted({(r[0] if r[0] is not None else -(10**9), r[1] or "") for r in table}, key=rank)
     for i, text in order:
         raw = text.encode()
         gone = np.zeros(len(raw), bool)
@@ -95,7 +95,7 @@ def repeats_brute(table):
             seen.add(raw[p : p + 100])
         runs = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
         kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-        out[i] = (len(raw), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest())
+        out[i if rank is None else (i, text)] = (len(raw), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest())
     return out
 
 
@@ -109,6 +109,61 @@ def test_repeats(docs, monkeypatch, run_bytes):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id if r.doc_id is not None else -(10**9)], r.doc_id
 
 
+def test_repeats_of_hot_grams_in_pieces(docs):
+    want = repeats_brute(rows())
+    for r in suffix_dedup.remove_repeats(docs, hot=1).collect():
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == want[r.doc_id if r.doc_id is not None else -(10**9)], r.doc_id
+
+
+def test_repeats_of_rows_that_share_an_id(spark):
+    """Two texts of one id, or of none, whose 32-bit hashes are equal."""
+    rng = np.random.default_rng(11)
+    word = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    seen, pair = {}, None
+    many = spark.range(200_000).select(F.concat(F.lit("a text "), F.col("id").cast("string"), F.lit(" " * 3)).alias("t")).select("t", F.hash("t").alias("h"))
+    for r in many.collect():
+        if r.h in seen:
+            pair = (seen[r.h], r.t)
+            break
+        seen[r.h] = r.t
+    assert pair
+    shared, other = word(150), word(120)
+    x, y = pair[0].ljust(20), pair[1].ljust(20)  # a hash read from the front: equal states stay equal under equal ends
+    table = [(1, shared), (9, x + shared), (9, y + other), (9, y + shared), (None, x + other + shared), (None, y + shared), (9, x + shared)]
+    docs = spark.createDataFrame(table, "doc_id long, text string")
+    place = {r.text: (r.a, r.b) for r in docs.select("text", F.xxhash64("text").alias("a"), F.hash("text").alias("b")).collect()}
+    want = repeats_brute(table, rank=lambda r: (r[0], place[r[1]]))
+    assert len({place[t][1] for t in (x + shared, y + shared)}) == 1
+    got = sorted((r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs).collect())
+    assert got == sorted(want[(t[0] if t[0] is not None else -(10**9), t[1])] for t in table)
+
+
+def test_repeats_need_integer_ids(spark):
+    with pytest.raises(TypeError):
+        suffix_dedup.remove_repeats(spark.createDataFrame([("a", "x")], "doc_id string, text string"))
+
+
+def test_a_gram_in_many_surroundings_stays_small():
+    """One range with a gram of 200,000 members: blocks of bounded memory, and exact."""
+    import resource
+
+    rng = np.random.default_rng(12)
+    n = 200_000
+    strings = rng.integers(97, 101, (n, suffix_dedup.WIDTH), dtype=np.uint8)
+    strings[:, : 8 + suffix_dedup.GRAM] = 120
+    strings[n // 2 :, 40:] = strings[: n // 2, 40:]
+    strings = strings[np.argsort(strings.view(f"S{suffix_dedup.WIDTH}").reshape(-1), kind="stable")]
+    shared = suffix_dedup.shared_prefixes(strings)
+    rank = rng.permutation(n)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    found = suffix_dedup.repeated_windows(strings, shared, rank, np.zeros(n, np.uint8), np.full(n, suffix_dedup.LEFT, np.uint8))
+    assert (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024 < 300
+    pair = rank.reshape(-1, 2)
+    later = np.zeros(n, bool)
+    later[np.arange(0, n, 2) + pair.argmax(1)] = True
+    assert (shared[1::2] == suffix_dedup.WIDTH).all() and (found == later[:, None]).all()
+
+
 def test_repeats_of_nothing(none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
