@@ -12,17 +12,27 @@ number from the number of ``x`` and the byte, one table lookup per order. A
 number then leads to the finished code lengths of all languages, escapes
 included, so a whole batch of texts is scored by a few array lookups per byte.
 
-Learning uses a sample of labelled rows bounded by ``ROWS_PER_LANG`` and
-``CHARS_PER_ROW``, drawn by a hash of the id; scoring reads every whole text.
+Learning uses a sample of labelled rows: up to ``ROWS_PER_LANG`` of each
+language, the first ones by a hash of id and text, and of a longer text a piece
+of ``CHARS_PER_ROW`` characters at a place drawn by that hash; ``SAMPLE_CHARS``
+bounds all pieces together, so pieces get shorter (to ``LEAST_CHARS``) and then
+fewer where languages are many. No
+language is left out: they are learned in blocks of ``BLOCK`` trees, each scored
+on its own. Scoring reads every whole text, a long one in stretches.
+
+The worst code length per byte that a learning text of a language has, times
+``SLACK``, is what a text may cost to fit that language (``fits``), beside
+``FREE_BITS`` for the start of a text.
 
 Defined cases: null text, and text without a letter, is ``und`` with score 0;
 so is every text if no language could be learned. Ties go to the language that
-sorts first. Rows with null ``lang`` or null text are not learned from. At most
-``MAX_LANGS`` languages are learned, the most frequent ones.
+sorts first. Rows with null ``lang`` or null text are not learned from; equal
+rows are drawn one by one. ``text`` and the added columns apart, columns pass.
 """
 
 from __future__ import annotations
 
+import codecs
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,6 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from paperloom.llm import arrow
 
@@ -38,10 +49,17 @@ ORDER = 3
 #: Bounds of the sample that the trees are learned from.
 ROWS_PER_LANG = 800
 CHARS_PER_ROW = 20_000
-MAX_LANGS = 64
+SAMPLE_CHARS = 64_000_000
+LEAST_CHARS = 200
+#: Languages whose trees share one numbering.
+BLOCK = 32
+#: Bytes of a text that are scored at a time.
+STRETCH = 1 << 20
+SLACK = 1.5
+FREE_BITS = 64.0
 #: Strings seen less often in a language are no part of its tree.
 MIN_COUNT = 2
-FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
+FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("fits", T.BooleanType())]
 
 
 def _fold() -> np.ndarray:
@@ -59,14 +77,18 @@ class ContextTrees:
     steps: list[np.ndarray]  # per string length >= 2: (number of prefix, symbol) -> number
     codes: list[np.ndarray]  # per string length >= 1: number -> bits of its last symbol, by language
     escapes: list[np.ndarray]  # per context length >= 0: number -> bits of an escape, by language
+    most: np.ndarray  # bits a byte of the learning text that costs most, by language
 
     def bits(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length of every text under every language."""
-        n, full = len(offsets) - 1, offsets[1:] > offsets[:-1]
-        out = np.zeros((n, len(self.langs)))
-        if len(raw):
-            starts = offsets[:-1][full]
-            out[full] = np.add.reduceat(self._each(raw, starts), starts, axis=0, dtype=np.float64)
+        full = np.flatnonzero(offsets[1:] > offsets[:-1])
+        out, starts = np.zeros((len(offsets) - 1, len(self.langs))), offsets[full]
+        for at in range(0, len(raw), STRETCH):
+            since, to = max(0, at - len(self.steps)), min(len(raw), at + STRETCH)  # contexts reach back that far
+            first, after = int(np.searchsorted(starts, at, "right")) - 1, int(np.searchsorted(starts, to, "left"))
+            inside = starts[first:after]
+            cost = self._each(raw[since:to], inside[inside >= since] - since)[at - since :]
+            out[full[first:after]] += np.add.reduceat(cost, np.maximum(inside - at, 0), axis=0, dtype=np.float64)
         return out
 
     def _each(self, raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -148,61 +170,92 @@ def learn(samples: dict[str, list[bytes]], order: int = ORDER) -> ContextTrees:
             code = np.where(tally > 0, -np.log2(tally / (total + kinds)[parent]), escape[parent] + shorter)
         escapes.append(escape.astype(np.float32))
         codes.append(np.vstack([np.zeros((1, nl)), code]).astype(np.float32))
-    return ContextTrees(langs, lut, steps, codes, escapes)
+    trees = ContextTrees(langs, lut, steps, codes, escapes, np.zeros(nl))
+    for j, lang in enumerate(langs):
+        sizes = np.array([len(t) for t in samples[lang]], np.int64)
+        if sizes.any():
+            own = trees.bits(np.frombuffer(b"".join(samples[lang]), np.uint8), np.cumsum([0, *sizes]))[:, j]
+            trees.most[j] = (np.maximum(own - FREE_BITS, 0) / np.maximum(sizes, 1)).max()
+    return trees
+
+
+def _letter_in(text: np.ndarray) -> bool:
+    """Whether some character is a letter; a long text is read in stretches."""
+    reader = codecs.getincrementaldecoder("utf-8")("replace")
+    return any(any(map(str.isalpha, reader.decode(text[at : at + STRETCH].tobytes()))) for at in range(0, len(text), STRETCH))
 
 
 def _has_letter(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    ascii_letter = ((raw | 32) >= 97) & ((raw | 32) <= 122)
-    sums = np.concatenate([[0], np.cumsum(ascii_letter)])
-    out = sums[offsets[1:]] > sums[offsets[:-1]]
-    for i in np.flatnonzero(~out & (offsets[1:] > offsets[:-1])):
+    full = np.flatnonzero(offsets[1:] > offsets[:-1])
+    out = np.zeros(len(offsets) - 1, bool)
+    if len(raw):
+        out[full] = np.logical_or.reduceat(((raw | 32) >= 97) & ((raw | 32) <= 122), offsets[full])
+    for i in full[~out[full]]:
         text = raw[offsets[i] : offsets[i + 1]]
-        out[i] = bool((text > 127).any()) and any(map(str.isalpha, text.tobytes().decode("utf-8", "replace")))
+        out[i] = bool((text > 127).any()) and _letter_in(text)
     return out
 
 
-def predictions(trees: ContextTrees | None, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-    """Language and posterior of every text; the posterior weighs all languages alike."""
-    lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-    if trees is None:
-        return lang, score
+def predictions(trees: list[ContextTrees] | None, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language and posterior of every text, and whether it fits; the posterior weighs all languages alike."""
+    lang, score, fits = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts), bool)
+    if not trees:
+        return lang, score, fits
+    names, most = [x for t in trees for x in t.langs], np.concatenate([t.most for t in trees])
     for first, after, raw, offsets in arrow.slices(texts):
-        bits = trees.bits(raw, offsets)
+        bits = np.concatenate([t.bits(raw, offsets) for t in trees], 1)
         best = bits.argmin(1)
         weight = np.exp2(-np.minimum(bits - bits.min(1, keepdims=True), 1000.0))
         letters = _has_letter(raw, offsets)
         score[first:after] = np.where(letters, 1.0 / weight.sum(1), 0.0)
-        lang[first:after] = [trees.langs[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)]
-    return lang, score
+        fits[first:after] = letters & (bits.min(1) <= SLACK * most[best] * np.diff(offsets) + FREE_BITS)
+        lang[first:after] = [names[b] if ok else UNKNOWN for b, ok in zip(best, letters, strict=True)]
+    return lang, score, fits
 
 
-def sample(docs: DataFrame, learnable: Column, rows: int = ROWS_PER_LANG, chars: int = CHARS_PER_ROW) -> dict[str, list[bytes]]:
-    """Up to ``rows`` texts of each language, the first ones by a hash of the id."""
+def sample(docs: DataFrame, learnable: Column, rows: int = ROWS_PER_LANG, chars: int = CHARS_PER_ROW, most: int = SAMPLE_CHARS) -> dict[str, list[bytes]]:
+    """Up to ``rows`` pieces of text of each language, the first ones by a hash of id and text.
+
+    Rows are counted by the number of digits of their hash, 40 sums a language at
+    most; the least number of digits that covers ``rows`` leaves about twice as
+    many, of which the first are taken.
+    """
+    place = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string"), F.col("text")), F.lit(1 << 40))
     labelled = docs.filter(learnable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    top = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
-    if not top:
+    labelled = labelled.select(F.col("lang").cast("string").alias("lang"), "text", place.alias("_place"))
+    digits: dict[str, dict[int, int]] = {}
+    for r in labelled.groupBy("lang", F.length(F.bin("_place")).alias("d")).count().collect():  # rows of the model's size
+        digits.setdefault(r["lang"], {})[r["d"]] = r["count"]
+    if not digits:
         return {}
-    share = F.lit(0.0)
-    for r in top:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, (1.2 * rows + 50) / r["n"]))).otherwise(share)
-    place = F.pmod(F.xxhash64(F.lit("sample"), F.col("doc_id").cast("string")), F.lit(1 << 40))
-    near = labelled.filter((place < share * (1 << 40)) & (F.length("text") <= chars))
-    found = near.select("lang", place.alias("place"), "text").toPandas().sort_values(["lang", "place", "text"])
-    return {str(k): [t.encode() for t in g["text"].head(rows)] for k, g in found.groupby("lang")}
-
-
-def train(docs: DataFrame, learnable: Column | None = None, order: int = ORDER) -> ContextTrees | None:
-    """Trees learned from the labelled rows of ``docs``, or None where there are none."""
-    texts = sample(docs, F.lit(True) if learnable is None else learnable)
-    return learn(texts, order) if any(any(t) for t in texts.values()) else None
-
-
-def identify(docs: DataFrame, trees: ContextTrees | None) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``."""
+    chars = max(min(chars, LEAST_CHARS), min(chars, most // (rows * len(digits))))
+    rows = max(1, min(rows, most // (chars * len(digits))))
+    limits = []
+    for lang, counts in digits.items():
+        held = np.cumsum([counts.get(d, 0) for d in range(42)])
+        limits.append((lang, 1 << int(np.searchsorted(held, min(rows, held[-1])))))
+    limit = docs.sparkSession.createDataFrame(limits, "lang string, _limit long")
+    near = labelled.join(F.broadcast(limit), "lang").filter("_place < _limit")
+    since = F.pmod(F.xxhash64(F.lit("piece"), "_place"), F.greatest(F.lit(1), F.length("text") - chars + 1)).cast("int") + 1
+    near = near.select("lang", "_place", F.substr("text", since, F.lit(chars)).alias("piece"))
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("_place", "piece"))
+    found = near.withColumn("_n", first).filter(F.col("_n") <= rows).select("lang", "_n", "piece").toPandas().sort_values(["lang", "_n"])
+    return {str(k): [t.encode() for t in g["piece"]] for k, g in found.groupby("lang")}
+
+
+def train(docs: DataFrame, learnable: Column | None = None, order: int = ORDER, **bounds) -> list[ContextTrees] | None:
+    """Trees learned from the labelled rows of ``docs``, in blocks of languages, or None where there are none."""
+    texts = {k: t for k, t in sample(docs, F.lit(True) if learnable is None else learnable, **bounds).items() if any(t)}
+    langs = sorted(texts)
+    return [learn({k: texts[k] for k in langs[at : at + BLOCK]}, order) for at in range(0, len(langs), BLOCK)] or None
+
+
+def identify(docs: DataFrame, trees: list[ContextTrees] | None) -> DataFrame:
+    """``docs`` with ``lang_pred``, ``score`` and ``fits``."""
     shared = docs.sparkSession.sparkContext.broadcast(trees)  # bounded by the sample
 
     def columns(batch: pa.RecordBatch) -> list[pa.Array]:
-        lang, score = predictions(shared.value, batch.column(batch.schema.get_field_index("text")))
-        return [pa.array(lang, pa.string()), pa.array(score)]
+        lang, score, fits = predictions(shared.value, batch.column(batch.schema.get_field_index("text")))
+        return [pa.array(lang, pa.string()), pa.array(score), pa.array(fits)]
 
     return arrow.with_columns(docs, FIELDS, columns)

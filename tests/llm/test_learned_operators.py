@@ -62,6 +62,48 @@ def test_language_of_awkward_texts(spark):
     assert language_id.train(docs.limit(0)) is None
 
 
+def test_every_language_is_learned(spark):
+    """70 languages, one of long texts only, one of 3,000 rows without id, one of equal rows."""
+    rng = np.random.default_rng(3)
+    alphabet = [bytes(rng.choice(np.arange(97, 123, dtype=np.uint8), 6, replace=False)).decode() for _ in range(70)]
+    said = lambda k, n: " ".join("".join(rng.choice(list(alphabet[k]), 5)) for _ in range(n))
+    rows = [(100 * k + i, said(k, 30), f"l{k:02}") for k in range(70) for i in range(6) if k not in (7, 8, 9)]
+    rows += [(9000 + i, said(7, 8000), "l07") for i in range(3)]
+    rows += [(None, said(8, 6), "l08") for _ in range(3000)]
+    rows += [(None, said(9, 40), "l09")] * 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.sample(docs, F.lit(True))
+    assert sorted(got) == [f"l{k:02}" for k in range(70)]
+    assert len(got["l08"]) == len(got["l09"]) == language_id.ROWS_PER_LANG and max(map(len, got["l07"])) <= language_id.CHARS_PER_ROW
+    trees = language_id.train(docs)
+    assert [len(t.langs) for t in trees] == [32, 32, 6]
+    asked = spark.createDataFrame([(k, said(k, 40)) for k in range(70)], "doc_id long, text string")
+    told = {r.doc_id: r for r in language_id.identify(asked, trees).collect()}
+    assert sum(told[k].lang_pred == f"l{k:02}" for k in range(70)) >= 69
+
+
+def test_long_texts_are_scored_in_stretches(monkeypatch):
+    trees = language_id.learn({"a": [b"abracadabra abracadabra"], "b": [b"banana bandana"]})
+    texts = [b"abra", b"", b"banana" * 50, b"cad" * 33, "é".encode() * 20]
+    raw, off = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    whole, letters = trees.bits(raw, off), language_id._has_letter(raw, off)
+    for size in (1, 7, 64):
+        monkeypatch.setattr(language_id, "STRETCH", size)
+        assert np.allclose(trees.bits(raw, off), whole, rtol=1e-5) and (language_id._has_letter(raw, off) == letters).all()
+    assert letters.tolist() == [True, False, True, True, True]
+
+
+def test_texts_of_no_known_language_do_not_fit(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    trees = language_id.train(docs)
+    rng = np.random.default_rng(1)
+    junk = bytes(rng.integers(33, 127, 600, dtype=np.uint8)).decode()
+    odd = spark.createDataFrame([(1, junk), (2, "\u65e5\u672c\u8a9e\u306e\u6587\u7ae0 " * 30), (3, "the"), (4, None)], "doc_id long, text string")
+    assert {r.doc_id: r.fits for r in language_id.identify(odd, trees).collect()} == {1: False, 2: False, 3: True, 4: False}
+    known = language_id.identify(docs.filter("length(text) > 0"), trees)
+    assert known.agg(F.avg(F.col("fits").cast("int"))).first()[0] > 0.99
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
