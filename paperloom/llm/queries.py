@@ -44,8 +44,7 @@ def _held_out(modulus: int, rest: int):
 
 def op9_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _documents(spark, sf_dir, "doc_id", "text"), _table(spark, sf_dir, "labels")
-    ranking = quality_ranking.train(docs, labels, ~_held_out(5, 0))
-    scored = quality_ranking.score(docs.select("doc_id", "text"), ranking)
+    scored = quality_ranking.scored_by_quantile(docs, labels, ~_held_out(5, 0))
     good = (F.col("score") >= quality_ranking.CUT).cast("int")
     return scored.select("doc_id", _held_out(5, 0).alias("held_out"), "score", good.alias("predicted"))
 

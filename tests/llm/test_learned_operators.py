@@ -124,6 +124,53 @@ def test_quality_held_out(spark):
     assert abs(half.count() / docs.count() - 0.5) < 0.02
 
 
+def test_ranking_is_the_plain_fit():
+    """Newton in chunks of pairs against plain gradient steps on all differences at once."""
+    rng = np.random.default_rng(5)
+    x, label = rng.standard_normal((400, 6)), np.repeat([0, 1], [120, 280])
+    x[label == 1, 0] += 1.0
+    x[label == 1, 3] -= 0.5
+    got = quality_ranking.learn(x, label, pairs=20_000)
+    draw = np.random.default_rng(7)
+    better, worse = draw.choice(np.flatnonzero(label == 1), 20_000), draw.choice(np.flatnonzero(label == 0), 20_000)
+    diff, w = x[better] - x[worse], np.zeros(6)
+    for _ in range(4000):
+        w += 0.5 * (diff.T @ (1 / (1 + np.exp(diff @ w))) / len(diff) - quality_ranking.RIDGE / 10 * w)
+    assert got.weights == pytest.approx(w, abs=1e-3)
+    raw = (x - x.mean(0)) @ w
+    assert got.cut == pytest.approx(np.quantile(raw, 0.3), abs=1e-2)
+    assert got.scaled(np.array([got.cut]))[0] == pytest.approx(quality_ranking.CUT)
+
+
+def test_quality_cut_covers_all_labels_and_copies_stay_bounded(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    got = quality_ranking.scored_by_quantile(docs.select("doc_id", "text"), labels, ~held, per_label=20, pairs=2000)
+    met = got.join(labels.filter(~held), "doc_id").select("quality", "score").toPandas()
+    share = (met["quality"] == 0).mean()
+    assert 0 < share < 0.4 and (met["score"] < quality_ranking.CUT).mean() == pytest.approx(share, abs=0.02)
+    one = labels.filter("quality = 0").select("doc_id").first()[0]
+    many = docs.select("doc_id", "text").unionByName(docs.filter(F.col("doc_id") == one).select("doc_id", "text").crossJoin(spark.range(3000)).select("doc_id", "text"))
+    held_rows = []
+    learn = quality_ranking.learn
+    try:
+        quality_ranking.learn = lambda x, label, *a: held_rows.append(np.bincount(label)) or learn(x, label, *a)
+        quality_ranking.train(many, labels, per_label=30, pairs=500)
+    finally:
+        quality_ranking.learn = learn
+    assert held_rows[0].tolist() == [30, 30]
+
+
+def test_features_of_long_texts_are_counted_in_stretches(monkeypatch):
+    texts = [b"Ab, c", b"", b"word " * 40, "é!".encode() * 30, b"x"]
+    raw, off = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+    whole = quality_ranking.features(raw, off)
+    for size in (1, 3, 50):
+        monkeypatch.setattr(quality_ranking, "STRETCH", size)
+        assert np.allclose(quality_ranking.features(raw, off), whole)
+    assert np.allclose(quality_ranking.features(raw[:5], off[:2])[0], whole[0])
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(0)
     centres = rng.standard_normal((40, 16))

@@ -229,6 +229,29 @@ def test_leaks(spark, docs, block_bytes):
     assert sorted(map(str, flat)) == sorted(map(str, leaks_brute(table, items)))
 
 
+def test_words_of_long_texts_are_hashed_in_stretches(monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = ["Ab é c", "", "x" * 90, " ,. ", "word " * 30 + "tail", "é" * 40, "a b"] + ["".join(rng.choice(list("aB é."), 50)) for _ in range(20)]
+    raw = np.frombuffer("".join(texts).encode(), np.uint8)
+    off = np.cumsum([0, *[len(t.encode()) for t in texts]])
+    whole = decontamination.word_spans(raw, off)
+    assert [lower(w) for t in texts for w in words(t)] == [lower(raw[a:b].tobytes().decode()) for a, b in zip(*whole[:2])]
+    for size in (1, 2, 7, 64):
+        monkeypatch.setattr(decontamination, "STRETCH", size)
+        for x, y in zip(whole, decontamination.word_spans(raw, off)):
+            assert np.array_equal(x, y)
+
+
+@pytest.mark.parametrize("block_bytes", [60, 1 << 20])
+def test_leaks_keep_columns_whatever_their_names(spark, block_bytes):
+    table = [(1, LONG, 5, 6, 7, "a", "b"), (2, "clean", 5, 6, 7, "a", "b"), (None, LONG, 8, 6, 7, "a", "b")]
+    docs = spark.createDataFrame(table, "doc_id long, text string, _id long, _body long, _row long, items string, n_words string")
+    bench = spark.createDataFrame([(1, LONG), (2, "another item of the benchmark that is not in there")], "item_id long, text string")
+    got = decontamination.find_hits(docs, bench, block_bytes=block_bytes)
+    assert set(got.columns) == {*docs.columns, "hit_words"} and len(got.columns) == 8
+    assert sorted((r.doc_id or 0, r._id, r._body, r._row, r.items or []) for r in got.collect()) == [(0, 8, 6, 7, ["1"]), (1, 5, 6, 7, ["1"]), (2, 5, 6, 7, [])]
+
+
 def test_leaks_of_nothing(docs, none):
     empty = none.select(F.col("doc_id").alias("item_id"), "text")
     assert decontamination.find_hits(docs, empty).filter("items is not null").count() == 0
