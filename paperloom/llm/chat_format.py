@@ -447,8 +447,14 @@ def read_back(formatted: str) -> Iterator[tuple[str, str]]:
         at = end + len(END) + 1
 
 
-def digests(formatted: DataFrame) -> DataFrame:
-    """Per conversation, what its formatted parts say: turns and text under the loss mask."""
+def digests(formatted: DataFrame, as_formatted: bool = False) -> DataFrame:
+    """Per conversation, what its formatted parts say: turns and text under the loss mask.
+
+    Parts may come in any order; ``as_formatted`` spares the sort of a table that
+    comes from ``format_conversations`` without a step between.
+    """
+    if not as_formatted:
+        formatted = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]

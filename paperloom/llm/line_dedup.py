@@ -18,7 +18,8 @@ A-Z lower-cased. Keys are compared by 128 hash bits.
 Defined cases: null or empty text is one empty line; keys shorter than
 ``min_chars`` code points are never dropped; rows that repeat ``doc_id`` (null
 included) are separate documents; columns besides ``doc_id`` and ``text`` pass
-through ``drop_lines`` untouched, whatever their names.
+through ``drop_lines`` untouched, but those named as an added column
+(``ADDED``, in any case of letters) are replaced by it.
 """
 
 from __future__ import annotations
@@ -38,6 +39,7 @@ MIN_CHARS = 1
 #: Batches in which a whole table is fed to the index, and runs per level.
 BATCHES = 3
 FANOUT = 2
+ADDED = ("n_lines", "n_dropped", "kept_text")
 
 
 def lines_of(text: Column) -> Column:
@@ -147,7 +149,7 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, min_chars: int = MIN_CHARS,
         .groupBy("_id", "_body")
         .agg(F.sort_array(F.collect_set("_pos")).alias("_at"))
     )
-    names = docs.columns
+    names = [c for c in docs.columns if c.lower() not in ADDED]
     whole = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), docs[doc_id].alias("_did"), body.alias("_dbody"))
     met = whole.join(hits, whole["_did"].eqNullSafe(hits["_id"]) & (whole["_dbody"] == hits["_body"]), "left")
     met = met.withColumn("_lines", lines_of(F.col("_row")[text])).withColumn("_n", F.size("_lines"))

@@ -21,8 +21,9 @@ more are raked by joins, written each round.
 Defined cases: null source or language is the value ``(none)``; null or empty
 text has no tokens, topic ``brief``, and its cell's probability; equal rows
 share their fate; target shares of values that do not occur are left out and
-the rest scaled; other columns pass through, except that ``topic``,
-``n_tokens``, ``weight`` and ``probability`` are replaced.
+the rest scaled, and if none occurs all values get equal shares; other columns
+pass through, whatever their names, except that ``topic``, ``n_tokens``,
+``weight`` and ``probability`` are replaced.
 """
 
 from __future__ import annotations
@@ -241,17 +242,21 @@ def mixture(docs: DataFrame, keep: float = KEEP, targets: dict[str, dict] | None
             want = spark.createDataFrame(rows, f"_{m} string, _raw double").join(table.select(f"_{m}").distinct(), f"_{m}", "left_semi")
         else:
             want = table.groupBy(f"_{m}").agg(F.pow(F.sum("tokens"), F.lit(flatten[m])).alias("_raw"))
-        total = want.agg(F.sum("_raw")).first()[0] or 1.0
-        wanted[m] = want.select(f"_{m}", (F.col("_raw") / total).alias("_share"))
-    return _rake_joined(table, wanted, keep, ROUNDS, 1e-4)
+        total = want.agg(F.sum("_raw")).first()[0]
+        if total:
+            wanted[m] = want.select(f"_{m}", (F.col("_raw") / total).alias("_share"))
+        else:  # no target occurs: equal shares
+            values = table.select(f"_{m}").distinct()
+            wanted[m] = values.withColumn("_share", F.lit(1.0 / max(1, values.count())))
+    return _rake_joined(table, wanted, keep, ROUNDS, TOLERANCE)
 
 
 def sample(docs: DataFrame, keep: float = KEEP, targets: dict[str, dict] | None = None, seed: int = 0, **options) -> DataFrame:
     """The sampled documents, with ``topic``, ``n_tokens``, ``weight`` and ``probability``."""
     told = described(docs)
-    mixed = mixture(told, keep, targets, **options)
-    names = told.columns
-    keyed = told.select(*names, *_keys(told))
-    met = keyed.join(mixed, [f"_{m}" for m in MARGINS]).select(*names, "weight", "probability")
-    draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    return met.filter(draw < F.col("probability"))
+    mixed = mixture(told, keep, targets, **options).select(*[F.col(f"_{m}").alias(f"_key{i}") for i, m in enumerate(MARGINS)], "weight", "probability")
+    draw = F.pmod(F.xxhash64(F.lit(seed), told["doc_id"], told["text"]), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    keys = [k.alias(f"_own{i}") for i, k in enumerate(_keys(told))]
+    keyed = told.select(F.struct(*[told[c] for c in told.columns]).alias("_row"), draw.alias("_draw"), *keys)
+    met = keyed.join(mixed, [keyed[f"_own{i}"] == mixed[f"_key{i}"] for i in range(len(MARGINS))]).filter(F.col("_draw") < F.col("probability"))
+    return met.select(*[F.col("_row")[c].alias(c) for c in told.columns], "weight", "probability")

@@ -8,6 +8,11 @@ that still holds it, found in a segment tree over remaining capacities.
 
 Packing runs within a task over windows of ``WINDOW_TOKENS`` tokens, without a
 shuffle and in bounded memory; a task that is run again yields the same rows.
+Which documents share a row, and the number of shards, follow from how the input
+is dealt to tasks (files, splits, cores); that every token of every document is
+in exactly one place does not. ``shards`` deals documents by a hash of id and
+text instead, so that rows depend on the documents alone, at the cost of a
+shuffle of the texts.
 
 Rows of the result: ``shard`` and ``row`` (the row's place), ``ids`` (``length``
 little-endian ids, padded with the end-of-text id), ``cu_seqlens`` (cumulative
@@ -183,8 +188,13 @@ def position_ids(cu_seqlens: list[int]) -> np.ndarray:
     return np.concatenate([np.arange(b - a) for a, b in zip(cu_seqlens, cu_seqlens[1:], strict=False)] or [np.zeros(0, int)])
 
 
-def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, window_tokens: int = WINDOW_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, window_tokens: int = WINDOW_TOKENS, shards: int | None = None) -> DataFrame:
     """Packed rows of all documents."""
+    arrow.check_integer(docs, "doc_id")
+    docs = docs.select("doc_id", "text")
+    if shards:
+        shard = F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int")
+        docs = docs.withColumn("_shard", shard).repartitionByRange(shards, "_shard").sortWithinPartitions("_shard", "doc_id", "text")
     ranks = docs.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

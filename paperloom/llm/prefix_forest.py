@@ -18,7 +18,9 @@ number of vectors) and run against all rows. Equal vectors are one entry of the
 forest with all their ids, so a vector that many rows share neither crowds out
 others nor loses a tie.
 
-Defined cases: vectors that are null, empty, all zero, of another length than
+Defined cases: ``vec_id`` is of an integer type (any other raises); query rows
+that share an id are one query at several places: each is searched, and a row
+found from several has the smallest distance; vectors that are null, empty, all zero, of another length than
 most, or that hold null or non-finite components take no part; a row is no
 candidate for a query of its own id; ties go to the smaller id; rows with null
 id take no part; other columns are not read.
@@ -54,6 +56,7 @@ class PrefixForest:
         self.vectors, self.of = np.unique(vectors, axis=0, return_inverse=True)
         by = np.argsort(self.of, kind="stable")  # ids of an entry stay ascending
         self.ids, self.first = ids[by], np.searchsorted(self.of[by], np.arange(len(self.vectors) + 1))
+        self.repeated = set(ids[1:][ids[1:] == ids[:-1]].tolist())
         rng = np.random.default_rng(seed)
         self.planes = rng.standard_normal((trees, vectors.shape[1], bits))
         self.bits, self.middle, self.sorted, self.order = bits, [], [], []
@@ -96,8 +99,8 @@ class PrefixForest:
                 break
         return np.flatnonzero(met)
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, top: int = TOP, share: float = SHARE, least: int = LEAST) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Per query its nearest rows among the candidates, as ids and distances."""
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, top: int = TOP, share: float = SHARE, least: int = LEAST) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Per query row its nearest rows among the candidates, as ids, distances, and their places here."""
         enough = max(least, int(np.ceil(share * len(self.vectors))))
         for at in range(0, len(queries), 128):
             some = queries[at : at + 128]
@@ -105,19 +108,24 @@ class PrefixForest:
             for q, name, run in zip(some, query_ids[at : at + 128].tolist(), runs, strict=True):
                 entry = self.candidates(run, enough)
                 far = np.sqrt(((self.vectors[entry] - q) ** 2).sum(1))
+                own = self.first[entry + 1] - self.first[entry]
+                if name in self.repeated:  # rows of the query's own id must not use up the nearest entries
+                    own = own - np.array([np.count_nonzero(self.ids[self.first[e] : self.first[e + 1]] == name) for e in entry])
+                    entry, far, own = entry[own > 0], far[own > 0], own[own > 0]
                 if len(far) > top + 1:
                     edge = np.partition(far, top)[top]  # one entry may be the query's own row
                     entry, far = entry[far <= edge], far[far <= edge]
-                ids = np.concatenate([self.ids[self.first[e] : self.first[e + 1]] for e in entry] or [self.ids[:0]])
+                place = np.concatenate([np.arange(self.first[e], self.first[e + 1]) for e in entry] or [self.first[:0]])
                 dist = np.repeat(far, self.first[entry + 1] - self.first[entry])
-                keep = ids != name
-                ids, dist = ids[keep], dist[keep]
-                best = np.lexsort((ids, dist))[:top]
-                yield name, ids[best], dist[best]
+                keep = self.ids[place] != name
+                place, dist = place[keep], dist[keep]
+                best = np.lexsort((self.ids[place], dist))[:top]
+                yield name, self.ids[place[best]], dist[best], place[best]
 
 
 def usable(df: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """``vec_id`` and ``embedding`` (doubles) of the rows that take part."""
+    arrow.check_integer(df, vec_id)
     v = F.col("embedding")
     good = (
         v.isNotNull()
@@ -140,13 +148,13 @@ def nearest(rows: DataFrame, is_query: Column, top: int = TOP, share: float = SH
     """``(query_id, rank, vec_id, score)``: the nearest rows found for every query row."""
     spark = rows.sparkSession
     rows = usable(rows)
-    total, asked = rows.agg(F.count("*"), F.coalesce(F.sum(is_query.cast("int")), F.lit(0))).first()
+    total = rows.count()
+    asked = rows.filter(is_query).distinct()
+    parts = -(-asked.count() // query_block) or 1
     dealt = rows.repartition(max(1, -(-total // block)), "vec_id")
-    parts = -(-asked // query_block) or 1
     found = None
     for part in range(parts):
-        mine = rows.filter(is_query & (F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == part)).toPandas().sort_values("vec_id", kind="stable")
-        mine = mine.drop_duplicates("vec_id")
+        mine = asked.filter(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(parts)) == part).toPandas()
         vectors = np.stack(mine["embedding"].to_list()) if len(mine) else np.zeros((0, 1))
         shared = spark.sparkContext.broadcast((mine["vec_id"].to_numpy(np.int64), vectors))
 
@@ -157,12 +165,14 @@ def nearest(rows: DataFrame, is_query: Column, top: int = TOP, share: float = SH
                 return
             forest = PrefixForest(np.concatenate([i for i, _ in got]), np.concatenate([v for _, v in got]), trees)
             out = list(forest.search(names, queries, top, share, least))
-            ids, far = (np.concatenate([x[k] for x in out]) for k in (1, 2))
+            ids, far, place = (np.concatenate([x[k] for x in out]) for k in (1, 2, 3))
             of = np.repeat([x[0] for x in out], [len(x[1]) for x in out])
-            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(ids, pa.int64()), pa.array(far, pa.float64())], ["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(ids, pa.int64()), pa.array(far, pa.float64()), pa.array(place, pa.int64())], ["query_id", "vec_id", "score", "place"])
 
-        one = arrow.mapped(dealt, "query_id long, vec_id long, score double", run)
+        one = arrow.mapped(dealt, "query_id long, vec_id long, score double, place long", run)
         one = scratch.written(one, "nearest") if parts > 1 else one
         found = one if found is None else found.unionByName(one)
+    # rows of one id lie in one block, so id and place tell rows apart; a row met from several places counts once
+    found = found.repartition("query_id").groupBy("query_id", "vec_id", "place").agg(F.min("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", place).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")

@@ -3,7 +3,8 @@
 Loops and reused results are cut by writing Parquet below
 ``spark.checkpoint.dir``: a lost executor then costs a re-read, not a
 recomputation from the source. The folder is taken from the session; only
-where it is unset (tests, a laptop) a temporary one is chosen. Tables that a
+where it is unset and the master is local (tests, a laptop) a temporary one is
+chosen, elsewhere that is an error. Tables that a
 returned (lazy) result still reads stay in ``<folder>/paperloom`` until the
 owner of the session removes that folder.
 """
@@ -23,6 +24,8 @@ def folder(spark: SparkSession) -> str:
     own = _OWN.get(spark.sparkContext.applicationId)
     base = own or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = _OWN[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="paperloom-")
     return base.rstrip("/")
 

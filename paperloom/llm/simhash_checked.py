@@ -1,22 +1,26 @@
-"""Near-duplicate groups by the Jaccard similarity of word shingles.
+"""SimHash near-dedup at a Jaccard similarity, checked on whole sets.
 
 Two documents are linked where their sets of ``SHINGLE``-word shingles have a
 Jaccard similarity of at least ``LEAST``, which is checked on the whole sets.
-Candidates are found by MinHash: of ``BANDS`` bands of ``ROWS`` minima each, a
-linked pair agrees in one band but for a probability of ``(1 - LEAST ** ROWS)
-** BANDS``, 4.6e-7 at the threshold itself and less above it.
-
-Only distinct sets take part; copies are one value. Of a bucket (a band's value)
-each member is first checked against the bucket's smallest, so a large group of
-near copies gives a number of pairs linear in its size. Buckets that are then
-not of one component are checked pair by pair, in chunks of ``CHUNK`` members
-of which every two meet in a task of their own, so no link is missed and no
-task is given an unbounded bucket.
+Candidates are, first, the links that the Gray-order index finds between the
+SimHash fingerprints of the sets. A similarity of 0.8 makes two fingerprints
+differ in ten bits of 64 on average, where the index drops hardly a group, so
+its radius stays at three bits; what lies beyond comes from min-hash bands: of
+``BANDS`` bands of ``ROWS`` minima each, a linked pair agrees in one but for a
+probability of ``(1 - LEAST ** ROWS) ** BANDS``, 4.6e-7 at the threshold itself
+and less above it.
+
+Only distinct sets take part; copies are one value. Of a bucket (a fingerprint,
+a link of the index, or a band's value) each member is first checked against the
+bucket's smallest, so a large group of near copies gives a number of pairs
+linear in its size. Buckets that are then not of one component are checked pair
+by pair, in chunks of ``CHUNK`` members of which every two meet in a task of
+their own, so no link is missed and no task is given an unbounded bucket.
 
 Defined cases: null and blank text has the empty set, one group; a text of
 fewer words than a shingle is one shingle; rows with the same or with null
-``doc_id`` are separate documents, and a group of null ids only has a null
-``component_id``.
+``doc_id`` are separate documents, told apart by id and 128 bits of the text,
+and a group of null ids only has a null ``component_id``.
 """
 
 from __future__ import annotations
@@ -29,8 +33,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from paperloom.llm import arrow, scratch
+from paperloom.llm import arrow, scratch, simhash_index
 from paperloom.llm.components import components
 
 SHINGLE = 5
@@ -46,22 +51,13 @@ _RNG = np.random.default_rng(SEED)
 _TIMES = _RNG.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLUS = _RNG.integers(0, 1 << 63, ROWS * BANDS, dtype=np.uint64)
 _SET = [T.StructField("fp", T.LongType()), T.StructField("grams", T.BinaryType())]
-_KEYS = [T.StructField("fp", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]
+_KEYS = [T.StructField("fp", T.LongType()), T.StructField("sim", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]
 
 
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted hashes of the distinct shingles of a text."""
-    words = text.lower().split()  # on bytes: A-Z, and the blanks [\x20\x09-\x0D]
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    first, last = (ends - sizes)[: len(words) - shingle + 1], ends[shingle - 1 :]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(first.tolist(), last.tolist(), strict=True)), np.uint64, len(first)))
+    found = list(simhash_index.shingle_hashes(text, shingle, SEED))
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
 
 
 def _fp(grams: np.ndarray) -> int:
@@ -89,16 +85,17 @@ def _longs(values: list[int]) -> pa.Array:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``fp``, a hash of the set of shingles, and ``keys``, those of its bands."""
+    """``docs`` with ``fp``, a hash of the set of shingles, ``sim``, its fingerprint, and ``keys``, those of its bands."""
 
     def columns(batch: pa.RecordBatch) -> list[pa.Array]:
-        fps, keys = [], []
+        fps, sims, keys = [], [], []
         for grams in _each(batch):
             fps.append(_fp(grams))
+            sims.append(simhash_index.bits_of(grams[at : at + SLAB] for at in range(0, len(grams), SLAB)))
             keys.append(band_keys(grams))
         ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
         flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        return [_longs(fps), pa.ListArray.from_arrays(ends, flat.view(np.int64))]
+        return [_longs(fps), _longs(sims), pa.ListArray.from_arrays(ends, flat.view(np.int64))]
 
     return arrow.with_columns(docs, _KEYS, columns)
 
@@ -178,7 +175,12 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _links(values: DataFrame, docs: DataFrame, chunk: int) -> DataFrame:
     """Links ``(a, b)`` whose components are those of all near pairs of the distinct ``fp``."""
     spark = values.sparkSession
+    gray = scratch.written(simhash_index.links(values.select(F.col("sim").alias("fp")).distinct()), "gray-links")
+    link = F.xxhash64(F.lit("link"), "a", "b").alias("key")
+    ends = gray.select(link, F.col("a").alias("sim")).unionByName(gray.select(link, F.col("b").alias("sim")))
     dealt = values.select("fp", "th", F.explode("keys").alias("key"))
+    dealt = dealt.unionByName(values.select("fp", "th", F.xxhash64(F.lit("sim"), "sim").alias("key")))
+    dealt = dealt.unionByName(values.join(ends, "sim").select("fp", "th", "key"))
     shared = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("rep")).filter("n > 1")
     members = scratch.written(dealt.join(scratch.written(shared, "jaccard-buckets"), "key"), "jaccard-members")
     own = docs.withColumn("th", F.xxhash64("text")).join(members.select("th").distinct(), "th", "left_semi")
@@ -198,14 +200,45 @@ def _links(values: DataFrame, docs: DataFrame, chunk: int) -> DataFrame:
     return near.unionByName(arrow.mapped(full, "a long, b long", _bucket_links))
 
 
-def near_duplicate_groups(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """One row per document: ``doc_id``, ``fp`` and ``component_id``, its group's smallest id."""
+def _keyed_groups(docs: DataFrame, chunk: int) -> DataFrame:
+    """Per document ``doc_id``, two hashes of its text, ``fp``, ``part`` (its group) and ``component_id``."""
     docs = docs.select("doc_id", "text")
-    told = scratch.written(keyed(docs.withColumn("th", F.xxhash64("text"))).select("doc_id", "th", "fp", "keys"), "jaccard")
-    first = told.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("th").alias("th"), F.first("keys").alias("keys"))
+    hashes = {"th": F.xxhash64("text"), "th2": F.xxhash64(F.lit(1), "text")}
+    told = scratch.written(keyed(docs.withColumns(hashes)).select("doc_id", "th", "th2", "fp", "sim", "keys"), "jaccard")
+    first = told.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("th").alias("th"), F.first("sim").alias("sim"), F.first("keys").alias("keys"))
     first = scratch.written(first, "jaccard-values")
     of = components(_links(first, docs, chunk))
     grouped = first.join(of, first["fp"] == of["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("part"))
     smallest = grouped.groupBy("part").agg(F.min("first").alias("component_id"))
-    owner = scratch.written(grouped.join(smallest, "part").select(F.col("fp").alias("_fp"), "component_id"), "jaccard-groups")
-    return told.join(owner, told["fp"] == owner["_fp"]).select("doc_id", "fp", "component_id")
+    owner = scratch.written(grouped.join(smallest, "part").select(F.col("fp").alias("_fp"), "part", "component_id"), "jaccard-groups")
+    return told.join(owner, told["fp"] == owner["_fp"]).select("doc_id", "th", "th2", "fp", "part", "component_id")
+
+
+def near_duplicate_groups(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """One row per document: ``doc_id``, ``fp`` and ``component_id``, its group's smallest id."""
+    return _keyed_groups(docs, chunk).select("doc_id", "fp", "component_id")
+
+
+def one_per_group(docs: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """One row of ``docs`` for every group: the smallest id (null last), then the smallest hash of the text.
+
+    The keys of the others are few beside the texts, and meet them by an
+    anti-join that Spark broadcasts only if their written size is below its own
+    threshold. Of rows with the same id and text one stays, by a hash of the
+    whole row.
+    """
+    key = ["doc_id", "th", "th2"]
+    groups = scratch.written(_keyed_groups(docs, chunk).groupBy(*key, "part").agg(F.count("*").alias("n")), "jaccard-rows")
+    best = groups.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), *key, "n")).alias("k"))
+    best = best.select("k.*").select(F.col("doc_id").alias("_id"), F.col("th").alias("_a"), F.col("th2").alias("_b"), "n")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_a")) & (F.col("th2") == F.col("_b"))
+    gone = groups.select(*key).join(best.drop("n"), same, "left_anti")
+    gone = scratch.written(gone.toDF("_id", "_a", "_b"), "jaccard-gone")
+    twice = scratch.written(best.filter("n > 1").drop("n"), "jaccard-twice")
+    own = [F.xxhash64(docs["text"]), F.xxhash64(F.lit(1), docs["text"])]
+    meets = lambda keys: docs["doc_id"].eqNullSafe(keys["_id"]) & (own[0] == keys["_a"]) & (own[1] == keys["_b"])
+    alone = docs.join(gone, meets(gone), "left_anti").join(twice, meets(twice), "left_anti")
+    equal = docs.join(twice, meets(twice), "left_semi")
+    place = F.row_number().over(Window.partitionBy("doc_id", *own).orderBy(F.xxhash64(*docs.columns)))
+    number = arrow.unused(docs, "_n")
+    return alone.unionByName(equal.withColumn(number, place).filter(F.col(number) == 1).drop(number))

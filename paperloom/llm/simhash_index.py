@@ -26,6 +26,7 @@ a null ``component_id``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,28 +45,42 @@ MAX_BITS = 3
 BUCKET = 100_000
 LEAF = 32
 FANOUT = 8
-#: Shingles hashed at a time, so a very long text needs bounded memory.
-CHUNK = 1 << 18
+#: Bytes whose words are held at a time, so a very long text needs bounded memory.
+STRETCH = 1 << 20
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def shingle_hashes(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> Iterator[np.ndarray]:
+    """Hashes of all shingles of a text, stretch by stretch."""
+    text, digest, at, words, some = text.lower(), xxhash.xxh64_intdigest, 0, [], False  # on bytes: A-Z only
+    while at < len(text):
+        end = _BLANK.search(text, at + STRETCH)
+        to = end.start() if end else len(text)
+        words, at = words + text[at:to].split(), to
+        n = len(words) - shingle + 1
+        if n > 0:
+            joined, some = b" ".join(words), True
+            sizes = np.fromiter(map(len, words), np.int64, len(words))
+            ends = np.cumsum(sizes + 1) - 1
+            span = zip((ends - sizes)[:n].tolist(), ends[shingle - 1 :].tolist(), strict=True)
+            yield np.fromiter((digest(joined[a:b], seed) for a, b in span), "<u8", n)
+            words = words[n:]
+    if words and not some:
+        yield np.array([digest(b" ".join(words), seed)], "<u8")
+
+
+def bits_of(hashes) -> int:
+    """The bits that more than half of the hashes have, which come in arrays."""
+    n, ones = 0, np.zeros(64, np.int64)
+    for h in hashes:
+        n += len(h)
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int((ones * 2 > n) @ (1 << np.arange(64, dtype=object)))
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """SimHash of one text: bits that more than half of its shingles' hashes have."""
-    words = text.lower().split()  # on bytes: A-Z, and the blanks [\x20\x09-\x0D]
-    if not words:
-        return 0
-    if len(words) <= shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed)
-    joined = b" ".join(words)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(sizes + 1) - 1
-    first, last = (ends - sizes)[: len(words) - shingle + 1], ends[shingle - 1 :]
-    n, ones = len(first), np.zeros(64, np.int64)
-    digest = xxhash.xxh64_intdigest
-    for at in range(0, n, CHUNK):
-        span = zip(first[at : at + CHUNK].tolist(), last[at : at + CHUNK].tolist(), strict=True)
-        h = np.fromiter((digest(joined[a:b], seed) for a, b in span), "<u8", min(CHUNK, n - at))
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int((ones * 2 > n) @ (1 << np.arange(64, dtype=object)))
+    return bits_of(shingle_hashes(text, shingle, seed))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", to: str = "fp") -> DataFrame:

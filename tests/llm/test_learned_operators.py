@@ -204,6 +204,29 @@ def test_neighbours(spark):
     assert sorted(r.vec_id for r in few) == [5, 9]
 
 
+def test_query_rows_that_share_an_id_are_all_searched(spark):
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((300, 8))
+    rows = [(i if i else 100, [float(v) for v in x[i]]) for i in range(300)]  # two rows of id 100
+    rows += [(100, rows[100][1])] * 20 + [(5, rows[5][1])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    is_query = F.pmod("vec_id", F.lit(100)) == 0
+    for options in ({"share": 1.0}, {"share": 1.0, "block": 70, "query_block": 1}):
+        got = sorted((r["rank"], r.vec_id, r.score) for r in prefix_forest.nearest(table, is_query, **options).filter("query_id = 100").collect())
+        far = sorted((min(np.sqrt(((x[a] - np.array(v)) ** 2).sum()) for a in (0, 100)), i) for i, v in rows if i != 100)[:10]
+        assert [g[1] for g in got] == [i for _, i in far] and [g[2] for g in got] == pytest.approx([d for d, _ in far])
+    with pytest.raises(TypeError):
+        prefix_forest.nearest(table.withColumn("vec_id", F.col("vec_id").cast("string")), is_query)
+
+
+def test_chat_digests_take_parts_in_any_order(spark):
+    table = [(c, t, ["user", "assistant"][t % 2], f"text {c} {t} " * 9) for c in range(3) for t in range(6)]
+    formatted = chat_format.format_conversations(spark.createDataFrame(table, "conv_id long, turn int, role string, text string"), part_chars=60)
+    rows = formatted.collect()
+    mixed = spark.createDataFrame(rows[::-1], formatted.schema).repartition(3)
+    assert sorted(map(str, chat_format.digests(mixed).collect())) == sorted(map(str, chat_format.digests(formatted, as_formatted=True).collect()))
+
+
 def test_templates_are_closed_and_fold():
     for bad in ("{{ m.text }}", "{% for m in messages %}{{ m.__class__ }}{% endfor %}", "{{ open('x') }}", "{% if %}x{% endif %}", "{% for m in messages %}", "{{ 'a' | system }}", "{% import os %}"):
         with pytest.raises(chat_format.TemplateError):

@@ -408,14 +408,16 @@ def test_bounded_margins_meet_their_targets_with_a_hot_source(spark):
     assert [many[n] for n in names] == pytest.approx(table["probability"].tolist(), rel=1e-3, abs=1e-3)
 
 
-def test_joined_raking_gives_what_the_driver_gives(docs):
+def test_joined_raking_gives_what_the_driver_gives(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "ROUNDS", 8)
+    monkeypatch.setattr(mixing.bounded, "__defaults__", (8, mixing.TOLERANCE))
     told = mixing.described(docs)
     key = lambda r: (r._source, r._lang, r._topic)
     few = {key(r): (r.weight, r.probability) for r in mixing.mixture(told).collect()}
     many = {key(r): (r.weight, r.probability) for r in mixing.mixture(told, max_cells=0).collect()}
     assert few.keys() == many.keys()
     for k, v in few.items():
-        assert many[k] == pytest.approx(v, rel=2e-2, abs=1e-3)
+        assert many[k] == pytest.approx(v, rel=1e-4, abs=1e-5)
 
 
 def test_sample_keeps_rows_and_repeats(docs, none):
@@ -432,9 +434,9 @@ def test_sample_keeps_rows_and_repeats(docs, none):
 @pytest.mark.parametrize("chunk", [7, 500])
 def test_pipeline_drops_near_copies_of_80_percent(spark, monkeypatch, chunk):
     import corpus_pipeline
-    from paperloom.llm import jaccard_groups
+    from paperloom.llm import simhash_checked
 
-    monkeypatch.setattr(jaccard_groups.near_duplicate_groups, "__defaults__", (chunk,))
+    monkeypatch.setattr(simhash_checked.one_per_group, "__defaults__", (chunk,))
     rng = np.random.default_rng(9)
     word = lambda: "w%x" % rng.integers(1 << 30)
     texts = []
@@ -461,3 +463,53 @@ def test_pipeline_drops_near_copies_of_80_percent(spark, monkeypatch, chunk):
     docs = spark.createDataFrame([(i, " ".join(t), "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
     kept = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
     assert kept == set(part) and len(kept) < len(texts) / 2
+
+
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    import corpus_pipeline
+
+    base = " ".join(f"w{i}" for i in range(100))
+    near = base + " tail"
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, base, "en", "s", 1), (1, other, "en", "s", 2), (1, near, "en", "s", 3), (2, base, "en", "s", 4), (None, other, "en", "s", 5), (None, "one alone", "en", None, 6), (None, "one alone", "en", None, 6), (3, "two alone", None, "s", 7), (3, "two alone", None, "s", 7), (4, None, None, None, 0), (5, "  ", None, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    names = sorted((r.doc_id or 0, "base" if (r.text or "").startswith("w0") else r.text or "") for r in got)
+    assert names == [(0, "one alone"), (1, "base"), (1, other), (3, "two alone"), (4, "")]
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.limit(0), "").count() == 0
+
+
+def test_shingles_of_long_texts_are_hashed_in_stretches(monkeypatch):
+    rng = np.random.default_rng(8)
+    texts = [b"", b" ", b"One", b"a b c", b"x" * 50, " ".join(rng.choice(["aa", "B\u00e9", "c\x1fd"], 60)).encode()]
+    for n in (1, 3, 5):
+        want = [np.concatenate([*simhash_index.shingle_hashes(t, n), np.zeros(0, np.uint64)]) for t in texts]
+        for size in (1, 4, 30):
+            monkeypatch.setattr(simhash_index, "STRETCH", size)
+            for t, w in zip(texts, want):
+                assert np.array_equal(np.concatenate([*simhash_index.shingle_hashes(t, n), np.zeros(0, np.uint64)]), w)
+        monkeypatch.setattr(simhash_index, "STRETCH", 1 << 20)
+
+
+def test_lines_and_samples_keep_columns_whatever_their_names(spark, docs):
+    got = line_dedup.dedup_lines(docs, min_docs=10)  # docs has a column n_lines
+    assert len(set(got.columns)) == len(got.columns)
+    have = got.select("doc_id", F.col("n_lines").cast("long").alias("n"), "n_dropped", "kept_text").collect()
+    assert sorted(map(str, map(tuple, have))) == sorted(map(str, lines_brute(rows(), 10)))
+    odd = docs.withColumns({"_source": F.lit(1), "_lang": F.lit(2), "_topic": F.lit(3), "_row": F.lit(4), "_draw": F.lit(5), "Weight": F.lit(6)})
+    every = mixing.sample(odd, keep=1.0)
+    assert {"_source", "_lang", "_topic", "_row", "_draw", "weight"} <= set(every.columns) and every.select("_source", "_topic", "weight").count() == len(rows())
+
+
+def test_joined_raking_without_a_target_that_occurs(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "ROUNDS", 4)
+    monkeypatch.setattr(mixing.bounded, "__defaults__", (4, mixing.TOLERANCE))
+    told, wanted = mixing.described(docs), {"source": {"nowhere": 1.0}}
+    key = lambda r: (r._source, r._lang, r._topic)
+    few, many = ({key(r): r.probability for r in mixing.mixture(told, targets=wanted, max_cells=n).collect()} for n in (mixing.MAX_CELLS, 0))
+    assert few.keys() == many.keys() and all(many[k] == pytest.approx(few[k], rel=1e-4, abs=1e-5) for k in few)
+
+
+def test_packing_by_shards_depends_on_the_documents_alone(spark, docs):
+    one, two = (sorted(map(str, packing.pack(docs.repartition(n), length=64, shards=2).collect())) for n in (1, 5))
+    assert one == two and {r.shard for r in packing.pack(docs, length=64, shards=2).collect()} == {0, 1}
