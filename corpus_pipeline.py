@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontamination, jaccard_groups, language_id, mixing, packing, scratch
+from paperloom.llm import decontamination, language_id, mixing, packing, scratch, simhash_checked
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents whose best language is less likely than this are rejected.
@@ -22,26 +22,20 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in a known language; ``und`` and undecided ones go."""
+    """Keep documents in a known language; ``und``, undecided ones and those that no language fits go."""
     told = language_id.identify(docs, language_id.train(docs))
-    sure = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
+    sure = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE) & F.col("fits")
     return told.filter(sure).select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of every near-duplicate group.
+    """Keep one document of every near-duplicate group, the one with the smallest id.
 
     Groups join documents whose 5-word shingles have a Jaccard similarity of 0.8
-    or more. Documents without an id are kept, one per fingerprint, where no document of
-    their group has one.
+    or more. Of rows without an id, or that share one, exactly one of a group is
+    kept where no document of the group has a smaller id.
     """
-    groups = jaccard_groups.near_duplicate_groups(docs)
-    kept = groups.filter("component_id = doc_id").select(F.col("doc_id").alias("_kept"))
-    first = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
-    alone = groups.filter("doc_id is null and component_id is null").select(F.col("fp").alias("_fp"))
-    nameless = jaccard_groups.keyed(docs.filter("doc_id is null")).dropDuplicates(["fp"])
-    rest = nameless.join(alone, nameless["fp"] == alone["_fp"], "left_semi")
-    return first.select(*COLUMNS).unionByName(rest.select(*COLUMNS))
+    return simhash_checked.one_per_group(docs).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
