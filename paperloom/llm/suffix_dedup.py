@@ -633,7 +633,8 @@ def remove_repeats(docs: DataFrame, hot: int = HOT) -> DataFrame:
     copies = long.join(earliest, key, "left_anti").withColumn("_copy", F.lit(True))  # dealt by the whole key: copies spread
     places = places.join(copies, key, "left_anti")
     met = keyed.join(places, key)
-    coded = arrow.mapped(met.select(*key, "text", "_places"), _BLOBS, _suffix_runs(parts))
+    # all columns of ``keyed`` are asked for here too, so that both joins with it read one exchange of the texts
+    coded = arrow.mapped(met.select(*key, "text", "_places", "doc_id"), _BLOBS, _suffix_runs(parts))
     dealt = coded.repartition(partitions, "part").sortWithinPartitions("part")
     spans = arrow.mapped(dealt, _SPANS, _repeated_spans)
     spans = spans.groupBy(*key).agg(F.collect_set(F.struct(F.col("_start").alias("start"), F.col("_end").alias("end"))).alias("_spans"))
