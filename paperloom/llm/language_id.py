@@ -56,7 +56,7 @@ BLOCK = 32
 #: Bytes of a text that are scored at a time.
 STRETCH = 1 << 20
 SLACK = 1.5
-FREE_BITS = 64.0
+FREE_BITS = 200.0
 #: Strings seen less often in a language are no part of its tree.
 MIN_COUNT = 2
 FIELDS = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("fits", T.BooleanType())]

@@ -175,15 +175,12 @@ def train(docs: DataFrame, labels: DataFrame, learnable: Column | None = None, p
 
     def columns(batch: pa.RecordBatch) -> list[pa.Array]:
         found = [features(raw, off) for _, _, raw, off in arrow.slices(batch.column(batch.schema.get_field_index("text")))]
-        flat = np.concatenate(found) if found else np.zeros((0, N_FEATURES))
-        return [pa.ListArray.from_arrays(np.arange(len(flat) + 1, dtype=np.int32) * N_FEATURES, flat.reshape(-1))]
-
-    rows = arrow.with_columns(near, [T.StructField("x", T.ArrayType(T.DoubleType()))], columns)
-    got = rows.select("doc_id", "quality", "x").toPandas()  # at most 2 * per_label rows
-    got = got.assign(key=[v.tobytes() for v in got["x"]]).sort_values(["doc_id", "quality", "key"], kind="stable")
-    label = got["quality"].to_numpy()
-    x = np.stack(got["x"].to_list()) if len(got) else np.zeros((0, N_FEATURES))
-    return learn(x, label, pairs)
+        return [pa.array([row.tobytes() for rows in found for row in rows], pa.binary())]
+
+    rows = arrow.with_columns(near, [T.StructField("x", T.BinaryType())], columns)
+    got = rows.select("doc_id", "quality", "x").toPandas().assign(x=lambda t: t["x"].map(bytes))  # at most 2 * per_label rows
+    got = got.sort_values(["doc_id", "quality", "x"], kind="stable")
+    return learn(np.frombuffer(b"".join(got["x"]), float).reshape(-1, N_FEATURES), got["quality"].to_numpy(), pairs)
 
 
 def raw_scores(docs: DataFrame, ranking: Ranking, text: str = "text", to: str = "raw_score") -> DataFrame:

@@ -183,10 +183,12 @@ def _links(values: DataFrame, docs: DataFrame, chunk: int) -> DataFrame:
     dealt = dealt.unionByName(values.join(ends, "sim").select("fp", "th", "key"))
     shared = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("rep")).filter("n > 1")
     members = scratch.written(dealt.join(scratch.written(shared, "jaccard-buckets"), "key"), "jaccard-members")
-    own = docs.withColumn("th", F.xxhash64("text")).join(members.select("th").distinct(), "th", "left_semi")
+    # written, so that Spark knows how small these tables are and need not move texts or sets to them
+    wanted = scratch.written(members.select("th").distinct(), "jaccard-wanted")
+    own = docs.withColumn("th", F.xxhash64("text")).join(wanted, "th", "left_semi")
     sets = scratch.written(_sets(own.select("text").distinct()).dropDuplicates(["fp"]), "jaccard-sets")
     side = lambda fp, to: sets.select(F.col("fp").alias(fp), F.col("grams").alias(to))
-    pairs = members.filter("fp <> rep").select(F.col("rep").alias("a"), F.col("fp").alias("b")).distinct()
+    pairs = scratch.written(members.filter("fp <> rep").select(F.col("rep").alias("a"), F.col("fp").alias("b")).distinct(), "jaccard-pairs")
     met = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
     near = scratch.written(arrow.mapped(met, "a long, b long", _checked), "jaccard-stars")
     of = components(near)
@@ -195,6 +197,7 @@ def _links(values: DataFrame, docs: DataFrame, chunk: int) -> DataFrame:
     parts = F.ceil(F.col("n") / chunk).cast("int")
     rest = members.join(mixed, "key", "left_semi").select("key", "fp", F.pmod(F.xxhash64("fp"), parts).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
     rest = rest.select("key", (F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other")).alias("part"), "fp")
+    rest = scratch.written(rest, "jaccard-rest")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     full = rest.join(sets, "fp").select("key", "part", "fp", "grams").repartition(tasks, "key", "part").sortWithinPartitions("key", "part")
     return near.unionByName(arrow.mapped(full, "a long, b long", _bucket_links))

@@ -47,6 +47,8 @@ LEAF = 32
 FANOUT = 8
 #: Bytes whose words are held at a time, so a very long text needs bounded memory.
 STRETCH = 1 << 20
+_PLACES = np.arange(8) * 256
+_ONES = (np.arange(256)[:, None] >> np.arange(8)) & 1
 _BLANK = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -71,11 +73,12 @@ def shingle_hashes(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> Ite
 
 def bits_of(hashes) -> int:
     """The bits that more than half of the hashes have, which come in arrays."""
-    n, ones = 0, np.zeros(64, np.int64)
+    n, seen = 0, np.zeros(8 * 256, np.int64)  # how often each of the eight bytes has each value
     for h in hashes:
         n += len(h)
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int((ones * 2 > n) @ (1 << np.arange(64, dtype=object)))
+        seen += np.bincount((h.view(np.uint8).reshape(-1, 8) + _PLACES).reshape(-1), minlength=8 * 256)
+    ones = seen.reshape(8, 256) @ _ONES  # byte by bit
+    return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
