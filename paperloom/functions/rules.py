@@ -29,3 +29,24 @@ def backoff(attempt: Column, base: float, most: float) -> Column:
 
 def tier(tool: Column, core: list[str], code_only: list[str]) -> Column:
     return F.when(tool.isin(core), "core").when(tool.isin(code_only), "code_only").otherwise("deferred")
+
+
+def escalation(chars: Column, layout_confidence: Column, least_chars: int = 50) -> Column:
+    """Whether a page goes to OCR (too little text), to a vision model (unsure layout), or stays."""
+    return F.when(chars <= least_chars, "ocr").when(layout_confidence < 0.3, "vlm").otherwise("none")
+
+
+def preview(result: Column, most: int) -> Column:
+    """A result, or a truncation notice with its first characters and full length."""
+    cut = F.struct(F.lit(True).alias("truncated"), F.length(result).alias("chars"), F.substring(result, 1, most).alias("preview"))
+    return F.when(F.length(result) > most, F.to_json(cut)).otherwise(result)
+
+
+def source_kind(name: Column) -> Column:
+    """Kind of a raw file by its name; null for files that are no sources."""
+    return (
+        F.when(F.rlike(name, F.lit(r"(?i)\.pdf$")), "pdf")
+        .when(F.endswith(name, F.lit(".compile_prompt.md")), None)
+        .when(F.rlike(name, F.lit(r"(?i)\.md$")), "markdown")
+        .when(F.rlike(name, F.lit(r"(?i)\.(png|jpe?g|webp|gif)$")), "image")
+    )

@@ -27,6 +27,14 @@ def fnv_bucket(term: Column, dim: int = DIM) -> Column:
     return F.aggregate(octets, F.lit(FNV_BASIS), step, lambda h: step(h, F.lit(255))).bitwiseAND(F.lit(dim - 1))
 
 
+def fnv_bucket_of(term: str, dim: int = DIM) -> int:
+    """``fnv_bucket`` of one term, for the few terms of a query."""
+    h = FNV_BASIS
+    for b in (*term.encode(), 255):
+        h = ((h ^ b) * FNV_PRIME) & 255
+    return h & (dim - 1)
+
+
 def smoothed_idf(total: Column, df: Column) -> Column:
     return F.ln((total + 1) / (df + 1)) + 1
 

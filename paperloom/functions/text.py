@@ -110,3 +110,26 @@ def safe_path(domain: Column, title: Column) -> Column:
     name = F.regexp_replace(title, r'[/\\:*?"<>|]', "_")
     folder = F.replace(F.lower(domain), F.lit(" "), F.lit("_"))
     return F.concat(folder, F.lit("/["), domain, F.lit("] "), name, F.lit(".md"))
+
+
+def title_of_path(path: Column) -> Column:
+    """The file's stem without a ``[Domain]`` prefix."""
+    stem = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.md$", "")
+    return F.regexp_replace(stem, r"^\[[^\]]*\] ", "")
+
+
+def normal_tags(tags: Column) -> Column:
+    """Trimmed, lower-cased tags of three bytes and more, each once, sorted."""
+    return F.array_sort(F.array_distinct(F.filter(F.transform(tags, lambda t: F.lower(F.trim(t))), lambda t: F.octet_length(t) >= 3)))
+
+
+def with_section(body: Column, heading: Column, content: str) -> Column:
+    """The body with the text under the first such heading replaced, up to the next heading of its depth or less."""
+    lines = F.split(body, "\n", -1)
+    depth = lambda x: F.length(F.regexp_extract(x, r"^(#+)[ \t]", 1))
+    named = F.transform(lines, lambda x, i: F.when((depth(x) > 0) & (F.trim(F.regexp_replace(x, r"^#+[ \t]+", "")) == F.trim(heading)), i))
+    at = F.array_min(named)
+    own = depth(F.get(lines, at))
+    after = F.array_min(F.transform(lines, lambda x, i: F.when((i > at) & (depth(x) > 0) & (depth(x) <= own), i)))
+    rest = F.when(after.isNotNull(), F.slice(lines, after + 1, F.size(lines))).otherwise(F.array().cast("array<string>"))
+    return F.when(at.isNull(), body).otherwise(F.array_join(F.concat(F.slice(lines, 1, at + 1), F.array(F.lit(content)), rest), "\n"))

@@ -30,9 +30,9 @@ def merged(store: DataFrame, changed: DataFrame, key: str = "path") -> DataFrame
     return store.join(changed.select(key).distinct(), key, "left_anti").unionByName(changed)
 
 
-def manifest(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
-    """``path`` and SHA-256 of the content; hidden folders are left out."""
-    return files.filter(~F.rlike(path, F.lit(r"(^|/)\.rsut(_sync)?(/|$)"))).select(F.col(path).alias("path"), F.sha2(F.col(content), 256).alias("hash"))
+def manifest(files: DataFrame, path: str = "path", content: str = "content", left_out: str = r"(^|/)\.[^/]+(/|$)") -> DataFrame:
+    """``path`` and SHA-256 of the content; paths that match ``left_out`` (hidden ones) are not listed."""
+    return files.filter(~F.rlike(path, F.lit(left_out))).select(F.col(path).alias("path"), F.sha2(F.col(content), 256).alias("hash"))
 
 
 def root_hash(listed: DataFrame) -> DataFrame:
@@ -64,17 +64,51 @@ def conflicts(local: DataFrame, remote: DataFrame) -> DataFrame:
 def push_plan(local: DataFrame, remote: DataFrame) -> DataFrame:
     """Objects that the remote store lacks, with their content address."""
     need = local.select("hash").distinct().join(remote.select("hash").distinct(), "hash", "left_anti")
-    return need.select("hash", F.concat(F.substring("hash", 1, 2), F.lit("/"), F.substring("hash", 3, 62)).alias("object_key"))
+    return need.select("hash", object_key(F.col("hash")).alias("object_key"))
 
 
 def pull_plan(local: DataFrame, remote: DataFrame, policy: str = "remote") -> DataFrame:
-    """What a pull does with each remote path: ``add``, ``replace``, ``keep`` or ``conflict``."""
-    met = remote.join(local.withColumnRenamed("hash", "own"), "path", "left")
-    clash = {"remote": "replace", "local": "keep", "abort": "conflict"}[policy]
+    """What a pull does with each remote path: ``add``, ``replace``, ``keep`` or ``conflict``.
+
+    ``newest`` needs a ``modified`` time on both sides; a tie keeps the local file.
+    """
+    own = local.withColumnRenamed("hash", "own")
+    met = remote.join(own.withColumnRenamed("modified", "_own_modified") if policy == "newest" else own, "path", "left")
+    if policy == "newest":
+        clash = F.when(F.col("modified") > F.col("_own_modified"), "replace").otherwise("keep")
+    else:
+        clash = F.lit({"remote": "replace", "local": "keep", "abort": "conflict"}[policy])
     action = F.when(F.col("own").isNull(), "add").when(F.col("own") != F.col("hash"), clash).otherwise("same")
     return met.select("path", action.alias("action")).filter("action <> 'same'")
 
 
+def object_key(hash: Column) -> Column:
+    """The content address of an object: two characters, then the rest."""
+    return F.concat(F.substring(hash, 1, 2), F.lit("/"), F.substring(hash, 3, 62))
+
+
+def pushed(files: DataFrame, store: DataFrame | None = None) -> DataFrame:
+    """The objects ``(object_key, content)`` that a push appends to the store: one for each new content."""
+    new = files.select(F.sha2("content", 256).alias("hash"), "content").groupBy("hash").agg(F.any_value("content").alias("content"))
+    new = new.select(object_key(F.col("hash")).alias("object_key"), "content")
+    return new if store is None else new.join(store.select("object_key"), "object_key", "left_anti")
+
+
+def pulled(local: DataFrame, remote: DataFrame, store: DataFrame, policy: str = "abort") -> DataFrame:
+    """The files ``(path, content)`` that a pull writes; under ``abort`` a conflict stops it."""
+    lists = [t.select("path", F.sha2("content", 256).alias("hash"), *[c for c in t.columns if c == "modified"]) if "hash" not in t.columns else t for t in (local, remote)]
+    plan = pull_plan(*lists, policy)
+    if policy == "abort" and not plan.filter("action = 'conflict'").isEmpty():
+        raise ValueError("local and remote differ; choose a policy")
+    take = plan.filter(F.col("action").isin("add", "replace")).select("path").join(lists[1].select("path", object_key(F.col("hash")).alias("object_key")), "path")
+    return take.join(store, "object_key").select("path", "content")
+
+
+def any_change(local: DataFrame, stored_root: DataFrame) -> DataFrame:
+    """One row: whether a manifest's root differs from the stored one."""
+    return merkle_root(local).select(F.col("merkle_root").alias("now")).crossJoin(stored_root.select(F.col("merkle_root").alias("then"))).select((~F.col("now").eqNullSafe(F.col("then"))).alias("changed"))  # one row each
+
+
 def sync_status(local: DataFrame, remote: DataFrame) -> DataFrame:
     mine, theirs = root_hash(local), root_hash(remote)
     theirs = theirs.select(F.col("root_hash").alias("_r"), F.col("objects").alias("remote_objects"))

@@ -148,12 +148,17 @@ def safe(path: Column, extension: str = "md") -> Column:
     return ~F.rlike(path, F.lit(r"(^|/)\.\.(/|$)")) & ~F.rlike(path, F.lit(r"^(/|[A-Za-z]:)")) & F.endswith(path, F.lit(f".{extension}"))
 
 
+#: Fixed value: what a diff begins with.
+DIFF_HEADER = "--- original\n+++ patched\n"
+
+
 def line_diff(before: Column, after: Column) -> Column:
-    """Position-wise changed lines as ``-old`` and ``+new``."""
+    """A header, then position-wise changed lines as ``-old`` and ``+new``; an empty side is not told."""
     lines = F.arrays_zip(F.split(before, "\n", -1).alias("a"), F.split(after, "\n", -1).alias("b"))
     changed = F.filter(lines, lambda x: ~x["a"].eqNullSafe(x["b"]))
-    told = F.transform(changed, lambda x: F.concat_ws("\n", F.concat(F.lit("-"), x["a"]), F.concat(F.lit("+"), x["b"])))
-    return F.array_join(told, "\n")
+    side = lambda sign, x: F.when(x != "", F.concat(F.lit(sign), x, F.lit("\n"))).otherwise("")
+    told = F.transform(changed, lambda x: F.concat(side("-", x["a"]), side("+", x["b"])))
+    return F.concat(F.lit(DIFF_HEADER), F.array_join(told, ""))
 
 
 def replace_section(body: str, heading: str, content: str) -> str:
@@ -219,3 +224,34 @@ def page_facts(pages: DataFrame) -> DataFrame:
         F.size(F.regexp_extract_all(html, F.lit('href="([^"]*)"'), F.lit(1))).cast("long").alias("links"),
         F.length(seen).cast("long").alias("text_chars"),
     )
+
+
+def with_sections(entries: DataFrame, heading: Column, content: str) -> DataFrame:
+    """Entries whose section is replaced; changed ones get a new version."""
+    new = text.with_section(F.col("body"), heading, content)
+    rows = entries.withColumn("_new", new).withColumn("version", F.col("version") + (F.col("_new") != F.col("body")).cast("int"))
+    return rows.withColumn("body", F.col("_new")).drop("_new")
+
+
+def with_front_matter(entries: DataFrame, **values: Column) -> DataFrame:
+    """Entries whose named fields are replaced; changed ones get a new version."""
+    unknown = set(values) - set(entries.columns)
+    if unknown:
+        raise ValueError(f"no such fields: {sorted(unknown)}")
+    changed = F.lit(False)
+    for name, value in values.items():
+        changed = changed | ~F.col(name).eqNullSafe(value)
+    return entries.withColumns({**values, "version": F.col("version") + changed.cast("int")})
+
+
+#: Fixed value: a region's corner coordinates as backends print them.
+BOX = r"\[\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\s*,\s*(\d+)\s*\]"
+
+
+def regions(said: DataFrame, around: int = 50) -> DataFrame:
+    """Boxes found in a backend's answer, with the characters around each: ``id``, ``place``, ``box``, ``context``."""
+    parts = F.split("answer", BOX, -1)
+    boxes = F.regexp_extract_all("answer", F.lit(f"({BOX})"), F.lit(1))
+    left = lambda i: F.right(F.get(parts, i), F.lit(around))
+    each = F.transform(boxes, lambda b, i: F.struct((i + 1).alias("place"), F.transform(F.regexp_extract_all(b, F.lit(r"(\d+)"), F.lit(1)), lambda n: n.cast("int")).alias("box"), F.concat(left(i), b, F.left(F.get(parts, i + 1), F.lit(around))).alias("context")))
+    return said.select("id", F.inline(each))

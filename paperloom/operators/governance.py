@@ -87,8 +87,78 @@ def list_issues(entries: DataFrame, severity: str | None = None, limit: int | No
     return rows if limit is None else rows.orderBy("severity", "path", "message").limit(limit)
 
 
+#: Operation names and reasons of the next actions, and how many orphans are named.
+NEXT_ORPHANS = 5
+NEXT_ACTIONS = {
+    "suggest_links": "Orphan entry — discover links to integrate into the graph",
+    "patch_wiki_entry": "Fix broken related/contradiction paths in front matter",
+    "hypothesis_test": "Review explicit contradiction pairs and resolve or document open questions",
+    "rebuild_index": "Refresh the text, vector and graph indexes after quality fixes",
+}
+
+
+def next_actions(entries: DataFrame) -> DataFrame:
+    """What to do about the findings: ``place``, ``tool``, ``target``, in order."""
+    lost = quality_orphans(entries).orderBy("path").limit(NEXT_ORPHANS).select(F.lit(1).alias("place"), F.lit("suggest_links").alias("tool"), F.col("path").alias("target"))
+    broken = broken_links(entries).agg(F.min("path").alias("target")).filter("target is not null").select(F.lit(2).alias("place"), F.lit("patch_wiki_entry").alias("tool"), "target")
+    always = entries.sparkSession.createDataFrame([(3, "hypothesis_test", None), (4, "rebuild_index", None)], "place int, tool string, target string")
+    return lost.unionByName(broken).unionByName(always)
+
+
+def snapshot_counts(entries: DataFrame) -> DataFrame:
+    """One row of the counts that a snapshot keeps beside its listed issues."""
+    parts = [
+        issues(entries).agg(F.count("*").alias("issues")),
+        quality_orphans(entries).agg(F.count("*").alias("orphans")),
+        contradiction_pairs(entries).agg(F.count("*").alias("contradictions")),
+        broken_links(entries).agg(F.count("*").alias("broken")),
+        gate_summary(publish_gate(entries)).select("published", "blocked", "draft"),
+    ]
+    row = parts[0]
+    for part in parts[1:]:
+        row = row.crossJoin(part)  # one row each
+    return row
+
+
+def report_lines(entries: DataFrame) -> DataFrame:
+    """The quality report as Markdown lines: ``section``, ``line`` (sections in order, lines sorted within)."""
+    head = health_report(entries).select(
+        F.lit(0).alias("section"),
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.concat(F.lit(f"- **{name}**: "), value).alias("line"))
+                    for name, value in (
+                        ("Total entries", F.col("entries").cast("string")),
+                        ("Domains", F.col("domains").cast("string")),
+                        ("Average quality score", F.concat(F.round(F.col("avg_quality") * 100, 1).cast("string"), F.lit("%"))),
+                        ("Orphan entries", F.col("orphans").cast("string")),
+                        ("Broken links", F.col("broken").cast("string")),
+                    )
+                ]
+            )
+        ),
+    )
+    table = issues(entries).select(F.lit(1).alias("section"), F.concat(F.lit("| "), "severity", F.lit(" | "), "path", F.lit(" | "), "message", F.lit(" |")).alias("line"))
+    lost = quality_orphans(entries).select(F.lit(2).alias("section"), F.concat(F.lit("- `"), "path", F.lit("`")).alias("line"))
+    broken = broken_links(entries).select(F.lit(3).alias("section"), F.concat(F.lit("- `"), "path", F.lit("` → `"), "ref", F.lit("`")).alias("line"))
+    return head.unionByName(table).unionByName(lost).unionByName(broken)
+
+
+def meta_lint(entries: DataFrame, links: DataFrame, as_of: str) -> DataFrame:
+    """One row: the lint counts beside those of load-bearing entries, confidence and diversity."""
+    from paperloom.operators import graph
+
+    row = lint_summary(entries, as_of)
+    bearing = graph.load_bearing(graph.reference_edges(entries), 2).agg(F.count("*").alias("load_bearing"))
+    lowered = graph.propagation_summary(graph.propagate_confidence(entries)).select("downgraded", "needs_review")
+    for part in (bearing, lowered, graph.diversity(entries, links).select("hubs", "diversity_index")):
+        row = row.crossJoin(part)  # one row each
+    return row
+
+
 def fix_suggestions(listed: DataFrame) -> DataFrame:
-    """The operation that mends each issue."""
+    """The operation that mends each issue (operation names are fixed values)."""
     m = F.col("message")
     tool = (
         F.when(m.startswith("broken link"), "patch_wiki_entry")
@@ -122,28 +192,10 @@ def stale(entries: DataFrame, as_of: str, max_age: int = MAX_AGE_DAYS) -> DataFr
     return rows.select("path", "days", F.round(scores.decay_score(F.col("quality_score"), F.col("days")), 6).alias("decayed")).orderBy(F.desc("days"), "path")
 
 
-def _cosines(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
-    """``a``, ``b`` and the cosine of their sparse unit vectors."""
-    packed = vectors.groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("v"))
-    met = pairs.join(packed.select(F.col("path").alias("a"), F.col("v").alias("_u")), "a").join(packed.select(F.col("path").alias("b"), F.col("v").alias("_v")), "b")
-    dot = F.aggregate(F.map_entries("_u"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("_v", e["key"]), F.lit(0.0)))
-    return met.withColumn("cosine", dot)
-
-
-def drift_pairs(entries: DataFrame, tag_prefix: str = "", days: int = DRIFT_DAYS, most: float = DRIFT_COSINE) -> DataFrame:
-    """Pairs that share a tag, were created far apart and say different things."""
-    tagged = entries.select("path", "created", F.explode(F.array_distinct("tags")).alias("tag")).filter(F.startswith("tag", F.lit(tag_prefix)))
-    other = tagged.select(F.col("path").alias("b"), F.col("created").alias("b_created"), "tag")
-    apart = F.abs(F.timestamp_diff("DAY", F.col("created"), F.col("b_created"))) >= days
-    pairs = tagged.withColumnRenamed("path", "a").join(other, "tag").filter((F.col("a") < F.col("b")) & apart).groupBy("a", "b").agg(F.min("tag").alias("tag"))
-    met = _cosines(pairs, retrieval.vectors(entries))
-    return met.select("a", "b", "tag", F.round("cosine", 4).alias("similarity")).filter(F.col("similarity") < most)
-
-
-def all_drift_pairs(entries: DataFrame, days: int = DRIFT_DAYS, most: float = DRIFT_COSINE, block: int = 1000) -> DataFrame:
-    """``drift_pairs`` over every tag, hot ones included.
+def drift_pairs(entries: DataFrame, days: int = DRIFT_DAYS, most: float = DRIFT_COSINE, block: int = 1000) -> DataFrame:
+    """Pairs that share a tag, were created far apart and say different things, worst first.
 
-    The entries of a tag are dealt to chunks of about ``block``, and every two
+    Every tag counts, hot ones included. The entries of a tag are dealt to chunks of about ``block``, and every two
     chunks meet in one matrix product, so no task gets a whole hot tag. A pair
     is told by the smallest tag it shares only.
     """
@@ -180,7 +232,9 @@ def all_drift_pairs(entries: DataFrame, days: int = DRIFT_DAYS, most: float = DR
         return pd.DataFrame({"a": np.where(a < b, a, b)[once], "b": np.where(a < b, b, a)[once], "tag": tag, "similarity": value[x, y][once]})
 
     found = met.groupBy("tag", "i", "j").applyInPandas(apart, "a string, b string, tag string, similarity double")
-    return found.select("a", "b", "tag", F.round("similarity", 4).alias("similarity")).filter(F.col("similarity") < most)
+    found = found.select("a", "b", "tag", F.round("similarity", 4).alias("similarity")).filter(F.col("similarity") < most)
+    title = lambda to: entries.select(F.col("path").alias(to), F.col("title").alias(f"{to}_title"))
+    return found.join(title("a"), "a").join(title("b"), "b").select("a", "b", "a_title", "b_title", "tag", "similarity").orderBy("similarity", "a", "b")
 
 
 def near_duplicates(entries: DataFrame, least: float = NEAR_COSINE, block: int = 4000) -> DataFrame:

@@ -232,6 +232,32 @@ def propagate_confidence(entries: DataFrame, depth: int = 2) -> DataFrame:
     )
 
 
+def written_back(entries: DataFrame, report: DataFrame, dry_run: bool = False) -> DataFrame:
+    """Entries after a propagation is applied: effective confidence where lowered or in doubt, and those in doubt to recompile."""
+    if dry_run:
+        return entries
+    own = report.filter("downgraded or needs_review").select("path", "effective", "needs_review")
+    met = entries.join(own, "path", "left")
+    status = F.when(F.col("needs_review"), "needs_recompile").otherwise(F.col("status"))
+    return met.withColumns({"confidence": F.coalesce("effective", "confidence"), "status": status}).select(*entries.columns)
+
+
+def domain_partitions(entries: DataFrame, links: DataFrame) -> DataFrame:
+    """Per domain its nodes, the edges inside it, and those that leave it."""
+    of = entries.select("path", "domain")
+    ends = links.join(of.select(F.col("path").alias("src"), F.col("domain").alias("domain")), "src").join(of.select(F.col("path").alias("dst"), F.col("domain").alias("other")), "dst")
+    edges = ends.groupBy("domain").agg(F.count_if(F.col("domain") == F.col("other")).alias("inside"), F.count_if(F.col("domain") != F.col("other")).alias("leaving"))
+    nodes_of = of.groupBy("domain").agg(F.count("*").alias("nodes"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return nodes_of.join(edges, "domain", "left").select("domain", "nodes", zero("inside"), zero("leaving"))
+
+
+def subgraph(entries: DataFrame, links: DataFrame, domain: str) -> DataFrame:
+    """The edges between entries of one domain."""
+    own = entries.filter(F.col("domain") == domain).select("path")
+    return links.join(own.withColumnRenamed("path", "src"), "src", "left_semi").join(own.withColumnRenamed("path", "dst"), "dst", "left_semi").select("src", "dst", "kind")
+
+
 def propagation_summary(report: DataFrame) -> DataFrame:
     return report.agg(
         F.count("*").alias("entries"),

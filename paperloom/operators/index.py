@@ -1,72 +1,135 @@
 """Search indexes as tables: built once, written sorted, read by term.
 
 Postings are range-partitioned and sorted by term, and vectors by bucket, so a
-query reads the few row groups that hold its terms instead of every body.
+query reads the few row groups that hold its terms instead of every body. What a
+search needs of the whole corpus (field statistics, term weights, which entries
+may be shown) is stored beside them.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+import math
+from collections import Counter
+from collections.abc import Callable
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import scores, text
 from paperloom.operators import retrieval
-
-TABLES = ("postings", "fields", "weights", "vectors")
+from paperloom.plans import shared
 
 
 @dataclass
 class Index:
-    """Postings, field sizes, term weights and vectors of searchable entries."""
+    """Postings, field sizes and their statistics, term weights, vectors and display state of entries."""
 
     postings: DataFrame  # term, path, field, tf, size
     fields: DataFrame  # path, field, size
+    stats: DataFrame  # field, mean, total
     weights: DataFrame  # term, idf, bucket
     vectors: DataFrame  # path, bucket, weight
+    shown: DataFrame  # path, title, domain, publish_status, quality_score
 
     @classmethod
-    def of(cls, entries: DataFrame) -> Index:
-        sizes = retrieval.field_tokens(entries).select("path", "field", F.size("tokens").alias("size"))
+    def of(cls, entries: DataFrame, tokens: Callable = text.tokens) -> Index:
+        """The index of entries; ``tokens`` makes the terms of a text column."""
+        postings = retrieval.postings(entries, tokens)
+        sizes = retrieval.field_tokens(entries, tokens).select("path", "field", F.size("tokens").alias("size"))
         terms = retrieval.vector_terms(entries)
         weights = retrieval.idf(entries, terms)
-        return cls(retrieval.postings(entries), sizes, weights, retrieval.vectors(entries, terms, weights))
+        shown = entries.select("path", "title", "domain", "publish_status", "quality_score")
+        return cls(postings, sizes, _stats(sizes), weights, retrieval.vectors(entries, terms, weights), shown)
 
     @classmethod
     def read(cls, spark: SparkSession, root: str) -> Index:
-        return cls(*(spark.read.parquet(f"{root}/{t}") for t in TABLES))
+        return cls(*(spark.read.parquet(f"{root}/{f.name}") for f in fields(cls)))
 
     def write(self, root: str) -> Index:
         """The index in a new folder (a generation), and the index that reads it."""
-        for name, key in zip(TABLES, ("term", "path", "term", "bucket"), strict=True):
+        spark, made = self.postings.sparkSession, {}
+        keys = {"postings": "term", "fields": "path", "weights": "term", "vectors": "bucket", "shown": "path"}
+        for name, key in keys.items():
             getattr(self, name).repartitionByRange(key).sortWithinPartitions(key).write.parquet(f"{root}/{name}")
-        return Index.read(self.postings.sparkSession, root)
+            made[name] = spark.read.parquet(f"{root}/{name}")
+        _stats(made["fields"]).coalesce(1).write.parquet(f"{root}/stats")
+        return Index.read(spark, root)
 
     def upserted(self, changed: DataFrame) -> Index:
-        """The index after entries changed; term weights stay those of the last full build."""
+        """The index after entries changed; term weights stay those of the last full build (``needs_rebuild``)."""
         gone = changed.select("path").distinct()
         fresh = Index.of(changed)
-        terms = retrieval.vector_terms(changed).join(self.weights.select("term", "idf"), "term", "left")
-        known = terms.select("term", F.coalesce("idf", F.lit(1.0)).alias("idf"), scores.fnv_bucket(F.col("term")).alias("bucket")).distinct()
-        vectors = retrieval.vectors(changed, retrieval.vector_terms(changed), known)
+        terms = retrieval.vector_terms(changed)
+        known = terms.select("term").distinct().join(self.weights.select("term", "idf"), "term", "left")
+        known = known.select("term", F.coalesce("idf", F.lit(1.0)).alias("idf"), scores.fnv_bucket(F.col("term")).alias("bucket"))
+        vectors = retrieval.vectors(changed, terms, known)
         keep = lambda old, new: old.join(gone, "path", "left_anti").unionByName(new)
-        return Index(keep(self.postings, fresh.postings), keep(self.fields, fresh.fields), self.weights, keep(self.vectors, vectors))
+        sizes = keep(self.fields, fresh.fields)
+        return Index(keep(self.postings, fresh.postings), sizes, _stats(sizes), self.weights, keep(self.vectors, vectors), keep(self.shown, fresh.shown))
+
+    def needs_rebuild(self, changed: DataFrame, share: float = 0.1) -> bool:
+        """Whether so many entries changed that term weights should be trained again."""
+        return changed.select("path").distinct().count() > share * self.shown.count()
 
     def keyword(self, query: str, top: int = 10) -> DataFrame:
         """BM25 over the postings of the query's terms."""
         found = self.postings.filter(F.col("term").isin(text.query_tokens(query) or [query.lower()]))
         df = found.groupBy("field", "term").agg(F.count("*").alias("df"))  # fields times query terms
-        sizes = self.fields.groupBy("field").agg(F.avg("size").alias("mean"), F.count("*").alias("total"))  # three rows
-        met = found.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(sizes), "field")
+        met = found.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(self.stats), "field")
         value = scores.bm25(F.col("tf"), F.col("df"), F.col("total"), F.col("size"), F.col("mean"))
         return met.groupBy("path").agg(F.round(F.sum(value), 4).alias("score")).orderBy(F.desc("score"), "path").limit(top)
 
+    def query_weights(self, query: str) -> dict[int, float]:
+        """The query's unit vector by bucket; unseen terms weigh 1."""
+        spark = self.weights.sparkSession
+        said = spark.range(1).select(text.term_tokens(F.lit(query)).alias("t")).first()["t"]
+        known = {r["term"]: r["idf"] for r in self.weights.filter(F.col("term").isin(sorted(set(said)))).collect()}  # the query's terms
+        raw: Counter = Counter()
+        for term, n in Counter(said).items():
+            raw[scores.fnv_bucket_of(term)] += n / len(said) * known.get(term, 1.0)
+        norm = math.sqrt(sum(w * w for w in raw.values()))
+        return {b: w / norm for b, w in raw.items()} if norm else {}
+
     def semantic(self, query: str, top: int = 10) -> DataFrame:
-        """Entries by the dot product with the query's vector; those without overlap are not read."""
-        own = retrieval.query_vector(query, self.weights)
-        dot = self.vectors.join(F.broadcast(own), "bucket").groupBy("path").agg(F.round(F.sum(F.col("weight") * F.col("q")), 6).alias("score"))
-        return dot.orderBy(F.desc("score"), "path").limit(top)
+        """Entries by the dot product with the query's vector; only the query's buckets are read."""
+        own = self.query_weights(query)
+        weight = F.create_map(*[F.lit(x) for b, w in sorted(own.items()) for x in (b, w)]) if own else None
+        part = F.col("weight") * F.element_at(weight, F.col("bucket")) if own else F.lit(0.0)
+        met = self.vectors.filter(F.col("bucket").isin(sorted(own)) if own else F.lit(False))
+        hits = met.groupBy("path").agg(F.round(F.sum(part), 6).alias("score")).orderBy(F.desc("score"), "path").limit(top)
+        rest = self.shown.select("path").orderBy("path").limit(2 * top)  # entries without overlap, where hits are few
+        rest = rest.join(F.broadcast(hits.select("path")), "path", "left_anti").select("path", F.lit(0.0).alias("score"))
+        return hits.unionByName(rest).orderBy(F.desc("score"), "path").limit(top)
 
     def hybrid(self, query: str, top: int = 10) -> DataFrame:
-        return retrieval.fuse(self.keyword(query, 2 * top), self.semantic(query, 2 * top)).limit(top)
+        """Both legs, fused, and gated as ``retrieval.hybrid_search`` gates."""
+        return retrieval.gated(retrieval.fuse(self.keyword(query, 2 * top), self.semantic(query, 2 * top)).limit(top), self.shown, top)
+
+
+def _stats(sizes: DataFrame) -> DataFrame:
+    return sizes.groupBy("field").agg(F.avg("size").alias("mean"), F.count("*").alias("total"))  # three rows
+
+
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def generation(spark: SparkSession, paths: list[str]) -> str:
+    """A name for the present state of some files: their paths, lengths and times of change."""
+    jvm, conf, seen = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        for f in where.getFileSystem(conf).globStatus(jvm.org.apache.hadoop.fs.Path(path)) or ():
+            seen += [f.getPath().toString(), f.getLen(), f.getModificationTime()]
+    return hashlib.sha256(repr(seen).encode()).hexdigest()[:16]
+
+
+def stored(spark: SparkSession, label: str, made: Callable[[], DataFrame], inputs: list[str]) -> Index:
+    """The index of ``made()``, built once in the shared folder for each state of its input files."""
+    key = (spark.sparkContext.applicationId, f"{label}-{generation(spark, inputs)}")
+    if key not in _STORED:
+        root = f"{shared.folder(spark)}/paperloom/index-{key[1]}-{key[0]}"
+        Index.of(made()).write(root)
+        _STORED[key] = root
+    return Index.read(spark, _STORED[key])

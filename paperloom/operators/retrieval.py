@@ -7,8 +7,10 @@ most two result lists, runs as Python over that bounded list.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,19 +34,19 @@ def minimal_quality(entries: DataFrame) -> DataFrame:
 # --- lexical ------------------------------------------------------------------
 
 
-def field_tokens(entries: DataFrame) -> DataFrame:
-    """``path``, ``field``, ``tokens`` of every indexed field."""
+def field_tokens(entries: DataFrame, tokens: Callable[[Column], Column] = text.tokens) -> DataFrame:
+    """``path``, ``field``, ``tokens`` of every indexed field, made by any tokenizer over a column."""
     each = [
-        F.struct(F.lit("title").alias("field"), text.tokens(F.col("title")).alias("tokens")),
-        F.struct(F.lit("body").alias("field"), text.tokens(F.col("body")).alias("tokens")),
-        F.struct(F.lit("tags").alias("field"), text.tokens(F.array_join("tags", " ")).alias("tokens")),
+        F.struct(F.lit("title").alias("field"), tokens(F.col("title")).alias("tokens")),
+        F.struct(F.lit("body").alias("field"), tokens(F.col("body")).alias("tokens")),
+        F.struct(F.lit("tags").alias("field"), tokens(F.array_join("tags", " ")).alias("tokens")),
     ]
     return entries.select("path", F.explode(F.array(*each)).alias("f")).select("path", "f.field", "f.tokens")
 
 
-def postings(entries: DataFrame) -> DataFrame:
+def postings(entries: DataFrame, tokens: Callable[[Column], Column] = text.tokens) -> DataFrame:
     """The index: ``term``, ``path``, ``field``, ``tf``, and the field's ``size``."""
-    sized = field_tokens(entries).withColumn("size", F.size("tokens"))
+    sized = field_tokens(entries, tokens).withColumn("size", F.size("tokens"))
     return sized.select("path", "field", "size", F.explode("tokens").alias("term")).groupBy("term", "path", "field").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
 
 
@@ -70,6 +72,26 @@ def keyword_search(entries: DataFrame, query: str, top: int = 10, domain: str |
     return ranked.orderBy(F.desc("score"), "path").limit(top)
 
 
+def sharded_search(entries: DataFrame, query: str, top: int = 10) -> DataFrame:
+    """BM25 within each domain as an index of its own, merged by raw score.
+
+    A shard's statistics are its own, so its scores are those it would give alone;
+    the best ``top`` of each shard are enough for the best of all.
+    """
+    terms = text.query_tokens(query) or [query.lower()]
+    fields = field_tokens(entries).withColumn("size", F.size("tokens")).join(entries.select("path", "domain"), "path")
+    count = lambda t: F.size(F.filter("tokens", lambda x: x == t)).alias("tf")
+    tf = [F.struct(F.lit(t).alias("term"), count(t)) for t in terms]
+    counted = fields.select("path", "domain", "field", "size", F.array(*tf).alias("terms"))
+    sizes = counted.groupBy("domain", "field").agg(F.avg("size").alias("mean"), F.count("*").alias("total"))
+    found = counted.select("path", "domain", "field", "size", F.inline("terms")).filter("tf > 0")
+    df = found.groupBy("domain", "field", "term").agg(F.count("*").alias("df"))
+    met = found.join(df, ["domain", "field", "term"]).join(sizes, ["domain", "field"])
+    value = scores.bm25(F.col("tf"), F.col("df"), F.col("total"), F.col("size"), F.col("mean"))
+    ranked = met.groupBy("domain", "path").agg(F.round(F.sum(value), 4).alias("score"))
+    return ranked.orderBy(F.desc("score"), "path").limit(top).select("path", "domain", "score")
+
+
 def with_entry(hits: DataFrame, entries: DataFrame, term: str) -> DataFrame:
     """Hits with title, domain and a snippet around the term."""
     own = entries.select("path", "title", "domain", text.snippet(F.col("body"), term).alias("snippet"))

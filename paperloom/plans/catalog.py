@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.functions import text
+from paperloom.functions import rules, text
 from paperloom.operators import bases, changes, documents, governance, graph, relational, retrieval
-from paperloom.operators.index import Index
+from paperloom.operators import index as indexes
 from paperloom.plans import oracles
 from paperloom.session import table
 from paperloom.sources.tables import AS_OF, entries
@@ -111,8 +111,59 @@ def _near_query(e: DataFrame) -> DataFrame:
     return retrieval.without_duplicates(retrieval.keyword_search(e, QUERY, 20), e)
 
 
+def _index(spark: SparkSession, sf_dir: str) -> indexes.Index:
+    """The stored index of a folder's entries, built at the first search of a session."""
+    return indexes.stored(spark, "entries", lambda: entries(spark, sf_dir), [f"{sf_dir}/{t}.parquet" for t in ("documents", "labels")])
+
+
+def _on_index(fn: Callable[[indexes.Index], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: fn(_index(spark, sf_dir))
+
+
+def _upserted_index(spark: SparkSession, sf_dir: str) -> indexes.Index:
+    """The stored index after the entries of one domain got another body."""
+    changed = entries(spark, sf_dir).filter("domain = 'area1'").withColumn("body", F.lit("worthless estion"))
+    return _index(spark, sf_dir).upserted(changed)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.hybrid_search(entries(spark, sf_dir), QUERY, 10)
+    return _index(spark, sf_dir).hybrid(QUERY, 10)
+
+
+def _timed_manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Manifests with times of change: every third remote file is newer."""
+    local, remote = _manifests(spark, sf_dir)
+    number = F.substring_index("path", "/", -1).cast("long")
+    at = lambda days: F.timestamp_add("DAY", days, F.lit("2024-01-01").cast("timestamp"))
+    return local.withColumn("modified", at(F.lit(5))), remote.withColumn("modified", at(F.when(number % 3 == 0, 9).otherwise(1)))
+
+
+def _store_after_push(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("content"))
+    store = changes.pushed(docs.filter("doc_id % 5 <> 0"))
+    return store.unionByName(changes.pushed(docs.filter("doc_id % 4 <> 0"), store)).select("object_key", F.octet_length("content").cast("long").alias("bytes"))
+
+
+def _raw_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = F.element_at(F.array(*[F.lit(x) for x in (".pdf", ".PDF", ".md", ".compile_prompt.md", ".webp", ".txt", "")]), (F.col("doc_id") % 7 + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select(F.concat(F.lit("f"), F.col("doc_id").cast("string"), ends).alias("name"))
+
+
+def _flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, i = table(spark, sf_dir, "events"), F.col("event_id")
+    kind = F.when(i % 4 == 0, "boolean").when(i % 4 == 1, "percentage").when(i % 4 == 2, "targeted").otherwise("other")
+    on = rules.flag_on(kind, F.when(i % 8 < 4, 0).otherwise(100), F.array(F.lit("1"), F.lit("2"), F.lit("3")), F.col("user_id").cast("string"))
+    return e.select("event_id", on.alias("is_on"))
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stand-ins for a layout model's answers: two boxes within a document's first words."""
+    i, head = F.col("doc_id").cast("string"), F.substring(F.regexp_replace(F.coalesce("text", F.lit("")), r"[^a-zA-Z ]", ""), 1, 200)
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.concat(head, F.lit(" ["), i, F.lit(", 2,3 ,"), i, F.lit("] table ["), i, F.lit(",0,0,1] "), head).alias("answer"))
+
+
+def _first_page(hits: DataFrame, e: DataFrame) -> DataFrame:
+    return retrieval.with_entry(hits, e, TERM).select("path", "title", "score", "snippet")
 
 
 def _listing(e: DataFrame) -> DataFrame:
@@ -150,7 +201,18 @@ def _queries() -> dict:
         "page_range_select": _on_entries(lambda e: e.select("path", F.explode(documents.page_numbers(F.col("page"), 10)).alias("page"))),
         "path_safety": _on_entries(lambda e: e.select("path", documents.safe(F.concat(F.when(F.col("doc_id") % 10 == 0, "../").when(F.col("doc_id") % 10 == 1, "/").otherwise(""), "path")).alias("ok"))),
         "canonical_paths": _on_entries(lambda e: e.select("path", text.safe_path(F.col("domain"), F.col("title")).alias("canonical"))),
+        "titles_of_paths": _on_entries(lambda e: e.select("path", text.title_of_path(text.safe_path(F.col("domain"), F.col("title"))).alias("title"))),
+        "normal_tags": _on_entries(lambda e: e.select("path", F.array_join(text.normal_tags(F.transform("tags", lambda t: F.concat(F.lit(" "), F.upper(t)))), ",").alias("tags"))),
+        "truncated_bodies": _on_entries(lambda e: e.select("path", text.truncated(F.col("body"), 120).alias("body"))),
+        "patch_section": _on_entries(lambda e: documents.with_sections(e, F.col("title"), "put here").select("path", "version", "body")),
+        "patch_front_matter": _on_entries(lambda e: documents.with_front_matter(e, level=F.lit("L1"), title=F.trim("title")).select("path", "title", "level", "version")),
+        "layout_regions": lambda s, d: documents.regions(_answers(s, d)).select("id", "place", F.array_join("box", ",").alias("box"), "context"),
+        "raw_sources_by_kind": lambda s, d: _raw_names(s, d).groupBy(rules.source_kind(F.col("name")).alias("kind")).agg(F.count("*").alias("n")).filter("kind is not null"),
         "markdown_structure": _on_entries(documents.structure),
+        "file_info": lambda s, d: table(s, d, "pages").select("page_id", F.octet_length("html").cast("long").alias("bytes"), rules.megabytes(F.octet_length("html")).alias("megabytes")),
+        "escalations": lambda s, d: documents.page_facts(table(s, d, "pages")).select("page_id", rules.escalation(F.col("text_chars"), (F.col("page_id") % 10) / 10.0, 400).alias("escalate")),
+        "result_previews": _on_entries(lambda e: e.select("path", F.sha2(rules.preview(F.regexp_replace("body", r"[^a-zA-Z ]", " "), 300), 256).alias("preview_hash"))),
+        "longest_extraction": lambda s, d: table(s, d, "documents").select("doc_id", F.length(F.when(F.length(F.coalesce("text", F.lit(""))) >= F.length("source"), F.coalesce("text", F.lit(""))).otherwise(F.col("source"))).cast("long").alias("chars")),
         "page_facts": lambda s, d: documents.page_facts(table(s, d, "pages")),
         "probe_quality": lambda s, d: documents.page_facts(table(s, d, "pages")).join(table(s, d, "pages").select("page_id", F.octet_length("html").alias("size")), "page_id").select("page_id", documents.probe_quality(F.col("text_chars"), F.col("size")).alias("method")),
         "line_diff": _on_entries(lambda e: e.select("path", F.sha2(documents.line_diff(F.col("body"), F.replace("body", F.lit("the"), F.lit("THE"))), 256).alias("diff"))),
@@ -174,6 +236,9 @@ def _queries() -> dict:
         "neighbors_nhop": _references(lambda e, g: graph.neighbors(g, CENTER, 3)),
         "concept_map_edges": _references(lambda e, g: graph.concept_map(g, CENTER, 2)),
         "confidence_propagation": _on_entries(graph.propagate_confidence),
+        "propagation_write_back": _on_entries(lambda e: graph.written_back(e, graph.propagate_confidence(e)).select("path", "confidence", "status")),
+        "domain_partitions": _graph(graph.domain_partitions),
+        "domain_subgraph": _graph(lambda e, g: graph.subgraph(e, g, "area2").groupBy("src", "dst", "kind").agg(F.count("*").alias("n"))),
         "propagation_summary": _on_entries(lambda e: graph.propagation_summary(graph.propagate_confidence(e))),
         "cognitive_diversity": _graph(graph.diversity),
         "diversity_warnings": _graph(graph.diversity_warnings),
@@ -199,16 +264,26 @@ def _queries() -> dict:
         "publish_gate": _on_entries(governance.publish_gate),
         "gate_summary": _on_entries(lambda e: governance.gate_summary(governance.publish_gate(e))),
         "stale_entries": _on_entries(lambda e: governance.stale(e, AS_OF)),
-        "drift_pairs": _on_entries(lambda e: governance.drift_pairs(e, "h", 5)),
-        "drift_pairs_all": _on_entries(governance.all_drift_pairs),
+        "drift_pairs": _on_entries(governance.drift_pairs),
+        "next_actions": _on_entries(governance.next_actions),
+        "quality_snapshot_counts": _on_entries(governance.snapshot_counts),
+        "quality_report_lines": _on_entries(governance.report_lines),
+        "meta_lint": _graph(lambda e, g: governance.meta_lint(e, g, AS_OF)),
         "near_duplicate_pairs": _on_entries(governance.near_duplicates),
         "missing_concept_hints": _on_entries(governance.missing_concepts),
         "lint_summary": _on_entries(lambda e: governance.lint_summary(e, AS_OF)),
         "health_report": _on_entries(governance.health_report),
         # retrieval
-        "bm25_keyword_search": _on_entries(search),
-        "indexed_keyword_search": _on_entries(lambda e: Index.of(e).keyword(QUERY, 10)),
-        "indexed_hybrid_search": _on_entries(lambda e: Index.of(e).hybrid(QUERY, 10)),
+        "bm25_keyword_search": _on_index(lambda x: x.keyword(QUERY, 10)),
+        "scan_keyword_search": _on_entries(search),
+        "scan_semantic_search": _on_entries(lambda e: retrieval.semantic_search(e, QUERY, 10)),
+        "index_postings": _on_index(lambda x: x.postings.groupBy("term").agg(F.count("*").alias("n"), F.sum("tf").alias("tf"))),
+        "index_sizes": _on_index(lambda x: x.stats.select("field", F.round("mean", 6).alias("mean"), "total")),
+        "index_upsert": lambda s, d: _upserted_index(s, d).fields.groupBy("field").agg(F.count("*").alias("n"), F.sum("size").alias("size")),
+        "index_upsert_search": lambda s, d: _upserted_index(s, d).keyword("worthless", 5),
+        "sharded_search": _on_entries(lambda e: retrieval.sharded_search(e, QUERY, 10)),
+        "light_hits": _on_entries(lambda e: _first_page(retrieval.keyword_search(e, QUERY, 10), e)),
+        "corpus_texts": _on_entries(lambda e: e.select("path", F.sha2(F.concat_ws(" ", "title", "body"), 256).alias("text_hash"))),
         "keyword_search_domain": _on_entries(lambda e: retrieval.keyword_search(e, QUERY, 10, "area3")),
         "search_gate_semi_join": _on_entries(lambda e: retrieval.gated(retrieval.keyword_search(e, QUERY, 100), e, 5)),
         "search_domain_facets": _on_entries(lambda e: retrieval.facets(retrieval.keyword_search(e, QUERY, 50), e)),
@@ -217,7 +292,7 @@ def _queries() -> dict:
         "tfidf_idf": _on_entries(lambda e: retrieval.idf(e, retrieval.vector_terms(e)).select("term", F.round("idf", 6).alias("idf"), "bucket")),
         "tfidf_vectors": _on_entries(lambda e: retrieval.vectors(e).select("path", "bucket", F.round("weight", 6).alias("weight"))),
         "vector_upsert": _on_entries(_upserted),
-        "semantic_search": _on_entries(lambda e: retrieval.semantic_search(e, QUERY, 10)),
+        "semantic_search": _on_index(lambda x: x.semantic(QUERY, 10)),
         "embedding_topk": _embedding_query,
         "rrf_fusion": _on_entries(lambda e: retrieval.fuse(retrieval.keyword_search(e, QUERY, 20), retrieval.semantic_search(e, QUERY, 20))),
         "hybrid_search": flagship,
@@ -239,6 +314,14 @@ def _queries() -> dict:
         "sync_conflicts": lambda s, d: changes.conflicts(*_manifests(s, d)),
         "sync_push_plan": lambda s, d: changes.push_plan(*_manifests(s, d)),
         "sync_pull_plan": lambda s, d: changes.pull_plan(*_manifests(s, d)),
+        "sync_pull_newest": lambda s, d: changes.pull_plan(*_timed_manifests(s, d), policy="newest"),
+        "sync_store_after_push": _store_after_push,
+        "any_change": lambda s, d: changes.any_change(_manifests(s, d)[0], changes.merkle_root(_manifests(s, d)[1])),
+        "flag_states": _flags,
+        "tool_tiers": lambda s, d: table(s, d, "events").select("event_type").distinct().select("event_type", rules.tier(F.col("event_type"), ["click", "view"], ["purchase"]).alias("tier")),
+        "camel_names": lambda s, d: table(s, d, "events").select("event_type").distinct().select("event_type", rules.camel(F.concat(F.lit("on_new_"), "event_type")).alias("camel")),
+        "retry_delays": lambda s, d: table(s, d, "nation").select("n_nationkey", F.round(rules.backoff(F.col("n_nationkey").cast("int"), 0.5, 30.0), 6).alias("seconds")),
+        "proposals_pending": lambda s, d: bases.listed(_jobs(s, d).withColumns({"id": F.col("seq"), "created": F.col("ts")}), "view").select("id", "job"),
         "sync_status": lambda s, d: changes.sync_status(*_manifests(s, d)),
         "job_current_state": lambda s, d: changes.job_state(_jobs(s, d)),
         "job_stage_durations": lambda s, d: changes.stage_durations(_jobs(s, d)),

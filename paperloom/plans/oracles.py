@@ -88,6 +88,10 @@ _BUCKET = """(list_reduce(list_concat([37], list_transform(range(1, octet_length
    lambda i: cast(concat('0x', substr(hex(encode(term)), cast(2 * i - 1 as int), 2)) as int)), [255]), lambda h, b: (xor(h, b) * 179) & 255) & 255)"""
 
 
+_UPSERTED = f"""{E.replace("entries as (", "entries0 as (", 1)},
+entries as (select * replace (case when domain = 'area1' then 'worthless estion' else body end as body) from entries0){_FIELDS.split(E, 1)[1].replace("('estion'), ('the'), ('thhentha'), ('worthless')", "('worthless')")}"""
+
+
 def _vectors(source: str) -> str:
     return f"""{source},
 tk as (select path, list_filter({TOKENS.format("title || ' ' || body")}, lambda x: octet_length(encode(x)) > 1) as t from entries),
@@ -175,7 +179,48 @@ SQL: dict[str, str] = {
     "probe_quality": f"{_HTML} select page_id, case when text_chars / greatest(size, 1) >= 0.3 then 'digital' when text_chars / greatest(size, 1) >= 0.05 then 'hybrid' else 'scanned' end as method from f",
     "line_diff": f"""{E}, l as (select path, generate_subscripts(a, 1) as pos, unnest(a) as x, unnest(b) as y
         from (select path, string_split(body, chr(10)) as a, string_split(replace(body, 'the', 'THE'), chr(10)) as b from entries))
-      select path, sha256(coalesce(string_agg('-' || x || chr(10) || '+' || y, chr(10) order by pos) filter (x is distinct from y), '')) as diff from l group by path""",
+      select path, sha256('--- original' || chr(10) || '+++ patched' || chr(10) || coalesce(string_agg(case when x <> '' then '-' || x || chr(10) else '' end || case when y <> '' then '+' || y || chr(10) else '' end, '' order by pos)
+        filter (x is distinct from y), '')) as diff from l group by path""",
+    "titles_of_paths": f"""{E} select path, title from entries""",
+    "normal_tags": f"""{E} select path, array_to_string(list_sort(list_distinct(list_filter(list_transform(tags, lambda t: lower(trim(' ' || upper(t)))), lambda t: octet_length(encode(t)) >= 3))), ',') as tags from entries""",
+    "truncated_bodies": f"{E} select path, case when length(body) > 120 then substr(body, 1, 120) || '...' else body end as body from entries",
+    "patch_section": f"""{E}, l as (select path, version, title, body, string_split(body, chr(10)) as a from entries),
+      h as (select path, version, body, a, list_filter(generate_series(2, len(a)), lambda i: regexp_matches(a[i], '^#[ \\t]')) as later from l)
+      select path, cast(version + cast(new <> body as int) as int) as version, new as body from (select path, version, body, a[1] || chr(10) || 'put here' ||
+        case when len(later) > 0 then chr(10) || array_to_string(a[later[1]:], chr(10)) else '' end as new from h)""",
+    "patch_front_matter": f"{E} select path, title, 'L1' as level, cast(version + cast(level <> 'L1' as int) as int) as version from entries",
+    "layout_regions": r"""with d as (select doc_id as id, cast(doc_id as varchar) as i, substr(regexp_replace(coalesce(text, ''), '[^a-zA-Z ]', '', 'g'), 1, 200) as head from documents)
+      select id, cast(1 as int) as place, i || ',2,3,' || i as box, right(head || ' ', 50) || '[' || i || ', 2,3 ,' || i || ']' || ' table ' as context from d
+      union all select id, 2, i || ',0,0,1', ' table ' || '[' || i || ',0,0,1]' || left(' ' || head, 50) from d""",
+    "raw_sources_by_kind": """select kind, count(*) as n from (select case when doc_id % 7 in (0, 1) then 'pdf' when doc_id % 7 = 2 then 'markdown' when doc_id % 7 = 4 then 'image' end as kind from documents)
+      where kind is not null group by kind""",
+    "file_info": "select page_id, strlen(html) as bytes, round(strlen(html) / 1048576, 2) as megabytes from pages",
+    "escalations": f"{_HTML} select page_id, case when text_chars <= 400 then 'ocr' when page_id % 10 < 3 then 'vlm' else 'none' end as escalate from f",
+    "result_previews": f"""{E}, b as (select path, regexp_replace(body, '[^a-zA-Z ]', ' ', 'g') as t from entries)
+      select path, sha256(case when length(t) > 300 then '{{"truncated":true,"chars":' || length(t) || ',"preview":"' || substr(t, 1, 300) || '"}}' else t end) as preview_hash from b""",
+    "longest_extraction": "select doc_id, greatest(length(coalesce(text, '')), length(source)) as chars from documents",
+    "corpus_texts": f"{E} select path, sha256(title || ' ' || body) as text_hash from entries",
+    "propagation_write_back": f"""{_PROPAGATION} select e.path, case when downgraded or needs_review then effective else confidence end as confidence,
+      case when needs_review then 'needs_recompile' else status end as status from entries e join rep using (path)""",
+    "domain_partitions": f"""{_GRAPH}, en as (select x.domain as a, y.domain as b from edges join entries x on x.path = src join entries y on y.path = dst)
+      select domain, count(*) as nodes, (select count(*) from en where a = domain and b = domain) as inside, (select count(*) from en where a = domain and b <> domain) as leaving from entries group by domain""",
+    "domain_subgraph": f"""{_GRAPH} select src, dst, kind, count(*) as n from edges where src in (select path from entries where domain = 'area2') and dst in (select path from entries where domain = 'area2') group by src, dst, kind""",
+    "meta_lint": f"""{_GRAPH}, {_DEGREE}, {_HUBS}, {_ISSUES.split(E, 1)[1].lstrip(", ")}, {_STALE}, {_PROPAGATION.split(_NAMED, 1)[1].lstrip(", ")},
+      ag as (select count(*) as n from deg, hub where in_degree >= threshold)
+      select count(*) filter (severity = 'ERROR') as errors, count(*) filter (severity = 'WARN') as warnings, count(*) filter (severity = 'INFO') as infos,
+        (select count(*) from br) as broken, (select count(*) from qo) as orphans, (select count(*) from cp) as contradictions, (select count(*) from st) as stale,
+        (select count(*) from deg where in_degree >= 2) as load_bearing, (select count(*) from rep where downgraded) as downgraded, (select count(*) from rep where needs_review) as needs_review,
+        (select n from ag) as hubs, (select round(1 - n / (select count(*) from entries), 6) from ag) as diversity_index from iss""",
+    "sync_pull_newest": f"""{_MANIFESTS} select path, case when loc.hash is null then 'add' when cast(split_part(path, '/', 2) as bigint) % 3 = 0 then 'replace' else 'keep' end as action
+      from rem left join loc using (path) where loc.hash is distinct from rem.hash""",
+    "sync_store_after_push": """with c as (select distinct coalesce(text, '') as t from documents where doc_id % 5 <> 0 or doc_id % 4 <> 0)
+      select substr(sha256(t), 1, 2) || '/' || substr(sha256(t), 3) as object_key, strlen(t) as bytes from c""",
+    "any_change": f"""{_MANIFESTS} select (select list_sort(list(path || hash)) from loc) is distinct from (select list_sort(list(path || hash)) from rem) as changed""",
+    "flag_states": """select event_id, case event_id % 4 when 0 then event_id % 8 >= 4 when 1 then event_id % 8 >= 4 when 2 then coalesce(user_id in (1, 2, 3), false) else false end as is_on from events""",
+    "tool_tiers": "select distinct event_type, case when event_type in ('click', 'view') then 'core' when event_type = 'purchase' then 'code_only' else 'deferred' end as tier from events",
+    "camel_names": "select distinct event_type, 'onNew' || upper(substr(event_type, 1, 1)) || substr(event_type, 2) as camel from events",
+    "retry_delays": "select n_nationkey, round(least(0.5 * pow(2, n_nationkey), 30) * 1.1, 6) as seconds from nation",
+    "proposals_pending": "select event_id as id, user_id as job from events where event_type = 'view'",
     "patch_search_replace": f"{E} select path, version + cast(contains(body, 'the ') as int) as version, sha256(replace(body, 'the ', 'THE ')) as body_hash from entries",
     "wiki_tree": f"{E} select split_part(path, '/', 1) as name, count(*) as entries, false as is_entry from entries group by 1 union all select title, 1, true from entries",
     "highlight_hits": f"""{E} select path, sha256(regexp_replace(replace(replace(replace(replace(body, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '(estion)', '<mark>\\1</mark>', 'gi')) as marked,
@@ -231,13 +276,22 @@ SQL: dict[str, str] = {
       count(*) filter (before <> after) as changed from gate""",
     "stale_entries": f"{E}, {_STALE} select path, days, round(least(1.0, greatest(0.0, quality_score * power(0.5, days / 180))), 6) as decayed from st",
     "drift_pairs": f"""{_vectors(E)}, tt as (select path, created, unnest(list_distinct(tags)) as tag from entries),
-      pr as (select x.path as a, y.path as b, min(tag) as tag from tt x join tt y using (tag) where starts_with(tag, 'h') and x.path < y.path and abs(date_diff('day', x.created, y.created)) >= 5 group by 1, 2),
-      dd as (select a, b, tag, coalesce((select sum(u.weight * v.weight) from vec u join vec v using (bucket) where u.path = a and v.path = b), 0.0) as s from pr)
-      select a, b, tag, round(s, 4) as similarity from dd where round(s, 4) < 0.6""",
-    "drift_pairs_all": f"""{_vectors(E)}, tt as (select path, created, unnest(list_distinct(tags)) as tag from entries),
       pr as (select x.path as a, y.path as b, min(tag) as tag from tt x join tt y using (tag) where x.path < y.path and abs(date_diff('day', x.created, y.created)) >= 90 group by 1, 2),
-      dd as (select a, b, tag, coalesce((select sum(u.weight * v.weight) from vec u join vec v using (bucket) where u.path = a and v.path = b), 0.0) as s from pr)
-      select a, b, tag, round(s, 4) as similarity from dd where round(s, 4) < 0.6""",
+      dt as (select a, b, sum(u.weight * v.weight) as s from pr join vec u on u.path = a join vec v on v.path = b and v.bucket = u.bucket group by a, b),
+      dd as (select a, b, tag, round(coalesce(s, 0.0), 4) as similarity from pr left join dt using (a, b))
+      select a, b, x.title as a_title, y.title as b_title, tag, similarity from dd join entries x on x.path = a join entries y on y.path = b where similarity < 0.6""",
+    "next_actions": f"""{_ISSUES} select cast(1 as int) as place, 'suggest_links' as tool, path as target from (select path from qo order by path limit 5)
+      union all select 2, 'patch_wiki_entry', min(path) from br having count(*) > 0 union all select 3, 'hypothesis_test', null union all select 4, 'rebuild_index', null""",
+    "quality_snapshot_counts": f"""{_ISSUES}, {_GATE.split(E, 1)[1].lstrip(", ")}
+      select (select count(*) from iss) as issues, (select count(*) from qo) as orphans, (select count(*) from cp) as contradictions, (select count(*) from br) as broken,
+        count(*) filter (after = 'published') as published, count(*) filter (after = 'blocked') as blocked, count(*) filter (after = 'draft') as draft from gate""",
+    "quality_report_lines": f"""{_ISSUES}, hd as (select count(*) as entries, count(distinct domain) as domains,
+        round(coalesce(avg(case when quality_score > 0 then quality_score end), 0), 6) as avg_quality from entries)
+      select cast(0 as int) as section, '- **Total entries**: ' || entries as line from hd union all select 0, '- **Domains**: ' || domains from hd
+      union all select 0, '- **Average quality score**: ' || cast(round(avg_quality * 100, 1) as varchar) || '%' from hd
+      union all select 0, '- **Orphan entries**: ' || (select count(*) from qo) union all select 0, '- **Broken links**: ' || (select count(*) from br)
+      union all select 1, '| ' || severity || ' | ' || path || ' | ' || message || ' |' from iss union all select 2, '- `' || path || '`' from qo
+      union all select 3, '- `' || path || '` → `' || ref || '`' from br""",
     "near_duplicate_pairs": f"""{_vectors(E)}, dd as (select u.path as a, v.path as b, round(sum(u.weight * v.weight), 4) as similarity from vec u join vec v on u.bucket = v.bucket and u.path < v.path group by 1, 2)
       select * from dd where similarity >= 0.92""",
     "missing_concept_hints": f"""{E}, t as (select lower(trim(unnest(tags))) as tag from entries)
@@ -247,8 +301,21 @@ SQL: dict[str, str] = {
     "health_report": f"""{_ISSUES} select count(*) as entries, count(distinct domain) as domains, cast(sum(strlen(body)) as bigint) as body_bytes,
       round(coalesce(avg(quality_score) filter (quality_score > 0), 0.0), 6) as avg_quality, (select count(*) from qo) as orphans, (select count(*) from br) as broken, (select count(*) from cp) as contradictions from entries""",
     "bm25_keyword_search": f"{_FIELDS} select * from bm order by score desc, path limit 10",
-    "indexed_keyword_search": f"{_FIELDS} select * from bm order by score desc, path limit 10",
-    "indexed_hybrid_search": f"{_fused(20)} select * from rrf order by score desc, path limit 10",
+    "scan_keyword_search": f"{_FIELDS} select * from bm order by score desc, path limit 10",
+    "scan_semantic_search": f"{_BOTH} select * from sem order by score desc, path limit 10",
+    "index_postings": f"{_FIELDS} select term, count(*) as n, sum(tf)::bigint as tf from (select path, field, term, count(*) as tf from (select path, field, unnest(t) as term from ft) group by 1, 2, 3) group by term",
+    "index_sizes": f"{_FIELDS} select field, round(mean, 6) as mean, total from fs",
+    "index_upsert": f"{_UPSERTED} select field, count(*) as n, sum(len(t))::bigint as size from ft group by field",
+    "index_upsert_search": f"{_UPSERTED} select * from bm order by score desc, path limit 5",
+    "sharded_search": f"""{_FIELDS}, sd as (select f.*, domain from ft f join entries using (path)),
+      ss as (select domain, field, avg(len(t)) as mean, count(*) as total from sd group by domain, field),
+      hs as (select domain, path, field, size, term, tf from hit join entries using (path)),
+      dd as (select domain, field, term, count(*) as df from hs group by domain, field, term)
+      select path, domain, round(sum(ln(1 + (total - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 4) as score
+      from hs join dd using (domain, field, term) join ss using (domain, field) group by domain, path order by score desc, path limit 10""",
+    "light_hits": f"""{_FIELDS}, tp as (select * from bm order by score desc, path limit 10)
+      select path, title, score, case when pos > 0 then substr(body, greatest(1, pos - 100), pos - greatest(1, pos - 100) + 200) else substr(body, 1, 200) end as snippet
+      from (select path, title, score, body, instr(lower(body), 'estion') as pos from tp join entries using (path))""",
     "keyword_search_domain": f"{_FIELDS} select bm.* from bm join entries using (path) where domain = 'area3' order by score desc, path limit 10",
     "search_gate_semi_join": f"{_FIELDS}, top as (select * from bm order by score desc, path limit 100) select * from top where path in (select path from entries where {_SEARCHABLE}) order by score desc, path limit 5",
     "search_domain_facets": f"{_FIELDS}, top as (select * from bm order by score desc, path limit 50) select domain, count(*) as n from top join entries using (path) group by domain",

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.functions import rules
+
 
 def markdown_files(spark: SparkSession, root: str, index_pages: bool = False, hidden: bool = False) -> DataFrame:
     """``path`` below ``root`` and ``content`` of every Markdown file.
@@ -25,13 +27,7 @@ def raw_files(spark: SparkSession, root: str) -> DataFrame:
     """Sources of the raw folder by kind: ``path``, ``kind``, ``length``, ``content``."""
     files = spark.read.format("binaryFile").load(root)
     name = F.element_at(F.split("path", "/"), -1)
-    kind = (
-        F.when(F.rlike(name, F.lit(r"(?i)\.pdf$")), "pdf")
-        .when(F.endswith(name, F.lit(".compile_prompt.md")), None)
-        .when(F.rlike(name, F.lit(r"(?i)\.md$")), "markdown")
-        .when(F.rlike(name, F.lit(r"(?i)\.(png|jpe?g|webp|gif)$")), "image")
-    )
-    return files.select("path", kind.alias("kind"), "length", "content").filter(F.col("kind").isNotNull() & ~F.startswith(name, F.lit(".")))
+    return files.select("path", rules.source_kind(name).alias("kind"), "length", "content").filter(F.col("kind").isNotNull() & ~F.startswith(name, F.lit(".")))
 
 
 def write_entries(markdown: DataFrame, root: str) -> None:
