@@ -10,12 +10,13 @@ its radius stays at three bits; what lies beyond comes from min-hash bands: of
 probability of ``(1 - LEAST ** ROWS) ** BANDS``, 4.6e-7 at the threshold itself
 and less above it.
 
-Only distinct sets take part; copies are one value. Of a bucket (a fingerprint,
-a link of the index, or a band's value) each member is first checked against the
-bucket's smallest, so a large group of near copies gives a number of pairs
-linear in its size. Buckets that are then not of one component are checked pair
-by pair, in chunks of ``CHUNK`` members of which every two meet in a task of
-their own, so no link is missed and no task is given an unbounded bucket.
+Only distinct sets take part; copies are one value. Of the sets of a fingerprint
+the smallest stands for all in the index's links, and of a bucket (a band's value)
+each member is first checked against the bucket's smallest, so a large group of
+near copies gives a number of pairs linear in its size. Where a bucket is then not of one component, the
+members outside its largest component are checked against all others, in chunks
+of ``CHUNK`` members of which two meet in a task of their own, so no link is
+missed and no task is given an unbounded bucket.
 
 Defined cases: null and blank text has the empty set, one group; a text of
 fewer words than a shingle is one shingle; rows with the same or with null
@@ -172,31 +173,53 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield links(rows)
 
 
+def _gray_pairs(values: DataFrame) -> DataFrame:
+    """Pairs of sets ``(a, b)`` that the Gray-order index links: fewer than two for every distinct set.
+
+    Each fingerprint is represented by its smallest set, which meets the others of
+    the fingerprint, and those of the fingerprints that the index links it to.
+    """
+    found = simhash_index.links(values.select(F.col("sim").alias("fp")).distinct())
+    reps = scratch.written(values.groupBy("sim").agg(F.min("fp").alias("rep"), F.count("*").alias("n")), "gray-values")
+    one = lambda to: reps.select(F.col("sim").alias(f"_{to}"), F.col("rep").alias(to))
+    linked = found.select(F.col("a").alias("_a"), F.col("b").alias("_b")).join(one("a"), "_a").join(one("b"), "_b").select("a", "b")
+    equal = values.join(reps.filter("n > 1"), "sim").filter("fp <> rep").select(F.col("rep").alias("a"), F.col("fp").alias("b"))
+    both = linked.unionByName(equal)
+    return scratch.written(both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "gray-pairs")
+
+
 def _links(values: DataFrame, docs: DataFrame, chunk: int) -> DataFrame:
     """Links ``(a, b)`` whose components are those of all near pairs of the distinct ``fp``."""
     spark = values.sparkSession
-    gray = scratch.written(simhash_index.links(values.select(F.col("sim").alias("fp")).distinct()), "gray-links")
-    link = F.xxhash64(F.lit("link"), "a", "b").alias("key")
-    ends = gray.select(link, F.col("a").alias("sim")).unionByName(gray.select(link, F.col("b").alias("sim")))
     dealt = values.select("fp", "th", F.explode("keys").alias("key"))
-    dealt = dealt.unionByName(values.select("fp", "th", F.xxhash64(F.lit("sim"), "sim").alias("key")))
-    dealt = dealt.unionByName(values.join(ends, "sim").select("fp", "th", "key"))
-    shared = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("rep")).filter("n > 1")
+    gray = _gray_pairs(values)
+    shared = dealt.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("rep"), F.bit_xor(F.xxhash64("fp")).alias("sig")).filter("n > 1")
+    shared = shared.groupBy("n", "rep", "sig").agg(F.min("key").alias("key")).drop("sig")  # near copies share many bands: one bucket of each membership
     members = scratch.written(dealt.join(scratch.written(shared, "jaccard-buckets"), "key"), "jaccard-members")
     # written, so that Spark knows how small these tables are and need not move texts or sets to them
-    wanted = scratch.written(members.select("th").distinct(), "jaccard-wanted")
+    ends = gray.select(F.col("a").alias("fp")).unionByName(gray.select(F.col("b").alias("fp"))).distinct()
+    wanted = scratch.written(members.select("th").unionByName(values.join(ends, "fp").select("th")).distinct(), "jaccard-wanted")
     own = docs.withColumn("th", F.xxhash64("text")).join(wanted, "th", "left_semi")
     sets = scratch.written(_sets(own.select("text").distinct()).dropDuplicates(["fp"]), "jaccard-sets")
     side = lambda fp, to: sets.select(F.col("fp").alias(fp), F.col("grams").alias(to))
-    pairs = scratch.written(members.filter("fp <> rep").select(F.col("rep").alias("a"), F.col("fp").alias("b")).distinct(), "jaccard-pairs")
+    pairs = members.filter("fp <> rep").select(F.col("rep").alias("a"), F.col("fp").alias("b")).unionByName(gray)
+    pairs = scratch.written(pairs.distinct(), "jaccard-pairs")
     met = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", "x", "y")
     near = scratch.written(arrow.mapped(met, "a long, b long", _checked), "jaccard-stars")
     of = components(near)
-    now = members.filter("n > 2").join(of, members["fp"] == of["node"], "left").select("key", "fp", "n", F.coalesce("component", "fp").alias("part"))
-    mixed = now.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("key")
-    parts = F.ceil(F.col("n") / chunk).cast("int")
-    rest = members.join(mixed, "key", "left_semi").select("key", "fp", F.pmod(F.xxhash64("fp"), parts).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("other"))
-    rest = rest.select("key", (F.least("own", "other").cast("long") * (1 << 31) + F.greatest("own", "other")).alias("part"), "fp")
+    now = members.filter("n > 2").join(of, members["fp"] == of["node"], "left").select("key", "fp", F.coalesce("component", "fp").alias("part"))
+    now = scratch.written(now, "jaccard-now")
+    sizes = now.groupBy("key", "part").agg(F.count("*").alias("c"))
+    mixed = sizes.groupBy("key").agg(F.max_by("part", F.struct("c", "part")).alias("_main"), F.max("c").alias("_c"), F.sum("c").alias("_n"), F.count("*").alias("_k"))
+    chunks = lambda c: F.ceil(c / chunk).cast("int")
+    mixed = mixed.filter("_k > 1").select("key", "_main", chunks(F.col("_c")).alias("p"), chunks(F.col("_n") - F.col("_c")).alias("q"))
+    rest = now.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("fp"), F.when(F.col("part") == F.col("_main"), F.col("p")).otherwise(F.col("q"))).cast("long"))
+    task = lambda kind, x, y: (F.lit(kind) * (1 << 60) + x * (1 << 30) + y).alias("part")
+    each = lambda n, f: F.transform(F.sequence(F.lit(0), n - 1), lambda i: f(i.cast("long")))
+    with_main = F.when(F.col("part") == F.col("_main"), each(F.col("q"), lambda i: task(0, F.col("own"), i))).otherwise(each(F.col("p"), lambda m: task(0, m, F.col("own"))))
+    between = F.filter(each(F.col("q"), lambda i: F.when(i != F.col("own"), task(1, F.least(i, "own"), F.greatest(i, "own")))), lambda t: t.isNotNull())
+    meets = F.when(F.col("part") == F.col("_main"), with_main).otherwise(F.concat(with_main, between))
+    rest = rest.select("key", F.explode(meets).alias("part"), "fp")
     rest = scratch.written(rest, "jaccard-rest")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     full = rest.join(sets, "fp").select("key", "part", "fp", "grams").repartition(tasks, "key", "part").sortWithinPartitions("key", "part")
