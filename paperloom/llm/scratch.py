@@ -45,6 +45,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def bytes_of(df: DataFrame) -> int:
+    """Size on disk of a table of ``written``."""
+    jvm = df.sparkSession._jvm
+    where = jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+    return where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table of ``written`` that no later result reads."""
     remove(df.sparkSession, df.scratch_path)
