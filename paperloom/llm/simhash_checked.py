@@ -56,14 +56,35 @@ BROADCAST_BYTES = 8 << 20
 _RNG = np.random.default_rng(SEED)
 _TIMES = _RNG.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32) | np.uint32(1)
 _PLUS = _RNG.integers(0, 1 << 32, ROWS * BANDS, dtype=np.uint32)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _SET = [T.StructField("fp", T.LongType()), T.StructField("grams", T.BinaryType())]
 _KEYS = [T.StructField("fp", T.LongType()), T.StructField("sim", T.LongType()), T.StructField("size", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))]
 
 
+def _joined(words: np.ndarray, n: int, shingle: int) -> np.ndarray:
+    """Hashes of ``n`` runs of ``shingle`` words, from the words' hashes."""
+    x = np.full(n, shingle, np.uint64)
+    for i in range(shingle):
+        x = (x + words[i : i + n]) * _STEP  # the place of a word is the power of its factor
+        x ^= x >> np.uint64(32)
+    return x
+
+
 def shingles(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted hashes of the distinct shingles of a text."""
-    found = list(simhash_index.shingle_hashes(text, shingle, SEED))
-    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.uint64)
+    """Sorted hashes of the distinct shingles of a text; every word is hashed once."""
+    text, at, words, out = text.lower(), 0, np.zeros(0, np.uint64), []  # on bytes: A-Z only
+    while at < len(text):
+        end = simhash_index._BLANK.search(text, at + simhash_index.STRETCH)
+        to = end.start() if end else len(text)
+        found = text[at:to].split()
+        words, at = np.concatenate([words, np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found))]), to
+        n = len(words) - shingle + 1
+        if n > 0:
+            out.append(_joined(words, n, shingle))
+            words = words[n:]
+    if len(words) and not out:
+        out.append(_joined(words, 1, len(words)))
+    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
 
 
 def _fp(grams: np.ndarray) -> int:
