@@ -1,12 +1,13 @@
 """The registered queries on the smallest tables, against SQL or brute force, with code generation as in production."""
 
+import re
 import zlib
 
 import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
-from test_text_operators import fingerprint_brute, repeats_brute
+from test_text_operators import fingerprint_brute, leaks_brute, lower, repeats_brute
 
 from paperloom.llm import packing, quality_ranking, queries
 
@@ -128,3 +129,44 @@ def test_language_columns(spark, documents):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 for r in got)
     assert {r.lang_pred for r in got} <= {*lang.values(), "und"}
     assert np.mean([r.lang_pred == lang[r.doc_id] for r in got if r.held_out]) > 0.95
+
+
+def jaccard_groups(rows):
+    """The first of each group of texts whose 5-word shingles are alike by 0.8 or more, directly or through others."""
+    sets = []
+    for r in rows:
+        w = [x for x in re.split("[\x20\x09-\x0d]+", lower(r.text or "")) if x]
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) > 4 else {tuple(w)} if w else set())
+    part = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if part[i] != part[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((part[i], part[j]))
+                part = [low if p == high else p for p in part]
+    return set(part)
+
+
+def test_pipeline_is_its_stages_by_brute_force(spark, documents):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    items = [(r["item_id"], r["text"]) for r in table("benchmark")]
+    seen = spark.createDataFrame([tuple(r[c] for c in corpus_pipeline.COLUMNS) for r in documents], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        rows = sorted(seen.collect(), key=lambda r: r.doc_id)
+        out = stage(spark, seen, SF).collect()
+        kept = {r.doc_id for r in out}
+        assert len(kept) == len(out) and {tuple(r) for r in out} <= {tuple(r) for r in rows}  # whole rows, each once
+        if name == "language_id":
+            assert len(out) == len(rows)  # all are clean texts of the four languages
+        if name == "near_duplicates":
+            assert kept == {rows[i].doc_id for i in jaccard_groups(rows)}
+        if name == "decontamination":
+            assert kept == {d for d, _, hit, _ in leaks_brute([(r.doc_id, r.text) for r in rows], items) if not hit}
+        seen = spark.createDataFrame(out, seen.schema)
+    encoder, parts = packing.Encoder(packing.load_ranks()), {}
+    for r in corpus_pipeline.run(spark, SF).collect():
+        ids = np.frombuffer(r.ids, "<u2")
+        for d, o, a, b in zip(r.doc_ids, r.doc_offsets, r.cu_seqlens, r.cu_seqlens[1:]):
+            parts.setdefault(d, []).append((o, ids[a:b].tolist()))
+    assert set(parts) == kept
+    for r in out:
+        assert [x for _, p in sorted(parts[r.doc_id]) for x in p] == encoder.encode(r.text or "").tolist()
