@@ -58,9 +58,13 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int
         first = after
 
 
-def with_columns(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
-    """``df`` with columns computed from Arrow batches; same-named columns are replaced."""
-    new = {f.name for f in fields}
+def with_columns(df: DataFrame, fields: list[T.StructField], fn: Callable[[pa.RecordBatch], list[pa.Array]], read_only: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` with columns computed from Arrow batches; same-named columns are replaced.
+
+    Columns of ``read_only`` are given to ``fn`` and not sent back, which spares
+    the way of whole texts where the result does without them.
+    """
+    new = {f.name for f in fields} | set(read_only)
     kept = [f for f in df.schema.fields if f.name not in new]
     names, added = [f.name for f in kept], [f.name for f in fields]
 

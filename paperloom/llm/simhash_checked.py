@@ -126,7 +126,7 @@ def _longs(values: list[int]) -> pa.Array:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``fp``, a hash of the set of shingles, ``sim``, its fingerprint, its ``size`` and the ``keys`` of its bands."""
+    """``docs`` without ``text``, with ``fp``, a hash of the set of shingles, ``sim``, its fingerprint, its ``size`` and the ``keys`` of its bands."""
 
     def columns(batch: pa.RecordBatch) -> list[pa.Array]:
         fps, sims, sizes, keys = [], [], [], []
@@ -139,7 +139,7 @@ def keyed(docs: DataFrame) -> DataFrame:
         flat = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         return [_longs(fps), _longs(sims), _longs(sizes), pa.ListArray.from_arrays(ends, flat.view(np.int64))]
 
-    return arrow.with_columns(docs, _KEYS, columns)
+    return arrow.with_columns(docs, _KEYS, columns, ("text",))
 
 
 def _sets(texts: DataFrame) -> DataFrame:
@@ -149,7 +149,7 @@ def _sets(texts: DataFrame) -> DataFrame:
         grams = list(_each(batch))
         return [_longs([_fp(g) for g in grams]), pa.array([_packed(g) for g in grams], pa.binary())]
 
-    return arrow.with_columns(texts, _SET, columns).select("fp", "grams")
+    return arrow.with_columns(texts, _SET, columns, ("text",)).select("fp", "grams")
 
 
 def _is_near(shared: np.ndarray, one: np.ndarray, other: np.ndarray) -> np.ndarray:

@@ -86,8 +86,8 @@ def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     return bits_of(shingle_hashes(text, shingle, seed))
 
 
-def fingerprints(docs: DataFrame, text: str = "text", to: str = "fp") -> DataFrame:
-    """``docs`` with the fingerprint as a (signed) 64-bit column."""
+def fingerprints(docs: DataFrame, text: str = "text", to: str = "fp", with_text: bool = True) -> DataFrame:
+    """``docs`` with the fingerprint as a (signed) 64-bit column, and without the text unless ``with_text``."""
 
     def columns(batch: pa.RecordBatch) -> list[pa.Array]:
         out = np.zeros(batch.num_rows, np.uint64)
@@ -96,7 +96,7 @@ def fingerprints(docs: DataFrame, text: str = "text", to: str = "fp") -> DataFra
                 out[first + i] = fingerprint(raw[off[i] : off[i + 1]].tobytes())
         return [pa.array(out.view(np.int64))]
 
-    return arrow.with_columns(docs, [T.StructField(to, T.LongType())], columns)
+    return arrow.with_columns(docs, [T.StructField(to, T.LongType())], columns, () if with_text else (text,))
 
 
 def gray_rank(values: np.ndarray) -> np.ndarray:
@@ -264,7 +264,8 @@ def links(values: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 def near_duplicate_groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: ``doc_id``, ``fp`` and ``component_id``, its group's smallest id."""
-    told = scratch.written(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).select("doc_id", "fp"), "simhash")
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    told = scratch.written(fingerprints(docs, with_text=False).select("doc_id", "fp"), "simhash")
     first = scratch.written(told.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-values")
     of = components(links(first.select("fp")))
     grouped = first.join(of, first["fp"] == of["node"], "left").select("fp", "first", F.coalesce("component", "fp").alias("part"))
