@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chat_format, decontamination, language_id, line_dedup, mixing, packing, prefix_forest, quality_ranking, simhash_index, suffix_dedup
+from paperloom.llm import chat_format, decontamination, interval_overlap, language_id, line_dedup, mixing, packing, prefix_forest, quality_ranking, simhash_index, suffix_dedup
 from paperloom.session import spread
 
 
@@ -142,6 +142,43 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op11_interval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sales, lines, clicks = (_table(spark, sf_dir, t) for t in ("sales", "sale_lines", "clicks"))
+    return interval_overlap.sales_in_sessions(sales, lines, clicks)
+
+
+#: DuckDB has no CRC-32: ``tab`` is its table of 256 values, from the polynomial.
+_OP11_SQL = """
+with tab as (
+  select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+           lambda a, b: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end)) as t),
+ck as (
+  select client_id, ts, max(case when kind = 'error' then 1 else 0 end) as err from clicks
+  where client_id is not null and ts is not null group by client_id, ts),
+g as (select *, case when ts - lag(ts) over (partition by client_id order by ts) > interval 15 minutes then 1 else 0 end as b from ck),
+s as (select *, sum(b) over (partition by client_id order by ts) as sid from g),
+v as (select client_id, epoch_us(min(ts)) as f, epoch_us(max(ts)) as l, arg_max(err, ts) as err from s group by client_id, sid),
+vc as (
+  select client_id, f // 21600000000 as c, case when err = 1 then 9223372036854775807 else l // 21600000000 end as d,
+         xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(cast(f as varchar), ''), lambda ch: ascii(ch)::bigint)),
+                         lambda a, x: xor(a >> 8, t[xor(a & 255, x) + 1])), 4294967295) as crc
+  from v, tab),
+sh as (select sale_id, max(epoch_us(shipped_at)) as shipped from sale_lines group by sale_id),
+sa as (
+  select sales.sale_id, client_id, epoch_us(sold_at) // 21600000000 as a,
+         case when status = 'open' then 9223372036854775807 else greatest(epoch_us(sold_at), coalesce(shipped, epoch_us(sold_at))) // 21600000000 end as b
+  from sales left join sh on sales.sale_id = sh.sale_id where client_id is not null and sold_at is not null),
+p as (
+  select sale_id, crc, case when b = 9223372036854775807 and d = 9223372036854775807 then null else least(b, d) - greatest(a, c) + 1 end as shared,
+         case when a < c then case when b < d then 'overlaps' when b = d then 'finished_by' else 'contains' end
+              when a = c then case when b < d then 'starts' when b = d then 'equals' else 'started_by' end
+              else case when b < d then 'during' when b = d then 'finishes' else 'overlapped_by' end end as relation
+  from sa join vc on sa.client_id = vc.client_id and a <= d and c <= b)
+select sale_id, relation, count(*) as n_pairs, cast(sum(shared) as bigint) as overlap_slots, cast(sum(crc) as bigint) as sessions_crc
+from p group by sale_id, relation
+"""
+
+
 def queries() -> dict:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -154,8 +191,9 @@ def queries() -> dict:
         "op8_simhash_dedup": op8_simhash_dedup,
         "op9_quality_ranking": op9_quality_ranking,
         "op10_language_id": op10_language_id,
+        "op11_interval_overlap": op11_interval_overlap,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": _OP1_SQL, "op5_decontamination": _OP5_SQL, "op7_chat_format": _OP7_SQL}
+    return {"op1_line_dedup": _OP1_SQL, "op5_decontamination": _OP5_SQL, "op7_chat_format": _OP7_SQL, "op11_interval_overlap": _OP11_SQL}
