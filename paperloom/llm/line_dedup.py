@@ -157,20 +157,24 @@ def drop_lines(docs: DataFrame, frequent: DataFrame, min_chars: int = MIN_CHARS,
     ends = F.concat(F.col("_at"), F.array(F.col("_n")))
     gaps = F.zip_with(starts, ends, lambda s, e: F.slice(F.col("_lines"), s + 1, e - s))
     kept = F.when(F.col("_at").isNull(), F.col("_lines")).otherwise(F.flatten(gaps))
-    return met.select(
-        *[F.col("_row")[c].alias(c) for c in names],
+    # two steps: a column of ``docs`` may bear the name of a helper that the added columns read
+    added = F.struct(
         F.col("_n").cast("long").alias("n_lines"),
         F.coalesce(F.size("_at"), F.lit(0)).cast("long").alias("n_dropped"),
         F.array_join(kept, "\n").alias("kept_text"),
     )
+    done = met.select("_row", added.alias("_added"))
+    return done.select(*[done["_row"][c].alias(c) for c in names], *[done["_added"][c].alias(c) for c in ADDED])
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, batches: int = BATCHES) -> DataFrame:
     """Drop, from every document, each line whose key at least ``min_docs`` documents hold."""
     runs = LineRuns(docs.sparkSession, min_docs, min_chars)
     part = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
-    for b in range(batches):
-        runs.add(docs.filter(part == b))
-    frequent = scratch.written(runs.frequent(), "frequent-lines")
-    runs.close()
+    try:
+        for b in range(batches):
+            runs.add(docs.filter(part == b))
+        frequent = scratch.written(runs.frequent(), "frequent-lines")
+    finally:
+        runs.close()
     return drop_lines(docs, frequent, min_chars)

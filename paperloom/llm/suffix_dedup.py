@@ -200,7 +200,8 @@ def _anchor_runs(parts: int):
         columns = [np.concatenate(x) for x in zip(*held, strict=True)]
         at = _distinct(*columns)
         h, *key = (c[at] for c in columns)
-        first = np.concatenate([[True], h[1:] != h[:-1]])
+        first = np.ones(len(h), bool)  # none at all where every text is shorter than a window
+        first[1:] = h[1:] != h[:-1]
         times = np.diff(np.append(np.flatnonzero(first), len(h))).astype("<u4")
         part, low, rows = _range_of(h, parts), (h & _LOW).astype("<u4"), []
         for done, some, extra in ((False, first, [times]), (True, ~first, [])):
