@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chat_format, decontamination, interval_overlap, language_id, line_dedup, mixing, packing, prefix_forest, quality_ranking, simhash_index, suffix_dedup
+from paperloom.llm import chat_format, decontamination, interval_overlap, language_id, line_dedup, mixing, packing, prefix_forest, quality_ranking, simhash_index, suffix_dedup, token_alignment
 from paperloom.session import spread
 
 
@@ -179,6 +179,10 @@ from p group by sale_id, relation
 """
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.alignments(_documents(spark, sf_dir, "doc_id", "text"))
+
+
 def queries() -> dict:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -192,6 +196,7 @@ def queries() -> dict:
         "op9_quality_ranking": op9_quality_ranking,
         "op10_language_id": op10_language_id,
         "op11_interval_overlap": op11_interval_overlap,
+        "op12_token_alignment": op12_token_alignment,
     }
 
 
