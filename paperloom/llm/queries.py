@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import chat_format, decontamination, interval_overlap, language_id, line_dedup, mixing, packing, prefix_forest, quality_ranking, simhash_index, suffix_dedup, token_alignment
+from paperloom.llm import chat_format, decontamination, interval_overlap, language_id, line_dedup, mixing, packing, prefix_forest, quality_ranking, simhash_index, suffix_dedup, token_alignment, toxicity
 from paperloom.session import spread
 
 
@@ -183,6 +183,12 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_alignment.alignments(_documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _documents(spark, sf_dir, "doc_id", "text"), _table(spark, sf_dir, "labels")
+    scored = toxicity.toxicity(docs, labels, ~_held_out(5, 0))
+    return scored.select("doc_id", _held_out(5, 0).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
     return {
         "op1_line_dedup": op1_line_dedup,
@@ -197,6 +203,7 @@ def queries() -> dict:
         "op10_language_id": op10_language_id,
         "op11_interval_overlap": op11_interval_overlap,
         "op12_token_alignment": op12_token_alignment,
+        "op13_toxicity": op13_toxicity,
     }
 
 

@@ -2,14 +2,16 @@
 
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from test_text_operators import fingerprint_brute, leaks_brute, lower, repeats_brute
+from test_token_alignment import brute as alignment_brute
 
-from paperloom.llm import packing, quality_ranking, queries
+from paperloom.llm import packing, quality_ranking, queries, token_alignment, toxicity
 
 SF = "/root/testdata/sf0.001"
 
@@ -131,6 +133,23 @@ def test_language_columns(spark, documents):
     assert np.mean([r.lang_pred == lang[r.doc_id] for r in got if r.held_out]) > 0.95
 
 
+def test_alignments_are_those_of_brute_force(spark, documents):
+    t = token_alignment.Tokenizers(token_alignment.Vocabularies.load())
+    want = alignment_brute(t, [(r["doc_id"], r["text"]) for r in documents])
+    assert Counter(map(tuple, run(spark, "op12_token_alignment"))) == want
+
+
+def test_toxicity_columns(spark, documents):
+    toxic = {r["doc_id"]: r["toxic"] for r in table("labels")}
+    got = run(spark, "op13_toxicity")
+    assert sorted(r.doc_id for r in got) == sorted(r["doc_id"] for r in documents)
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= toxicity.THRESHOLD)
+    right = [r.predicted == toxic[r.doc_id] for r in got if r.doc_id in toxic]
+    assert np.mean(right) > 0.9
+
+
 def jaccard_groups(rows):
     """The first of each group of texts whose 5-word shingles are alike by 0.8 or more, directly or through others."""
     sets = []
