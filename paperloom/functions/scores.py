@@ -39,9 +39,13 @@ def smoothed_idf(total: Column, df: Column) -> Column:
     return F.ln((total + 1) / (df + 1)) + 1
 
 
+def bm25_part(tf: Column, size: Column, mean_size: Column) -> Column:
+    """A term's score but for its weight; grows with ``tf``, falls with ``size``."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean_size))
+
+
 def bm25(tf: Column, df: Column, total: Column, size: Column, mean_size: Column) -> Column:
-    idf = F.ln(1 + (total - df + 0.5) / (df + 0.5))
-    return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean_size))
+    return F.ln(1 + (total - df + 0.5) / (df + 0.5)) * bm25_part(tf, size, mean_size)
 
 
 def cosine(a: Column, b: Column) -> Column:

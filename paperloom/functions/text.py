@@ -68,6 +68,13 @@ def snippet(text: Column, term: str, before: int = 100, after: int = 200) -> Col
     return F.when(at > 0, F.substring(text, begin, at - begin + after)).otherwise(F.substring(text, 1, after))
 
 
+def query_snippet(text: Column, query: str, before: int = 100, after: int = 200) -> Column:
+    """Text around the first case-insensitive occurrence of a whole query, empty where there is none."""
+    at = F.locate(query.lower(), F.lower(text))
+    begin = F.greatest(F.lit(1), at - before)
+    return F.when(at > 0, F.substring(text, begin, at - begin + len(query) + after)).otherwise(F.lit(""))
+
+
 def escaped_html(text: Column) -> Column:
     for plain, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
         text = F.replace(text, F.lit(plain), F.lit(safe))

@@ -6,7 +6,7 @@ import datetime as dt
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text
@@ -181,10 +181,23 @@ def patched(entries: DataFrame, find: str, put: str, every: bool = True) -> Data
     return rows.withColumn("body", F.col("_new")).drop("_new")
 
 
+def abstract(body: Column) -> Column:
+    """The trimmed line after the first one that holds an abstract mark, or nothing."""
+    lines = F.split(F.coalesce(body, F.lit("")), "\n", -1)
+    at = F.array_min(F.transform(lines, lambda x, i: F.when(F.contains(x, F.lit("[!ABSTRACT]")), i)))
+    return F.coalesce(F.trim(F.get(lines, at + 1)), F.lit(""))
+
+
+def index_line(path: Column, body: Column) -> Column:
+    """An entry's line of the index page: its link and its abstract."""
+    return F.concat(F.lit("| [["), path, F.lit("]] | "), abstract(body), F.lit(" |"))
+
+
 def index_page(entries: DataFrame) -> DataFrame:
-    """One Markdown line per entry and its place in the index page."""
-    line = F.concat(F.lit("| ["), "title", F.lit("]("), "path", F.lit(") | "), "level", F.lit(" |"))
-    return entries.select("domain", "title", line.alias("line"))
+    """One Markdown line per entry and its place in its domain's part of the index page (by title, then path)."""
+    order = Window.partitionBy("domain").orderBy("title", "path")
+    line = index_line(F.col("path"), F.col("body"))
+    return entries.select("domain", "title", "path", line.alias("line")).select("domain", F.row_number().over(order).alias("place"), "title", "line")
 
 
 def tree(entries: DataFrame) -> DataFrame:

@@ -1,91 +1,223 @@
-"""Search indexes as tables: built once, written sorted, read by term.
+"""Search indexes as tables: built once, published whole, read by term.
 
-Postings are range-partitioned and sorted by term, and vectors by bucket, so a
-query reads the few row groups that hold its terms instead of every body. What a
-search needs of the whole corpus (field statistics, term weights, which entries
-may be shown) is stored beside them.
+Every text is tokenized once. Postings hold the places of a term in a field and
+are sorted by term and zone (a hash of the path: about ``ZONE_ENTRIES`` entries
+each); for every term, field and zone ``bounds`` has how often at most the term
+occurs and in how short a field. A search for the best ``top`` entries first
+scores the zones that promise most; those that cannot reach what is found there
+are not read, and the result is still exact. What a search needs of the whole
+corpus (field statistics, term weights, which entries may be shown, their
+texts) is stored beside them.
+
+An index is written as a new generation below a root folder and counts once its
+marker is there, so a build that fails leaves the one before in place; older
+generations go when a new one is out.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import re
+import uuid
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, fields
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import scores, text
 from paperloom.operators import retrieval
 from paperloom.plans import shared
 
+ZONE_ENTRIES = 64
+#: Zones scored first for a threshold, and most zones that are named in a filter (beyond, they are joined).
+LEAD = 8
+LISTED = 2000
+#: Generations kept beside the present one, for readers that still hold it.
+KEPT = 1
+_READY = "_READY"
+Keep = Callable[[DataFrame, str], DataFrame]
+
 
 @dataclass
 class Index:
-    """Postings, field sizes and their statistics, term weights, vectors and display state of entries."""
+    """Postings, bounds, field sizes and statistics, term weights, vectors, and entries as they are shown."""
 
-    postings: DataFrame  # term, path, field, tf, size
+    postings: DataFrame  # term, zone, field, path, tf, size, positions
+    bounds: DataFrame  # term, zone, field, n, tf (most), size (least)
     fields: DataFrame  # path, field, size
-    stats: DataFrame  # field, mean, total
+    stats: DataFrame  # field, mean, total, zones
     weights: DataFrame  # term, idf, bucket
     vectors: DataFrame  # path, bucket, weight
-    shown: DataFrame  # path, title, domain, publish_status, quality_score
+    shown: DataFrame  # path, title, domain, publish_status, quality_score, body
+
+    # --- building ---------------------------------------------------------------
 
     @classmethod
-    def of(cls, entries: DataFrame, tokens: Callable = text.tokens) -> Index:
-        """The index of entries; ``tokens`` makes the terms of a text column."""
-        postings = retrieval.postings(entries, tokens)
-        sizes = retrieval.field_tokens(entries, tokens).select("path", "field", F.size("tokens").alias("size"))
-        terms = retrieval.vector_terms(entries)
-        weights = retrieval.idf(entries, terms)
-        shown = entries.select("path", "title", "domain", "publish_status", "quality_score")
-        return cls(postings, sizes, _stats(sizes), weights, retrieval.vectors(entries, terms, weights), shown)
+    def of(cls, entries: DataFrame, tokens: Callable[[Column], Column] = text.tokens, zones: int | None = None, keep: Keep = lambda df, _: df) -> Index:
+        """The index of entries; ``tokens`` makes the terms of a text column.
+
+        ``keep`` may write a table that several others are made from.
+        """
+        made = keep(retrieval.field_tokens(entries, tokens), "tokens")
+        sizes = made.select("path", "field", F.size("tokens").alias("size"))
+        zones = zones or max(1, made.filter("field = 'title'").count() // ZONE_ENTRIES)
+        each = made.select("path", "field", F.size("tokens").alias("size"), F.posexplode("tokens").alias("position", "term"))
+        found = each.groupBy("term", "field", "path").agg(F.count("*").alias("tf"), F.first("size").alias("size"), F.sort_array(F.collect_list("position")).alias("positions"))
+        zone = F.pmod(F.xxhash64("path"), F.lit(zones)).cast("int")
+        postings = keep(found.select("term", zone.alias("zone"), "field", "path", "tf", "size", "positions"), "postings")
+        if tokens is text.tokens:
+            own = postings.filter(F.col("field").isin("title", "body") & (F.octet_length("term") > 1))
+            terms = own.groupBy("path", "term").agg(F.sum("tf").alias("tf"))
+        else:
+            terms = retrieval.vector_terms(entries).select("path", "term", "tf")
+        weights = keep(retrieval.idf(entries.select("path"), terms), "weights")
+        raw = terms.join(weights, "term").groupBy("path", "bucket").agg(F.sum(F.col("tf") * F.col("idf")).alias("w"))
+        shown = entries.select("path", "title", "domain", "publish_status", "quality_score", "body")
+        return cls(postings, _bounds(postings), sizes, _stats(sizes, zones), weights, retrieval.unit(raw), shown)
 
     @classmethod
     def read(cls, spark: SparkSession, root: str) -> Index:
+        """The tables of one generation."""
         return cls(*(spark.read.parquet(f"{root}/{f.name}") for f in fields(cls)))
 
     def write(self, root: str) -> Index:
-        """The index in a new folder (a generation), and the index that reads it."""
-        spark, made = self.postings.sparkSession, {}
-        keys = {"postings": "term", "fields": "path", "weights": "term", "vectors": "bucket", "shown": "path"}
+        """The index in a new folder, and the index that reads it."""
+        keys = {"postings": ("term", "zone"), "bounds": ("term", "zone"), "fields": ("path",), "weights": ("term",), "vectors": ("bucket",), "shown": ("path",)}
         for name, key in keys.items():
-            getattr(self, name).repartitionByRange(key).sortWithinPartitions(key).write.parquet(f"{root}/{name}")
-            made[name] = spark.read.parquet(f"{root}/{name}")
-        _stats(made["fields"]).coalesce(1).write.parquet(f"{root}/stats")
-        return Index.read(spark, root)
+            getattr(self, name).repartitionByRange(*key).sortWithinPartitions(*key).write.parquet(f"{root}/{name}")
+        self.stats.coalesce(1).write.parquet(f"{root}/stats")
+        return Index.read(self.postings.sparkSession, root)
+
+    @classmethod
+    def build(cls, entries: DataFrame, root: str, tokens: Callable[[Column], Column] = text.tokens) -> Index:
+        """Build the index of entries as the next generation below ``root`` and publish it."""
+        spark = entries.sparkSession
+        at = f"{root}/gen-{1 + max((n for n, _, _ in _generations(spark, root)), default=0):08d}-{uuid.uuid4().hex[:8]}"
+
+        def keep(df: DataFrame, name: str) -> DataFrame:
+            df.write.parquet(f"{at}/_made/{name}")
+            return spark.read.parquet(f"{at}/_made/{name}")
+
+        made = cls.of(entries, tokens, keep=keep).write(at)
+        fs, path = _file_system(spark, at)
+        fs.delete(path(f"{at}/_made"), True)
+        fs.create(path(f"{at}/{_READY}")).close()  # from here on it counts
+        for _, old, _ in sorted(_generations(spark, root), reverse=True)[1 + KEPT :]:
+            fs.delete(path(old), True)
+        return made
+
+    @classmethod
+    def current(cls, spark: SparkSession, root: str) -> Index | None:
+        """The newest finished generation below ``root``."""
+        done = [(n, at) for n, at, ready in _generations(spark, root) if ready]
+        return cls.read(spark, max(done)[1]) if done else None
 
     def upserted(self, changed: DataFrame) -> Index:
         """The index after entries changed; term weights stay those of the last full build (``needs_rebuild``)."""
         gone = changed.select("path").distinct()
-        fresh = Index.of(changed)
+        zones = self.stats.first()["zones"]
+        fresh = Index.of(changed, zones=zones)
         terms = retrieval.vector_terms(changed)
         known = terms.select("term").distinct().join(self.weights.select("term", "idf"), "term", "left")
         known = known.select("term", F.coalesce("idf", F.lit(1.0)).alias("idf"), scores.fnv_bucket(F.col("term")).alias("bucket"))
         vectors = retrieval.vectors(changed, terms, known)
         keep = lambda old, new: old.join(gone, "path", "left_anti").unionByName(new)
-        sizes = keep(self.fields, fresh.fields)
-        return Index(keep(self.postings, fresh.postings), sizes, _stats(sizes), self.weights, keep(self.vectors, vectors), keep(self.shown, fresh.shown))
+        sizes, postings = keep(self.fields, fresh.fields), keep(self.postings, fresh.postings)
+        return Index(postings, _bounds(postings), sizes, _stats(sizes, zones), self.weights, keep(self.vectors, vectors), keep(self.shown, fresh.shown))
 
     def needs_rebuild(self, changed: DataFrame, share: float = 0.1) -> bool:
         """Whether so many entries changed that term weights should be trained again."""
         return changed.select("path").distinct().count() > share * self.shown.count()
 
+    # --- words ------------------------------------------------------------------
+
+    def _part(self, terms: list[str]) -> tuple[DataFrame, Callable[[Column, Column], Column]]:
+        """Bounds of some terms, and a posting's BM25 score by frequency and size (its row has ``term`` and ``field``).
+
+        What is read to the driver has a row per field, and one per field and query term.
+        """
+        bounds = self.bounds.filter(F.col("term").isin(terms))
+        df = {(r["field"], r["term"]): r["df"] for r in bounds.groupBy("field", "term").agg(F.sum("n").alias("df")).collect()}
+        stats = {r["field"]: r for r in self.stats.collect()}
+        facts = {f"{f}\0{t}": (math.log(1 + (stats[f]["total"] - n + 0.5) / (n + 0.5)), stats[f]["mean"]) for (f, t), n in df.items()}
+        table = F.create_map(*[F.lit(x) for k, v in sorted(facts.items()) for x in (k, v[0])]) if facts else F.create_map().cast("map<string,double>")
+        mean = F.create_map(*[F.lit(x) for f, r in sorted(stats.items()) for x in (f, float(r["mean"] or 0.0))]) if stats else F.create_map().cast("map<string,double>")
+        key = F.concat("field", F.lit("\0"), "term")
+        return bounds, lambda tf, size: F.element_at(table, key) * scores.bm25_part(tf, size, F.element_at(mean, F.col("field")))
+
+    def _zones(self, terms: list[str], top: int) -> tuple[DataFrame, list[int] | DataFrame, Callable[[Column, Column], Column]]:
+        """Postings of the terms, the zones that may hold one of the ``top`` best, and the score of a posting."""
+        bounds, part = self._part(terms)
+        postings = self.postings.filter(F.col("term").isin(terms))
+        most = bounds.groupBy("zone").agg(F.sum(part(F.col("tf"), F.col("size"))).alias("most"), F.sum("n").alias("n"))
+        lead = most.orderBy(F.desc("most"), "zone").limit(LEAD).collect()
+        first = postings.filter(F.col("zone").isin([r["zone"] for r in lead]))
+        best = first.groupBy("path").agg(F.sum(part(F.col("tf"), F.col("size"))).alias("score")).orderBy(F.desc("score")).limit(top).collect()
+        least = best[-1]["score"] - 1e-3 if len(best) == top else -1.0  # scores are compared to four digits
+        able = most.filter(F.col("most") >= least).select("zone")
+        named = able.limit(LISTED + 1).collect()
+        return postings, ([r["zone"] for r in named] if len(named) <= LISTED else able), part
+
     def keyword(self, query: str, top: int = 10) -> DataFrame:
-        """BM25 over the postings of the query's terms."""
-        found = self.postings.filter(F.col("term").isin(text.query_tokens(query) or [query.lower()]))
-        df = found.groupBy("field", "term").agg(F.count("*").alias("df"))  # fields times query terms
-        met = found.join(F.broadcast(df), ["field", "term"]).join(F.broadcast(self.stats), "field")
-        value = scores.bm25(F.col("tf"), F.col("df"), F.col("total"), F.col("size"), F.col("mean"))
-        return met.groupBy("path").agg(F.round(F.sum(value), 4).alias("score")).orderBy(F.desc("score"), "path").limit(top)
+        """BM25 over the postings of the query's terms, without the zones that cannot hold one of the best."""
+        postings, zones, part = self._zones(text.query_tokens(query) or [query.lower()], top)
+        postings = postings.filter(F.col("zone").isin(zones)) if isinstance(zones, list) else postings.join(zones, "zone", "left_semi")
+        ranked = postings.groupBy("path").agg(F.round(F.sum(part(F.col("tf"), F.col("size"))), 4).alias("score"))
+        return ranked.orderBy(F.desc("score"), "path").limit(top)
+
+    def blocks_read(self, query: str, top: int = 10) -> DataFrame:
+        """One row: blocks (postings of a term, field and zone) that ``keyword`` reads for its result, and all of the query's terms."""
+        terms = text.query_tokens(query) or [query.lower()]
+        _, zones, _ = self._zones(terms, top)
+        own = self.bounds.filter(F.col("term").isin(terms))
+        read = own.filter(F.col("zone").isin(zones)) if isinstance(zones, list) else own.join(zones, "zone", "left_semi")
+        return read.agg(F.count("*").alias("blocks_read")).crossJoin(own.agg(F.count("*").alias("blocks")))  # one row each
+
+    def matches(self, query: str) -> DataFrame:
+        """``path, score`` of every entry that the clauses of a query ask for (``parsed``)."""
+        clauses = parsed(query)
+        spark = self.postings.sparkSession
+        if not any(c.occur != "-" for c in clauses):
+            return spark.createDataFrame([], "path string, score double")
+        _, part = self._part(sorted({t for c in clauses for t in c.terms}))
+        rows = None
+        for n, c in enumerate(clauses):
+            found = self.postings.filter(F.col("term").isin(list(c.terms)))
+            found = found.filter(F.col("field") == c.field) if c.field else found
+            if len(c.terms) == 1:
+                hits = found.select("path", part(F.col("tf"), F.col("size")).alias("score"))
+            else:
+                hits = _phrase(found, c.terms, part)
+            hits = hits.withColumn("clause", F.lit(n))
+            rows = hits if rows is None else rows.unionByName(hits)
+        of = lambda occur: F.col("clause").isin([n for n, c in enumerate(clauses) if c.occur == occur])
+        needed = sum(c.occur == "+" for c in clauses)
+        found = rows.groupBy("path").agg(
+            F.sum(F.when(~of("-"), F.col("score"))).alias("score"),
+            F.countDistinct(F.when(of("+"), F.col("clause"))).alias("_needed"),
+            F.max(of("-")).alias("_barred"),
+        )
+        return found.filter(~F.col("_barred") & (F.col("_needed") == needed)).select("path", F.round("score", 4).alias("score"))
+
+    def find(self, query: str, top: int = 10, domain: str | None = None) -> DataFrame:
+        """The best entries for a query with phrases, fields, and clauses that must or must not match."""
+        clauses, ranked = parsed(query), None
+        if domain is None and all(c.occur == "" and c.field is None and len(c.terms) == 1 for c in clauses) and clauses:
+            return self.keyword(" ".join(c.terms[0] for c in clauses), top)
+        ranked = self.matches(query)
+        if domain is not None:
+            ranked = ranked.join(self.shown.filter(F.col("domain") == domain).select("path"), "path", "left_semi")
+        return ranked.orderBy(F.desc("score"), "path").limit(top)
+
+    # --- vectors ------------------------------------------------------------------
 
     def query_weights(self, query: str) -> dict[int, float]:
         """The query's unit vector by bucket; unseen terms weigh 1."""
-        spark = self.weights.sparkSession
-        said = spark.range(1).select(text.term_tokens(F.lit(query)).alias("t")).first()["t"]
-        known = {r["term"]: r["idf"] for r in self.weights.filter(F.col("term").isin(sorted(set(said)))).collect()}  # the query's terms
+        said = [t for t in (x.lower() for x in re.findall(text.TOKEN, query)) if len(t.encode()) > 1]
+        known = {r["term"]: r["idf"] for r in self.weights.filter(F.col("term").isin(sorted(set(said)))).collect()} if said else {}  # the query's terms
         raw: Counter = Counter()
         for term, n in Counter(said).items():
             raw[scores.fnv_bucket_of(term)] += n / len(said) * known.get(term, 1.0)
@@ -103,33 +235,122 @@ class Index:
         rest = rest.join(F.broadcast(hits.select("path")), "path", "left_anti").select("path", F.lit(0.0).alias("score"))
         return hits.unionByName(rest).orderBy(F.desc("score"), "path").limit(top)
 
+    # --- whole searches -------------------------------------------------------------
+
     def hybrid(self, query: str, top: int = 10) -> DataFrame:
         """Both legs, fused, and gated as ``retrieval.hybrid_search`` gates."""
         return retrieval.gated(retrieval.fuse(self.keyword(query, 2 * top), self.semantic(query, 2 * top)).limit(top), self.shown, top)
 
+    def search(self, query: str, mode: str = "hybrid", top: int = 10, orphans: DataFrame | None = None) -> DataFrame:
+        """Hits of any mode as they are shown: ``path, title, domain, score, snippet``, gated, without near-equal ones.
+
+        ``orphans`` are for wiki-first search, where nothing else is found.
+        """
+        mode = retrieval.search_mode(mode)
+        if mode == "hybrid":
+            hits = self.hybrid(query, top)
+        elif mode == "wiki_first":
+            hits = retrieval.gated(retrieval.wiki_first_search(self.shown, query, top, orphans).select("path", "score"), self.shown, top)
+        else:
+            hits = retrieval.gated(self.find(query, top) if mode == "keyword" else self.semantic(query, top), self.shown, top)
+        return retrieval.presented(hits, self.shown, query)
+
 
-def _stats(sizes: DataFrame) -> DataFrame:
-    return sizes.groupBy("field").agg(F.avg("size").alias("mean"), F.count("*").alias("total"))  # three rows
+def _bounds(postings: DataFrame) -> DataFrame:
+    return postings.groupBy("term", "zone", "field").agg(F.count("*").alias("n"), F.max("tf").alias("tf"), F.min("size").alias("size"))
 
 
-_STORED: dict[tuple[str, str], str] = {}
+def _stats(sizes: DataFrame, zones: int) -> DataFrame:
+    return sizes.groupBy("field").agg(F.avg("size").alias("mean"), F.count("*").alias("total")).withColumn("zones", F.lit(zones))  # three rows
 
 
-def generation(spark: SparkSession, paths: list[str]) -> str:
+def _phrase(postings: DataFrame, terms: tuple[str, ...], part: Callable[[Column, Column], Column]) -> DataFrame:
+    """``path, score`` of fields that hold the terms one after another.
+
+    Places, less the term's place in the phrase, agree where a phrase begins; a
+    phrase weighs what its terms weigh, at its own frequency.
+    """
+    places = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(i).alias("i")) for i, t in enumerate(terms)])
+    shift = F.transform(F.filter(places, lambda p: p["t"] == F.col("term")), lambda p: p["i"])
+    starts = F.flatten(F.transform(shift, lambda i: F.transform("positions", lambda p: p - i)))
+    each = postings.select("path", "field", "size", F.explode(starts).alias("start"))
+    whole = each.groupBy("path", "field", "size", "start").agg(F.count("*").alias("met"))
+    tf = whole.filter(F.col("met") == len(terms)).groupBy("path", "field", "size").agg(F.count("*").alias("tf"))
+    return tf.select("path", "field", "size", "tf", F.explode(F.array(*[F.lit(t) for t in terms])).alias("term")).select("path", part(F.col("tf"), F.col("size")).alias("score"))
+
+
+# --- queries ------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Clause:
+    """Terms (a phrase, if several) in a field or in any, that must (``+``), must not (``-``) or may match."""
+
+    occur: str
+    field: str | None
+    terms: tuple[str, ...]
+
+
+_CLAUSE = re.compile(r'([+-]?)(?:(title|body|tags):)?(?:"([^"]*)"|(\S+))')
+
+
+def parsed(query: str) -> list[Clause]:
+    """Clauses of a query: words, ``"phrases"``, ``field:``, ``+``, ``-``, ``AND``, ``OR``, ``NOT``; any may match where nothing is said.
+
+    A word of several tokens (signs in it, or characters of a script without
+    spaces) is a phrase of them.
+    """
+    out: list[Clause] = []
+    joined, barred = False, False
+    for occur, field, phrase, word in _CLAUSE.findall(query):
+        if word in ("AND", "OR", "NOT") and not occur and not field:
+            joined, barred = word == "AND", word == "NOT"
+            if joined and out and out[-1].occur == "":
+                out[-1] = Clause("+", out[-1].field, out[-1].terms)
+            continue
+        terms = tuple(t.lower() for t in re.findall(text.TOKEN, phrase or word))
+        if terms:
+            out.append(Clause("-" if barred else occur or ("+" if joined else ""), field or None, terms))
+        joined = barred = False
+    return out
+
+
+# --- stored generations ---------------------------------------------------------------
+
+
+def _file_system(spark: SparkSession, root: str):  # noqa: ANN202
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path
+    return path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _generations(spark: SparkSession, root: str) -> list[tuple[int, str, bool]]:
+    """Number, folder and whether it is finished, of every generation below ``root``."""
+    fs, path = _file_system(spark, root)
+    out = []
+    for f in fs.globStatus(path(f"{root}/gen-*")) or ():
+        at = f.getPath().toString()
+        out.append((int(at.rsplit("/gen-", 1)[1].split("-")[0]), at, fs.exists(path(f"{at}/{_READY}"))))
+    return out
+
+
+def fingerprint(spark: SparkSession, paths: list[str]) -> str:
     """A name for the present state of some files: their paths, lengths and times of change."""
-    jvm, conf, seen = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
-    for path in paths:
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        for f in where.getFileSystem(conf).globStatus(jvm.org.apache.hadoop.fs.Path(path)) or ():
-            seen += [f.getPath().toString(), f.getLen(), f.getModificationTime()]
+    seen = []
+    for name in paths:
+        fs, path = _file_system(spark, name)
+        for f in fs.globStatus(path(name)) or ():
+            inner = list(fs.listStatus(f.getPath())) if f.isDirectory() else [f]
+            seen += sorted((x.getPath().toString(), x.getLen(), x.getModificationTime()) for x in inner)
     return hashlib.sha256(repr(seen).encode()).hexdigest()[:16]
 
 
+def new_root(spark: SparkSession, label: str) -> str:
+    """A fresh place for generations in the shared folder."""
+    return f"{shared.folder(spark)}/paperloom/index-{label}-{uuid.uuid4().hex[:12]}"
+
+
 def stored(spark: SparkSession, label: str, made: Callable[[], DataFrame], inputs: list[str]) -> Index:
     """The index of ``made()``, built once in the shared folder for each state of its input files."""
-    key = (spark.sparkContext.applicationId, f"{label}-{generation(spark, inputs)}")
-    if key not in _STORED:
-        root = f"{shared.folder(spark)}/paperloom/index-{key[1]}-{key[0]}"
-        Index.of(made()).write(root)
-        _STORED[key] = root
-    return Index.read(spark, _STORED[key])
+    root = f"{shared.folder(spark)}/paperloom/index-{label}-{fingerprint(spark, inputs)}-{spark.sparkContext.applicationId}"
+    return Index.current(spark, root) or Index.build(made(), root)

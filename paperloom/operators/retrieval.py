@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom.functions import scores, text
+from paperloom.operators import documents
 from paperloom.session import ship
 
 FIELDS = ("title", "body", "tags")
 MIN_QUALITY = 0.7
 DUPLICATE_COSINE = 0.92
+DUPLICATE_DIM = 128
 
 
 def searchable(entries: DataFrame, least: float = MIN_QUALITY) -> DataFrame:
@@ -184,12 +186,13 @@ def gated(hits: DataFrame, entries: DataFrame, top: int, least: float = MIN_QUAL
     return hits.join(searchable(entries, least).select("path"), "path", "left_semi").orderBy(F.desc("score"), "path").limit(top)
 
 
-def without_duplicates(hits: DataFrame, entries: DataFrame, least: float = DUPLICATE_COSINE) -> DataFrame:
-    """Ranked hits without those nearly equal to a better one (hits are a bounded list)."""
-    ship(hits.sparkSession)
-    said = entries.select("path", F.concat_ws(" ", "title", F.substring("body", 1, 500)).alias("said"))
-    rows = F.broadcast(hits).join(said, "path").withColumn("_all", F.lit(1))
-    schema = T.StructType([f for f in hits.schema.fields])
+def without_duplicates(rows: DataFrame, said: str, least: float = DUPLICATE_COSINE) -> DataFrame:
+    """Ranked rows (``score``, ``path``) without those whose text is nearly that of a better one.
+
+    Texts are compared as hashed term vectors weighted among themselves. Rows are
+    a result list, bounded by its length.
+    """
+    ship(rows.sparkSession)
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         import math
@@ -197,21 +200,31 @@ def without_duplicates(hits: DataFrame, entries: DataFrame, least: float = DUPLI
         from collections import Counter
 
         pdf = pdf.sort_values(["score", "path"], ascending=[False, True])
-        bags = [Counter(t for t in (x.lower() for x in re.findall(text.TOKEN, s)) if len(t.encode()) > 1) for s in pdf["said"]]
+        bags = [Counter(t for t in (x.lower() for x in re.findall(text.TOKEN, s)) if len(t.encode()) > 1) for s in pdf[said]]
         df = Counter(t for b in bags for t in b)
         weigh = {t: math.log((len(bags) + 1) / (n + 1)) + 1 for t, n in df.items()}
         vecs = []
         for b in bags:
-            v = {t: n * weigh[t] for t, n in b.items()}
+            v: Counter = Counter()
+            for t, n in b.items():
+                v[scores.fnv_bucket_of(t, DUPLICATE_DIM)] += n * weigh[t]
             norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
             vecs.append({t: x / norm for t, x in v.items()})
         kept: list[int] = []
         for i, v in enumerate(vecs):
             if all(sum(x * vecs[j].get(t, 0.0) for t, x in v.items()) < least for j in kept):
                 kept.append(i)
-        return pdf.iloc[kept][[f.name for f in schema.fields]]
+        return pdf.iloc[kept].drop(columns="_all")
+
+    return rows.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(keep, rows.schema)
+
 
-    return rows.groupBy("_all").applyInPandas(keep, schema)
+def presented(hits: DataFrame, entries: DataFrame, query: str) -> DataFrame:
+    """A hit list as it is shown: ``path, title, domain, score, snippet``, best first, without near-equal hits."""
+    found = F.broadcast(hits).join(entries.select("path", "title", "domain", "body"), "path")  # at most top-k rows
+    rows = found.select("path", "title", "domain", "score", text.query_snippet(F.col("body"), query).alias("snippet"), F.substring("body", 1, 500).alias("_head"))
+    rows = rows.withColumn("_said", F.concat_ws(" ", "title", "snippet", "_head")).drop("_head")
+    return without_duplicates(rows, "_said").drop("_said").orderBy(F.desc("score"), "path")
 
 
 def hybrid_search(entries: DataFrame, query: str, top: int = 10, domain: str | None = None) -> DataFrame:
@@ -231,7 +244,7 @@ def search_mode(name: str) -> str:
 
 
 def search(entries: DataFrame, query: str, mode: str = "hybrid", top: int = 10, domain: str | None = None) -> DataFrame:
-    """Searchable hits ``(path, score)`` by any mode."""
+    """Searchable hits ``(path, score)`` by any mode; ``presented`` shows them."""
     mode = search_mode(mode)
     if mode == "hybrid":
         return hybrid_search(entries, query, top, domain)
@@ -248,12 +261,21 @@ def search_meta(entries: DataFrame, hits: DataFrame, mode: str) -> DataFrame:
     return searchable(entries).agg((F.count("*") == 0).alias("index_empty")).crossJoin(counted).select(F.lit(search_mode(mode)).alias("mode"), "hits", "index_empty")  # one row each
 
 
-def wiki_first_search(entries: DataFrame, query: str, top: int = 10) -> DataFrame:
-    """Title hits before body hits; the best reason of each entry counts."""
-    q = query.lower()
-    title = F.lower("title")
-    score = F.when(title == q, 1.0).when(F.contains(title, F.lit(q)), 0.95).when(F.contains(F.lower("body"), F.lit(q)), 0.75)
-    return entries.select("path", "title", score.alias("score")).filter("score is not null").orderBy(F.desc("score"), "path").limit(top)
+def wiki_first_search(entries: DataFrame, query: str, top: int = 10, orphans: DataFrame | None = None) -> DataFrame:
+    """Lines of the index page before titles before bodies; the best reason of each entry counts.
+
+    Where nothing is found, three entries that nothing refers to (``orphans``).
+    """
+    q, title = query.lower(), F.lower("title")
+    line = F.lower(documents.index_line(F.col("path"), F.col("body")))
+    said = F.lower(F.concat_ws(" ", "title", "body"))
+    score = F.when(F.contains(line, F.lit(q)), 1.0).when(F.contains(title, F.lit(q)), 0.95).when(F.contains(said, F.lit(q)), 0.75)
+    hits = entries.select("path", "title", score.alias("score")).filter("score is not null").orderBy(F.desc("score"), "path").limit(top)
+    if orphans is None:
+        return hits
+    few = orphans.select("path", "title", F.lit(0.1).alias("score")).orderBy("path").limit(3)
+    none = hits.agg((F.count("*") == 0).alias("_none"))
+    return hits.unionByName(few.crossJoin(F.broadcast(none)).filter("_none").drop("_none"))  # one row
 
 
 def scan_search(entries: DataFrame, query: str, top: int = 10) -> DataFrame:

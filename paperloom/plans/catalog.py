@@ -17,6 +17,9 @@ from paperloom.streaming import events as streams
 
 QUERY = "the thhentha estion worthless"
 TERM = "estion"
+PHRASES = '"of the" "is the and"'
+BOOLEAN = "+worthless +the -tags:src3 estion"
+BY_FIELD = 'title:21 tags:src3 body:"and the"'
 CENTER = "area0/21.md"
 
 E = Callable[[DataFrame], DataFrame]
@@ -108,7 +111,16 @@ def _tool_table(e: DataFrame) -> DataFrame:
 
 
 def _near_query(e: DataFrame) -> DataFrame:
-    return retrieval.without_duplicates(retrieval.keyword_search(e, QUERY, 20), e)
+    return retrieval.presented(retrieval.keyword_search(e, QUERY, 20), e, QUERY)
+
+
+def _built(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each table of an index, built anew."""
+    made, rows = indexes.Index.build(entries(spark, sf_dir), indexes.new_root(spark, "build")), None
+    for name in ("postings", "fields", "weights", "vectors", "shown"):
+        one = getattr(made, name).agg(F.lit(name).alias("name"), F.count("*").alias("n"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
 
 
 def _index(spark: SparkSession, sf_dir: str) -> indexes.Index:
@@ -127,7 +139,7 @@ def _upserted_index(spark: SparkSession, sf_dir: str) -> indexes.Index:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir).hybrid(QUERY, 10)
+    return _index(spark, sf_dir).search(QUERY, "hybrid", 10)
 
 
 def _timed_manifests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -187,7 +199,7 @@ def _queries() -> dict:
         "wiki_entry_listing": _on_entries(_listing),
         "entries_by_domain": _on_entries(lambda e: e.groupBy(text.domain_of_path(F.col("path")).alias("domain")).agg(F.count("*").alias("n"), F.round(F.avg("quality_score"), 6).alias("quality"))),
         "scan_quality_entries": _on_entries(lambda e: e.select("path", "quality_score", "status", "publish_status", F.size("tags").cast("long").alias("n_tags"))),
-        "wiki_index_rows": _on_entries(documents.index_page),
+        "wiki_index_rows": _on_entries(lambda e: documents.index_page(e).select("domain", "place", "line")),
         "discover_domains": _on_entries(lambda e: e.select("domain").distinct()),
         "log_tail": lambda s, d: changes.log_tail(_jobs(s, d), 20).select("job", "seq", "status"),
         "entry_point_lookup": _on_entries(lambda e: e.filter((F.col("domain") == "area0") & (F.col("path") == CENTER)).select("path", "title", "version")),
@@ -275,6 +287,10 @@ def _queries() -> dict:
         "health_report": _on_entries(governance.health_report),
         # retrieval
         "bm25_keyword_search": _on_index(lambda x: x.keyword(QUERY, 10)),
+        "index_build": _built,
+        "phrase_search": _on_index(lambda x: x.find(PHRASES, 20)),
+        "boolean_search": _on_index(lambda x: x.find(BOOLEAN, 20)),
+        "field_search": _on_index(lambda x: x.find(BY_FIELD, 20)),
         "scan_keyword_search": _on_entries(search),
         "scan_semantic_search": _on_entries(lambda e: retrieval.semantic_search(e, QUERY, 10)),
         "index_postings": _on_index(lambda x: x.postings.groupBy("term").agg(F.count("*").alias("n"), F.sum("tf").alias("tf"))),
@@ -299,7 +315,8 @@ def _queries() -> dict:
         "search_dedup": _on_entries(_near_query),
         "search_meta": _on_entries(lambda e: retrieval.search_meta(e, retrieval.search(e, QUERY, "keyword"), "fulltext")),
         "recompile_candidates": lambda s, d: bases.recompile_candidates(entries(s, d).withColumn("source", F.concat(F.lit("raw/"), F.col("doc_id").cast("string"))).withColumn("source_hash", F.when(F.col("doc_id") % 3 == 0, F.lit("old"))), _sources(s, d)[0]),
-        "wiki_first_search": _on_entries(lambda e: retrieval.wiki_first_search(e, "doc 21", 10)),
+        "wiki_first_search": _on_entries(lambda e: retrieval.wiki_first_search(e, "number 7", 10, graph.orphans(e))),
+        "wiki_first_fallback": _on_entries(lambda e: retrieval.wiki_first_search(e, "no such words", 10, graph.orphans(e))),
         "fallback_scan_search": _on_entries(lambda e: retrieval.scan_search(e, QUERY, 10)),
         "keyword_hits_with_page": lambda s, d: retrieval.keyword_hits_with_page(_pages(s, d), TERM),
         "api_catalog_search": _on_entries(lambda e: retrieval.catalog_search(_tool_table(e), "search")),

@@ -118,6 +118,58 @@ s as (select path, row_number() over (order by score desc, path) as r from (sele
 rrf as (select path, round(sum(1.0::double / (60 + r)), 8) as score from (select * from k union all select * from s) group by path)"""
 
 
+def _phrase_count(words: str) -> str:
+    """How often words follow one another in ``t``."""
+    ws = words.split()
+    return f"len(list_filter(range(1, len(t) + 1), lambda i: {' and '.join(f't[i + {n}] = {chr(39)}{w}{chr(39)}' for n, w in enumerate(ws))}))"
+
+
+def _clause_scores(*clauses: tuple[str, str, str]) -> str:
+    """``ch``: clause name, path and score, for clauses of a name, words and a field (empty: any)."""
+    words = sorted({w for _, ws, _ in clauses for w in ws.split()})
+    counts = " union all ".join(
+        f"select '{name}' as clause, path, field, len(t) as size, {_phrase_count(ws)} as tf, [{', '.join(repr(w) for w in ws.split())}] as ws from ft" + (f" where field = '{field}'" if field else "")
+        for name, ws, field in clauses
+    )
+    return f"""{_FIELDS.split("qt as (")[0].rstrip().rstrip(",")},
+cw as (select field, term, count(*) as df from (select field, unnest(list_distinct(t)) as term from ft) where term in ({", ".join(repr(w) for w in words)}) group by field, term),
+ct as (select * from ({counts}) where tf > 0),
+ch as (select clause, path, sum(ln(1 + (total - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))) as score
+       from (select clause, path, field, size, tf, unnest(ws) as term from ct) join cw using (field, term) join fs using (field) group by clause, path)"""
+
+
+_INDEX_LINES = """ab as (select path, title, domain, body, string_split(body, chr(10)) as ls from entries),
+am as (select *, list_position(list_transform(ls, lambda x: contains(x, '[!ABSTRACT]')), true) as mark from ab),
+il as (select path, title, domain, body, '| [[' || path || ']] | ' || coalesce(trim(case when mark > 0 then ls[mark + 1] end, ' '), '') || ' |' as line from am)"""
+
+
+def _wiki_first(query: str) -> str:
+    """``hits`` and ``few``: what wiki-first search finds, and the entries without references that stand in for it."""
+    return f"""{_NAMED}, {_INDEX_LINES},
+hits as (select path, title, cast(case when contains(lower(line), '{query}') then 1.0 when contains(lower(title), '{query}') then 0.95 else 0.75 end as double) as score from il
+         where contains(lower(line), '{query}') or contains(lower(title || ' ' || body), '{query}') order by score desc, path limit 10),
+us as (select src as p from er union all select dst from er union all select src from ec union all select dst from ec),
+few as (select path, title, 0.1::double as score from entries where path not in (select p from us) order by path limit 3)"""
+
+
+def _presented(hits: str) -> str:
+    """Common table expressions from ``gh`` (path, score) to ``shown`` (hits as they are shown, without near-equal ones)."""
+    bucket = f"({_BUCKET} & 127)"
+    return f"""gh as ({hits}),
+sn as (select path, title, domain, score, body, instr(lower(body), '{QUERY}') as pos, row_number() over (order by score desc, path) as r from gh join entries using (path)),
+sp as (select *, case when pos > 0 then substr(body, greatest(1, pos - 100), pos - greatest(1, pos - 100) + {len(QUERY)} + 200) else '' end as snippet from sn),
+dt as (select r, list_filter({TOKENS.format("title || ' ' || snippet || ' ' || substr(body, 1, 500)")}, lambda x: octet_length(encode(x)) > 1) as t from sp),
+dk as (select r, term, count(*) as tf from (select r, unnest(t) as term from dt) group by r, term),
+di as (select term, ln(((select count(*) from gh) + 1) / (count(*) + 1)) + 1 as idf from dk group by term),
+dw as (select r, cast({bucket} as int) as bucket, sum(tf * idf) as w from dk join di using (term) group by 1, 2),
+dn as (select r, bucket, w / sqrt(sum(w * w) over (partition by r)) as w from dw),
+ds as (select y.r as r, x.r as earlier from dn x join dn y using (bucket) where x.r < y.r group by 1, 2 having sum(x.w * y.w) >= 0.92),
+dl as (select sp.r, list(earlier) filter (earlier is not null) as near from sp left join ds using (r) group by sp.r),
+kp as (select 0::bigint as r, []::bigint[] as kept union all
+       select dl.r, case when len(list_intersect(kept, coalesce(near, []::bigint[]))) = 0 then list_append(kept, dl.r) else kept end from kp join dl on dl.r = kp.r + 1),
+shown as (select path, title, domain, score, snippet from sp where r in (select unnest(kept) from kp where r = (select max(r) from kp)))"""
+
+
 _SEARCHABLE = "publish_status = 'published' and quality_score >= 0.7"
 
 # --- changes -----------------------------------------------------------------------
@@ -146,7 +198,7 @@ SQL: dict[str, str] = {
     "wiki_entry_listing": f"{E} select path, title, domain, array_to_string(tags, ',') as tags, level from entries",
     "entries_by_domain": f"{E} select split_part(path, '/', 1) as domain, count(*) as n, round(avg(quality_score), 6) as quality from entries group by 1",
     "scan_quality_entries": f"{E} select path, quality_score, status, publish_status, cast(len(tags) as bigint) as n_tags from entries",
-    "wiki_index_rows": f"{E} select domain, title, '| [' || title || '](' || path || ') | ' || level || ' |' as line from entries",
+    "wiki_index_rows": f"{E}, {_INDEX_LINES} select domain, cast(row_number() over (partition by domain order by title, path) as int) as place, line from il",
     "discover_domains": f"{E} select distinct domain from entries",
     "log_tail": f"{_JOBS} select job, seq, status from jobs order by ts desc, seq desc limit 20",
     "entry_point_lookup": f"{E} select path, title, version from entries where domain = 'area0' and path = '{CENTER}'",
@@ -328,12 +380,21 @@ SQL: dict[str, str] = {
     "embedding_topk": """with q as (select embedding::double[] as v from embeddings where embedding is not null order by vec_id limit 1)
       select vec_id, round(list_cosine_similarity(embedding::double[], v), 6) as score from embeddings, q order by score desc, vec_id limit 10""",
     "rrf_fusion": f"{_fused(20)} select * from rrf",
-    "hybrid_search": f"{_fused(20)}, top as (select * from rrf order by score desc, path limit 10) select * from top where path in (select path from entries where {_SEARCHABLE})",
+    "hybrid_search": f"""{_fused(20).replace("with ", "with recursive ", 1)}, top as (select * from rrf order by score desc, path limit 10),
+      {_presented(f"select * from top where path in (select path from entries where {_SEARCHABLE})")} select * from shown""",
+    "search_dedup": f"""{_FIELDS.replace("with ", "with recursive ", 1)}, {_presented("select * from bm order by score desc, path limit 20")} select * from shown""",
+    "index_build": f"""{_vectors(_FIELDS)} select 'postings' as name, count(*) as n from (select distinct path, field, unnest(t) as term from ft)
+      union all select 'fields', count(*) from ft union all select 'weights', count(*) from idf union all select 'vectors', count(*) from vec union all select 'shown', count(*) from entries""",
+    "phrase_search": f"""{_clause_scores(("a", "of the", ""), ("b", "is the and", ""))} select path, round(sum(score), 4) as score from ch group by path order by score desc, path limit 20""",
+    "boolean_search": f"""{_clause_scores(("a", "worthless", ""), ("b", "the", ""), ("no", "src3", "tags"), ("c", "estion", ""))}
+      select path, round(sum(score), 4) as score from ch where path in (select path from ch where clause = 'a') and path in (select path from ch where clause = 'b')
+        and path not in (select path from ch where clause = 'no') group by path order by score desc, path limit 20""",
+    "field_search": f"""{_clause_scores(("a", "21", "title"), ("b", "src3", "tags"), ("c", "and the", "body"))} select path, round(sum(score), 4) as score from ch group by path order by score desc, path limit 20""",
     "search_meta": f"""{_FIELDS}, top as (select * from bm order by score desc, path limit 10) select 'keyword' as mode,
       (select count(*) from top where path in (select path from entries where {_SEARCHABLE})) as hits, (select count(*) from entries where {_SEARCHABLE}) = 0 as index_empty""",
     "recompile_candidates": f"{E} select path, case when status = 'needs_recompile' then 'asked for' else 'source changed' end as reason, version + 1 as version from entries",
-    "wiki_first_search": f"""{E} select path, title, cast(case when lower(title) = 'doc 21' then 1.0 when contains(lower(title), 'doc 21') then 0.95 else 0.75 end as double) as score from entries
-      where contains(lower(title), 'doc 21') or contains(lower(body), 'doc 21') order by score desc, path limit 10""",
+    "wiki_first_search": f"{_wiki_first('number 7')} select * from hits",
+    "wiki_first_fallback": f"{_wiki_first('no such words')} select * from hits union all select * from few where (select count(*) from hits) = 0",
     "fallback_scan_search": f"""{E}, qt as (select * from (values {TERMS}) q(term)), c as (select path, body, count(*) as n from entries, qt where contains(lower(body), term) group by path, body)
       select path, round(n / sqrt(strlen(body)) * 100, 4) as score from c order by score desc, path limit 10""",
     "keyword_hits_with_page": """with l as (select doc_id as doc, generate_subscripts(a, 1) as page, unnest(a) as line from (select doc_id, string_split(coalesce(text, ''), chr(10)) as a from documents))

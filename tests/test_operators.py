@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import rules, scores, text
 from paperloom.operators import bases, changes, documents, extraction, governance, graph, retrieval
+from paperloom.operators import index as indexes
 from paperloom.operators.index import Index
 from paperloom.sources import markdown
 from paperloom.streaming import events as streams
@@ -120,12 +121,6 @@ def test_search_of_nothing(spark):
     assert retrieval.hybrid_search(none, "anything", 5).count() == 0
 
 
-def test_near_equal_hits_are_suppressed(spark):
-    e = kb(spark, entry("d/a.md", body="one two three four", title="t"), entry("d/b.md", body="one two three four", title="t"), entry("d/c.md", body="five six", title="u"))
-    hits = spark.createDataFrame([("d/a.md", 3.0), ("d/b.md", 2.0), ("d/c.md", 1.0)], "path string, score double")
-    assert values(retrieval.without_duplicates(hits, e), "path") == [("d/a.md",), ("d/c.md",)]
-
-
 def test_fusion_prefers_both_legs(spark):
     a = spark.createDataFrame([("x", 9.0), ("y", 8.0)], "path string, score double")
     b = spark.createDataFrame([("y", 0.9), ("z", 0.8)], "path string, score double")
@@ -290,6 +285,125 @@ def test_index_written_read_and_upserted(spark, tmp_path):
     assert after.fields.select("path").distinct().count() == 3
 
 
+def test_a_build_counts_once_it_is_whole_and_replaces_the_one_before(spark, tmp_path, monkeypatch):
+    root = f"file://{tmp_path}/kb"
+    assert Index.current(spark, root) is None
+    Index.build(kb(spark, entry("d/a.md", body="alpha")), root)
+    with monkeypatch.context() as m:
+        m.setattr(Index, "write", lambda self, at: self.stats.write.parquet(f"{at}/stats") or 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            Index.build(kb(spark, entry("d/b.md", body="beta")), root)
+    assert [r.path for r in Index.current(spark, root).keyword("alpha").collect()] == ["d/a.md"]
+    for name in ("c", "d", "e"):
+        Index.build(kb(spark, entry(f"d/{name}.md", body="alpha")), root)
+    assert [r.path for r in Index.current(spark, root).keyword("alpha").collect()] == ["d/e.md"]
+    assert len([p for p in (tmp_path / "kb").iterdir() if p.is_dir()]) == 1 + indexes.KEPT
+    assert not list((tmp_path / "kb").glob("*/_made"))
+
+
+def test_every_text_is_tokenized_once_in_a_build(spark, tmp_path, monkeypatch):
+    seen, plain = spark.sparkContext.accumulator(0), text.tokens
+    count = F.udf(lambda x: seen.add(int("alpha" in x)) or x, "string")
+    monkeypatch.setattr(text, "tokens", lambda c: plain(count(c)))
+    e = kb(spark, *[entry(f"d/{i}.md", body=f"alpha w{i}") for i in range(20)])
+    Index.build(e, f"file://{tmp_path}/kb", tokens=text.tokens)
+    assert seen.value == 20
+
+
+def test_near_equal_hits_are_suppressed(spark):
+    same = "t one two three four"
+    rows = spark.createDataFrame([("d/a.md", 3.0, same), ("d/b.md", 2.0, same), ("d/c.md", 1.0, "u five six")], "path string, score double, said string")
+    assert values(retrieval.without_duplicates(rows, "said"), "path") == [("d/a.md",), ("d/c.md",)]
+
+
+def searched(spark, seed, n=300, words=40):
+    """Entries whose words are Zipf-like, in zones of few entries."""
+    import random
+
+    rnd = random.Random(seed)
+    pick = lambda k: " ".join(f"w{min(int(rnd.paretovariate(0.7)), words)}" for _ in range(k))
+    return kb(spark, *[entry(f"d{i % 3}/{i}.md", [f"t{i % 5}"], title=pick(3), body=pick(rnd.randrange(1, 60))) for i in range(n)])
+
+
+@pytest.mark.parametrize("listed", [0, 2000])
+def test_pruned_search_is_exact_and_reads_few_blocks(spark, tmp_path, monkeypatch, listed):
+    monkeypatch.setattr(indexes, "ZONE_ENTRIES", 4)
+    monkeypatch.setattr(indexes, "LEAD", 3)
+    monkeypatch.setattr(indexes, "LISTED", listed)
+    e = searched(spark, 1)
+    built = Index.of(e).write(f"file://{tmp_path}/kb")
+    assert built.stats.first()["zones"] == 75
+    for query, tops in (("w1 w2 w39", (1, 5, 1000)), ("w17 w23 w31", (5,)), ("missing", (5,))):
+        for top in tops:
+            want = [(r.path, r.score) for r in retrieval.keyword_search(e, query, top).collect()]
+            assert [(r.path, r.score) for r in built.keyword(query, top).collect()] == want, (query, top)
+    rare = e.select(F.explode(text.tokens(F.col("body"))).alias("t")).groupBy("t").count().filter("count <= 12").orderBy("count", "t").first()["t"]
+    row = built.blocks_read(f"w1 {rare}", 3).first()
+    assert 0 < row.blocks_read < row.blocks / 2
+
+
+def held(row, field):
+    return {"title": row.title, "body": row.body, "tags": " ".join(row.tags)}[field].lower().split()
+
+
+def test_clauses_and_phrases_match_what_a_scan_finds(spark, tmp_path):
+    e = searched(spark, 2, n=120, words=8)
+    rows, built = e.collect(), Index.of(e).write(f"file://{tmp_path}/kb")
+    runs = lambda r, f, ws: any(held(r, f)[i : i + len(ws)] == ws for i in range(len(held(r, f))))
+    has = lambda r, ws, fields=("title", "body", "tags"): any(runs(r, f, ws.split()) for f in fields)
+    cases = {
+        '"w1 w2"': lambda r: has(r, "w1 w2"),
+        '"w1 w1 w2"': lambda r: has(r, "w1 w1 w2"),
+        "title:w3": lambda r: has(r, "w3", ["title"]),
+        '+"w2 w1" -tags:t2 w4': lambda r: has(r, "w2 w1") and not has(r, "t2", ["tags"]),
+        "w5 AND w6": lambda r: has(r, "w5") and has(r, "w6"),
+        "w5 NOT w6": lambda r: has(r, "w5") and not has(r, "w6"),
+        "w7 OR body:\"w3 w2 w1\"": lambda r: has(r, "w7") or has(r, "w3 w2 w1", ["body"]),
+        "+w1 +missing": lambda r: False,
+        "-w1": lambda r: False,
+        "": lambda r: False,
+    }
+    for query, test in cases.items():
+        assert {r.path for r in built.matches(query).collect()} == {r.path for r in rows if test(r)}, query
+    one, two = (dict(map(tuple, built.matches(q).collect())) for q in ('"w1 w2"', "w1 w2"))
+    assert one and all(0 < s <= two[p] + 1e-3 for p, s in one.items())  # a phrase's terms weigh no more than all their occurrences
+    assert {r.path for r in built.find("w1 w2", 5, domain="d1").collect()} <= {r.path for r in rows if r.domain == "d1"}
+
+
+def test_a_word_of_signs_or_characters_is_a_phrase(spark, tmp_path):
+    e = kb(spark, entry("d/a.md", body="Nginx 反向代理与负载均衡"), entry("d/b.md", body="代理 反向"), entry("d/c.md", body="a-b c"), entry("d/d.md", body="a b-c"))
+    built = Index.of(e).write(f"file://{tmp_path}/kb")
+    assert [r.path for r in built.find("反向代理").collect()] == ["d/a.md"]
+    assert [r.path for r in built.find("b-c").collect()] == ["d/d.md"]
+    assert [str(c) for c in indexes.parsed('a "b c" -title:d')] == [str(indexes.Clause("", None, ("a",))), str(indexes.Clause("", None, ("b", "c"))), str(indexes.Clause("-", "title", ("d",)))]
+
+
+def test_searches_of_an_empty_index(spark, tmp_path):
+    built = Index.of(kb(spark).limit(0)).write(f"file://{tmp_path}/kb")
+    assert built.keyword("x").count() == built.find('"x y" -z').count() == built.semantic("x").count() == built.search("x").count() == 0
+
+
+@pytest.mark.parametrize("mode", ["hybrid", "keyword", "semantic", "wiki_first"])
+def test_every_mode_shows_gated_hits_without_near_equal_ones(spark, tmp_path, mode):
+    same = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    rows = [entry("d/a.md", body=same), entry("d/b.md", body=same, title="d/a.md"), entry("d/c.md", body="alpha beta and other words altogether"), entry("d/d.md", body=same, published="draft")]
+    built = Index.of(kb(spark, *rows)).write(f"file://{tmp_path}/kb")
+    got = built.search("alpha beta", mode, 10).collect()
+    assert [r.path for r in got if r.path != "d/c.md"] == ["d/a.md"] and {r.path for r in got} == {"d/a.md", "d/c.md"}
+    assert all(r.domain == "d" and r.title and r.snippet.startswith("alpha beta") for r in got)
+    assert [r.score for r in got] == sorted((r.score for r in got), reverse=True)
+
+
+def test_wiki_first_takes_index_lines_then_titles_then_bodies_then_orphans(spark):
+    e = kb(
+        spark, entry("d/a.md", body="> [!ABSTRACT]\n  about Foxes \nx"), entry("d/b.md", title="foxes and hens"), entry("d/c.md", body="see foxes"),
+        entry("d/d.md", related=["d/e.md"]), entry("d/e.md"), entry("d/foxes.md"),
+    )
+    found = lambda q: [(r.path, r.score) for r in retrieval.wiki_first_search(e, q, 10, graph.orphans(e)).collect()]
+    assert found("foxes") == [("d/a.md", 1.0), ("d/foxes.md", 1.0), ("d/b.md", 0.95), ("d/c.md", 0.75)]
+    assert found("no such words") == [("d/a.md", 0.1), ("d/b.md", 0.1), ("d/c.md", 0.1)]
+
+
 @pytest.mark.parametrize("block", [2, 1000])
 def test_drift_takes_every_tag_and_only_old_pairs(spark, block):
     day = lambda n: F.timestamp_add("DAY", F.lit(n), F.lit("2024-01-01").cast("timestamp"))

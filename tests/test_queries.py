@@ -10,7 +10,7 @@ from paperloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NO_SQL = {"communities", "aggregation_candidates", "search_dedup", "agent_context"}
+NO_SQL = {"communities", "aggregation_candidates", "agent_context"}
 
 
 @pytest.fixture(scope="module")
