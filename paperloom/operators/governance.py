@@ -2,19 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import scores, text
-from paperloom.operators import retrieval
-from paperloom.session import ship
 
 MIN_SCORE = 0.7
 MAX_AGE_DAYS = 90
-DRIFT_DAYS, DRIFT_COSINE = 90, 0.6
-NEAR_COSINE = 0.92
 
 
 def issues(entries: DataFrame) -> DataFrame:
@@ -87,14 +81,8 @@ def list_issues(entries: DataFrame, severity: str | None = None, limit: int | No
     return rows if limit is None else rows.orderBy("severity", "path", "message").limit(limit)
 
 
-#: Operation names and reasons of the next actions, and how many orphans are named.
+#: How many orphans the next actions name.
 NEXT_ORPHANS = 5
-NEXT_ACTIONS = {
-    "suggest_links": "Orphan entry — discover links to integrate into the graph",
-    "patch_wiki_entry": "Fix broken related/contradiction paths in front matter",
-    "hypothesis_test": "Review explicit contradiction pairs and resolve or document open questions",
-    "rebuild_index": "Refresh the text, vector and graph indexes after quality fixes",
-}
 
 
 def next_actions(entries: DataFrame) -> DataFrame:
@@ -192,83 +180,6 @@ def stale(entries: DataFrame, as_of: str, max_age: int = MAX_AGE_DAYS) -> DataFr
     return rows.select("path", "days", F.round(scores.decay_score(F.col("quality_score"), F.col("days")), 6).alias("decayed")).orderBy(F.desc("days"), "path")
 
 
-def drift_pairs(entries: DataFrame, days: int = DRIFT_DAYS, most: float = DRIFT_COSINE, block: int = 1000) -> DataFrame:
-    """Pairs that share a tag, were created far apart and say different things, worst first.
-
-    Every tag counts, hot ones included. The entries of a tag are dealt to chunks of about ``block``, and every two
-    chunks meet in one matrix product, so no task gets a whole hot tag. A pair
-    is told by the smallest tag it shares only.
-    """
-    spark = entries.sparkSession
-    ship(spark)
-    packed = retrieval.vectors(entries).groupBy("path").agg(F.collect_list(F.struct("bucket", "weight")).alias("v"))
-    tags = F.array_distinct(F.filter("tags", lambda t: t.isNotNull()))
-    tagged = entries.select("path", F.unix_micros("created").alias("at"), tags.alias("tags")).withColumn("tag", F.explode("tags"))
-    chunks = tagged.groupBy("tag").agg(F.ceil(F.count("*") / block).cast("int").alias("n"), F.count("*").alias("_of")).filter("_of > 1").drop("_of")
-    met = tagged.join(chunks, "tag").withColumn("own", F.pmod(F.xxhash64("path"), F.col("n")).cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    met = met.join(packed, "path", "left").select("path", "at", "tags", "tag", "own", "i", "j", "v")
-
-    def apart(pdf: pd.DataFrame) -> pd.DataFrame:
-        dense = np.zeros((len(pdf), scores.DIM))
-        for row, v in enumerate(pdf["v"]):
-            for e in v if v is not None else ():
-                dense[row, e["bucket"]] = e["weight"]
-        in_i, in_j = np.flatnonzero(pdf["own"] == pdf["i"]), np.flatnonzero(pdf["own"] == pdf["j"])
-        at, path, tag = pdf["at"].to_numpy(float), pdf["path"].to_numpy(), pdf["tag"].iloc[0]
-        value = dense[in_i] @ dense[in_j].T
-        far = (value < most + 1e-3) & (np.abs(at[in_i][:, None] - at[in_j]) >= days * 86_400e6)  # false for null
-        lesser = [{t for t in own if t < tag} for own in pdf["tags"]]
-        have_i, have_j = {}, {}
-        for have, rows in ((have_i, in_i), (have_j, in_j)):
-            for k, row in enumerate(rows):
-                for t in lesser[row]:
-                    have.setdefault(t, []).append(k)
-        for t in have_i.keys() & have_j.keys():
-            far[np.ix_(have_i[t], have_j[t])] = False
-        x, y = np.nonzero(far)
-        a, b = path[in_i[x]], path[in_j[y]]
-        once = (a < b) if (pdf["i"] == pdf["j"]).all() else a != b
-        return pd.DataFrame({"a": np.where(a < b, a, b)[once], "b": np.where(a < b, b, a)[once], "tag": tag, "similarity": value[x, y][once]})
-
-    found = met.groupBy("tag", "i", "j").applyInPandas(apart, "a string, b string, tag string, similarity double")
-    found = found.select("a", "b", "tag", F.round("similarity", 4).alias("similarity")).filter(F.col("similarity") < most)
-    title = lambda to: entries.select(F.col("path").alias(to), F.col("title").alias(f"{to}_title"))
-    return found.join(title("a"), "a").join(title("b"), "b").select("a", "b", "a_title", "b_title", "tag", "similarity").orderBy("similarity", "a", "b")
-
-
-def near_duplicates(entries: DataFrame, least: float = NEAR_COSINE, block: int = 4000) -> DataFrame:
-    """Pairs of entries whose vectors have a cosine of at least ``least``, exactly.
-
-    Hashed vectors of 256 places have no rare coordinates to index, so every two
-    blocks of at most about ``block`` vectors meet in one matrix product; a task
-    never holds more than two blocks, and only pairs above the threshold leave it.
-    """
-    spark = entries.sparkSession
-    ship(spark)
-    blocks = max(1, -(-entries.count() // block))
-    packed = retrieval.vectors(entries).groupBy("path").agg(F.collect_list(F.struct("bucket", "weight")).alias("v"))
-    own = F.pmod(F.xxhash64("path"), F.lit(blocks)).cast("int")
-    met = packed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = met.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-
-    def near(pdf: pd.DataFrame) -> pd.DataFrame:
-        dense = np.zeros((len(pdf), scores.DIM))
-        for row, v in enumerate(pdf["v"]):
-            for e in v:
-                dense[row, e["bucket"]] = e["weight"]
-        in_i, in_j = np.flatnonzero(pdf["own"] == pdf["i"]), np.flatnonzero(pdf["own"] == pdf["j"])
-        value = dense[in_i] @ dense[in_j].T
-        x, y = np.nonzero(value >= least - 1e-3)
-        path = pdf["path"].to_numpy()
-        a, b = path[in_i[x]], path[in_j[y]]
-        once = (a < b) if (pdf["i"] == pdf["j"]).all() else np.ones(len(a), bool)
-        return pd.DataFrame({"a": np.where(a < b, a, b)[once], "b": np.where(a < b, b, a)[once], "similarity": value[x, y][once]})
-
-    found = met.groupBy("i", "j").applyInPandas(near, "a string, b string, similarity double")
-    return found.select("a", "b", F.round("similarity", 4).alias("similarity")).filter(F.col("similarity") >= least)
-
-
 def missing_concepts(entries: DataFrame, least: int = 3, top: int = 15) -> DataFrame:
     """Frequent tags that no title carries."""
     tags = entries.select(F.explode("tags").alias("tag")).select(F.lower(F.trim("tag")).alias("tag")).filter(F.octet_length("tag") >= 3)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import rules, text
-from paperloom.operators import bases, changes, documents, governance, graph, relational, retrieval
+from paperloom.operators import bases, changes, documents, governance, graph, relational, retrieval, similarity
 from paperloom.operators import index as indexes
 from paperloom.plans import oracles
 from paperloom.session import table
@@ -276,12 +276,12 @@ def _queries() -> dict:
         "publish_gate": _on_entries(governance.publish_gate),
         "gate_summary": _on_entries(lambda e: governance.gate_summary(governance.publish_gate(e))),
         "stale_entries": _on_entries(lambda e: governance.stale(e, AS_OF)),
-        "drift_pairs": _on_entries(governance.drift_pairs),
+        "drift_pairs": _on_entries(similarity.drift_pairs),
         "next_actions": _on_entries(governance.next_actions),
         "quality_snapshot_counts": _on_entries(governance.snapshot_counts),
         "quality_report_lines": _on_entries(governance.report_lines),
         "meta_lint": _graph(lambda e, g: governance.meta_lint(e, g, AS_OF)),
-        "near_duplicate_pairs": _on_entries(governance.near_duplicates),
+        "near_duplicate_pairs": _on_entries(similarity.near_duplicates),
         "missing_concept_hints": _on_entries(governance.missing_concepts),
         "lint_summary": _on_entries(lambda e: governance.lint_summary(e, AS_OF)),
         "health_report": _on_entries(governance.health_report),

@@ -6,10 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import rules, scores, text
-from paperloom.operators import bases, changes, documents, extraction, governance, graph, retrieval
+from paperloom.operators import bases, changes, documents, extraction, governance, graph, retrieval, similarity
 from paperloom.operators import index as indexes
 from paperloom.operators.index import Index
 from paperloom.sources import markdown
+from paperloom.sources.tables import entries
 from paperloom.streaming import events as streams
 
 SHAPE = (
@@ -404,10 +405,28 @@ def test_wiki_first_takes_index_lines_then_titles_then_bodies_then_orphans(spark
     assert found("no such words") == [("d/a.md", 0.1), ("d/b.md", 0.1), ("d/c.md", 0.1)]
 
 
+@pytest.mark.parametrize("block", [30, 4000])
+def test_near_duplicates_are_all_found_and_few_pairs_compared(spark, block):
+    import numpy as np
+
+    e = entries(spark, "/root/testdata/sf0.001")
+    rows = retrieval.vectors(e).collect()
+    paths = sorted({r.path for r in rows})
+    x, at = np.zeros((len(paths), scores.DIM)), {p: i for i, p in enumerate(paths)}
+    for r in rows:
+        x[at[r.path], r.bucket] = r.weight
+    for least in (0.92, 0.6):
+        want = {(paths[i], paths[j]) for i, j in np.argwhere(np.round(x @ x.T, 4) >= least) if i < j}
+        got = [(r.a, r.b) for r in similarity.near_duplicates(e, least, block=block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
+    work = similarity.near_duplicate_work(e, block=block).first()
+    assert work.compared <= work.met <= work.pairs and work.compared < 0.2 * work.pairs
+
+
 @pytest.mark.parametrize("block", [2, 1000])
 def test_drift_takes_every_tag_and_only_old_pairs(spark, block):
     day = lambda n: F.timestamp_add("DAY", F.lit(n), F.lit("2024-01-01").cast("timestamp"))
     rows = [(f"p{i}", f"w{i} x{i} y{i}", ["z", "hot"] if i % 2 else ["hot"], 89 * (i % 3 == 1) + 200 * (i % 3 == 2)) for i in range(9)]
     table = spark.createDataFrame(rows, "path string, title string, tags array<string>, n int").withColumns({"created": F.timestamp_add("DAY", F.col("n"), day(0)), "body": F.lit(""), "domain": F.lit("d")})
-    got = sorted((r.a, r.b, r.tag) for r in governance.drift_pairs(table, most=1.1, block=block).collect())
+    got = sorted((r.a, r.b, r.tag) for r in similarity.drift_pairs(table, most=1.1, block=block).collect())
     assert got == sorted((x[0], y[0], "hot") for x in rows for y in rows if x[0] < y[0] and abs(x[3] - y[3]) >= 90)
