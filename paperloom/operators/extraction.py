@@ -7,9 +7,13 @@ error, not a failed job.
 
 from __future__ import annotations
 
+import base64
+import json
 import re
+import urllib.error
+import urllib.request
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
@@ -110,3 +114,37 @@ def mixed_pages(own: Column, other: Column, least: int = 100) -> Column:
 def escalation(chars: Column, layout_confidence: Column, least_chars: int = 50) -> Column:
     """Which stronger method a page needs, if any."""
     return F.when(chars <= least_chars, "ocr").when(layout_confidence < 0.3, "layout_model")
+
+
+class Remote:
+    """A service that reads files: ``POST endpoint`` with the file in base 64, text in the JSON answer.
+
+    ``post`` sends one request (address, body, seconds) and gives status and body;
+    it may be replaced, and runs in the tasks.
+    """
+
+    def __init__(self, name: str, endpoint: str, seconds: float = 60.0, post: Callable[[str, bytes, float], tuple[int, bytes]] | None = None):
+        if not endpoint.startswith(("https://", "http://")):
+            raise ValueError(f"not an address: {endpoint}")
+        self.name, self.endpoint, self.seconds, self.post = name, endpoint, seconds, post or _post
+
+    def pages(self, content: bytes) -> list[str]:
+        body = json.dumps({"pdf_base64": base64.b64encode(content).decode(), "mode": "text"}).encode()
+        status, answer = self.post(self.endpoint, body, self.seconds)
+        if not 200 <= status < 300:
+            raise ValueError(f"{self.name} answered {status}")
+        return str(json.loads(answer)["extracted_text"]).split("\f")
+
+
+def _post(address: str, body: bytes, seconds: float) -> tuple[int, bytes]:
+    request = urllib.request.Request(address, body, {"Content-Type": "application/json"})  # noqa: S310  checked by Remote
+    try:
+        with urllib.request.urlopen(request, timeout=seconds) as answer:  # noqa: S310
+            return answer.status, answer.read()
+    except urllib.error.HTTPError as e:
+        return e.code, b""
+
+
+def by_priority(backends: list[tuple[int, Backend]]) -> list[Backend]:
+    """Backends in the order in which they are tried: highest priority first, as given where equal."""
+    return [b for _, b in sorted(backends, key=lambda x: -x[0])]

@@ -153,15 +153,19 @@ def backlinks(entries: DataFrame, target: str) -> DataFrame:
 
 
 def neighbors(links: DataFrame, start: str, hops: int = 2) -> DataFrame:
-    """Entries reached over outgoing edges: ``path``, fewest ``hop``, ``kind`` of the edge that reached it."""
+    """Entries reached over outgoing edges: ``path``, fewest ``hop``, ``kind`` of the edge that reached it.
+
+    One plan of as many joins as there are hops; each hop leaves out what an
+    earlier one reached, so walks do not multiply.
+    """
     spark = links.sparkSession
     seen = spark.createDataFrame([(start, 0, "")], "path string, hop int, kind string")
-    front = seen.select("path")
+    front = None
     for hop in range(1, hops + 1):
-        step = links.join(front, links["src"] == front["path"], "left_semi").groupBy(F.col("dst").alias("path")).agg(F.min("kind").alias("kind"))
+        own = links.filter(F.col("src") == start) if front is None else links.join(front, links["src"] == front["_at"], "left_semi")
+        step = own.groupBy(F.col("dst").alias("path")).agg(F.min("kind").alias("kind"))
         step = step.join(seen.select("path"), "path", "left_anti").select("path", F.lit(hop).alias("hop"), "kind")
-        step = settled(step, f"hop-{hop}")
-        seen, front = seen.unionByName(step), step.select("path")
+        seen, front = seen.unionByName(step), step.select(F.col("path").alias("_at"))
     return seen.filter("hop > 0")
 
 
@@ -174,6 +178,32 @@ def concept_map(links: DataFrame, start: str, depth: int = 1) -> DataFrame:
     return inside.select("src", "dst", "kind", arrow.alias("arrow")).distinct()
 
 
+#: What edges are called in a diagram.
+EDGE_NAMES = {"related": "relates", "contradiction": "contradicts", "tag_cooccurrence": "co-tags", "wikilink": "wikilink"}
+
+
+def concept_map_text(entries: DataFrame, links: DataFrame, start: str, depth: int = 1) -> DataFrame:
+    """One row ``text``: the concept map as a Mermaid diagram, with ids by the order of paths.
+
+    The nodes are those of the centre's surroundings, a bounded part of the graph.
+    """
+    edges = concept_map(links, start, depth)
+    paths = edges.select(F.explode(F.array("src", "dst")).alias("path")).unionByName(links.sparkSession.createDataFrame([(start,)], "path string")).distinct()
+    named = entries.join(paths, "path", "left_semi").select("path", "title").agg(F.array_sort(F.collect_list(F.struct("path", "title"))).alias("all"))
+    numbered = named.select(F.posexplode("all").alias("n", "own")).select(F.col("own.path").alias("path"), F.concat(F.lit("n"), F.col("n").cast("string")).alias("id"), "n", F.col("own.title").alias("title"))
+    mark = F.when(F.col("path") == start, ":::center").otherwise("")
+    boxes = numbered.select(F.lit(1).alias("part"), "n", F.concat(F.lit("    "), "id", F.lit('["'), F.replace("title", F.lit('"'), F.lit("'")), F.lit('"]'), mark).alias("line"))
+    of = lambda side: numbered.select(F.col("path").alias(side), F.col("id").alias(f"{side}_id"))
+    name = F.coalesce(*[F.when(F.col("kind") == k, v) for k, v in EDGE_NAMES.items()])
+    arrows = edges.join(of("src"), "src").join(of("dst"), "dst")
+    arrows = arrows.select(F.lit(2).alias("part"), F.lit(0).alias("n"), F.concat(F.lit("    "), "src_id", F.lit(" "), "arrow", F.lit("|"), name, F.lit("| "), "dst_id").alias("line"))
+    ends = [(0, 0, "graph LR"), (3, 0, "    classDef center stroke-width:2px")]
+    lines = boxes.unionByName(arrows).unionByName(links.sparkSession.createDataFrame(ends, "part int, n int, line string"))
+    whole = F.transform(F.array_sort(F.collect_list(F.struct("part", "n", "line"))), lambda x: x["line"])
+    found = lines.agg(F.array_join(whole, "\n").alias("text"), F.count_if(F.col("part") == 1).alias("_n"))
+    return found.select(F.when(F.col("_n") > 0, F.col("text")).otherwise(F.lit(f'graph LR\n    error["no such entry: {start}"]')).alias("text"))
+
+
 def communities(entries: DataFrame, links: DataFrame, rounds: int = 50, least_frequent: bool = False) -> DataFrame:
     """Label propagation: ``path``, ``community`` (its smallest member), size at least 2.
 
@@ -219,6 +249,7 @@ def propagate_confidence(entries: DataFrame, depth: int = 2) -> DataFrame:
     sources = F.regexp_replace(F.col("ref"), "^(wiki/)+/*", "")
     made_of = entries.select(F.col("path").alias("dst"), F.explode("aggregated_from").alias("ref")).select(sources.alias("src"), "dst")
     links = related_edges(entries).unionByName(wikilink_edges(entries)).select("src", "dst").unionByName(made_of).distinct()
+    links = settled(links, "references")  # found in all bodies once, joined in every round
     for _ in range(depth):
         low = links.join(ranks.select(F.col("path").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("path")).agg(F.min("rank").alias("_low"))
         ranks = ranks.join(low, "path", "left").select("path", "declared", F.least("rank", F.coalesce("_low", "rank")).alias("rank"))

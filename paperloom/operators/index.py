@@ -29,15 +29,12 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import scores, text
 from paperloom.operators import retrieval
-from paperloom.plans import shared
+from paperloom.plans import generations, shared
 
 ZONE_ENTRIES = 64
 #: Zones scored first for a threshold, and most zones that are named in a filter (beyond, they are joined).
 LEAD = 8
 LISTED = 2000
-#: Generations kept beside the present one, for readers that still hold it.
-KEPT = 1
-_READY = "_READY"
 Keep = Callable[[DataFrame, str], DataFrame]
 
 
@@ -95,25 +92,23 @@ class Index:
     def build(cls, entries: DataFrame, root: str, tokens: Callable[[Column], Column] = text.tokens) -> Index:
         """Build the index of entries as the next generation below ``root`` and publish it."""
         spark = entries.sparkSession
-        at = f"{root}/gen-{1 + max((n for n, _, _ in _generations(spark, root)), default=0):08d}-{uuid.uuid4().hex[:8]}"
+        at = generations.begun(spark, root)
 
         def keep(df: DataFrame, name: str) -> DataFrame:
             df.write.parquet(f"{at}/_made/{name}")
             return spark.read.parquet(f"{at}/_made/{name}")
 
         made = cls.of(entries, tokens, keep=keep).write(at)
-        fs, path = _file_system(spark, at)
+        fs, path = generations.file_system(spark, at)
         fs.delete(path(f"{at}/_made"), True)
-        fs.create(path(f"{at}/{_READY}")).close()  # from here on it counts
-        for _, old, _ in sorted(_generations(spark, root), reverse=True)[1 + KEPT :]:
-            fs.delete(path(old), True)
+        generations.published(spark, root, at)
         return made
 
     @classmethod
     def current(cls, spark: SparkSession, root: str) -> Index | None:
         """The newest finished generation below ``root``."""
-        done = [(n, at) for n, at, ready in _generations(spark, root) if ready]
-        return cls.read(spark, max(done)[1]) if done else None
+        at = generations.current(spark, root)
+        return cls.read(spark, at) if at else None
 
     def upserted(self, changed: DataFrame) -> Index:
         """The index after entries changed; term weights stay those of the last full build (``needs_rebuild``)."""
@@ -315,30 +310,14 @@ def parsed(query: str) -> list[Clause]:
     return out
 
 
-# --- stored generations ---------------------------------------------------------------
-
-
-def _file_system(spark: SparkSession, root: str):  # noqa: ANN202
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path
-    return path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
-
-
-def _generations(spark: SparkSession, root: str) -> list[tuple[int, str, bool]]:
-    """Number, folder and whether it is finished, of every generation below ``root``."""
-    fs, path = _file_system(spark, root)
-    out = []
-    for f in fs.globStatus(path(f"{root}/gen-*")) or ():
-        at = f.getPath().toString()
-        out.append((int(at.rsplit("/gen-", 1)[1].split("-")[0]), at, fs.exists(path(f"{at}/{_READY}"))))
-    return out
+# --- stored indexes ---------------------------------------------------------------------
 
 
 def fingerprint(spark: SparkSession, paths: list[str]) -> str:
     """A name for the present state of some files: their paths, lengths and times of change."""
     seen = []
     for name in paths:
-        fs, path = _file_system(spark, name)
+        fs, path = generations.file_system(spark, name)
         for f in fs.globStatus(path(name)) or ():
             inner = list(fs.listStatus(f.getPath())) if f.isDirectory() else [f]
             seen += sorted((x.getPath().toString(), x.getLen(), x.getModificationTime()) for x in inner)
@@ -350,7 +329,12 @@ def new_root(spark: SparkSession, label: str) -> str:
     return f"{shared.folder(spark)}/paperloom/index-{label}-{uuid.uuid4().hex[:12]}"
 
 
+def stored_root(spark: SparkSession, label: str, inputs: list[str]) -> str:
+    """The place in the shared folder for what is made of the present state of some files."""
+    return f"{shared.folder(spark)}/paperloom/index-{label}-{fingerprint(spark, inputs)}-{spark.sparkContext.applicationId}"
+
+
 def stored(spark: SparkSession, label: str, made: Callable[[], DataFrame], inputs: list[str]) -> Index:
     """The index of ``made()``, built once in the shared folder for each state of its input files."""
-    root = f"{shared.folder(spark)}/paperloom/index-{label}-{fingerprint(spark, inputs)}-{spark.sparkContext.applicationId}"
+    root = stored_root(spark, label, inputs)
     return Index.current(spark, root) or Index.build(made(), root)

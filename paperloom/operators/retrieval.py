@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -300,6 +300,55 @@ def keyword_hits_with_page(pages: DataFrame, keyword: str) -> DataFrame:
     return pages.select("doc", "page", F.regexp_count("text", F.lit(f"(?i){plain}")).cast("long").alias("hits")).filter("hits > 0")
 
 
+def page_starts(docs: DataFrame) -> DataFrame:
+    """``doc, page, start``: where each page begins in the document's whole text (``pages``, an array of texts, from 1)."""
+    each = docs.select("doc", F.posexplode(F.transform("pages", lambda p: F.length(F.coalesce(p, F.lit(""))))).alias("at", "size"))
+    before = Window.partitionBy("doc").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    return each.select("doc", (F.col("at") + 1).cast("long").alias("page"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+
+
+def _running(gaps: Column, own: int) -> Column:
+    """Where occurrences of ``own`` characters begin, given the characters before each since the last."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+    step = lambda acc, n: F.struct((acc["at"] + n + own).alias("at"), F.concat(acc["all"], F.array(acc["at"] + n)).alias("all"))
+    return F.aggregate(gaps, start, step)["all"]
+
+
+def keyword_positions(docs: DataFrame, keywords: list[str], case_sensitive: bool = False, context: int = 50) -> DataFrame:
+    """Every literal occurrence in ``docs`` (``doc``, ``pages``): ``doc, keyword, page, position, context``.
+
+    Places count characters of all pages put together, and a match belongs to the
+    page in which it begins: the last page that starts at or before it, met by
+    sorting starts and matches together. ASCII letters match in either case unless
+    asked otherwise; occurrences of one keyword do not overlap.
+    """
+    whole = F.array_join(F.transform("pages", lambda p: F.coalesce(p, F.lit(""))), "")
+    plain = [k for k in dict.fromkeys(keywords) if k]
+    if not plain:
+        return docs.select("doc", F.lit("").alias("keyword"), F.lit(0).cast("long").alias("page"), F.lit(0).cast("long").alias("position"), F.lit("").alias("context")).limit(0)
+    quoted = lambda k: ("" if case_sensitive else "(?i)") + "".join("\\" + c if ord(c) < 128 and not c.isalnum() else c for c in k)
+    found = []
+    for k in plain:
+        parts = F.split("text", quoted(k), -1)
+        between = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda x: F.length(x))  # what lies before each occurrence
+        places = _running(between, len(k))
+        found.append(F.struct(F.lit(k).alias("keyword"), places.alias("places")))
+    texts = docs.select("doc", whole.alias("text"))
+    each = texts.select("doc", "text", F.inline(F.array(*found))).select("doc", "keyword", F.length("keyword").alias("size"), "text", F.explode("places").alias("position"))
+    begin = F.greatest(F.col("position") - context, F.lit(0))
+    around = F.substring("text", begin + 1, F.col("position") + F.col("size") + context - begin)
+    hits = each.select("doc", F.col("position").cast("long").alias("position"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("page"), "keyword", around.alias("context"))
+    starts = page_starts(docs).select("doc", F.col("start").alias("position"), F.lit(0).alias("kind"), "page", F.lit(None).cast("string").alias("keyword"), F.lit(None).cast("string").alias("context"))
+    order = Window.partitionBy("doc").orderBy("position", "kind", "page").rowsBetween(Window.unboundedPreceding, 0)
+    met = starts.unionByName(hits).withColumn("page", F.last("page", ignorenulls=True).over(order)).filter("kind = 1")
+    return met.select("doc", "keyword", "page", "position", "context")
+
+
+def pages_with_matches(positions: DataFrame) -> DataFrame:
+    """Per document how many matches there are, and on how many pages."""
+    return positions.groupBy("doc").agg(F.count("*").alias("matches"), F.countDistinct("page").alias("pages"))
+
+
 def agent_context(entries: DataFrame, links: DataFrame, center: str, query: str) -> DataFrame:
     """What surrounds an entry: its body, near entries and related hits, with a token estimate."""
     from paperloom.operators import graph

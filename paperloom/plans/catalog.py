@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import rules, text
-from paperloom.operators import bases, changes, documents, governance, graph, relational, retrieval, similarity
+from paperloom.operators import bases, changes, documents, governance, graph, graph_store, jobs, relational, retrieval, similarity
 from paperloom.operators import index as indexes
 from paperloom.plans import oracles
 from paperloom.session import table
@@ -17,6 +17,7 @@ from paperloom.streaming import events as streams
 
 QUERY = "the thhentha estion worthless"
 TERM = "estion"
+KEYWORDS = ["estion", "worthless", "The"]
 PHRASES = '"of the" "is the and"'
 BOOLEAN = "+worthless +the -tags:src3 estion"
 BY_FIELD = 'title:21 tags:src3 body:"and the"'
@@ -55,6 +56,21 @@ def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("job"), F.col("event_id").alias("seq"), "ts", F.col("event_type").alias("status"))
 
 
+def _paged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with their lines as pages."""
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("pages"))
+
+
+def _job_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the steps of a job per user and day."""
+    e, kind = table(spark, sf_dir, "events"), F.col("event_type")
+    action = F.when(kind == "click", "start").when(kind == "view", "succeed").when(kind == "error", "fail").when(kind == "signup", "complete").otherwise("await")
+    stage = F.when(action.isin(*jobs.STEPS), F.element_at(F.array(*[F.lit(s) for s in jobs.STAGES]), (F.col("event_id") % 2 + F.hour("ts") % 2 * 2 + 1).cast("int")))
+    detail = F.when(kind == "error", F.concat(F.lit("error "), F.col("event_id").cast("string"))).when(kind == "signup", F.when(F.col("event_id") % 2 == 0, "completed").otherwise("partial"))
+    job = F.concat(F.col("user_id").cast("string"), F.lit("/"), F.date_format("ts", "dd"))
+    return e.select(job.alias("job"), F.col("event_id").alias("seq"), "ts", action.alias("action"), stage.alias("stage"), detail.alias("detail"))
+
+
 def _tools(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_type").alias("tool"), F.col("value").alias("latency"), (F.col("event_id") % 10 == 0).alias("failed"))
 
@@ -132,6 +148,24 @@ def _on_index(fn: Callable[[indexes.Index], DataFrame]) -> Callable[[SparkSessio
     return lambda spark, sf_dir: fn(_index(spark, sf_dir))
 
 
+def _graph_store(spark: SparkSession, sf_dir: str) -> graph_store.GraphStore:
+    """The stored graph of a folder's entries, built at the first use in a session."""
+    root = indexes.stored_root(spark, "graph", [f"{sf_dir}/{t}.parquet" for t in ("documents", "labels")])
+    return graph_store.GraphStore.current(spark, root, lambda: entries(spark, sf_dir))
+
+
+def _on_graph(fn: Callable[[graph_store.GraphStore], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: fn(_graph_store(spark, sf_dir))
+
+
+def _upserted_graph(spark: SparkSession, sf_dir: str) -> graph_store.GraphStore:
+    """The stored graph after one domain's entries got other tags and links and some entries went."""
+    e = entries(spark, sf_dir)
+    tags, related = F.array(F.lit("src3"), F.lit("new")), F.array(F.lit("AREA0/21.md"))
+    changed = e.filter("domain = 'area1' and doc_id % 50 <> 3").withColumns({"tags": tags, "related": related, "body": F.lit("[[area2/2.md]]")})
+    return _graph_store(spark, sf_dir).upserted(changed, e.filter("doc_id % 50 = 3"))
+
+
 def _upserted_index(spark: SparkSession, sf_dir: str) -> indexes.Index:
     """The stored index after the entries of one domain got another body."""
     changed = entries(spark, sf_dir).filter("domain = 'area1'").withColumn("body", F.lit("worthless estion"))
@@ -245,8 +279,11 @@ def _queries() -> dict:
         "backlinks": _on_entries(lambda e: graph.backlinks(e, CENTER)),
         "reference_in_degree": _references(lambda e, g: graph.in_degree(g)),
         "load_bearing_entries": _references(lambda e, g: graph.load_bearing(g, 2)),
-        "neighbors_nhop": _references(lambda e, g: graph.neighbors(g, CENTER, 3)),
-        "concept_map_edges": _references(lambda e, g: graph.concept_map(g, CENTER, 2)),
+        "neighbors_nhop": _on_graph(lambda g: graph.neighbors(g.references, CENTER, 3)),
+        "concept_map_edges": _on_graph(lambda g: graph.concept_map(g.references, CENTER, 2)),
+        "concept_map_text": _on_graph(lambda g: graph.concept_map_text(g.nodes, g.references, CENTER, 2).select(F.sha2("text", 256).alias("text_hash"), F.length("text").cast("long").alias("chars"))),
+        "graph_after_upsert": lambda s, d: _upserted_graph(s, d).edges.groupBy("src", "dst", "kind").agg(F.count("*").alias("n")),
+        "stored_graph_stats": _on_graph(lambda g: graph.stats(g.nodes, g.edges)),
         "confidence_propagation": _on_entries(graph.propagate_confidence),
         "propagation_write_back": _on_entries(lambda e: graph.written_back(e, graph.propagate_confidence(e)).select("path", "confidence", "status")),
         "domain_partitions": _graph(graph.domain_partitions),
@@ -319,8 +356,10 @@ def _queries() -> dict:
         "wiki_first_fallback": _on_entries(lambda e: retrieval.wiki_first_search(e, "no such words", 10, graph.orphans(e))),
         "fallback_scan_search": _on_entries(lambda e: retrieval.scan_search(e, QUERY, 10)),
         "keyword_hits_with_page": lambda s, d: retrieval.keyword_hits_with_page(_pages(s, d), TERM),
+        "keyword_positions": lambda s, d: retrieval.keyword_positions(_paged(s, d), KEYWORDS, context=20),
+        "pages_with_matches": lambda s, d: retrieval.pages_with_matches(retrieval.keyword_positions(_paged(s, d), KEYWORDS)),
         "api_catalog_search": _on_entries(lambda e: retrieval.catalog_search(_tool_table(e), "search")),
-        "agent_context": _references(lambda e, g: retrieval.agent_context(e, g, CENTER, QUERY)),
+        "agent_context": lambda s, d: retrieval.agent_context(entries(s, d), _graph_store(s, d).references, CENTER, QUERY),
         # changes
         "sources_needing_compile": lambda s, d: changes.sources_to_compile(*_sources(s, d)),
         "stale_by_instruction": lambda s, d: changes.stale_by_instruction(_sources(s, d)[1], "v2"),
@@ -340,6 +379,9 @@ def _queries() -> dict:
         "retry_delays": lambda s, d: table(s, d, "nation").select("n_nationkey", F.round(rules.backoff(F.col("n_nationkey").cast("int"), 0.5, 30.0), 6).alias("seconds")),
         "proposals_pending": lambda s, d: bases.listed(_jobs(s, d).withColumns({"id": F.col("seq"), "created": F.col("ts")}), "view").select("id", "job"),
         "sync_status": lambda s, d: changes.sync_status(*_manifests(s, d)),
+        "job_states": lambda s, d: jobs.states(_job_log(s, d)),
+        "job_stages": lambda s, d: jobs.stages(_job_log(s, d)),
+        "illegal_steps": lambda s, d: jobs.illegal_steps(_job_log(s, d)),
         "job_current_state": lambda s, d: changes.job_state(_jobs(s, d)),
         "job_stage_durations": lambda s, d: changes.stage_durations(_jobs(s, d)),
         "job_history_last10": lambda s, d: changes.history(_jobs(s, d)),

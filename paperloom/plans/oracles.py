@@ -25,6 +25,10 @@ tc as (select a.path as a, b.path as b, count(*) as same from tg a join tg b on
 tj as (select a, b, same / (len(x.tags) + len(y.tags) - same) as jaccard from tc join entries x on x.path = a join entries y on y.path = b),
 et as (select a as src, b as dst, 'tag_cooccurrence' as kind from tj where jaccard >= 0.3 union all select b, a, 'tag_cooccurrence' from tj where jaccard >= 0.3),
 edges as (select * from refs union all select * from et)"""
+_CHANGED_GRAPH = """entries as (select * replace (
+  case when domain = 'area1' then ['src3', 'new'] else tags end as tags, case when domain = 'area1' then ['AREA0/21.md'] else related end as related,
+  case when domain = 'area1' then '[[area2/2.md]]' else body end as body) from entries0 where doc_id % 50 <> 3),
+er as ("""
 _DEGREE = "deg as (select dst as path, count(*) as in_degree from refs group by dst)"
 _HUBS = """hub as (select cast(case when (select count(*) from entries) < 50 then 5
   else greatest(3, least(20, ceil(2.0 * (select count(*) from edges) / (select count(*) from entries)))) end as bigint) as threshold)"""
@@ -183,6 +187,26 @@ _MANIFESTS = """with loc as (select 'wiki/' || doc_id as path, sha256(coalesce(t
 rem as (select 'wiki/' || doc_id as path, sha256(coalesce(text, '') || case when doc_id % 6 = 0 then 'x' else '' end) as hash from documents where doc_id % 5 <> 0)"""
 _ROOT = "sha256(string_agg(hash, '|' order by hash))"
 _JOBS = "with jobs as (select user_id as job, event_id as seq, ts, event_type as status from events)"
+_JOB_LOG = """with lg as (select user_id || '/' || strftime(ts, '%d') as job, event_id as seq, ts,
+  case event_type when 'click' then 'start' when 'view' then 'succeed' when 'error' then 'fail' when 'signup' then 'complete' else 'await' end as action,
+  case when event_type in ('click', 'view', 'error') then ['extract', 'prompt_gen', 'agent_wiki', 'index_rebuild', 'quality_gate'][event_id % 2 + hour(ts) % 2 * 2 + 1] end as stage,
+  case event_type when 'error' then 'error ' || event_id when 'signup' then case when event_id % 2 = 0 then 'completed' else 'partial' end end as detail from events),
+sg as (select *, max(case when action = 'start' then ts end) over (partition by job, stage order by seq rows between unbounded preceding and 1 preceding) as since from lg where stage is not null),
+se as (select job, stage, arg_max(action, seq) as last_, arg_max(ts, seq) filter (action = 'start') as started, arg_max(ts, seq) filter (action <> 'start') as finished,
+         arg_max({'ms': case when since is not null then greatest(0, date_sub('millisecond', since, ts)) end}, seq) filter (action <> 'start') as ms, arg_max(detail, seq) filter (action = 'fail') as failure,
+         max(seq) filter (action = 'fail') as failed, max(seq) filter (action = 'start') as restart from sg group by job, stage),
+sts as (select job, stage, case last_ when 'start' then 'running' when 'fail' then 'failed' else 'succeeded' end as status, started, finished, ms.ms as duration_ms,
+          case when coalesce(restart, -1) < failed then failure end as error from se)"""
+_POSITIONS = """with pg as (select doc_id as doc, generate_subscripts(a, 1) as page, unnest(a) as line from (select doc_id, string_split(coalesce(text, ''), chr(10)) as a from documents)),
+ps as (select doc, page, coalesce(sum(length(line)) over (partition by doc order by page rows between unbounded preceding and 1 preceding), 0) as start from pg),
+tx as (select doc_id as doc, replace(coalesce(text, ''), chr(10), '') as text from documents),
+kw as (select * from (values ('estion'), ('worthless'), ('The')) k(keyword)),
+kp as (select doc, keyword, text, string_split(lower(text), lower(keyword)) as parts from tx, kw where contains(lower(text), lower(keyword))),
+kg as (select doc, keyword, text, generate_subscripts(parts, 1) as i, unnest(parts) as part from kp),
+kc as (select doc, keyword, text, i, row_number() over (partition by doc, keyword order by i desc) as last_,
+         cast(sum(length(part)) over (partition by doc, keyword order by i) as bigint) + (i - 1) * length(keyword) as position from kg),
+kh as (select kc.doc, keyword, page, position, substr(text, greatest(position - 20, 0) + 1, position + length(keyword) + 20 - greatest(position - 20, 0)) as context
+       from kc asof join (select doc, start, max(page) as page from ps group by doc, start) s on kc.doc = s.doc and kc.position >= s.start where last_ > 1)"""
 _HTML = r"""with p as (select page_id, coalesce(html, '') as html, strlen(html) as size from pages),
 f as (select page_id, size, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) as title, len(regexp_extract_all(html, 'href="([^"]*)"', 1)) as links,
       length(trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'), ' ')) as text_chars from p)"""
@@ -300,6 +324,17 @@ SQL: dict[str, str] = {
       near as (select path from h0 union all select path from h1 union all select path from h2)
       select distinct src, dst, kind, case when kind = 'contradiction' then '--x' when kind = 'tag_cooccurrence' then '-.->' else '-->' end as arrow from refs
       where src in (select path from near) and dst in (select path from near)""",
+    "concept_map_text": f"""{_NAMED}, both_ as (select * from refs union all select dst, src, kind from refs), {_near(CENTER, 2, 'both_')},
+      near as (select path from h0 union all select path from h1 union all select path from h2),
+      ce as (select distinct src, dst, kind, case when kind = 'contradiction' then '--x' else '-->' end as arrow,
+             case kind when 'related' then 'relates' when 'contradiction' then 'contradicts' else 'wikilink' end as name from refs where src in (select path from near) and dst in (select path from near)),
+      cn as (select path, title, row_number() over (order by path) - 1 as n from entries where path in (select src from ce union select dst from ce union select '{CENTER}')),
+      cl as (select 0 as part, 0 as n, 'graph LR' as line union all select 3, 0, '    classDef center stroke-width:2px'
+             union all select 1, n, '    n' || n || '["' || replace(title, '"', chr(39)) || '"]' || case when path = '{CENTER}' then ':::center' else '' end from cn
+             union all select 2, 0, '    n' || x.n || ' ' || arrow || '|' || name || '| n' || y.n from ce join cn x on src = x.path join cn y on dst = y.path)
+      select sha256(string_agg(line, chr(10) order by part, n, line)) as text_hash, cast(length(string_agg(line, chr(10) order by part, n, line)) as bigint) as chars from cl""",
+    "graph_after_upsert": f"""{_GRAPH.replace("entries as (", "entries0 as (", 1).replace("er as (", _CHANGED_GRAPH, 1)} select src, dst, kind, count(*) as n from edges group by src, dst, kind""",
+    "stored_graph_stats": f"{_GRAPH} select (select count(*) from entries) as nodes, (select count(*) from edges) as edges",
     "confidence_propagation": f"{_PROPAGATION} select * from rep",
     "propagation_summary": f"""{_PROPAGATION} select count(*) as entries, count(*) filter (downgraded) as downgraded, count(*) filter (needs_review) as needs_review,
       count(*) filter (effective = 'low') as effective_low from rep""",
@@ -403,6 +438,20 @@ SQL: dict[str, str] = {
         ('sync_push', 'send objects', 'platform'), ('search_keywords', 'literal search', 'extract')) x(name, description, category)),
       s as (select name, cast(case when lower(name) = 'search' then 100 when contains(lower(name), 'search') then 50 else 0 end + case when contains(lower(description), 'search') then 10 else 0 end
         + case when contains(lower(category), 'search') then 5 else 0 end as int) as score from t) select * from s where score > 0""",
+    "keyword_positions": f"{_POSITIONS} select doc, keyword, page, position, context from kh",
+    "pages_with_matches": f"{_POSITIONS} select doc, count(*) as matches, count(distinct page) as pages from kh group by doc",
+    "job_stages": f"{_JOB_LOG} select * from sts",
+    "job_states": f"""{_JOB_LOG},
+      jt as (select job, coalesce(arg_max(st, seq) filter (st is not null), 'running') as status, arg_max(detail, seq) filter (action in ('fail', 'complete')) as message, min(ts) as begun, max(ts) as updated
+             from (select *, case action when 'start' then 'running' when 'fail' then 'failed' when 'await' then 'awaiting_agent' when 'complete' then detail end as st from lg) group by job)
+      select jt.*, coalesce(r, 0) as stages_running, coalesce(s, 0) as stages_succeeded, coalesce(f, 0) as stages_failed from jt left join
+        (select job, count(*) filter (status = 'running') as r, count(*) filter (status = 'succeeded') as s, count(*) filter (status = 'failed') as f from sts group by job) using (job)""",
+    "illegal_steps": f"""{_JOB_LOG},
+      li as (select *, lag(action) over (partition by job, stage order by seq) as before,
+             coalesce(max(case when action = 'complete' and detail in ('completed', 'partial', 'failed') then 1 else 0 end) over (partition by job order by seq rows between unbounded preceding and 1 preceding), 0) as over_ from lg),
+      lr as (select *, case when over_ = 1 then 'the job has ended' when action in ('start', 'succeed', 'fail') and stage is null then 'no such stage'
+             when action = 'start' and before = 'start' then 'the stage is running' when action in ('succeed', 'fail') and coalesce(before, '') <> 'start' then 'the stage was not started' end as reason from li)
+      select job, seq, action, stage, reason from lr where reason is not null""",
     "sources_needing_compile": f"{_SOURCES} select * from todo where reason is not null",
     "stale_by_instruction": f"{_SOURCES} select path, instruction_hash from sta where instruction_hash is distinct from 'v2'",
     "source_state_upsert": f"""{_SOURCES} select path, case when reason is null then source_hash else hash end as source_hash from todo join src using (path) left join sta using (path)""",

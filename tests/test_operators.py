@@ -6,9 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom.functions import rules, scores, text
-from paperloom.operators import bases, changes, documents, extraction, governance, graph, retrieval, similarity
+from paperloom.operators import bases, changes, documents, extraction, governance, graph, graph_store, jobs, retrieval, similarity
 from paperloom.operators import index as indexes
 from paperloom.operators.index import Index
+from paperloom.plans import generations
 from paperloom.sources import markdown
 from paperloom.sources.tables import entries
 from paperloom.streaming import events as streams
@@ -82,6 +83,77 @@ def test_neighbours_have_fewest_hops(spark):
     assert values(graph.neighbors(links, "a", 2), "path", "hop") == [("b", 1), ("c", 1), ("d", 2)]
 
 
+def edges_of(store):
+    return sorted(map(tuple, store.edges.select("src", "dst", "kind").collect()))
+
+
+def test_the_stored_graph_follows_changes_as_a_rebuild_would(spark, tmp_path):
+    old = [entry("d/a.md", ["x", "y"], ["D/B.md"], body="[[d/new.md]]"), entry("d/b.md", ["x", "z"], contradictions=["d/a.md"]), entry("d/c.md", ["q"], ["d/a.md", "d/a.md"]), entry("d/gone.md", ["x", "y"], ["d/a.md"])]
+    changed = [entry("d/b.md", ["x", "y"], ["d/gone.md"], body="[[ wiki/d/c.md ]]"), entry("d/new.md", ["q", "q"], ["d/none.md"])]
+    root = f"file://{tmp_path}/graph"
+    store = graph_store.GraphStore.current(spark, root, lambda: kb(spark, *old))
+    assert edges_of(store) == sorted(map(tuple, graph.edges(kb(spark, *old)).collect()))
+    after = store.upserted(kb(spark, *changed), spark.createDataFrame([("d/gone.md",)], "path string")).publish(root)
+    want = sorted(map(tuple, graph.edges(kb(spark, old[0], old[2], *changed)).collect()))
+    assert edges_of(after) == want and edges_of(graph_store.GraphStore.current(spark, root, lambda: 1 / 0)) == want
+    back = after.upserted(kb(spark, old[3]))  # an entry that others still name comes back
+    assert edges_of(back) == sorted(map(tuple, graph.edges(kb(spark, old[0], old[2], old[3], *changed)).collect()))
+
+
+def test_a_damaged_graph_is_built_anew(spark, tmp_path):
+    root = f"file://{tmp_path}/graph"
+    at = generations.begun(spark, root)
+    spark.range(1).write.parquet(f"{at}/nodes")  # the other tables are missing
+    generations.published(spark, root, at)
+    store = graph_store.GraphStore.current(spark, root, lambda: kb(spark, entry("d/a.md", related=["d/a.md"])))
+    assert edges_of(store) == [("d/a.md", "d/a.md", "related")]
+
+
+def test_concept_map_text(spark):
+    e = kb(spark, entry("d/a.md", title='say "a"'), entry("d/b.md", title="b", related=["d/a.md"]), entry("d/c.md", title="c", contradictions=["d/b.md"]))
+    draw = lambda center, depth: graph.concept_map_text(e, graph.reference_edges(e), center, depth).first()["text"].split("\n")
+    want = ["graph LR", "    n0[\"say 'a'\"]:::center", '    n1["b"]', "    n1 -->|relates| n0"]
+    assert draw("d/a.md", 1) == [*want, "    classDef center stroke-width:2px"]
+    assert draw("d/a.md", 2)[3:6] == ['    n2["c"]', "    n1 -->|relates| n0", "    n2 --x|contradicts| n1"]
+    assert draw("d/none.md", 1) == ["graph LR", '    error["no such entry: d/none.md"]']
+
+
+def test_positions_of_keywords(spark):
+    docs = spark.createDataFrame([(1, ["ab.c AB", "", "xab", "cab"]), (2, None), (3, ["", None]), (4, ["a.c(ü)A.C"])], "doc long, pages array<string>")
+    got = values(retrieval.keyword_positions(docs, ["ab", "a.c", "", "ab", "(ü)"], context=2), "doc", "keyword", "page", "position", "context")
+    assert got == [
+        (1, "ab", 1, 0, "ab.c"), (1, "ab", 1, 5, "c ABxa"), (1, "ab", 3, 8, "Bxabca"), (1, "ab", 4, 11, "bcab"),
+        (4, "(ü)", 1, 3, ".c(ü)A."), (4, "a.c", 1, 0, "a.c(ü"), (4, "a.c", 1, 6, "ü)A.C"),
+    ]
+    assert values(retrieval.keyword_positions(docs, ["AB"], case_sensitive=True), "doc", "page", "position") == [(1, 1, 5)]
+    assert values(retrieval.pages_with_matches(retrieval.keyword_positions(docs, ["ab", "cab"])), "doc", "matches", "pages") == [(1, 5, 3)]
+    assert values(retrieval.page_starts(docs), "doc", "page", "start") == [(1, 1, 0), (1, 2, 7), (1, 3, 7), (1, 4, 10), (3, 1, 0), (3, 2, 0), (4, 1, 0)]
+    assert retrieval.keyword_positions(docs, []).count() == 0
+
+
+def test_jobs_are_folded_from_their_log(spark):
+    at = lambda s: DAY + dt.timedelta(seconds=s)
+    log = [
+        ("a", 1, at(0), "start", "extract", None), ("a", 2, at(5), "succeed", "extract", None), ("a", 3, at(6), "start", "prompt_gen", None), ("a", 4, at(8), "fail", "prompt_gen", "no key"),
+        ("a", 5, at(9), "start", "prompt_gen", None), ("a", 6, at(9), "start", "prompt_gen", None), ("a", 7, at(10), "succeed", "prompt_gen", None), ("a", 8, at(11), "await", None, None),
+        ("a", 9, at(12), "complete", None, "completed"), ("a", 10, at(13), "start", "quality_gate", None), ("b", 1, at(0), "succeed", "extract", None), ("b", 2, at(1), "fail", "nowhere", "x"),
+        ("b", 3, at(2), "complete", None, "unheard"), ("c", 1, at(0), "fail", "extract", "broken"),
+    ]
+    table = spark.createDataFrame(log, "job string, seq long, ts timestamp, action string, stage string, detail string")
+    assert [tuple(r) for r in sorted(jobs.stages(table).filter("job <> 'b'").collect(), key=str)] == sorted(
+        [
+            ("a", "extract", "succeeded", at(0), at(5), 5000, None), ("a", "prompt_gen", "succeeded", at(9), at(10), 1000, None),
+            ("a", "quality_gate", "running", at(13), None, None, None), ("c", "extract", "failed", None, at(0), None, "broken"),
+        ], key=str,
+    )
+    assert values(jobs.states(table), "job", "status", "message", "stages_succeeded", "stages_failed", "stages_running") == [
+        ("a", "running", "completed", 2, 0, 1), ("b", "unheard", "unheard", 1, 0, 0), ("c", "failed", "broken", 0, 1, 0),
+    ]
+    assert values(jobs.illegal_steps(table), "job", "seq", "reason") == [
+        ("a", 6, "the stage is running"), ("a", 10, "the job has ended"), ("b", 1, "the stage was not started"), ("b", 2, "no such stage"), ("b", 3, "no such status"), ("c", 1, "the stage was not started"),
+    ]
+
+
 def test_hub_threshold(spark):
     few = kb(spark, entry("d/a.md"))
     assert graph.hub_threshold(few, graph.edges(few)).first().threshold == 5
@@ -298,7 +370,7 @@ def test_a_build_counts_once_it_is_whole_and_replaces_the_one_before(spark, tmp_
     for name in ("c", "d", "e"):
         Index.build(kb(spark, entry(f"d/{name}.md", body="alpha")), root)
     assert [r.path for r in Index.current(spark, root).keyword("alpha").collect()] == ["d/e.md"]
-    assert len([p for p in (tmp_path / "kb").iterdir() if p.is_dir()]) == 1 + indexes.KEPT
+    assert len([p for p in (tmp_path / "kb").iterdir() if p.is_dir()]) == 1 + generations.KEPT
     assert not list((tmp_path / "kb").glob("*/_made"))
 
 
