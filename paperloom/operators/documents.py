@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -161,18 +160,6 @@ def line_diff(before: Column, after: Column) -> Column:
     return F.concat(F.lit(DIFF_HEADER), F.array_join(told, ""))
 
 
-def replace_section(body: str, heading: str, content: str) -> str:
-    """The body with the text under a heading replaced, in place."""
-    lines, at = body.split("\n"), None
-    for i, line in enumerate(lines):
-        m = re.match(r"(#+)\s+(.*)", line)
-        if m and at is None and m[2].strip() == heading.strip():
-            at, depth = i, len(m[1])
-        elif m and at is not None and len(m[1]) <= depth:
-            return "\n".join([*lines[: at + 1], content, *lines[i:]])
-    return body if at is None else "\n".join([*lines[: at + 1], content])
-
-
 def patched(entries: DataFrame, find: str, put: str, every: bool = True) -> DataFrame:
     """Entries after a search-and-replace in bodies; changed ones get a new version."""
     plain = "".join("\\" + c if not c.isalnum() and c != " " else c for c in find)

@@ -111,11 +111,6 @@ def mixed_pages(own: Column, other: Column, least: int = 100) -> Column:
     return F.transform(F.arrays_zip(own.alias("a"), other.alias("b")), lambda x: F.when(F.length(F.coalesce(x["a"], F.lit(""))) < least, F.coalesce(x["b"], x["a"])).otherwise(x["a"]))
 
 
-def escalation(chars: Column, layout_confidence: Column, least_chars: int = 50) -> Column:
-    """Which stronger method a page needs, if any."""
-    return F.when(chars <= least_chars, "ocr").when(layout_confidence < 0.3, "layout_model")
-
-
 class Remote:
     """A service that reads files: ``POST endpoint`` with the file in base 64, text in the JSON answer.
 

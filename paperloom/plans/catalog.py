@@ -120,12 +120,6 @@ def _upserted(e: DataFrame) -> DataFrame:
     return retrieval.upserted(own, changed).groupBy("path").agg(F.count("*").alias("buckets"), F.round(F.sum("weight"), 3).alias("weight"))
 
 
-def _tool_table(e: DataFrame) -> DataFrame:
-    listed = ["search_knowledge:find entries:index", "suggest_links:links for an entry:index", "lint_wiki:search for faults:knowledge", "sync_push:send objects:platform", "search_keywords:literal search:extract"]
-    rows = [tuple(x.split(":")) for x in listed]
-    return e.sparkSession.createDataFrame(rows, "name string, description string, category string")
-
-
 def _near_query(e: DataFrame) -> DataFrame:
     return retrieval.presented(retrieval.keyword_search(e, QUERY, 20), e, QUERY)
 
@@ -358,7 +352,7 @@ def _queries() -> dict:
         "keyword_hits_with_page": lambda s, d: retrieval.keyword_hits_with_page(_pages(s, d), TERM),
         "keyword_positions": lambda s, d: retrieval.keyword_positions(_paged(s, d), KEYWORDS, context=20),
         "pages_with_matches": lambda s, d: retrieval.pages_with_matches(retrieval.keyword_positions(_paged(s, d), KEYWORDS)),
-        "api_catalog_search": _on_entries(lambda e: retrieval.catalog_search(_tool_table(e), "search")),
+        "api_catalog_search": lambda s, d: retrieval.catalog_search(table(s, d, "items").select("name", F.col("brand").alias("description"), F.col("kind").alias("category")).distinct(), "bolt"),
         "agent_context": lambda s, d: retrieval.agent_context(entries(s, d), _graph_store(s, d).references, CENTER, QUERY),
         # changes
         "sources_needing_compile": lambda s, d: changes.sources_to_compile(*_sources(s, d)),

@@ -434,10 +434,9 @@ SQL: dict[str, str] = {
       select path, round(n / sqrt(strlen(body)) * 100, 4) as score from c order by score desc, path limit 10""",
     "keyword_hits_with_page": """with l as (select doc_id as doc, generate_subscripts(a, 1) as page, unnest(a) as line from (select doc_id, string_split(coalesce(text, ''), chr(10)) as a from documents))
       select doc, page, cast(len(regexp_extract_all(lower(line), 'estion')) as bigint) as hits from l where contains(lower(line), 'estion')""",
-    "api_catalog_search": """with t as (select * from (values ('search_knowledge', 'find entries', 'index'), ('suggest_links', 'links for an entry', 'index'), ('lint_wiki', 'search for faults', 'knowledge'),
-        ('sync_push', 'send objects', 'platform'), ('search_keywords', 'literal search', 'extract')) x(name, description, category)),
-      s as (select name, cast(case when lower(name) = 'search' then 100 when contains(lower(name), 'search') then 50 else 0 end + case when contains(lower(description), 'search') then 10 else 0 end
-        + case when contains(lower(category), 'search') then 5 else 0 end as int) as score from t) select * from s where score > 0""",
+    "api_catalog_search": """with t as (select distinct name, brand as description, kind as category from items),
+      s as (select name, cast(case when lower(name) = 'bolt' then 100 when contains(lower(name), 'bolt') then 50 else 0 end + case when contains(lower(description), 'bolt') then 10 else 0 end
+        + case when contains(lower(category), 'bolt') then 5 else 0 end as int) as score from t) select * from s where score > 0 order by score desc, name limit 10""",
     "keyword_positions": f"{_POSITIONS} select doc, keyword, page, position, context from kh",
     "pages_with_matches": f"{_POSITIONS} select doc, count(*) as matches, count(distinct page) as pages from kh group by doc",
     "job_stages": f"{_JOB_LOG} select * from sts",

@@ -78,6 +78,22 @@ def test_communities(spark):
     assert graph.communities(e, links.limit(0)).count() == 0
 
 
+def test_aggregation_takes_communities_with_two_plain_entries(spark):
+    e = kb(spark, entry("x/a.md"), entry("y/b.md"), entry("x/c.md"), entry("x/d.md", level="L2"), entry("y/e.md"), entry("y/f.md", level="l1"))
+    members = spark.createDataFrame([("x/a.md", "x/a.md", 3), ("y/b.md", "x/a.md", 3), ("x/c.md", "x/a.md", 3), ("x/d.md", "x/d.md", 2), ("y/e.md", "x/d.md", 2), ("y/f.md", "z", 1)], "path string, community string, size long")
+    got = values(graph.aggregation_candidates(e, members), "community", "members", "domain")
+    assert got == [("x/a.md", 3, "x")]
+
+
+def test_context_of_an_entry(spark):
+    long = "fox " * 2000
+    e = kb(spark, entry("d/a.md", body=long), entry("d/b.md", body="hens"), entry("d/c.md", body="fox den"), entry("d/d.md", body="fox run", published="draft"))
+    links = spark.createDataFrame([("d/a.md", "d/b.md", "related")], "src string, dst string, kind string")
+    got = values(retrieval.agent_context(e, links, "d/a.md", "fox"), "path", "role", "chars", "tokens")
+    assert got[:2] == [("d/a.md", "center", 4000, 1000), ("d/b.md", "neighbor", 200, 50)]
+    assert ("d/c.md", "related", 150, 37) in got and not any(p == "d/d.md" for p, *_ in got)
+
+
 def test_neighbours_have_fewest_hops(spark):
     links = spark.createDataFrame([("a", "b", "related"), ("b", "c", "related"), ("a", "c", "wikilink"), ("c", "d", "related"), ("d", "a", "related")], "src string, dst string, kind string")
     assert values(graph.neighbors(links, "a", 2), "path", "hop") == [("b", 1), ("c", 1), ("d", 2)]
@@ -226,8 +242,10 @@ def test_front_matter_round_trip(spark):
     assert documents.parse_entries(bad).count() == 0
 
 
-def test_sections_are_replaced_in_place():
-    assert documents.replace_section("# A\nold\n## sub\nx\n# B\nkeep", "A", "new") == "# A\nnew\n# B\nkeep"
+def test_sections_are_replaced_in_place(spark):
+    body, none = F.lit("# A\nold\n## sub\nx\n# B\nkeep"), F.lit("plain")
+    row = spark.range(1).select(text.with_section(body, F.lit("A"), "new").alias("a"), text.with_section(none, F.lit("A"), "new").alias("b")).first()
+    assert (row.a, row.b) == ("# A\nnew\n# B\nkeep", "plain")
 
 
 def test_markdown_reader(spark, tmp_path):
@@ -328,7 +346,7 @@ def test_extraction(spark):
     assert got["a.pdf"].pages == ["Hello (you) there"] and got["b.txt"].pages == ["one", "two"] and got["c.bin"].error
     assert values(extraction.selected_pages(extraction.extract(files), "2"), "path", "text") == [("b.txt", "two")]
     assert {r.p: r.n for r in files.select(F.col("path").alias("p"), extraction.n_pages(F.col("content")).alias("n")).collect()}["a.pdf"] == 1
-    row = spark.range(1).select(extraction.mixed_pages(F.array(F.lit("short"), F.lit("y" * 200)), F.array(F.lit("better"), F.lit("z"))).alias("m"), extraction.escalation(F.lit(10), F.lit(0.9)).alias("o")).first()
+    row = spark.range(1).select(extraction.mixed_pages(F.array(F.lit("short"), F.lit("y" * 200)), F.array(F.lit("better"), F.lit("z"))).alias("m"), rules.escalation(F.lit(10), F.lit(0.9)).alias("o")).first()
     assert row.m == ["better", "y" * 200] and row.o == "ocr"
 
 

@@ -9,7 +9,7 @@ import pytest
 from paperloom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations items".split()
 NO_SQL = {"communities", "aggregation_candidates", "agent_context"}
 
 
