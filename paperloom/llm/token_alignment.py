@@ -42,8 +42,8 @@ from paperloom.llm import arrow, scratch
 
 VOCABULARY_A = "/opt/tokenizers/byte_bpe_50k.json"
 VOCABULARY_B = "/opt/tokenizers/piece_bpe_32k.model"
-CHUNK_BYTES = 12 << 20
-CHUNK_WORDS = 300_000
+CHUNK_BYTES = 32 << 20
+CHUNK_WORDS = 700_000
 #: Documents' texts put together at a time, and words aligned at a time.
 PART_BYTES = 1 << 20
 BLOCK = 4096
@@ -286,8 +286,8 @@ class Chunk:
         """Align some documents; what is known of them before corpus-wide counts."""
         words, known = self.words, self.words.number
         split = [words.t.words(x) if x else [] for x in texts]
-        if new := sorted({w for s in split for w in s} - known.keys()):
-            words.add(new)
+        if new := {w for s in split for w in s if w not in known}:
+            words.add(sorted(new))
         numbers = [[known[w] for w in s] for s in split]
         spelled = [bool(s) and 0 not in s for s in numbers]
         numbers = [s if ok else [] for s, ok in zip(numbers, spelled, strict=True)]
