@@ -127,7 +127,8 @@ def test_a_damaged_graph_is_built_anew(spark, tmp_path):
 
 def test_concept_map_text(spark):
     e = kb(spark, entry("d/a.md", title='say "a"'), entry("d/b.md", title="b", related=["d/a.md"]), entry("d/c.md", title="c", contradictions=["d/b.md"]))
-    draw = lambda center, depth: graph.concept_map_text(e, graph.reference_edges(e), center, depth).first()["text"].split("\n")
+    links = spark.createDataFrame(graph.reference_edges(e).collect(), "src string, dst string, kind string")
+    draw = lambda center, depth: graph.concept_map_text(e, links, center, depth).first()["text"].split("\n")
     want = ["graph LR", "    n0[\"say 'a'\"]:::center", '    n1["b"]', "    n1 -->|relates| n0"]
     assert draw("d/a.md", 1) == [*want, "    classDef center stroke-width:2px"]
     assert draw("d/a.md", 2)[3:6] == ['    n2["c"]', "    n1 -->|relates| n0", "    n2 --x|contradicts| n1"]
