@@ -13,10 +13,11 @@ and they are merged by query.
 How large ``SHARE`` must be depends on the data: vectors without clusters have
 no near neighbours to speak of, and any index must then look at much of them.
 
-Queries are taken in blocks of ``QUERY_BLOCK``, each broadcast (a bounded
-number of vectors) and run against all rows. Equal vectors are one entry of the
-forest with all their ids, so a vector that many rows share neither crowds out
-others nor loses a tie.
+Queries are sent to every block in the shuffle that deals the rows, sorted
+behind the block's vectors: a task builds a forest once, streams the queries
+past it and drops it at the next block. Nothing is broadcast and no vector
+reaches the driver. Equal vectors are one entry of the forest with all their
+ids, so a vector that many rows share neither crowds out others nor loses a tie.
 
 Defined cases: ``vec_id`` is of an integer type (any other raises); query rows
 that share an id are one query at several places: each is searched, and a row
@@ -35,15 +36,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.llm import arrow, scratch
+from paperloom.llm import arrow
 
 TREES = 48
 BITS = 40
 BLOCK = 25_000
 SHARE = 0.5
-LEAST = 1000
+LEAST = 300
 TOP = 10
-QUERY_BLOCK = 8192
 SEED = 11
 
 
@@ -144,34 +144,44 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
-def nearest(rows: DataFrame, is_query: Column, top: int = TOP, share: float = SHARE, least: int = LEAST, block: int = BLOCK, trees: int = TREES, query_block: int = QUERY_BLOCK) -> DataFrame:
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray]]:
+    """Stretches of a sorted batch of one block and kind, as block, whether queries, ids and vectors."""
+    block, asked = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+    cuts = np.flatnonzero((block[1:] != block[:-1]) | (asked[1:] != asked[:-1])) + 1
+    for first, after in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+        if first < after:
+            some = batch.slice(first, after - first)
+            yield int(block[first]), bool(asked[first]), some.column(2).to_numpy(zero_copy_only=False), _matrix(some.column(3))
+
+
+def nearest(rows: DataFrame, is_query: Column, top: int = TOP, share: float = SHARE, least: int = LEAST, block: int = BLOCK, trees: int = TREES) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the nearest rows found for every query row."""
-    spark = rows.sparkSession
     rows = usable(rows)
-    total = rows.count()
-    asked = rows.filter(is_query).distinct()
-    parts = -(-asked.count() // query_block) or 1
-    dealt = rows.repartition(max(1, -(-total // block)), "vec_id")
-    found = None
-    for part in range(parts):
-        mine = asked.filter(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(parts)) == part).toPandas()
-        vectors = np.stack(mine["embedding"].to_list()) if len(mine) else np.zeros((0, 1))
-        shared = spark.sparkContext.broadcast((mine["vec_id"].to_numpy(np.int64), vectors))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            got = [(b.column(0).to_numpy(zero_copy_only=False), _matrix(b.column(1))) for b in batches if b.num_rows]
-            names, queries = shared.value
-            if not got or not len(names):
-                return
-            forest = PrefixForest(np.concatenate([i for i, _ in got]), np.concatenate([v for _, v in got]), trees)
-            out = list(forest.search(names, queries, top, share, least))
-            ids, far, place = (np.concatenate([x[k] for x in out]) for k in (1, 2, 3))
-            of = np.repeat([x[0] for x in out], [len(x[1]) for x in out])
-            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(ids, pa.int64()), pa.array(far, pa.float64()), pa.array(place, pa.int64())], ["query_id", "vec_id", "score", "place"])
-
-        one = arrow.mapped(dealt, "query_id long, vec_id long, score double, place long", run)
-        one = scratch.written(one, "nearest") if parts > 1 else one
-        found = one if found is None else found.unionByName(one)
+    blocks = max(1, -(-rows.count() // block))
+    entries = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), F.lit(0).alias("asked"), "vec_id", "embedding")
+    everywhere = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    asked = rows.filter(is_query).distinct().select(everywhere.alias("block"), F.lit(1).alias("asked"), "vec_id", "embedding")
+    dealt = entries.unionByName(asked).repartition(blocks, "block").sortWithinPartitions("block", "asked")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, forest = None, [], None
+        for batch in batches:
+            for block, asked, ids, vectors in _runs(batch):
+                if block != now:
+                    now, held, forest = block, [], None
+                if not asked:
+                    held.append((ids, vectors))
+                    continue
+                if forest is None:
+                    if not held:
+                        continue  # no row was dealt to this block
+                    forest, held = PrefixForest(np.concatenate([i for i, _ in held]), np.concatenate([v for _, v in held]), trees), []
+                out = list(forest.search(ids, vectors, top, share, least))
+                found, far, place = (np.concatenate([x[k] for x in out]) for k in (1, 2, 3))
+                of = np.repeat([x[0] for x in out], [len(x[1]) for x in out])
+                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(found, pa.int64()), pa.array(far, pa.float64()), pa.array(place, pa.int64())], ["query_id", "vec_id", "score", "place"])
+
+    found = arrow.mapped(dealt, "query_id long, vec_id long, score double, place long", run)
     # rows of one id lie in one block, so id and place tell rows apart; a row met from several places counts once
     found = found.repartition("query_id").groupBy("query_id", "vec_id", "place").agg(F.min("score").alias("score"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))

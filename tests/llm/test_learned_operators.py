@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -182,7 +183,7 @@ def test_neighbours(spark):
     is_query = F.pmod("vec_id", F.lit(100)) == 0
     good = [(i, np.array(v, float)) for i, v in rows if i is not None and (i < 3000)]
     ids, mat = np.array([i for i, _ in good]), np.stack([v for _, v in good])
-    for options in ({"share": 0.3, "least": 50}, {"share": 0.3, "least": 50, "block": 400, "query_block": 5}):
+    for options in ({"share": 0.3, "least": 50}, {"share": 0.3, "least": 50, "block": 400}):
         got = {}
         for r in prefix_forest.nearest(table, is_query, **options).collect():
             got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
@@ -204,6 +205,23 @@ def test_neighbours(spark):
     assert sorted(r.vec_id for r in few) == [5, 9]
 
 
+@pytest.mark.parametrize(("spread", "share", "block"), [(0.3, 0.05, 25_000), (0.3, 0.05, 6000), (None, 0.5, 25_000)])
+def test_neighbours_among_many_rows_come_from_the_index(spark, spread, share, block):
+    """Clusters need few candidates, vectors without any half of the rows; in several blocks as in one."""
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((20_000, 32))
+    if spread:
+        x = rng.standard_normal((400, 32))[rng.integers(0, 400, 20_000)] + spread * x
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(20_000), "embedding": x.tolist()}))
+    got = {}
+    for r in prefix_forest.nearest(table, F.pmod("vec_id", F.lit(200)) == 0, share=share, block=block).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert set(got) == set(range(0, 20_000, 200)) and all(len(v) == 10 for v in got.values())
+    far = {q: ((x - x[q]) ** 2).sum(1) for q in got}
+    right = sum(len(got[q] & {i for i in np.argsort(far[q])[:11].tolist() if i != q}) for q in got)
+    assert right >= 0.9 * 10 * len(got)
+
+
 def test_query_rows_that_share_an_id_are_all_searched(spark):
     rng = np.random.default_rng(2)
     x = rng.standard_normal((300, 8))
@@ -211,7 +229,7 @@ def test_query_rows_that_share_an_id_are_all_searched(spark):
     rows += [(100, rows[100][1])] * 20 + [(5, rows[5][1])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     is_query = F.pmod("vec_id", F.lit(100)) == 0
-    for options in ({"share": 1.0}, {"share": 1.0, "block": 70, "query_block": 1}):
+    for options in ({"share": 1.0}, {"share": 1.0, "block": 70}):
         got = sorted((r["rank"], r.vec_id, r.score) for r in prefix_forest.nearest(table, is_query, **options).filter("query_id = 100").collect())
         far = sorted((min(np.sqrt(((x[a] - np.array(v)) ** 2).sum()) for a in (0, 100)), i) for i, v in rows if i != 100)[:10]
         assert [g[1] for g in got] == [i for _, i in far] and [g[2] for g in got] == pytest.approx([d for d, _ in far])
