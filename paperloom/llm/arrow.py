@@ -11,12 +11,26 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from paperloom.session import ship
 
 SLICE_BYTES = 1 << 20
+#: Most bytes of the batches between Spark and Python where texts go whole.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound batches of this session by ``BATCH_BYTES``, unless its owner has chosen a bound.
+
+    Spark's own bound (10,000 rows or 64 MB) lets a task hold several batches of
+    whole texts at once, in the executor's memory outside the heap and again in
+    Python. A single longer text is a batch of its own.
+    """
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, BATCH_BYTES)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -2,6 +2,7 @@
 
 import hashlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,3 +52,19 @@ def test_repeats_where_one_file_has_short_texts_only(spark, tmp_path):
     docs = spark.read.parquet(f"file://{tmp_path}/a", f"file://{tmp_path}/b")
     got = {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(docs).collect()}
     assert got == {0: (0, 0, kept(long)), 1: (150, 1, kept("z")), 2: (0, 0, kept("short")), 3: (0, 0, kept(None)), 4: (0, 0, kept("x" * 99))}
+
+
+def test_small_batches_leave_the_owner_of_the_session_the_choice(spark):
+    from paperloom.llm import arrow
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = spark.newSession()
+    arrow.small_batches(own)
+    assert int(own.conf.get(name)) == arrow.BATCH_BYTES
+    rows = own.range(0, 3000, 1, 1).selectExpr("repeat('x', 10000) as text")
+    sizes = arrow.mapped(rows, "n long", lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)).collect()
+    assert sum(r.n for r in sizes) >= 30_000_000 and max(r.n for r in sizes) <= arrow.BATCH_BYTES * 1.1
+    chosen = spark.newSession()
+    chosen.conf.set(name, 1 << 20)
+    arrow.small_batches(chosen)
+    assert int(chosen.conf.get(name)) == 1 << 20
