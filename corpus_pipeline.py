@@ -23,7 +23,6 @@ ORACLE_SQL = None
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a known language; ``und``, undecided ones and those that no language fits go."""
-    arrow.small_batches(spark)
     told = language_id.identify(docs, language_id.train(docs))
     sure = (F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE) & F.col("fits")
     return told.filter(sure).select(*COLUMNS)
@@ -36,13 +35,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     or more. Of rows without an id, or that share one, exactly one of a group is
     kept where no document of the group has a smaller id.
     """
-    arrow.small_batches(spark)
     return simhash_checked.one_per_group(docs).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents without a benchmark passage."""
-    arrow.small_batches(spark)
     found = decontamination.find_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.filter(F.coalesce(F.size("hit_words"), F.lit(0)) <= MOST_HIT * F.col("n_words")).select(*COLUMNS)
 
