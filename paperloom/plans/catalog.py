@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import rules, text
-from paperloom.operators import bases, changes, documents, governance, graph, graph_store, jobs, relational, retrieval, similarity
+from paperloom.operators import actions, bases, changes, documents, governance, graph, graph_store, jobs, relational, retrieval, similarity
 from paperloom.operators import index as indexes
 from paperloom.plans import oracles
 from paperloom.session import table
@@ -309,6 +309,8 @@ def _queries() -> dict:
         "stale_entries": _on_entries(lambda e: governance.stale(e, AS_OF)),
         "drift_pairs": _on_entries(similarity.drift_pairs),
         "next_actions": _on_entries(governance.next_actions),
+        "planned_actions": _on_entries(lambda e: actions.planned_actions(e, similarity.drift_pairs(e))),
+        "quality_report_full": _on_entries(lambda e: actions.full_report(e, similarity.drift_pairs(e))),
         "quality_snapshot_counts": _on_entries(governance.snapshot_counts),
         "quality_report_lines": _on_entries(governance.report_lines),
         "meta_lint": _graph(lambda e, g: governance.meta_lint(e, g, AS_OF)),

@@ -215,6 +215,16 @@ _FENCED = """ln as (select path, pos, line, starts_with(ltrim(line, ' '), '```')
   from (select path, generate_subscripts(a, 1) as pos, unnest(a) as line from (select path, string_split(body, chr(10)) as a from entries))),
 op as (select *, sum(case when fence then 1 else 0 end) over (partition by path order by pos) as k from ln)"""
 
+
+def _drift() -> str:
+    """Findings and, as ``dr``, pairs of entries that drift apart."""
+    return f"""{_vectors(_ISSUES)}, tt as (select path, created, unnest(list_distinct(tags)) as tag from entries),
+      pr as (select x.path as a, y.path as b, min(tag) as tag from tt x join tt y using (tag) where x.path < y.path and abs(date_diff('day', x.created, y.created)) >= 90 group by 1, 2),
+      dt as (select a, b, sum(u.weight * v.weight) as s from pr join vec u on u.path = a join vec v on v.path = b and v.bucket = u.bucket group by a, b),
+      dd as (select a, b, tag, round(coalesce(s, 0.0), 4) as similarity from pr left join dt using (a, b)),
+      dr as (select a, b, x.title as a_title, y.title as b_title, tag, similarity from dd join entries x on x.path = a join entries y on y.path = b where similarity < 0.6)"""
+
+
 SQL: dict[str, str] = {
     "scan_fulltext_docs": f"{E} select path, title, domain, array_to_string(tags, ' ') as tags, cast(length(body) as bigint) as chars from entries where {_SEARCHABLE}",
     "scan_graph_nodes": f"{E} select path, title, domain, array_to_string(tags, ',') as tags, level from entries",
@@ -367,6 +377,24 @@ SQL: dict[str, str] = {
       dt as (select a, b, sum(u.weight * v.weight) as s from pr join vec u on u.path = a join vec v on v.path = b and v.bucket = u.bucket group by a, b),
       dd as (select a, b, tag, round(coalesce(s, 0.0), 4) as similarity from pr left join dt using (a, b))
       select a, b, x.title as a_title, y.title as b_title, tag, similarity from dd join entries x on x.path = a join entries y on y.path = b where similarity < 0.6""",
+    "planned_actions": f"""{_drift()}
+      select cast(1 as int) as place, 'suggest_links' as tool, path as target, cast(json_object('entry_path', path, 'top_k', 5) as varchar) as arguments, 'nothing refers to this entry' as reason
+      from (select path from qo order by path limit 5)
+      union all select 2, 'patch_wiki_entry', path, cast(json_object('entry_path', path, 'drop', list_sort(list(distinct ref))) as varchar), 'references lead nowhere'
+      from br where path = (select min(path) from br) group by path
+      union all select 3, 'hypothesis_test', null, '{{}}', 'contradictions may be open'
+      union all select 4, 'recompile_entry', a, cast(json_object('entry_path', a) as varchar), 'differs most from an entry of the same tag'
+      from (select a from dr where (select count(*) from dr) > 2 order by similarity, a, b limit 1)
+      union all select 5, 'rebuild_index', null, '{{}}', 'searches should see what was mended'""",
+    "quality_report_full": f"""{_drift()}, hd as (select count(*) as entries, count(distinct domain) as domains,
+        round(coalesce(avg(case when quality_score > 0 then quality_score end), 0), 6) as avg_quality from entries)
+      select cast(0 as int) as section, '- **Total entries**: ' || entries as line from hd union all select 0, '- **Domains**: ' || domains from hd
+      union all select 0, '- **Average quality score**: ' || cast(round(avg_quality * 100, 1) as varchar) || '%' from hd
+      union all select 0, '- **Orphan entries**: ' || (select count(*) from qo) union all select 0, '- **Broken links**: ' || (select count(*) from br)
+      union all select 0, '- **Findings**: ' || (select count(*) from iss)
+      union all select 1, '| ' || severity || ' | ' || path || ' | ' || message || ' |' from iss union all select 2, '- `' || path || '`' from qo
+      union all select 3, '- `' || path || '` → `' || ref || '`' from br
+      union all select 4, '- `' || a || '` | `' || b || '` | ' || tag || ' | ' || cast(cast(similarity as decimal(6,4)) as varchar) from dr""",
     "next_actions": f"""{_ISSUES} select cast(1 as int) as place, 'suggest_links' as tool, path as target from (select path from qo order by path limit 5)
       union all select 2, 'patch_wiki_entry', min(path) from br having count(*) > 0 union all select 3, 'hypothesis_test', null union all select 4, 'rebuild_index', null""",
     "quality_snapshot_counts": f"""{_ISSUES}, {_GATE.split(E, 1)[1].lstrip(", ")}
