@@ -521,3 +521,23 @@ def test_drift_takes_every_tag_and_only_old_pairs(spark, block):
     table = spark.createDataFrame(rows, "path string, title string, tags array<string>, n int").withColumns({"created": F.timestamp_add("DAY", F.col("n"), day(0)), "body": F.lit(""), "domain": F.lit("d")})
     got = sorted((r.a, r.b, r.tag) for r in similarity.drift_pairs(table, most=1.1, block=block).collect())
     assert got == sorted((x[0], y[0], "hot") for x in rows for y in rows if x[0] < y[0] and abs(x[3] - y[3]) >= 90)
+
+
+def test_pairs_of_near_and_of_drifting_entries_are_not_shuffled(spark):
+    e = entries(spark, "/root/testdata/sf0.001")
+    for found in (similarity.drift_pairs(e), similarity.near_duplicates(e)):
+        above = found._jdf.queryExecution().executedPlan().toString().split("FlatMapGroupsInArrow")[0]
+        assert "Exchange" not in above and "Join" not in above
+
+
+def test_pairs_of_a_group_leave_it_in_several_rows(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(similarity, "PAIRS", 2)
+    block = pa.table({"path": ["b", "a", "c"], "title": ["B", None, "C"]})
+    parts = [(np.array([0]), np.array([1]), np.array([0.5])), (np.array([0, 1]), np.array([2, 2]), np.array([0.1, 0.2])), (np.array([2]), np.array([1]), np.array([0.3]))]
+    out = similarity._found(block, "t", iter(parts))
+    assert len(out) == 2
+    got = [(own[r["p"]]["path"], own[r["q"]]["path"], r["similarity"]) for own, pairs in zip(out["own"].to_pylist(), out["pairs"].to_pylist()) for r in pairs]
+    assert got == [("a", "b", 0.5), ("b", "c", 0.1), ("a", "c", 0.2), ("a", "c", 0.3)]
