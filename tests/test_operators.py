@@ -541,3 +541,17 @@ def test_pairs_of_a_group_leave_it_in_several_rows(spark, monkeypatch):
     assert len(out) == 2
     got = [(own[r["p"]]["path"], own[r["q"]]["path"], r["similarity"]) for own, pairs in zip(out["own"].to_pylist(), out["pairs"].to_pylist()) for r in pairs]
     assert got == [("a", "b", 0.5), ("b", "c", 0.1), ("a", "c", 0.2), ("a", "c", 0.3)]
+
+
+def test_new_tag_pairs_are_made_once_and_not_shuffled(spark, monkeypatch):
+    from paperloom.operators import graph_store
+
+    monkeypatch.setattr(graph_store, "CHUNK", 2)
+    rows = [(f"p{i}", ["x", "y"] if i < 7 else ["x", "y", "z"] if i < 9 else ["w"]) for i in range(11)]
+    nodes = spark.createDataFrame(rows, "path string, tags array<string>")
+    found = graph_store._new_pairs(nodes.filter(F.col("path").isin([f"p{i}" for i in range(5)])), nodes)
+    changed, tags = {f"p{i}" for i in range(5)}, {p: set(t) for p, t in rows}
+    want = sorted((p, q) for p in tags for q in tags if p != q and {p, q} & changed and len(tags[p] & tags[q]) / len(tags[p] | tags[q]) >= 0.3)
+    assert sorted((r.src, r.dst) for r in found.collect()) == want and len(want) > 20
+    above = found._jdf.queryExecution().optimizedPlan().toString().split("Repartition")[0]
+    assert "Aggregate" not in above and "Join" not in above
