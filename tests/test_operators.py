@@ -555,3 +555,13 @@ def test_new_tag_pairs_are_made_once_and_not_shuffled(spark, monkeypatch):
     assert sorted((r.src, r.dst) for r in found.collect()) == want and len(want) > 20
     above = found._jdf.queryExecution().optimizedPlan().toString().split("Repartition")[0]
     assert "Aggregate" not in above and "Join" not in above
+
+
+def test_terms_are_counted_in_place_and_shuffled_once_a_step(spark):
+    e = kb(spark, entry("d/a.md", title="", body="b a b"), entry("d/b.md", title="", body=""), entry("d/c.md", title="", body="aa a, aa bb aa"))
+    terms = retrieval.vector_terms(e)
+    assert sorted((r.path, r.term, r.tf) for r in terms.collect() if r.path == "d/c.md" and r.term != "md") == [("d/c.md", "aa", 3), ("d/c.md", "bb", 1)]
+    made = spark.range(0).select(F.lit("p").alias("path"), F.lit("t").alias("title"), F.lit("b").alias("body"))
+    assert "Exchange" not in retrieval.vector_terms(made)._jdf.queryExecution().executedPlan().toString()
+    postings = {(r.term, r.field): (r.tf, r.size, r.positions) for r in Index.of(e).postings.filter("path = 'd/c.md'").collect()}
+    assert postings["aa", "body"] == (3, 6, [0, 3, 5]) and postings[",", "body"] == (1, 6, [2]) and postings["a", "body"] == (1, 6, [1])
