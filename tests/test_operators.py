@@ -565,3 +565,38 @@ def test_terms_are_counted_in_place_and_shuffled_once_a_step(spark):
     assert "Exchange" not in retrieval.vector_terms(made)._jdf.queryExecution().executedPlan().toString()
     postings = {(r.term, r.field): (r.tf, r.size, r.positions) for r in Index.of(e).postings.filter("path = 'd/c.md'").collect()}
     assert postings["aa", "body"] == (3, 6, [0, 3, 5]) and postings[",", "body"] == (1, 6, [2]) and postings["a", "body"] == (1, 6, [1])
+
+
+def test_postings_and_vectors_are_made_where_the_text_is(spark):
+    made = spark.range(3).select(
+        F.concat(F.lit("p"), "id").alias("path"), F.lit("t").alias("title"), F.lit("d").alias("domain"), F.lit("published").alias("publish_status"), F.lit(1.0).alias("quality_score"), F.lit("aa bb aa").alias("body"), F.array(F.lit("x")).alias("tags")
+    )
+    built = Index.of(made)
+    for df in (built.postings, built.bounds, built.vectors):
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert values(built.bounds.filter("term = 'aa'").groupBy("term", "field").agg(F.sum("n"), F.max("tf"), F.min("size")), "term", "field", "sum(n)", "max(tf)", "min(size)") == [("aa", "body", 3, 2, 3)]
+
+
+def test_vectors_are_the_same_where_few_terms_are_sent_to_the_tasks(spark, monkeypatch):
+    e = entries(spark, "/root/testdata/sf0.001").limit(40).localCheckpoint()
+    want = {(r.path, r.bucket): r.weight for r in retrieval.vectors(e).collect()}
+    monkeypatch.setattr(retrieval, "LOCAL_TERMS", 20)
+    found = retrieval.vectors(e).collect()
+    assert {(r.path, r.bucket): r.weight for r in found} == pytest.approx(want) and len(found) == len(want)
+
+
+def test_a_keyword_search_reads_every_text_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda x: seen.add(1) or x, "string")
+    e = kb(spark, *[entry(f"d{i % 2}/{i}.md", body=f"alpha w{i}") for i in range(20)])
+    for search in (retrieval.keyword_search, retrieval.sharded_search):
+        before = seen.value
+        assert search(e.withColumn("body", count("body")), "alpha w3", 1).first().path == "d1/3.md"
+        assert seen.value - before == 20
+
+
+def test_a_phrase_brings_together_lists_of_places(spark):
+    built = Index.of(kb(spark, entry("d/a.md", body="x y x y y"), entry("d/b.md", body="y x")))
+    found = built.matches('"x y"')
+    assert values(found, "path") == [("d/a.md",)]
+    assert "flatten" not in "".join(x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in x)
