@@ -74,7 +74,8 @@ def parse_front_matter(source: str | None) -> dict | None:
     import yaml
 
     try:
-        found = yaml.safe_load(source or "")
+        # the loader in C where that is there; it differs in that it takes tabs between a key and its value
+        found = yaml.load(source or "", Loader=yaml.SafeLoader if "\t" in (source or "") else getattr(yaml, "CSafeLoader", yaml.SafeLoader))
     except yaml.YAMLError:
         return None
     if not isinstance(found, dict) or not all(isinstance(found.get(k), str) for k in ("title", "domain")):

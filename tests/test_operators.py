@@ -600,3 +600,14 @@ def test_a_phrase_brings_together_lists_of_places(spark):
     found = built.matches('"x y"')
     assert values(found, "path") == [("d/a.md",)]
     assert "flatten" not in "".join(x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate" in x)
+
+
+def test_front_matter_is_read_by_the_loader_in_c(monkeypatch):
+    import yaml
+
+    source = "title: t\ndomain: d\ncreated: 2024-01-01\nupdated: 2024-01-02T00:00:00Z\n"
+    if yaml.__with_libyaml__:
+        with monkeypatch.context() as m:
+            m.setattr(yaml.SafeLoader, "__init__", lambda self, stream: 1 / 0)
+            assert documents.parse_front_matter(source)["title"] == "t"
+    assert documents.parse_front_matter(source + "status: \tx\n") is None
