@@ -611,3 +611,15 @@ def test_front_matter_is_read_by_the_loader_in_c(monkeypatch):
             m.setattr(yaml.SafeLoader, "__init__", lambda self, stream: 1 / 0)
             assert documents.parse_front_matter(source)["title"] == "t"
     assert documents.parse_front_matter(source + "status: \tx\n") is None
+
+
+def test_a_concept_map_needs_no_pairs_of_tags(spark, monkeypatch, tmp_path):
+    from paperloom.plans import catalog
+
+    e = kb(spark, entry("d/a.md", ["x"], ["d/b.md"]), entry("d/b.md", ["x"]))
+    made = graph_store.GraphStore.of(e, tags=False)
+    assert values(graph.concept_map(made.references, "d/a.md", 2), "src", "dst") == [("d/a.md", "d/b.md")] and made.pairs.count() == 0
+    monkeypatch.setattr(graph, "tag_edges", lambda *_: 1 / 0)
+    monkeypatch.setattr(catalog, "_graph_store", lambda *_: 1 / 0)
+    monkeypatch.setattr(catalog.generations, "current", lambda *_: None)
+    assert catalog.queries()["concept_map_edges"](spark, "/root/testdata/sf0.001").count() > 0
