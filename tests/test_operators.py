@@ -1,7 +1,9 @@
 """Known facts of the operators, and the choices where behaviour is easy to get wrong."""
 
 import datetime as dt
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -623,3 +625,16 @@ def test_a_concept_map_needs_no_pairs_of_tags(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(catalog, "_graph_store", lambda *_: 1 / 0)
     monkeypatch.setattr(catalog.generations, "current", lambda *_: None)
     assert catalog.queries()["concept_map_edges"](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_tables_of_a_build_are_packed_by_zstd(spark, tmp_path, monkeypatch):
+    packed, plain = {}, indexes._stored
+
+    def stored(df, to):
+        plain(df, to)
+        for file in Path(to.removeprefix("file://")).glob("*.parquet"):
+            packed.setdefault(to.rsplit("/", 1)[1], set()).update(of.row_group(i).column(0).compression for of in [pq.read_metadata(file)] for i in range(of.num_row_groups))
+
+    monkeypatch.setattr(indexes, "_stored", stored)
+    Index.build(kb(spark, entry("d/a.md", body="alpha beta"), entry("d/b.md", body="alpha")), f"file://{tmp_path}/kb")
+    assert packed == dict.fromkeys([*indexes.STORED, "tokens"], {"ZSTD"})
