@@ -638,3 +638,11 @@ def test_tables_of_a_build_are_packed_by_zstd(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(indexes, "_stored", stored)
     Index.build(kb(spark, entry("d/a.md", body="alpha beta"), entry("d/b.md", body="alpha")), f"file://{tmp_path}/kb")
     assert packed == dict.fromkeys([*indexes.STORED, "tokens"], {"ZSTD"})
+
+
+def test_counts_of_terms_open_no_block(spark, tmp_path):
+    e = kb(spark, entry("d/a.md", body="alpha beta alpha", tags=("alpha",)), entry("d/b.md", body="alpha"))
+    built = Index.build(e, f"file://{tmp_path}/kb")
+    for index in (built, built.upserted(kb(spark, entry("d/b.md", body="alpha")))):
+        assert [(r.n, r.tf) for r in index.term_counts().filter("term = 'alpha'").collect()] == [(3, 4)]
+    assert "Generate" not in built.term_counts()._jdf.queryExecution().executedPlan().toString()
