@@ -646,3 +646,32 @@ def test_counts_of_terms_open_no_block(spark, tmp_path):
     for index in (built, built.upserted(kb(spark, entry("d/b.md", body="alpha")))):
         assert [(r.n, r.tf) for r in index.term_counts().filter("term = 'alpha'").collect()] == [(3, 4)]
     assert "Generate" not in built.term_counts()._jdf.queryExecution().executedPlan().toString()
+
+
+def test_similarities_are_rounded_as_spark_rounds_and_pairs_survive_their_code(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(7)
+    value = np.concatenate([np.round(rng.random(3000), 5), rng.random(3000), [0.00005, 0.12345, 0.99995, 1.0000000000000002, -0.00005, -1.0, 0.0]])
+    want = [r.x for r in spark.createDataFrame([(i, float(v)) for i, v in enumerate(value)], "i int, v double").orderBy("i").select(F.round("v", 4).alias("x")).collect()]
+    assert (similarity._units(value) / similarity.UNIT).tolist() == want
+    monkeypatch.setattr(similarity, "SENT", 100)
+    n = len(value)
+    block = pa.table({"path": [f"p{i:05d}" for i in range(n)], "title": [None if i % 9 == 0 else f"t{i}" for i in range(n)]})
+    parts = similarity._rounded(iter([(np.arange(n), (np.arange(n) + 5) % n, value)]), lambda x: x > -2)
+    batches = list(similarity._sent(block, "t", parts))
+    assert all(len(x) <= 100 for b in batches for x in b["pairs"].to_pylist()) and sum(len(x) for b in batches for x in b["pairs"].to_pylist()) == n
+    rows = [r for b in batches for r in b.to_pylist()]
+    got = sorted((r.a, r.b, r.b_title, r.tag, r.similarity) for r in similarity._named(spark.createDataFrame([(r["tag"], r["path"], r["title"], r["pairs"]) for r in rows[:3]], similarity._CODED)).collect())
+    name = lambda i: (f"p{i:05d}", None if i % 9 == 0 else f"t{i}")
+    assert got == sorted((name(i)[0], *name(i + 5), "t", want[i]) for i in range(300))
+
+
+@pytest.mark.parametrize("block", [2, 1000])
+def test_worst_drift_is_the_least_of_all_pairs_and_counts_them(spark, block):
+    e = entries(spark, "/root/testdata/sf0.001")
+    pairs = sorted((r.similarity, r.a, r.b) for r in similarity.drift_pairs(e, block=block).collect())
+    found = similarity.worst_drift(e, block=block).collect()
+    assert sum(r.n for r in found) == len(pairs) > 100
+    assert min((r.similarity, r.a, r.b) for r in found) == pairs[0] and len(found) < len(pairs)
