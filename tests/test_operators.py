@@ -675,3 +675,15 @@ def test_worst_drift_is_the_least_of_all_pairs_and_counts_them(spark, block):
     found = similarity.worst_drift(e, block=block).collect()
     assert sum(r.n for r in found) == len(pairs) > 100
     assert min((r.similarity, r.a, r.b) for r in found) == pairs[0] and len(found) < len(pairs)
+
+
+@pytest.mark.parametrize("cell_least", [5, 40])
+def test_cells_lie_together_in_few_blocks_and_no_near_pair_is_lost(spark, monkeypatch, cell_least):
+    monkeypatch.setattr(similarity, "CELL_LEAST", cell_least)
+    e = entries(spark, "/root/testdata/sf0.001")
+    want = sorted((r.a, r.b, r.similarity) for r in similarity.near_duplicates(e, 0.7, block=10**6).collect())
+    for block in (25, 90):
+        assert sorted((r.a, r.b, r.similarity) for r in similarity.near_duplicates(e, 0.7, block=block).collect()) == want and len(want) > 50
+    dealt, _ = similarity._blocks(e, 0.7, 90)
+    sent = dealt.groupBy("path").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n
+    assert sent <= max(-(-200 // 90) + 2, int((2 * similarity.TILES * spark.sparkContext.defaultParallelism) ** 0.5) + 2)
