@@ -687,3 +687,12 @@ def test_cells_lie_together_in_few_blocks_and_no_near_pair_is_lost(spark, monkey
     dealt, _ = similarity._blocks(e, 0.7, 90)
     sent = dealt.groupBy("path").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first().n
     assert sent <= max(-(-200 // 90) + 2, int((2 * similarity.TILES * spark.sparkContext.defaultParallelism) ** 0.5) + 2)
+
+
+def test_tag_pairs_are_turned_by_whole_arrays_and_few_are_held_at_a_time(spark):
+    nodes = spark.createDataFrame([(f"p{i}", ["x", "y"]) for i in range(9)], "path string, tags array<string>")
+    found = graph_store._new_pairs(nodes.filter(F.col("path").isin("p1", "p2")), nodes)
+    above = found._jdf.queryExecution().optimizedPlan().toString().split("Repartition")[0]
+    assert above.count("Generate") == 3 and above.index("explode(dst") < above.index("inline(") and graph_store.CHUNK**2 <= 50_000
+    want = sorted((f"p{i}", f"p{j}") for i in range(9) for j in range(9) if i != j and {i, j} & {1, 2})
+    assert sorted((r.src, r.dst) for r in found.collect()) == want
