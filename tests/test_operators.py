@@ -696,3 +696,26 @@ def test_tag_pairs_are_turned_by_whole_arrays_and_few_are_held_at_a_time(spark):
     assert above.count("Generate") == 3 and above.index("explode(dst") < above.index("inline(") and graph_store.CHUNK**2 <= 50_000
     want = sorted((f"p{i}", f"p{j}") for i in range(9) for j in range(9) if i != j and {i, j} & {1, 2})
     assert sorted((r.src, r.dst) for r in found.collect()) == want
+
+
+def test_an_index_is_built_of_small_batches_and_the_session_keeps_its_own(spark, tmp_path, monkeypatch):
+    from paperloom import session
+
+    e = entries(spark, "/root/testdata/sf0.001").coalesce(1)
+    whole = Index.build(e, str(tmp_path / "whole"))
+    monkeypatch.setattr(session, "BATCH_BYTES", 50_000)
+    small = Index.build(e, str(tmp_path / "small"))
+    paths = lambda x: x.blocks.select(F.explode("paths").alias("p")).distinct().count()
+    zones = lambda x: x.blocks.select("zone").distinct().count()
+    assert zones(small) > 2 * zones(whole) and paths(small) == paths(whole) == e.count()
+    counts = lambda x: sorted((r.term, r.n, r.tf) for r in x.term_counts().collect())
+    assert counts(small) == counts(whole)
+    assert small.keyword("the and", 10).collect() == whole.keyword("the and", 10).collect()
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 1 << 22)
+    try:
+        with session.bounded_batches(spark):
+            assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(1 << 22)
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(1 << 22)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
